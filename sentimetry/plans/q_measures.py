@@ -236,7 +236,7 @@ def _cluster_sql():
         f"SELECT {Q.q(n)} AS cluster, date, sum(value) / count(*) AS global FROM merged "
         f"WHERE feature = {Q.q(t[2])} AND lexicon IN ({Q.q(t[0])}, {Q.q(t[1])}) GROUP BY date"
         for n, t in CLUSTERS.items())
-    return MERGED_SQL + f", glob AS ({parts})\n"
+    return MERGED_SQL + f", globs AS ({parts})\n"
 
 
 @register("global_index", BASE_SQL + """, w AS (SELECT date, value,
@@ -249,14 +249,14 @@ def global_index(spark, sf):
     return g.select("date", r6("global").alias("global"))
 
 
-@register("cluster_globals", _cluster_sql() + f"SELECT cluster, date, {s6('global')} AS global FROM glob")
+@register("cluster_globals", _cluster_sql() + f"SELECT cluster, date, {s6('global')} AS global FROM globs")
 def cluster_globals(spark, sf):
     """O79 per cluster of O76 selections on merged measures."""
     return _cluster_globals(spark, sf).select("cluster", "date", r6("global").alias("global"))
 
 
 @register("spread_index", _cluster_sql() + f"""SELECT a.cluster AS c1, b.cluster AS c2, a.date,
-  {s6('a.global - b.global')} AS spread FROM glob a JOIN glob b ON a.date = b.date AND a.cluster < b.cluster""")
+  {s6('a.global - b.global')} AS spread FROM globs a JOIN globs b ON a.date = b.date AND a.cluster < b.cluster""")
 def spread_index(spark, sf):
     """Pairwise differences of the cluster indices."""
     sp = M.spread_index(_cluster_globals(spark, sf))
