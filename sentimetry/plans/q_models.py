@@ -1 +1,292 @@
-"""Registered queries."""
+"""Registered queries: regression, selection, evaluation, attribution
+(O105–O125).  Saturated logits on the F10 table have closed forms, which
+are the oracles; fits without one are rows-only."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import attribution as A
+from ..operators import models as MD
+from ..sources import fixtures as fx
+from . import sql as Q
+from .common import LEX_NAMES, r6
+from .q_measures import BASE_SQL, CLUSTERS, _base
+from .q_target import ALIGNED_SQL, _design, target_monthly
+from .registry import register
+
+D4 = 4
+
+
+def r4(c):
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, D4) + F.lit(0.0)
+
+
+def s4(e: str) -> str:
+    return f"(round({e}, {D4}) + 0.0)"
+
+
+MODEL_SQL = """WITH mt AS (SELECT l.doc_id, CAST(l.quality AS INTEGER) AS label, CAST(l.toxic AS DOUBLE) AS x1,
+  CAST(d.lang = 'en' AS DOUBLE) AS x2 FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+cells AS (SELECT x1, x2, count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0
+  FROM mt GROUP BY 1, 2),
+c1 AS (SELECT x1, sum(n1) AS n1, sum(n0) AS n0 FROM cells GROUP BY 1),
+b AS (SELECT (SELECT ln(n1 / n0) FROM c1 WHERE x1 = 0) AS b0,
+             (SELECT ln(n1 / n0) FROM c1 WHERE x1 = 1) - (SELECT ln(n1 / n0) FROM c1 WHERE x1 = 0) AS b1,
+             (SELECT sqrt(1.0 / n1 + 1.0 / n0) FROM c1 WHERE x1 = 0) AS se0,
+             (SELECT sqrt(sum(1.0 / n1 + 1.0 / n0)) FROM c1) AS se1)
+"""
+
+
+def _mt(spark, sf):
+    return fx.model_table(spark, sf)
+
+
+def _fit1(spark, sf):
+    return MD.logit_fit(_mt(spark, sf), "label", ["x1"])
+
+
+def _coefs1(spark, sf):
+    return MD.coef_table(spark, _fit1(spark, sf), ["x1"])
+
+
+@register("logit_fit", MODEL_SQL + f"""SELECT '(Intercept)' AS term, {s4('b0')} AS estimate, {s4('se0')} AS std_error,
+  {s4('b0 / se0')} AS z_value FROM b UNION ALL
+SELECT 'x1', {s4('b1')}, {s4('se1')}, {s4('b1 / se1')} FROM b""")
+def logit_fit(spark, sf):
+    """O105: quality ~ toxic, binomial logit (saturated: closed-form oracle)."""
+    return _coefs1(spark, sf).select("term", r4("estimate").alias("estimate"), r4("std_error").alias("std_error"),
+                                     r4("z_value").alias("z_value"))
+
+
+NULL_SQL = MODEL_SQL + """, p AS (SELECT avg(label) AS p, sum(label) AS n1, count(*) AS n FROM mt),
+nul AS (SELECT ln(p / (1 - p)) AS estimate, -2 * (n1 * ln(p) + (n - n1) * ln(1 - p)) AS deviance FROM p)
+"""
+
+
+@register("logit_null", NULL_SQL + f"SELECT {s4('estimate')} AS estimate, {s4('deviance')} AS deviance, "
+          f"{s4('deviance + 2')} AS aic FROM nul")
+def logit_null(spark, sf):
+    """O106: intercept-only logit."""
+    n = MD.logit_null(_mt(spark, sf), "label")
+    return n.select(*[r4(c).alias(c) for c in n.columns])
+
+
+def _cell(x1, x2, f):
+    return f"(SELECT {f} FROM cells WHERE x1 = {x1} AND x2 = {x2})"
+
+
+L = {k: _cell(*k, "ln(CAST(n1 AS DOUBLE) / n0)") for k in [(0, 0), (0, 1), (1, 0), (1, 1)]}
+V = {k: _cell(*k, "1.0 / n1 + 1.0 / n0") for k in [(0, 0), (0, 1), (1, 0), (1, 1)]}
+
+
+@register("logit_interactions", MODEL_SQL + f"""SELECT '(Intercept)' AS term, {s4(L[0, 0])} AS estimate,
+  {s4(f'sqrt({V[0, 0]})')} AS std_error UNION ALL
+SELECT 'x1', {s4(f'{L[1, 0]} - {L[0, 0]}')}, {s4(f'sqrt({V[1, 0]} + {V[0, 0]})')} UNION ALL
+SELECT 'x2', {s4(f'{L[0, 1]} - {L[0, 0]}')}, {s4(f'sqrt({V[0, 1]} + {V[0, 0]})')} UNION ALL
+SELECT 'x1:x2', {s4(f'{L[1, 1]} - {L[1, 0]} - {L[0, 1]} + {L[0, 0]}')},
+  {s4(f'sqrt({V[0, 0]} + {V[0, 1]} + {V[1, 0]} + {V[1, 1]})')}""")
+def logit_interactions(spark, sf):
+    """O107: quality ~ toxic * english (product term ``x1:x2``)."""
+    mt, names = MD.with_interactions(_mt(spark, sf).select("label", "x1", "x2"), [("x1", "x2")])
+    cols = ["x1", "x2"] + names
+    c = MD.coef_table(spark, MD.logit_fit(mt, "label", cols), cols)
+    return c.select("term", r4("estimate").alias("estimate"), r4("std_error").alias("std_error"))
+
+
+@register("mcfadden_r2", NULL_SQL + """, ll AS (SELECT sum(n1 * ln(n1 / (n1 + n0)) + n0 * ln(n0 / (n1 + n0))) AS ll
+  FROM c1)
+SELECT """ + s4("-2 * ll + 4") + " AS aic, " + s4("-2 * ll") + " AS deviance, " + s4("(SELECT deviance FROM nul)") +
+          " AS null_deviance, " + s4("1 - (-2 * ll) / (SELECT deviance FROM nul)") + " AS mcfadden FROM ll")
+def mcfadden_r2(spark, sf):
+    """O110: AIC, deviances and McFadden's R² of quality ~ toxic."""
+    st = MD.fit_stats(spark, _fit1(spark, sf))
+    return st.select(*[r4(c).alias(c) for c in st.columns])
+
+
+@register("wald_term_test", MODEL_SQL + f"SELECT 'x1' AS term, {s4('(b1 / se1) * (b1 / se1)')} AS wald, 1 AS df FROM b")
+def wald_term_test(spark, sf):
+    """O111: Wald test of the toxic term."""
+    w = MD.wald_term_test(_coefs1(spark, sf), "x1")
+    return w.select("term", r4("wald").alias("wald"), "df")
+
+
+@register("var_importance", MODEL_SQL + f"SELECT 'x1' AS term, {s4('abs(b1 / se1)')} AS importance FROM b")
+def var_importance(spark, sf):
+    """O112: |z| per regressor."""
+    v = MD.var_importance(_coefs1(spark, sf))
+    return v.select("term", r4("importance").alias("importance"))
+
+
+@register("fitted_vs_actual", MODEL_SQL + f"""SELECT m.doc_id, {s4('c.n1 / (c.n1 + c.n0)')} AS fitted, m.label,
+  CAST(c.n1 / (c.n1 + c.n0) >= 0.5 AS INTEGER) AS above_half FROM mt m JOIN c1 c ON c.x1 = m.x1""")
+def fitted_vs_actual(spark, sf):
+    """O113: fitted probability per row vs the label."""
+    mt = _mt(spark, sf)
+    f = MD.fitted_vs_actual(_fit1(spark, sf), mt, "label", ["x1"], "doc_id")
+    return f.select("doc_id", r4("fitted").alias("fitted"), "label", "above_half")
+
+
+GLOBS = [f"glob_{c}" for c in CLUSTERS]
+
+
+@register("stepwise_aic", None)
+def stepwise_aic(spark, sf):
+    """O108: both-direction AIC selection over the cluster indices."""
+    dm = _design(spark, sf, round_=False)
+    trace = MD.stepwise_aic(dm, "label", GLOBS)
+    return spark.createDataFrame(trace, "step int, action string, term string, aic double")
+
+
+@register("stepwise_aic_2way", None)
+def stepwise_aic_2way(spark, sf):
+    """O109: the same with all two-way interactions in scope."""
+    dm = _design(spark, sf, round_=False)
+    trace = MD.stepwise_aic(dm, "label", GLOBS, MD.pairwise_scope(GLOBS))
+    return spark.createDataFrame(trace, "step int, action string, term string, aic double")
+
+
+def _measure_cols(dm):
+    return [c for c in dm.columns if "--" in c]
+
+
+LAMBDAS = [0.001, 0.01, 0.05, 0.1, 0.2]
+
+
+@register("sparse_timeslice_cv", None)
+def sparse_timeslice_cv(spark, sf):
+    """O114: LASSO logit, rolling origin (train 60, test 10 periods)."""
+    dm = _design(spark, sf, round_=False)
+    rows = MD.timeslice_cv(dm, "label", GLOBS + _measure_cols(dm), [0.01, 0.05, 0.1], 60, 10)
+    return spark.createDataFrame(rows, "lambda double, slice int, error double")
+
+
+def _kfold(spark, sf):
+    dm = _design(spark, sf, round_=False)
+    dm = dm.withColumn("fold", ((F.year("date") * 12 + F.month("date")) % 5).cast("int"))
+    return MD.lasso_kfold(dm, "label", GLOBS + _measure_cols(dm), LAMBDAS, k=5)
+
+
+@register("sparse_kfold_cv", None)
+def sparse_kfold_cv(spark, sf):
+    """O115: LASSO logit, 5-fold CV on misclassification: λ.min and error."""
+    model, curve = _kfold(spark, sf)
+    best = min(curve, key=lambda r: (r[1], -r[0]))
+    return spark.createDataFrame([(best[0], best[1], float(model.getRegParam()))],
+                                 "lambda_min double, cv_error double, fitted_reg double")
+
+
+@register("cv_curve", None)
+def cv_curve(spark, sf):
+    """O116: mean CV error and its standard error per λ."""
+    _, curve = _kfold(spark, sf)
+    return spark.createDataFrame(curve, "lambda double, cv_error double, cv_se double")
+
+
+@register("sparse_coefficients", MODEL_SQL + """, mt3 AS (SELECT avg(label) AS p FROM mt)
+SELECT '(Intercept)' AS term, """ + s4("ln(p / (1 - p))") + """ AS beta FROM mt3
+UNION ALL SELECT 'x1', 0.0 UNION ALL SELECT 'x2', 0.0 UNION ALL SELECT 'x3', 0.0""")
+def sparse_coefficients(spark, sf):
+    """O117: LASSO coefficients at λ ≥ λmax: only the intercept is left."""
+    mt = _mt(spark, sf)
+    cols = ["x1", "x2", "x3"]
+    lam = MD.lambda_max(mt, "label", cols) * 1.01 + 1e-12
+    m = MD.sparse_fit(mt, "label", cols, lam)
+    rows = [("(Intercept)", float(m.intercept))] + [(c, float(b)) for c, b in zip(cols, m.coefficients)]
+    return spark.createDataFrame(rows, "term string, beta double").select("term", r4("beta").alias("beta"))
+
+
+# --- prediction and attribution with literal coefficients (F11) -----------------
+B0 = fx.COEF_INTERCEPT
+LINK_SQL = BASE_SQL + f""", {Q.COEFS},
+named AS (SELECT date, lexicon, feature, time, lexicon || '--' || feature || '--' || time AS measure, value FROM rolled),
+contrib AS (SELECT n.date, n.lexicon, n.feature, n.time, c.beta * n.value AS bv FROM named n
+  JOIN coefs c ON c.measure = n.measure),
+link AS (SELECT d.date, {B0!r} + coalesce(s.s, 0.0) AS link FROM (SELECT DISTINCT date FROM rolled) d
+  LEFT JOIN (SELECT date, sum(bv) AS s FROM contrib GROUP BY 1) s ON s.date = d.date)
+"""
+
+
+def _coefs(spark):
+    return fx.coefficients(spark)
+
+
+def _link(spark, sf):
+    return A.predict_link(_base(spark, sf), _coefs(spark), B0)
+
+
+@register("predict_link", LINK_SQL + "SELECT date, " + r"(round(link, 6) + 0.0)" + " AS link FROM link")
+def predict_link(spark, sf):
+    """O119: b0 + Σ beta·measure per date with the F11 coefficients."""
+    return _link(spark, sf).select("date", r6("link").alias("link"))
+
+
+@register("predict_class", LINK_SQL + "SELECT date, CAST(link >= 0 AS INTEGER) AS pred FROM link")
+def predict_class(spark, sf):
+    """O118: class prediction (probability ≥ 0.5)."""
+    return A.predict_class(_link(spark, sf))
+
+
+CONF_SQL = ALIGNED_SQL + LINK_SQL.replace(BASE_SQL, "")
+
+
+@register("confusion_scores", CONF_SQL + """, j AS (SELECT CAST(l.link >= 0 AS INTEGER) AS p, t.label AS y FROM link l
+  JOIN target t ON t.date = l.date)
+SELECT count(*) FILTER (WHERE p = 1 AND y = 1) AS TP, count(*) FILTER (WHERE p = 0 AND y = 0) AS TN,
+  count(*) FILTER (WHERE p = 1 AND y = 0) AS FP, count(*) FILTER (WHERE p = 0 AND y = 1) AS FN,
+  """ + "\n".join([]) + """(round(count(*) FILTER (WHERE p = 1 AND y = 1) / nullif(CAST(count(*) FILTER (WHERE y = 1) AS DOUBLE), 0), 6) + 0.0) AS TPR,
+  (round(count(*) FILTER (WHERE p = 0 AND y = 0) / nullif(CAST(count(*) FILTER (WHERE y = 0) AS DOUBLE), 0), 6) + 0.0) AS TNR,
+  (round(count(*) FILTER (WHERE p = y) / CAST(count(*) AS DOUBLE), 6) + 0.0) AS accuracy FROM j""")
+def confusion_scores(spark, sf):
+    """O120: confusion counts and rates against the volume-event target."""
+    c = A.confusion_scores(A.predict_class(_link(spark, sf)), target_monthly(spark, sf))
+    return c.select("TP", "TN", "FP", "FN", r6("TPR").alias("TPR"), r6("TNR").alias("TNR"),
+                    r6("accuracy").alias("accuracy"))
+
+
+@register("binary_plot_table", CONF_SQL + """, j AS (SELECT l.date, t.label AS tru, CAST(l.link >= 0 AS INTEGER) AS pred
+  FROM link l JOIN target t ON t.date = l.date)
+SELECT date, 'true' AS variable, tru AS value FROM j UNION ALL SELECT date, 'predicted', pred FROM j""")
+def binary_plot_table(spark, sf):
+    """O121: (date, true, predicted) in long form."""
+    return A.binary_plot_table(A.predict_class(_link(spark, sf)), target_monthly(spark, sf))
+
+
+@register("attribution", LINK_SQL + "SELECT d.date, " + ", ".join(
+    f"(round(coalesce(sum(c.bv) FILTER (WHERE c.lexicon = {Q.q(x)}), 0.0), 6) + 0.0) AS {x}" for x in LEX_NAMES) +
+          " FROM (SELECT DISTINCT date FROM rolled) d LEFT JOIN contrib c ON c.date = d.date GROUP BY d.date")
+def attribution(spark, sf):
+    """O122: attribution per date and lexicon, one column per lexicon."""
+    a = A.attribution(_base(spark, sf), _coefs(spark), "lexicon", LEX_NAMES)
+    return a.select("date", *[r6(x).alias(x) for x in LEX_NAMES])
+
+
+@register("attribution_all_dims", LINK_SQL + """SELECT date, 'lexicon' AS dim, lexicon AS member,
+  (round(sum(bv), 6) + 0.0) AS attrib FROM contrib GROUP BY 1, 2, 3
+UNION ALL SELECT date, 'feature', feature, (round(sum(bv), 6) + 0.0) FROM contrib GROUP BY 1, 2, 3
+UNION ALL SELECT date, 'time', time, (round(sum(bv), 6) + 0.0) FROM contrib GROUP BY 1, 2, 3""")
+def attribution_all_dims(spark, sf):
+    """O123: attributions by lexicon, feature and time (grouping sets)."""
+    a = A.attribution_all_dims(_base(spark, sf), _coefs(spark))
+    return a.select("date", "dim", "member", r6("attrib").alias("attrib"))
+
+
+@register("attribution_check", LINK_SQL + f"""SELECT l.date, (round(l.link - {B0!r} - coalesce(s.s, 0.0), 6) + 0.0)
+  AS residual FROM link l LEFT JOIN (SELECT date, sum(bv) AS s FROM contrib GROUP BY 1) s ON s.date = l.date""")
+def attribution_check(spark, sf):
+    """O124: link − intercept − Σ attributions per date (≈ 0)."""
+    chk = A.attribution_check(_link(spark, sf), A.attribution(_base(spark, sf), _coefs(spark), "lexicon"), B0)
+    return chk.select("date", r6("residual").alias("residual"))
+
+
+@register("attribution_plot_table", LINK_SQL + """, al AS (SELECT date, lexicon AS variable, sum(bv) AS value
+  FROM contrib GROUP BY 1, 2),
+rk AS (SELECT variable, dense_rank() OVER (ORDER BY variable) AS rank FROM (SELECT DISTINCT variable FROM al))
+SELECT a.date, a.variable, (round(a.value, 6) + 0.0) AS value, r.rank,
+  (SELECT count(*) FROM rk) <= 12 AS legend FROM al a JOIN rk r USING (variable)""")
+def attribution_plot_table(spark, sf):
+    """O125: melted attributions with variable rank and legend rule."""
+    t = A.attribution_plot_table(A.attribution(_base(spark, sf), _coefs(spark), "lexicon"))
+    return t.select("date", "variable", r6("value").alias("value"), F.col("rank").cast("long").alias("rank"),
+                    "legend")
