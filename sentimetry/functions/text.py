@@ -25,10 +25,19 @@ def text_lower(c) -> Column:
     return F.lower(_c(c))
 
 
+POSSESSIVE_END = r"'s\z"
+NOT_LETTER = r"[^\p{L}+ \t]"
+
+
 def text_clean(c) -> Column:
     """Blank out a leading quote, a final possessive and every character
-    that is not a letter, ``+`` or a blank; then lower-case."""
-    return F.lower(F.regexp_replace(_c(c), CLEAN_PATTERN, " "))
+    that is not a letter, ``+`` or a blank; then lower-case.
+
+    Same result as one pass with ``CLEAN_PATTERN``, in two cheaper passes: a
+    quote is never a letter, so the leading-quote branch is covered by the
+    character class and only the final ``'s`` needs its own pattern (a single
+    character class scans several times faster than the alternation)."""
+    return F.lower(F.regexp_replace(F.regexp_replace(_c(c), POSSESSIVE_END, " "), NOT_LETTER, " "))
 
 
 def text_to_ascii(c) -> Column:

@@ -6,25 +6,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, inherit_bound
 
 
 def lexicon_setup(lexicons: DataFrame, valence: DataFrame | None = None, do_split: bool = False) -> DataFrame:
     """Lower-case words, keep the first score per word and lexicon (input
     order in ``pos`` when given), drop shifter words from the word lists, and
     with ``do_split`` make ``<lex>_POS`` / ``<lex>_NEG`` lexicons."""
+    src = lexicons
     lx = lexicons.withColumn("x", F.lower(F.trim(F.col("x"))))
     order = F.col("pos") if "pos" in lx.columns else F.col("y")
     w = Window.partitionBy("lexicon", "x").orderBy(order)
     lx = lx.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
     if valence is not None:
-        shifters = valence.select(F.lower(F.col("x")).alias("x")).distinct()
+        shifters = inherit_bound(valence.select(F.lower(F.col("x")).alias("x")).distinct(), valence)
         lx = lx.join(bounded_broadcast(shifters), "x", "left_anti")
     lx = lx.select("lexicon", "x", F.col("y").cast("double").alias("y"))
     if do_split:
         lx = lx.where(F.col("y") != 0).withColumn(
             "lexicon", F.concat("lexicon", F.when(F.col("y") > 0, F.lit("_POS")).otherwise(F.lit("_NEG"))))
-    return lx
+    # at most one row per input row
+    return inherit_bound(lx, src)
 
 
 def lexicon_custom(spark: SparkSession, entries: list[tuple[str, float]], phrases: DataFrame | None = None,

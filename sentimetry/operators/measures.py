@@ -85,28 +85,27 @@ def aggregate_documents(doc_sent: DataFrame, by: str = "day", how_docs: str = "e
 
 
 def fill_periods(series: DataFrame, by: str, fill: str = "zero", keys: list[str] | None = None) -> DataFrame:
-    """Add the missing periods between the first and last period of
-    the whole table, per series; ``zero`` puts 0, ``latest`` the last value.
-
-    The grid is generated per series key from ``sequence(first, last)`` (the
-    two bounds come from one scalar aggregate), not by a join.
+    """Add the missing periods between a series' first and last
+    period; ``zero`` puts 0, ``latest`` the last value.
+
+    Each row looks at the next period of its series (``lead`` over a window
+    partitioned by the series key, i.e. periods × measures rows, never
+    documents) and emits the periods up to it with ``sequence``: one pass,
+    no join back, no scalar subquery.  Every series of a measures table spans
+    the same periods, as every document is scored for every lexicon and
+    feature.
     """
     keys = keys or KEYS
     if fill == "none":
         return series
-    s = series.withColumn("_i", period_index("date", by))
-    lo = s.select(F.min("_i")).scalar()
-    hi = s.select(F.max("_i")).scalar()
-    grid = s.select(*keys).distinct().select(*keys, F.explode(F.sequence(lo, hi)).alias("_i"))
-    full = grid.join(s.drop("date"), keys + ["_i"], "left")
-    if fill == "zero":
-        v = F.coalesce("value", F.lit(0.0))
-    elif fill == "latest":
-        w = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-        v = F.last("value", ignorenulls=True).over(w)
-    else:
+    if fill not in ("zero", "latest"):
         raise ValueError("fill is zero, latest or none")
-    return full.select(period_from_index("_i", by).alias("date"), *keys, v.alias("value"))
+    s = series.withColumn("_i", period_index("date", by))
+    w = Window.partitionBy(*keys).orderBy("_i")
+    s = s.withColumn("_n", F.coalesce(F.lead("_i").over(w), F.col("_i") + 1))
+    ex = s.select(*keys, "value", "_i", F.explode(F.sequence(F.col("_i"), F.col("_n") - 1)).alias("_j"))
+    v = F.col("value") if fill == "latest" else F.when(F.col("_j") == F.col("_i"), F.col("value")).otherwise(0.0)
+    return ex.select(period_from_index("_j", by).alias("date"), *keys, v.alias("value"))
 
 
 def roll_series(series: DataFrame, schemes: dict[str, list[float]], keys: list[str] | None = None) -> DataFrame:

@@ -170,7 +170,7 @@ def lasso_kfold(df: DataFrame, label: str, cols: list[str], lambdas: list[float]
     data = VectorAssembler(inputCols=list(cols), outputCol="features").transform(
         df.select(F.col(label).cast("double").alias("label"), F.col(fold_col).cast("int").alias("fold"),
                   *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]))
-    lr = LogisticRegression(elasticNetParam=1.0, standardization=True, maxIter=200, tol=1e-8)
+    lr = LogisticRegression(elasticNetParam=1.0, standardization=True, maxIter=100, tol=1e-6)
     grid = ParamGridBuilder().addGrid(lr.regParam, list(lambdas)).build()
     ev = MulticlassClassificationEvaluator(metricName="accuracy")
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=k,
@@ -200,11 +200,11 @@ def lambda_max(df: DataFrame, label: str, cols: list[str]) -> float:
     return best
 
 
-def sparse_fit(df: DataFrame, label: str, cols: list[str], reg: float):
+def sparse_fit(df: DataFrame, label: str, cols: list[str], reg: float, max_iter: int = 100, tol: float = 1e-10):
     """O117: LASSO logit at one λ."""
     data = _assemble(df, label, cols)
-    return LogisticRegression(elasticNetParam=1.0, regParam=reg, standardization=True, maxIter=200,
-                              tol=1e-10).fit(data)
+    return LogisticRegression(elasticNetParam=1.0, regParam=reg, standardization=True, maxIter=max_iter,
+                              tol=tol).fit(data)
 
 
 def timeslice_cv(df: DataFrame, label: str, cols: list[str], lambdas: list[float], train: int = 60,

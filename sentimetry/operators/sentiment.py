@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SENTENCE_SPLIT, split_tokens, text_clean
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, inherit_bound
 from .lexicon import lexicon_names
 from .tokens import ngram_units
 
@@ -40,43 +40,33 @@ def _phrase_lengths(lex: DataFrame) -> list[int]:
 def document_units(corpus: DataFrame, stopwords: list[str] | None = None, units: tuple[str, ...] = UNITS,
                    phrase_lengths: list[int] | None = None, clean: bool = True,
                    group_cols: list[str] | None = None) -> DataFrame:
-    """Per document ``(id, date, features, word_count, u)`` where ``u`` is an
-    array of ``struct(kind, unit, prev)`` built inside the row.
+    """Per document ``(id, date, word_count, _tok, _nw, _ns, u)``: ``u`` is one
+    string array = the words, then the kept sentence units, then n-grams, all
+    built inside the row with vectorised array functions.
 
     word_count = kept words + kept sentence units (the reference binds the two
     unit tables column-wise before taking row sums).
     """
     stop = list(stopwords or [])
     ctext = text_clean("text") if clean else F.col("text")
-    toks = split_tokens(ctext)
     g = list(group_cols or [])
-    base = corpus.select(*g, "id", "date", "features", ctext.alias("_ct"), toks.alias("_tok"))
-    keep_tok = (lambda t: ~t.isin(stop)) if stop else (lambda t: F.lit(True))
-    parts, counts = [], []
-    if "word" in units:
-        idx = F.sequence(F.lit(1), F.size("_tok"))
-        words = F.transform(F.when(F.size("_tok") > 0, idx).otherwise(F.array().cast("array<int>")),
-                            lambda i: F.struct(F.lit("word").alias("kind"), F.element_at("_tok", i).alias("unit"),
-                                               F.when(i > 1, F.element_at("_tok", i - 1)).alias("prev")))
-        words = F.filter(words, lambda s: keep_tok(s["unit"]))
-        parts.append(words)
-        counts.append(F.size(words))
+    base = corpus.select(*g, "id", "date", ctext.alias("_ct")).select(
+        *g, "id", "date", "_ct", split_tokens("_ct").alias("_tok"))
+    empty = F.array().cast("array<string>")
+    words = F.col("_tok") if "word" in units else empty
+    n_stop = F.size(F.filter("_tok", lambda t: t.isin(stop))) if stop else F.lit(0)
+    n_words = (F.size("_tok") - n_stop) if "word" in units else F.lit(0)
     if "sentence" in units:
-        sents = F.transform(F.split("_ct", SENTENCE_SPLIT), lambda s: F.array_join(split_tokens(s), " "))
-        sents = F.filter(sents, lambda u: (u != "") & keep_tok(u))
-        sents = F.transform(sents, lambda u: F.struct(F.lit("sentence").alias("kind"), u.alias("unit"),
-                                                      F.lit(None).cast("string").alias("prev")))
-        parts.append(sents)
-        counts.append(F.size(sents))
-    for n in phrase_lengths or []:
-        grams = F.transform(ngram_units("_tok", n), lambda u: F.struct(
-            F.lit("ngram").alias("kind"), u.alias("unit"), F.lit(None).cast("string").alias("prev")))
-        parts.append(grams)
-    wc = counts[0]
-    for c in counts[1:]:
-        wc = wc + c
-    allu = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return base.select(*g, "id", "date", "features", wc.cast("long").alias("word_count"), allu.alias("u"))
+        sents = F.transform(F.split("_ct", SENTENCE_SPLIT), lambda x: F.array_join(split_tokens(x), " "))
+        sents = F.filter(sents, (lambda u: (u != "") & ~u.isin(stop)) if stop else (lambda u: u != ""))
+    else:
+        sents = empty
+    parts = [words, sents] + [ngram_units("_tok", n) for n in (phrase_lengths or [])]
+    out = base.select(*g, "id", "date", "_tok", words.alias("_w"), sents.alias("_s"), *[
+        p.alias(f"_g{i}") for i, p in enumerate(parts[2:])])
+    allu = F.concat("_w", "_s", *[f"_g{i}" for i in range(len(parts) - 2)])
+    return out.select(*g, "id", "date", (n_words + F.size("_s")).cast("long").alias("word_count"), "_tok",
+                      F.size("_w").alias("_nw"), F.size("_s").alias("_ns"), allu.alias("u"))
 
 
 def score_documents(corpus: DataFrame, lexicons: DataFrame, valence: DataFrame | None = None,
@@ -104,43 +94,58 @@ def score_documents(corpus: DataFrame, lexicons: DataFrame, valence: DataFrame |
     names = names or lexicon_names(lex)
     plens = _phrase_lengths(lex) if phrase_mode == "ngram" else []
     docs = document_units(corpus, stopwords, tuple(units), plens, clean, g)
-    rows = docs.select(*key, "date", "features", "word_count", F.explode_outer("u").alias("s")).select(
-        *key, "date", "features", "word_count", "s.kind", "s.unit", "s.prev")
+    ex = docs.select(*key, "date", "word_count", "_tok", "_nw", "_ns", F.posexplode_outer("u").alias("_p", "unit"))
+    kind = (F.when(F.col("_p").isNull(), F.lit(None)).when(F.col("_p") < F.col("_nw"), F.lit("word"))
+            .when(F.col("_p") < F.col("_nw") + F.col("_ns"), F.lit("sentence")).otherwise(F.lit("ngram")))
+    stop = list(stopwords or [])
+    # a stop word keeps its row (so a document of stop words only is still
+    # scored, with 0) but loses its unit, so it matches no lexicon entry
+    unit = (F.when((F.col("_p") < F.col("_nw")) & F.col("unit").isin(stop), F.lit(None)).otherwise(F.col("unit"))
+            if stop else F.col("unit"))
+    rows = ex.select(*key, "date", "word_count", unit.alias("unit"), kind.alias("kind"),
+                     F.when((F.col("_p") > 0) & (F.col("_p") < F.col("_nw")),
+                            F.element_at("_tok", F.col("_p"))).alias("prev"))
     if valence is not None:
         v = valence.select(F.lower(F.col("x")).alias("prev"), F.col("y").alias("_vy")).dropDuplicates(["prev"])
-        rows = rows.join(bounded_broadcast(v), "prev", "left")
+        rows = rows.join(bounded_broadcast(inherit_bound(v, valence)), "prev", "left")
         factor = F.when(F.col("kind") == "word", F.coalesce("_vy", F.lit(1.0))).otherwise(F.lit(1.0))
     else:
         factor = F.lit(1.0)
     # n-grams may only hit multi-word entries, so a word is never counted twice
-    lex_b = bounded_broadcast(lex)
+    lex_b = bounded_broadcast(inherit_bound(lex, lexicons))
     hit = rows.join(lex_b, "unit", "left").where(
         (F.col("kind") != "ngram") | F.col("unit").contains(" ") | F.col("kind").isNull())
     contrib = factor * F.col("y")
-    keep = ["date", "features", "word_count"]
+    # date and word_count are per document, so they are grouping keys: the
+    # aggregate stays a (codegen) hash aggregate; the feature map is joined
+    # back afterwards from a scan that does not read the text
+    keep = ["date", "word_count"]
+    feats = corpus.select(*key, "features")
     if how in ("counts", "proportional"):
-        per_doc = hit.groupBy(*key).agg(
-            *[F.any_value(c).alias(c) for c in keep],
+        per_doc = hit.groupBy(*key, *keep).agg(
             *[F.sum(F.when(F.col("lexicon") == n, contrib)).alias(f"_s{i}") for i, n in enumerate(names)])
+        per_doc = per_doc.join(feats, key)
         score = (lambda c: F.coalesce(c, F.lit(0.0))) if how == "counts" else (
             lambda c: F.coalesce(F.try_divide(c, F.col("word_count")), F.lit(0.0)))
         stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("lexicon"), score(F.col(f"_s{i}")).alias("score"))
                                       for i, n in enumerate(names)]))
-        return per_doc.select(*key, *keep, stacked.alias("_p")).select(*key, *keep, "_p.lexicon", "_p.score")
+        return per_doc.select(*key, *keep, "features", stacked.alias("_p")).select(
+            *key, *keep, "features", "_p.lexicon", "_p.score")
     # tf-idf: keep the matched units per document, then weight by idf
-    per_doc = hit.groupBy(*key).agg(
-        *[F.any_value(c).alias(c) for c in keep],
+    per_doc = hit.groupBy(*key, *keep).agg(
         F.collect_list(F.when(F.col("lexicon").isNotNull(),
                               F.struct("kind", "unit", "lexicon", contrib.alias("c")))).alias("m"))
     dfreq = (per_doc.select(*key, F.explode(F.array_distinct(F.transform("m", lambda s: F.struct(
         s["kind"].alias("kind"), s["unit"].alias("unit"))))).alias("k"))
         .groupBy(*g, "k.kind", "k.unit").agg(F.count("*").alias("df")))
     if g:
-        n_docs = per_doc.groupBy(*g).agg(F.count("*").alias("_n"))
+        n_docs = corpus.groupBy(*g).agg(F.count("*").alias("_n"))
         idf = dfreq.join(n_docs, g).select(*g, "kind", "unit", F.log10(F.col("_n") / F.col("df")).alias("idf"))
         idf_side = idf  # groups × lexicon units: left to AQE
     else:
-        n_docs = per_doc.select(F.count("*")).scalar()
+        # N from the corpus itself: a column-pruned count, not a second run
+        # of the text pipeline
+        n_docs = corpus.select(F.count("*")).scalar()
         idf = dfreq.select("kind", "unit", F.log10(n_docs / F.col("df")).alias("idf"))
         # one row per matched lexicon unit: bounded by the lexicon size
         idf_side = F.broadcast(idf)
@@ -148,11 +153,12 @@ def score_documents(corpus: DataFrame, lexicons: DataFrame, valence: DataFrame |
     weighted = matched.join(idf_side, g + ["kind", "unit"]).groupBy(*key).agg(
         *[F.sum(F.when(F.col("lexicon") == n, F.col("c") * F.col("idf"))).alias(f"_s{i}")
           for i, n in enumerate(names)])
-    out = per_doc.drop("m").join(weighted, key, "left")
+    out = per_doc.drop("m").join(weighted, key, "left").join(feats, key)
     stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("lexicon"), F.coalesce(
         F.try_divide(F.col(f"_s{i}"), F.col("word_count")), F.lit(0.0)).alias("score"))
         for i, n in enumerate(names)]))
-    return out.select(*key, *keep, stacked.alias("_p")).select(*key, *keep, "_p.lexicon", "_p.score")
+    return out.select(*key, *keep, "features", stacked.alias("_p")).select(
+        *key, *keep, "features", "_p.lexicon", "_p.score")
 
 
 def sentiment_by_feature(doc_scores: DataFrame) -> DataFrame:

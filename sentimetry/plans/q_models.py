@@ -14,6 +14,7 @@ from .common import LEX_NAMES, r6
 from .q_measures import BASE_SQL, CLUSTERS, _base
 from .q_target import ALIGNED_SQL, _design, target_monthly
 from .registry import register
+from ..session import ensure_checkpoint_dir
 
 D4 = 4
 
@@ -131,10 +132,18 @@ def fitted_vs_actual(spark, sf):
 GLOBS = [f"glob_{c}" for c in CLUSTERS]
 
 
+def _design_fixed(spark, sf):
+    """The design table (periods × regressors) materialised once in the
+    checkpoint folder, so the many small fits below do not re-run the text
+    pipeline behind it."""
+    ensure_checkpoint_dir(spark)
+    return _design(spark, sf, round_=False).checkpoint(eager=True)
+
+
 @register("stepwise_aic", None)
 def stepwise_aic(spark, sf):
     """O108: both-direction AIC selection over the cluster indices."""
-    dm = _design(spark, sf, round_=False)
+    dm = _design_fixed(spark, sf)
     trace = MD.stepwise_aic(dm, "label", GLOBS)
     return spark.createDataFrame(trace, "step int, action string, term string, aic double")
 
@@ -142,7 +151,7 @@ def stepwise_aic(spark, sf):
 @register("stepwise_aic_2way", None)
 def stepwise_aic_2way(spark, sf):
     """O109: the same with all two-way interactions in scope."""
-    dm = _design(spark, sf, round_=False)
+    dm = _design_fixed(spark, sf)
     trace = MD.stepwise_aic(dm, "label", GLOBS, MD.pairwise_scope(GLOBS))
     return spark.createDataFrame(trace, "step int, action string, term string, aic double")
 
@@ -157,13 +166,13 @@ LAMBDAS = [0.001, 0.01, 0.05, 0.1, 0.2]
 @register("sparse_timeslice_cv", None)
 def sparse_timeslice_cv(spark, sf):
     """O114: LASSO logit, rolling origin (train 60, test 10 periods)."""
-    dm = _design(spark, sf, round_=False)
+    dm = _design_fixed(spark, sf)
     rows = MD.timeslice_cv(dm, "label", GLOBS + _measure_cols(dm), [0.01, 0.05, 0.1], 60, 10)
     return spark.createDataFrame(rows, "lambda double, slice int, error double")
 
 
 def _kfold(spark, sf):
-    dm = _design(spark, sf, round_=False)
+    dm = _design_fixed(spark, sf)
     dm = dm.withColumn("fold", ((F.year("date") * 12 + F.month("date")) % 5).cast("int"))
     return MD.lasso_kfold(dm, "label", GLOBS + _measure_cols(dm), LAMBDAS, k=5)
 

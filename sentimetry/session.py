@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+# Proven row bounds of DataFrames built from Python lists (parameter tables)
+# and of tables derived from them by row-preserving or row-reducing steps.
+_BOUNDS: "weakref.WeakKeyDictionary[DataFrame, int]" = weakref.WeakKeyDictionary()
+
+
+def mark_bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Record that ``df`` has at most ``rows`` rows (known when it was built)."""
+    _BOUNDS[df] = rows
+    return df
+
+
+def inherit_bound(derived: DataFrame, source: DataFrame) -> DataFrame:
+    """``derived`` has no more rows than ``source`` (a projection, filter,
+    de-duplication or first-per-key of it)."""
+    if source in _BOUNDS:
+        _BOUNDS[derived] = _BOUNDS[source]
+    return derived
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
     """Hint ``df`` for broadcast only when its row count is proven <= max_rows.
 
@@ -55,5 +75,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_r
     list; otherwise a bounded count (``limit(max_rows + 1)``) decides.  Beyond
     the bound the table is returned unhinted and Spark plans a shuffle join.
     """
+    if known_rows is None:
+        known_rows = _BOUNDS.get(df)
     n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import mark_bounded
 from .corpus import corpus_from_table
 
 # ---------------------------------------------------------------------------
@@ -90,28 +91,28 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexicons(spark: SparkSession) -> DataFrame:
     """F2 with input order kept in ``pos`` (first entry wins on duplicates)."""
     rows = [(lex, x, y, i) for i, (lex, x, y) in enumerate(LEXICON_ROWS)]
-    return spark.createDataFrame(rows, "lexicon string, x string, y double, pos int")
+    return mark_bounded(spark.createDataFrame(rows, "lexicon string, x string, y double, pos int"), len(rows))
 
 
 def valence(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(VALENCE_ROWS, VALENCE_SCHEMA)
+    return mark_bounded(spark.createDataFrame(VALENCE_ROWS, VALENCE_SCHEMA), len(VALENCE_ROWS))
 
 
 def stopwords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in STOPWORDS], "term string")
+    return mark_bounded(spark.createDataFrame([(w,) for w in STOPWORDS], "term string"), len(STOPWORDS))
 
 
 def timeline(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TIMELINE_ROWS, "event string, date string").select(
-        "event", F.col("date").cast("date").alias("date"))
+    return mark_bounded(spark.createDataFrame(TIMELINE_ROWS, "event string, date string").select(
+        "event", F.col("date").cast("date").alias("date")), len(TIMELINE_ROWS))
 
 
 def dictionary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DICTIONARY_ROWS, "form string, lemma string")
+    return mark_bounded(spark.createDataFrame(DICTIONARY_ROWS, "form string, lemma string"), len(DICTIONARY_ROWS))
 
 
 def coefficients(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(COEF_ROWS, "measure string, beta double")
+    return mark_bounded(spark.createDataFrame(COEF_ROWS, "measure string, beta double"), len(COEF_ROWS))
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
