@@ -130,13 +130,16 @@ def metric_normalise(metrics: DataFrame) -> DataFrame:
 
 
 # --- MLlib LDA -----------------------------------------------------------------
-def dtm_vectors(dtm: DataFrame, vocab_size: int = 1 << 18, min_df: float = 1.0):
+def dtm_vectors(dtm: DataFrame, vocab_size: int | None = None, min_df: float = 1.0):
     """Long DTM → ``(doc_id, features)`` sparse count vectors.
 
     Each document's own counts are expanded back to a token array inside its
-    group (bounded by one document) and counted by ``CountVectorizer``, whose
-    fitted vocabulary is the model's (bounded by ``vocab_size``).
+    group (bounded by one document) and counted by ``CountVectorizer``.  The
+    vocabulary is every term of the DTM (its size is counted first), so no
+    term is dropped by a size cap.
     """
+    if vocab_size is None:
+        vocab_size = max(1, dtm.select(F.countDistinct("term")).first()[0])
     docs = dtm.groupBy(F.col("id").alias("doc_id")).agg(
         F.flatten(F.collect_list(F.array_repeat("term", F.col("n").cast("int")))).alias("tokens"))
     cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocab_size, minDF=min_df).fit(docs)
@@ -172,6 +175,17 @@ def lda_phi(spark: SparkSession, model, vocabulary: list[str]) -> DataFrame:
         vocab, "idx").select("topic", "term", "phi")
 
 
+def lda_top_terms(spark: SparkSession, model, vocabulary: list[str], t: int = 20) -> DataFrame:
+    """O85 for a fitted model: ``describeTopics(T)`` gives the T best term
+    indices per topic (k × T numbers of model output); they are named from the
+    model's vocabulary."""
+    rows = []
+    for r in model.describeTopics(t).collect():
+        for rank, (i, w) in enumerate(zip(r["termIndices"], r["termWeights"]), start=1):
+            rows.append((int(r["topic"]) + 1, vocabulary[i], float(w), rank))
+    return spark.createDataFrame(rows, "topic int, term string, phi double, rank int")
+
+
 def metric_arun(phi: DataFrame, theta: DataFrame, doc_len: DataFrame) -> float:
     """Symmetric KL between the singular values of φ (k × V) and the
     length-weighted θ totals / max length.  The singular values come from the

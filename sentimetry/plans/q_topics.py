@@ -17,6 +17,7 @@ from .common import corpus, r6, s6
 from .q_dtm import DTM_SQL
 from .q_text import TOPIC_DTM_SQL
 from .registry import register
+from ..session import ensure_checkpoint_dir
 
 THETA_SQL = """th AS (SELECT vec_id AS doc_id, i AS topic,
   abs(CAST(embedding[i] AS DOUBLE)) / list_sum(list_transform(embedding[1:10], lambda v: abs(CAST(v AS DOUBLE))))
@@ -181,8 +182,12 @@ def metric_deveaud(spark, sf):
 
 # --- MLlib LDA (rows-only) -----------------------------------------------------
 def _lda_inputs(spark, sf):
-    tdtm = D.prune_by_tfidf(D.topic_dtm(corpus(spark, sf), fx.STOPWORDS, 3))
-    return TP.dtm_vectors(tdtm)
+    """Topic DTM written once to the checkpoint folder (text is tokenised
+    once; pruning reads it twice: median score, then the kept terms), pruned
+    at the median tf-idf score, then turned into count vectors."""
+    ensure_checkpoint_dir(spark)
+    tdtm = D.topic_dtm(corpus(spark, sf), fx.STOPWORDS, 3).checkpoint(eager=True)
+    return TP.dtm_vectors(D.prune_by_tfidf(tdtm))
 
 
 K_TOPICS = 10
@@ -193,7 +198,7 @@ def lda_fit(spark, sf):
     """LDA with k = 10 on the tf-idf-pruned topic DTM; top 20 terms."""
     vec, vocab = _lda_inputs(spark, sf)
     m = TP.lda_fit(vec, K_TOPICS, seed=622, max_iter=20, optimizer="online")
-    return TP.topic_top_terms(TP.lda_phi(spark, m, vocab), 20)
+    return TP.lda_top_terms(spark, m, vocab, 20)
 
 
 @register("topic_posteriors", None)

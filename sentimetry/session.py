@@ -79,3 +79,18 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_r
         known_rows = _BOUNDS.get(df)
     n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores.
+
+    A small input stored as one parquet row group is read by one task; the
+    text work after it would then run on one core.  Only in that case the rows
+    are hash-partitioned by ``key`` (deterministic, so a lost task recomputes
+    the same split).  A large input already comes in many splits and is
+    returned unchanged: no shuffle of the raw text at scale.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)

@@ -42,7 +42,9 @@ def corpus_from_table(df: DataFrame, id_col: str = "id", date_col: str = "date",
 
 def corpus_scan(spark: SparkSession, path: str, **kw) -> DataFrame:
     """Read a parquet corpus; filters on id/date reach the scan."""
-    return corpus_from_table(spark.read.parquet(path), **kw)
+    from ..session import spread_scan
+    df = spark.read.parquet(path)
+    return corpus_from_table(spread_scan(df, kw.get("id_col", "id")), **kw)
 
 
 def distinct_dates_peek(corpus: DataFrame, n: int = 6) -> DataFrame:

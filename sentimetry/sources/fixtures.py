@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import mark_bounded
+from ..session import mark_bounded, spread_scan
 from .corpus import corpus_from_table
 
 # ---------------------------------------------------------------------------
@@ -67,7 +67,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dated corpus ``(id, date, text, features MAP<STRING,DOUBLE>)``."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_scan(table(spark, sf_dir, "documents"), "doc_id")
     src = F.regexp_extract("source", r"^src(\d+)$", 1).cast("long")
     lang_en = (F.col("lang") == "en").cast("double")
     press = (src % 3 == 0).cast("double")
