@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import safe_corr
+
 from ..functions.text import period_bucket, period_from_index, period_index
 from ..functions.weights import time_schemes
 from .sentiment import HOWS, UNITS, document_sentiment
@@ -174,7 +176,7 @@ def measures_stats(measures: DataFrame) -> DataFrame:
     a = m.select("date", F.col("measure").alias("m1"), F.col("value").alias("v1"))
     b = m.select("date", F.col("measure").alias("m2"), F.col("value").alias("v2"))
     pairs = a.join(b, "date").where(F.col("m1") != F.col("m2")).groupBy("m1", "m2").agg(
-        F.corr("v1", "v2").alias("r"))
+        safe_corr("v1", "v2").alias("r"))
     mean_r = pairs.groupBy(F.col("m1").alias("measure")).agg(F.avg("r").alias("meanCorr"))
     return basic.join(mean_r, "measure", "left")
 

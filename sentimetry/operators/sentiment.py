@@ -48,7 +48,8 @@ def document_units(corpus: DataFrame, stopwords: list[str] | None = None, units:
     unit tables column-wise before taking row sums).
     """
     stop = list(stopwords or [])
-    ctext = text_clean("text") if clean else F.col("text")
+    text = F.coalesce(F.col("text"), F.lit(""))  # a NULL text is an empty document
+    ctext = text_clean(text) if clean else text
     g = list(group_cols or [])
     base = corpus.select(*g, "id", "date", ctext.alias("_ct")).select(
         *g, "id", "date", "_ct", split_tokens("_ct").alias("_tok"))

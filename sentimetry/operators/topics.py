@@ -17,6 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import safe_corr
+
 
 # --- relational topic tables -------------------------------------------------
 def topic_of_doc(theta: DataFrame) -> DataFrame:
@@ -91,7 +93,7 @@ def topic_correlation(tbc: DataFrame) -> DataFrame:
     a = tbc.select("category", F.col("topic").alias("t1"), F.col("mean_theta").alias("v1"))
     b = tbc.select("category", F.col("topic").alias("t2"), F.col("mean_theta").alias("v2"))
     return a.join(b, "category").where(F.col("t1") < F.col("t2")).groupBy("t1", "t2").agg(
-        F.corr("v1", "v2").alias("r"))
+        safe_corr("v1", "v2").alias("r"))
 
 
 def topic_diagnostic_ratio(tbc: DataFrame) -> DataFrame:
