@@ -133,10 +133,17 @@ BASE_SQL = _measures_sql(BASE)
 NAMES = [f"{lx}--{f}--{t}" for lx in LEX_NAMES for f in fx.FEATURE_NAMES for t in BASE.schemes()]
 
 
-@register("measures_wide", None)
+def _wide_sql():
+    cols = ", ".join(f"{s6(f'max(CASE WHEN lexicon || {Q.q(chr(45) * 2)} || feature || {Q.q(chr(45) * 2)} || time = {Q.q(n)} THEN value END)')} AS \"{n}\""
+                     for n in NAMES)
+    return BASE_SQL + f"SELECT date, {cols} FROM rolled GROUP BY date"
+
+
+@register("measures_wide", _wide_sql())
 def measures_wide(spark, sf):
     """One column per measure (pivot with the known name list)."""
-    return M.measures_wide(_base(spark, sf), NAMES)
+    w = M.measures_wide(_base(spark, sf), NAMES)
+    return w.select("date", *[r6(F.col(f"`{n}`")).alias(n) for n in NAMES])
 
 
 @register("measures_long_count", BASE_SQL + "SELECT lexicon, feature, time, count(*) AS n FROM rolled GROUP BY 1,2,3")
