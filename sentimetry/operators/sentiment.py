@@ -150,11 +150,15 @@ def score_documents(corpus: DataFrame, lexicons: DataFrame, valence: DataFrame |
         idf = dfreq.select("kind", "unit", F.log10(n_docs / F.col("df")).alias("idf"))
         # one row per matched lexicon unit: bounded by the lexicon size
         idf_side = F.broadcast(idf)
-    matched = per_doc.select(*key, F.explode("m").alias("s")).select(*key, "s.kind", "s.unit", "s.lexicon", "s.c")
-    weighted = matched.join(idf_side, g + ["kind", "unit"]).groupBy(*key).agg(
+    # both branches read the same per-document aggregate (one text pass; the
+    # stage is shared): documents without a match keep one row via
+    # explode_outer and score 0
+    matched = per_doc.select(*key, *keep, F.explode_outer("m").alias("s")).select(
+        *key, *keep, "s.kind", "s.unit", "s.lexicon", "s.c")
+    weighted = matched.join(idf_side, g + ["kind", "unit"], "left").groupBy(*key, *keep).agg(
         *[F.sum(F.when(F.col("lexicon") == n, F.col("c") * F.col("idf"))).alias(f"_s{i}")
           for i, n in enumerate(names)])
-    out = per_doc.drop("m").join(weighted, key, "left").join(feats, key)
+    out = weighted.join(feats, key)
     stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("lexicon"), F.coalesce(
         F.try_divide(F.col(f"_s{i}"), F.col("word_count")), F.lit(0.0)).alias("score"))
         for i, n in enumerate(names)]))
