@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +39,3 @@ def lexicons(spark: SparkSession) -> DataFrame:
 
 LEX_NAMES = sorted({r[0] for r in fx.LEXICON_ROWS})
 
-
-@lru_cache(maxsize=None)
-def _noop() -> None:
-    return None

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.weights import time_schemes
 from ..operators import measures as M
 from ..operators import sentiment as S
-from ..operators.tokens import tokens_array  # noqa: F401
 from ..sources import fixtures as fx
 from . import sql as Q
 from .common import LEX_NAMES, corpus, lexicons, r6, s6

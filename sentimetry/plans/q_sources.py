@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dtm as D
 from ..operators.measures import aggregate_documents
 from ..operators.sentiment import document_sentiment
 from ..operators.tokens import word_tokens
@@ -107,6 +106,3 @@ def distinct_dates_peek(spark, sf):
     """The first six distinct dates."""
     return C.distinct_dates_peek(corpus(spark, sf), 6)
 
-
-def _unused():  # keep imports used
-    return D

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import measures as M
 from ..operators import target as TG
 from ..sources import fixtures as fx
 from . import sql as Q
@@ -97,6 +96,3 @@ def _design(spark, sf, round_=True):
         return dm
     return dm.select("date", "label", *[r6(F.col(f"`{c}`")).alias(c) for c in dm.columns[2:]])
 
-
-def _unused():
-    return M

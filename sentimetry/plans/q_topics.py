@@ -15,7 +15,6 @@ from ..sources import fixtures as fx
 from . import sql as Q
 from .common import corpus, r6, s6
 from .q_dtm import DTM_SQL
-from .q_text import TOPIC_DTM_SQL
 from .registry import register
 from ..session import ensure_checkpoint_dir
 
@@ -247,6 +246,3 @@ def metric_normalise(spark, sf):
     vec, vocab = _lda_inputs(spark, sf)
     return TP.metric_normalise(TP.topic_count_grid(spark, vec, vocab, K_GRID, _doc_len(spark, sf)))
 
-
-def _unused():
-    return TOPIC_DTM_SQL
