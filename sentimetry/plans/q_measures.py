@@ -182,9 +182,9 @@ def select_measures_all(spark, sf):
     return _m_out(M.select_measures(_base(spark, sf), ["LEXB", "press"], False))
 
 
-@register("select_measures_by_word", _sel_sql("regexp_matches(lexicon || '--' || feature || '--' || time, "
+@register("select_columns_by_word", _sel_sql("regexp_matches(lexicon || '--' || feature || '--' || time, "
                                                "'\\bnews\\b')"))
-def select_measures_by_word(spark, sf):
+def select_columns_by_word(spark, sf):
     """Measure names containing a word between word boundaries."""
     return _m_out(M.select_measures_by_word(_base(spark, sf), "news"))
 
