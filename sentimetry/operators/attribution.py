@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, inherit_bound
 
 DIMS = ("lexicon", "feature", "time")
 
@@ -18,17 +18,17 @@ def _named(measures: DataFrame) -> DataFrame:
     return measures.withColumn("measure", F.concat_ws("--", *DIMS))
 
 
-def _weighted(measures: DataFrame, coefs: DataFrame) -> DataFrame:
-    return _named(measures).join(bounded_broadcast(coefs.select("measure", "beta")), "measure")
+def _weighted(measures: DataFrame, coefs: DataFrame, how: str = "inner") -> DataFrame:
+    side = inherit_bound(coefs.select("measure", "beta"), coefs)
+    return _named(measures).join(bounded_broadcast(side), "measure", how)
 
 
 def predict_link(measures: DataFrame, coefs: DataFrame, intercept: float) -> DataFrame:
-    """O119: linear predictor b0 + Σ beta·value per date (dates without any
-    coefficient measure keep b0)."""
-    contrib = _weighted(measures, coefs).groupBy("date").agg(F.sum(F.col("beta") * F.col("value")).alias("s"))
-    dates = measures.select("date").distinct()
-    return dates.join(contrib, "date", "left").select(
-        "date", (F.lit(intercept) + F.coalesce("s", F.lit(0.0))).alias("link"))
+    """O119: linear predictor b0 + Σ beta·value per date.  A left join keeps
+    every date (one without coefficient measures keeps b0) in a single pass
+    over the measures."""
+    return _weighted(measures, coefs, "left").groupBy("date").agg(
+        (F.lit(intercept) + F.coalesce(F.sum(F.col("beta") * F.col("value")), F.lit(0.0))).alias("link"))
 
 
 def predict_class(link: DataFrame) -> DataFrame:
@@ -64,28 +64,24 @@ def attribution(measures: DataFrame, coefs: DataFrame, dim: str = "lexicon", mem
     ``members``, one column per member."""
     if dim not in DIMS:
         raise ValueError(f"dim is one of {DIMS}")
-    long = _weighted(measures, coefs).groupBy("date", F.col(dim).alias("member")).agg(
-        F.sum(F.col("beta") * F.col("value")).alias("attrib"))
-    dates = measures.select("date").distinct()
     if members is None:
-        return long
-    wide = long.groupBy("date").pivot("member", members).agg(F.first("attrib"))
-    return dates.join(wide, "date", "left").select(
-        "date", *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in members])
+        return _weighted(measures, coefs).groupBy("date", F.col(dim).alias("member")).agg(
+            F.sum(F.col("beta") * F.col("value")).alias("attrib"))
+    # one pass: the left join keeps every date, the pivot has its value list
+    wide = _weighted(measures, coefs, "left").groupBy("date").pivot(dim, members).agg(
+        F.sum(F.col("beta") * F.col("value")))
+    return wide.select("date", *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in members])
 
 
 def attribution_all_dims(measures: DataFrame, coefs: DataFrame) -> DataFrame:
     """O123: attributions by lexicon, feature and time in one grouping-sets
     aggregate ``(date, dim, member, attrib)``."""
     w = _weighted(measures, coefs).withColumn("bv", F.col("beta") * F.col("value"))
-    w.createOrReplaceTempView("_attr_w")
-    spark = measures.sparkSession
-    return spark.sql("""
-      SELECT date,
-             CASE WHEN grouping(lexicon) = 0 THEN 'lexicon' WHEN grouping(feature) = 0 THEN 'feature'
-                  ELSE 'time' END AS dim,
-             coalesce(lexicon, feature, time) AS member, sum(bv) AS attrib
-      FROM _attr_w GROUP BY GROUPING SETS ((date, lexicon), (date, feature), (date, time))""")
+    g = w.groupingSets([["date", "lexicon"], ["date", "feature"], ["date", "time"]],
+                       "date", "lexicon", "feature", "time").agg(
+        F.sum("bv").alias("attrib"), F.grouping("lexicon").alias("_gl"), F.grouping("feature").alias("_gf"))
+    dim = F.when(F.col("_gl") == 0, F.lit("lexicon")).when(F.col("_gf") == 0, F.lit("feature")).otherwise(F.lit("time"))
+    return g.select("date", dim.alias("dim"), F.coalesce("lexicon", "feature", "time").alias("member"), "attrib")
 
 
 def attribution_check(link: DataFrame, attrib_long: DataFrame, intercept: float) -> DataFrame:

@@ -244,6 +244,20 @@ def global_index(measures: DataFrame, lexicons: dict[str, float] | None = None,
         F.coalesce(F.try_divide(F.sum(F.col("value") * F.col("_w")), F.sum("_w")), F.lit(0.0)).alias("global"))
 
 
+def cluster_globals(measures: DataFrame, clusters: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """O76 + O79 for several clusters in one pass: a cluster is a set of
+    lexicons crossed with a set of features; its index is the equal-weight
+    mean of its measures per date.  Membership is a small parameter table
+    (broadcast); every cluster comes out of one aggregate, so the measures
+    behind it are computed once.  Output ``(cluster, date, global)``."""
+    from ..session import bounded_broadcast, mark_bounded
+    rows = [(c, lx, f) for c, (lxs, fs) in clusters.items() for lx in lxs for f in fs]
+    spark = measures.sparkSession
+    member = mark_bounded(spark.createDataFrame(rows, "cluster string, lexicon string, feature string"), len(rows))
+    return measures.join(bounded_broadcast(member), ["lexicon", "feature"]).groupBy("cluster", "date").agg(
+        F.avg("value").alias("global"))
+
+
 def spread_index(globals_: DataFrame) -> DataFrame:
     """Pairwise differences of cluster indices ``(cluster, date, global)``
     by date, for cluster pairs c1 < c2."""

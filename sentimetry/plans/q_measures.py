@@ -224,16 +224,9 @@ CLUSTERS = {"c1": ["LEXA", "MINE", "oth_press"], "c2": ["LEXA", "MINE", "prod_re
 
 
 def _cluster_globals(spark, sf):
+    # the reference's clusters: two lexicons crossed with one merged feature
     merged = M.merge_measures(_base(spark, sf), features=MERGE_F)
-    out = None
-    for name, toks in CLUSTERS.items():
-        # select_measures(c(lex1, lex2, cluster), do.combine = FALSE) as in the
-        # reference's clusters: the two lexicons crossed with one merged feature
-        sel = merged.where((F.col("feature") == toks[2]) & F.col("lexicon").isin(toks[:2]))
-        g = M.global_index(sel)
-        g = g.select(F.lit(name).alias("cluster"), "date", "global")
-        out = g if out is None else out.unionByName(g)
-    return out
+    return M.cluster_globals(merged, {name: (toks[:2], [toks[2]]) for name, toks in CLUSTERS.items()})
 
 
 def _cluster_sql():
