@@ -127,6 +127,14 @@ def _base(spark, sf):
     return M.sentiment_measures(corpus(spark, sf), lexicons(spark), BASE, fx.valence(spark), fx.STOPWORDS)
 
 
+def _base_once(spark, sf):
+    """The base measures written once to the checkpoint folder, for queries
+    that read them in several branches (periods × measures rows: small at any
+    corpus size), so the text pipeline behind them runs once."""
+    from ..session import materialize
+    return materialize(_base(spark, sf))
+
+
 BASE_SQL = _measures_sql(BASE)
 NAMES = [f"{lx}--{f}--{t}" for lx in LEX_NAMES for f in fx.FEATURE_NAMES for t in BASE.schemes()]
 
@@ -223,9 +231,9 @@ CLUSTERS = {"c1": ["LEXA", "MINE", "oth_press"], "c2": ["LEXA", "MINE", "prod_re
             "c3": ["LEXB", "MINE", "news_web"], "c4": ["LEXC", "MINE", "oth_press"]}
 
 
-def _cluster_globals(spark, sf):
+def _cluster_globals(spark, sf, base=None):
     # the reference's clusters: two lexicons crossed with one merged feature
-    merged = M.merge_measures(_base(spark, sf), features=MERGE_F)
+    merged = M.merge_measures(base if base is not None else _base(spark, sf), features=MERGE_F)
     return M.cluster_globals(merged, {name: (toks[:2], [toks[2]]) for name, toks in CLUSTERS.items()})
 
 

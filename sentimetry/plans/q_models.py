@@ -11,10 +11,10 @@ from ..operators import models as MD
 from ..sources import fixtures as fx
 from . import sql as Q
 from .common import LEX_NAMES, r6
-from .q_measures import BASE_SQL, CLUSTERS, _base
+from .q_measures import BASE_SQL, CLUSTERS, _base, _base_once
 from .q_target import ALIGNED_SQL, _design, target_monthly
 from .registry import register
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 D4 = 4
 
@@ -136,8 +136,7 @@ def _design_fixed(spark, sf):
     """The design table (periods × regressors) materialised once in the
     checkpoint folder, so the many small fits below do not re-run the text
     pipeline behind it."""
-    ensure_checkpoint_dir(spark)
-    return _design(spark, sf, round_=False).checkpoint(eager=True)
+    return materialize(_design(spark, sf, round_=False))
 
 
 @register("stepwise_aic", None)
@@ -221,8 +220,8 @@ def _coefs(spark):
     return fx.coefficients(spark)
 
 
-def _link(spark, sf):
-    return A.predict_link(_base(spark, sf), _coefs(spark), B0)
+def _link(spark, sf, base=None):
+    return A.predict_link(base if base is not None else _base(spark, sf), _coefs(spark), B0)
 
 
 @register("predict_link", LINK_SQL + "SELECT date, " + r"(round(link, 6) + 0.0)" + " AS link FROM link")
@@ -249,7 +248,8 @@ SELECT count(*) FILTER (WHERE p = 1 AND y = 1) AS TP, count(*) FILTER (WHERE p =
   (round(count(*) FILTER (WHERE p = y) / CAST(count(*) AS DOUBLE), 6) + 0.0) AS accuracy FROM j""")
 def confusion_scores(spark, sf):
     """O120: confusion counts and rates against the volume-event target."""
-    c = A.confusion_scores(A.predict_class(_link(spark, sf)), target_monthly(spark, sf))
+    base = _base_once(spark, sf)
+    c = A.confusion_scores(A.predict_class(_link(spark, sf, base)), target_monthly(spark, sf, base))
     return c.select("TP", "TN", "FP", "FN", r6("TPR").alias("TPR"), r6("TNR").alias("TNR"),
                     r6("accuracy").alias("accuracy"))
 
@@ -259,7 +259,8 @@ def confusion_scores(spark, sf):
 SELECT date, 'true' AS variable, tru AS value FROM j UNION ALL SELECT date, 'predicted', pred FROM j""")
 def binary_plot_table(spark, sf):
     """O121: (date, true, predicted) in long form."""
-    return A.binary_plot_table(A.predict_class(_link(spark, sf)), target_monthly(spark, sf))
+    base = _base_once(spark, sf)
+    return A.binary_plot_table(A.predict_class(_link(spark, sf, base)), target_monthly(spark, sf, base))
 
 
 @register("attribution", LINK_SQL + "SELECT d.date, " + ", ".join(
@@ -285,7 +286,8 @@ def attribution_all_dims(spark, sf):
   AS residual FROM link l LEFT JOIN (SELECT date, sum(bv) AS s FROM contrib GROUP BY 1) s ON s.date = l.date""")
 def attribution_check(spark, sf):
     """O124: link − intercept − Σ attributions per date (≈ 0)."""
-    chk = A.attribution_check(_link(spark, sf), A.attribution(_base(spark, sf), _coefs(spark), "lexicon"), B0)
+    base = _base_once(spark, sf)
+    chk = A.attribution_check(_link(spark, sf, base), A.attribution(base, _coefs(spark), "lexicon"), B0)
     return chk.select("date", r6("residual").alias("residual"))
 
 

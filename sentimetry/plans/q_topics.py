@@ -16,7 +16,7 @@ from . import sql as Q
 from .common import corpus, r6, s6
 from .q_dtm import DTM_SQL
 from .registry import register
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 THETA_SQL = """th AS (SELECT vec_id AS doc_id, i AS topic,
   abs(CAST(embedding[i] AS DOUBLE)) / list_sum(list_transform(embedding[1:10], lambda v: abs(CAST(v AS DOUBLE))))
@@ -184,8 +184,7 @@ def _lda_inputs(spark, sf):
     """Topic DTM written once to the checkpoint folder (text is tokenised
     once; pruning reads it twice: median score, then the kept terms), pruned
     at the median tf-idf score, then turned into count vectors."""
-    ensure_checkpoint_dir(spark)
-    tdtm = D.topic_dtm(corpus(spark, sf), fx.STOPWORDS, 3).checkpoint(eager=True)
+    tdtm = materialize(D.topic_dtm(corpus(spark, sf), fx.STOPWORDS, 3))
     return TP.dtm_vectors(D.prune_by_tfidf(tdtm))
 
 

@@ -94,3 +94,15 @@ def spread_scan(df: DataFrame, key: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, key)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and return a DataFrame reading it
+    (lineage cut; a lost executor re-reads files instead of re-running the
+    plan).  The plan is persisted for the duration of the write, so it runs
+    once rather than once for the action and again for the checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    held = df.persist()
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
