@@ -79,9 +79,14 @@ def valence_tokens(df: DataFrame, valence: DataFrame | None, id_col: str = "id",
 def ngram_units(tokens_col, n: int):
     """Array of the n-grams of a token array, each joined by one blank."""
     arr = F.col(tokens_col) if isinstance(tokens_col, str) else tokens_col
-    idx = F.sequence(F.lit(1), F.size(arr) - F.lit(n - 1))
-    return F.when(F.size(arr) >= n, F.transform(idx, lambda i: F.array_join(F.slice(arr, i, n), " "))).otherwise(
-        F.array().cast("array<string>"))
+    if n == 1:
+        return arr
+    # the n-gram starting at token i is tokens i..i+n-1 joined by blanks;
+    # pairing the array with its shifted copies needs no per-position slice
+    shifted = [F.slice(arr, k + 1, F.size(arr) - F.lit(n - 1)) for k in range(n)]
+    zipped = F.arrays_zip(*shifted)
+    grams = F.transform(zipped, lambda z: F.concat_ws(" ", *[z[str(k)] for k in range(n)]))
+    return F.when(F.size(arr) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def lemmatize(df: DataFrame, dictionary: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
