@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .store import lake
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digest, repeated_spans
+
+    return digest(repeated_spans(lake(spark, sf_dir, "documents"), width=200))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import lm_scores
 
