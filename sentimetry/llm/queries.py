@@ -30,9 +30,24 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_boilerplate
+
+    return drop_boilerplate(lake(spark, sf_dir, "documents")).select("doc_id", "text", "lines_dropped")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination, digest
+
+    return digest(contamination(lake(spark, sf_dir, "documents"), lake(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .decontamination import decontamination_sql
+    from .line_dedup import line_dedup_sql
+
+    return {"op5_line_dedup": line_dedup_sql(), "op6_decontamination": decontamination_sql()}
