@@ -42,6 +42,30 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(lake(spark, sf_dir, "documents"), lake(spark, sf_dir, "benchmark")))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import main_text
+
+    return main_text(lake(spark, sf_dir, "pages"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(lake(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import read_vocabulary, token_counts
+
+    return token_counts(lake(spark, sf_dir, "documents"), read_vocabulary())
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(lake(spark, sf_dir, "documents")).drop("key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
