@@ -109,7 +109,7 @@ def extra_copies(rated: DataFrame, most: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
-    """(doc_id, key, size, source_size, target, rate, copies, taken) for every row of
+    """(doc_id, key, source, size, source_size, target, rate, copies, taken) for every row of
     ``docs`` (doc_id, text, source); key: hash of the row's id and text."""
     name = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source")))
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
@@ -129,14 +129,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
     place = F.col("first") + F.col("rank")
     evenly = lambda j: F.floor(j * F.col("extra") / F.col("alike"))
     copies = (F.col("base") + evenly(place) - evenly(place - 1)).cast("long")
-    return doc.withColumn("copies", copies).select("doc_id", "key", "size", "source_size", "target", (F.col("rate") / UNIT).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return doc.withColumn("copies", copies).select("doc_id", "key", "source", "size", "source_size", "target", (F.col("rate") / UNIT).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """``docs`` with ``copies`` and ``taken``, without documents that the mix takes no copy of."""
-    taken = mix(docs, weights, most).groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("copies")).alias("each"))
-    order = Window.partitionBy("id", "key").orderBy(F.lit(0))
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("key")).withColumn("nth", F.row_number().over(order))
-    both = rows.join(taken, rows["id"].eqNullSafe(taken["doc_id"]) & (rows["key"] == taken["key"]))
+    taken = mix(docs, weights, most).groupBy("doc_id", "key", "source").agg(F.sort_array(F.collect_list("copies")).alias("each"))
+    order = Window.partitionBy("id", "key", "of").orderBy(F.lit(0))  # equal rows
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("key"), F.col("source").cast("string").alias("of")).withColumn("nth", F.row_number().over(order))
+    t = taken.alias("t")
+    both = rows.join(t, F.col("id").eqNullSafe(F.col("t.doc_id")) & (rows["key"] == F.col("t.key")) & F.col("of").eqNullSafe(F.col("t.source")))
     columns = [F.col("doc").getField(c).alias(c) for c in docs.columns if c != "copies"]
     return both.withColumn("copies", F.get("each", F.col("nth") - 1)).where("copies > 0").select(*columns, "copies")

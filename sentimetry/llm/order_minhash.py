@@ -244,8 +244,8 @@ def _possible(pairs: DataFrame, p: NearDuplicates) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of ``docs`` (doc_id, text).  classes: doc_id, key (of the
-    row's id and text), node, class_id (least id of its class) and n_links, for
-    every row; links: (a, b, similarity) between different texts, by node."""
+    row's id and text), node, root (of its class), class_id (least id of the
+    class) and n_links, for every row; links: (a, b, similarity) between different texts, by node."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     rows = stored(docs.mapInArrow(_sketch(p), SKETCHES), "sketches")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("samples").alias("samples"))
@@ -286,5 +286,15 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> tu
 
     root = rows.select("doc_id", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = nodes.select("node", "least_id").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least_id").alias("class_id"))
-    out = root.join(classes, "root").join(degree, "node", "left").select("doc_id", "key", "node", "class_id", F.coalesce("degree", F.lit(0)).alias("n_links"))
+    out = root.join(classes, "root").join(degree, "node", "left").select("doc_id", "key", "node", "root", "class_id", F.coalesce("degree", F.lit(0)).alias("n_links"))
     return out, links
+
+
+def one_of_each(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
+    """``docs`` with the row of least id (then least hash) of each class only;
+    of equal rows one stays, and a null id comes last."""
+    classes, _ = near_duplicates(docs, p)
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("at")).select(F.col("at.key").alias("kept_key"))
+    row = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("kept_key"))
+    one = row.join(first, "kept_key").dropDuplicates(["kept_key"])
+    return one.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
