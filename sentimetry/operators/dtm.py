@@ -8,35 +8,50 @@ row per map task, not one per occurrence.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import (collapse_whitespace, remove_numbers, strip_punctuation, text_lower,
+from ..functions.text import (collapse_whitespace, drop_words, remove_numbers, strip_punctuation, text_lower,
                               text_to_ascii)
-from .tokens import sentence_units, word_tokens
+from ..session import materialize
+from .tokens import sentence_units, tokens_array, word_tokens
+
 
+def dtm_build(corpus: DataFrame, stopwords: list[str] | None = None, clean: bool = True,
+              with_len: bool = False) -> DataFrame:
+    """Counts of the O28 word tokens per document.  With ``with_len`` each
+    row carries ``doc_len``, the document's kept tokens: known inside the row
+    before it is exploded, so no statistic needs a second pass for it."""
+    if not with_len:
+        return word_tokens(corpus, stopwords=stopwords, clean=clean).groupBy("id", "term").agg(
+            F.count("*").alias("n"))
+    kept = drop_words(F.col("tokens"), list(stopwords)) if stopwords else F.col("tokens")
+    return _counted(tokens_array(corpus.select("id", "text"), clean=clean).select("id", kept.alias("w")))
 
-def dtm_build(corpus: DataFrame, stopwords: list[str] | None = None, clean: bool = True) -> DataFrame:
-    """Counts of the O28 word tokens per document."""
-    return word_tokens(corpus, stopwords=stopwords, clean=clean).groupBy("id", "term").agg(
-        F.count("*").alias("n"))
 
+def _counted(words: DataFrame) -> DataFrame:
+    """``(id, w ARRAY)`` → ``(id, doc_len, term, n)``."""
+    return words.select("id", F.size("w").cast("long").alias("doc_len"), F.explode("w").alias("term")).groupBy(
+        "id", "doc_len", "term").agg(F.count("*").alias("n"))
 
-def topic_tokens(corpus: DataFrame, stopwords: list[str] | None = None, min_len: int = 3) -> DataFrame:
-    """O23–O27 chain of the topic scripts, as tokens ``(id, pos, term)``:
-    ASCII only → punctuation deleted → lower → one blank per white-space run →
-    stop words removed → digits removed → words shorter than ``min_len`` dropped."""
+
+def _topic_words(stopwords: list[str] | None, min_len: int) -> F.Column:
+    """O23–O27 chain of the topic scripts inside one row: ASCII only →
+    punctuation deleted → lower → one blank per white-space run → stop words
+    removed → digits removed → words shorter than ``min_len`` dropped."""
     t = collapse_whitespace(text_lower(strip_punctuation(text_to_ascii("text"))))
-    toks = corpus.select("id", F.posexplode(F.split(t, " ")).alias("pos", "w"))
-    if stopwords:
-        toks = toks.where(~F.col("w").isin(list(stopwords)))
-    toks = toks.select("id", "pos", remove_numbers("w").alias("term"))
-    return toks.where(F.length("term") >= min_len)
+    words = F.split(t, " ")
+    words = drop_words(words, list(stopwords)) if stopwords else words
+    return F.filter(F.transform(words, remove_numbers), lambda w: F.length(w) >= min_len)
 
 
-def topic_dtm(corpus: DataFrame, stopwords: list[str] | None = None, min_len: int = 3) -> DataFrame:
+def topic_dtm(corpus: DataFrame, stopwords: list[str] | None = None, min_len: int = 3,
+              with_len: bool = False) -> DataFrame:
     """O40 for the topic scripts (``DocumentTermMatrix`` with its controls)."""
-    return topic_tokens(corpus, stopwords, min_len).groupBy("id", "term").agg(F.count("*").alias("n"))
+    out = _counted(corpus.select("id", _topic_words(stopwords, min_len).alias("w")))
+    return out if with_len else out.drop("doc_len")
 
 
 def dtm_union_units(corpus: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
@@ -64,9 +79,12 @@ def frequent_terms(dtm: DataFrame, min_total: int) -> DataFrame:
     return dtm.groupBy("term").agg(F.sum("n").alias("total")).where(F.col("total") >= min_total)
 
 
-def doc_lengths(dtm: DataFrame) -> DataFrame:
-    """Row sums."""
-    return dtm.groupBy("id").agg(F.sum("n").alias("doc_len"))
+def doc_lengths(dtm: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Row sums; with ``docs`` (id) documents without a term get 0."""
+    rows = dtm.groupBy("id").agg(F.sum("n").alias("doc_len"))
+    if docs is None:
+        return rows
+    return docs.select("id").join(rows, "id", "left").select("id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
 
 
 def term_totals(dtm: DataFrame) -> DataFrame:
@@ -74,54 +92,95 @@ def term_totals(dtm: DataFrame) -> DataFrame:
     return dtm.groupBy("term").agg(F.sum("n").alias("freq"))
 
 
-def tfidf_docs(dtm: DataFrame) -> DataFrame:
-    """tf = n / Σn of the document, idf = log10(N / df)."""
-    lens = doc_lengths(dtm)
-    n_docs = lens.select(F.count("*")).scalar()
-    dfreq = doc_frequency(dtm)
-    return (dtm.join(lens, "id").join(dfreq, "term")
-            .select("id", "term", (F.col("n") / F.col("doc_len") * F.log10(n_docs / F.col("df"))).alias("tfidf")))
+def n_documents(docs: DataFrame) -> F.Column:
+    """Number of documents, those without a term included: a column-pruned
+    count as a scalar subquery."""
+    return docs.select(F.count("*")).scalar()
+
+
+SALTS = 16
+
+
+def join_terms(dtm: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
+    """Join a DTM with one row per term.  A term of every document puts a row
+    for each document on one key, so the key is salted by the document and the
+    (much smaller) side is repeated for each salt."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salted = dtm.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return salted.join(side.select("*", salts), ["term", "_salt"], how).drop("_salt")
 
 
-def term_tfidf_mean(dtm: DataFrame) -> DataFrame:
-    """Per term, mean over its documents of n / doc_len, times
-    log2(N / df).  One join of the DTM with document lengths, then one
-    aggregate by term."""
-    lens = doc_lengths(dtm)
-    n_docs = lens.select(F.count("*")).scalar()
-    return (dtm.join(lens, "id").groupBy("term")
+def _with_len(dtm: DataFrame) -> DataFrame:
+    return dtm if "doc_len" in dtm.columns else dtm.join(doc_lengths(dtm), "id")
+
+
+def _n(dtm: DataFrame, n_docs) -> F.Column:
+    return n_docs if n_docs is not None else dtm.select(F.countDistinct("id")).scalar()
+
+
+def tfidf_docs(dtm: DataFrame, n_docs=None) -> DataFrame:
+    """tf = n / Σn of the document, idf = log10(N / df).  ``n_docs``: N,
+    from :func:`n_documents`; without it N is the documents in the table."""
+    idf = doc_frequency(dtm).select("term", F.log10(_n(dtm, n_docs) / F.col("df")).alias("idf"))
+    return join_terms(_with_len(dtm), idf).select(
+        "id", "term", (F.col("n") / F.col("doc_len") * F.col("idf")).alias("tfidf"))
+
+
+def term_tfidf_mean(dtm: DataFrame, n_docs=None) -> DataFrame:
+    """Per term, mean over its documents of n / doc_len, times log2(N / df):
+    one aggregate by term where the DTM carries ``doc_len``."""
+    return (_with_len(dtm).groupBy("term")
             .agg(F.avg(F.col("n") / F.col("doc_len")).alias("m"), F.count("*").alias("df"))
-            .select("term", (F.col("m") * F.log2(n_docs / F.col("df"))).alias("score")))
+            .select("term", (F.col("m") * F.log2(_n(dtm, n_docs) / F.col("df"))).alias("score")))
+
+
+def exact_quantiles(df: DataFrame, col: str, ps: list[float], eps: float = 1e-3) -> list[float | None]:
+    """Exact quantiles, linear between order statistics (R type 7), without
+    bringing all values to one task: approximate quantiles bracket each order
+    statistic, the values below the bracket are counted, and only the bracket
+    (about 2·eps of the rows) is sorted.  ``df`` should be a written table."""
+    values = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL")
+    n = values.count()
+    if not n:
+        return [None] * len(ps)
+    out = []
+    for p in ps:
+        rank = (n - 1) * p
+        lo, hi = values.approxQuantile("v", [max(0.0, p - eps), min(1.0, p + eps)], eps / 2)
+        below, upto = values.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v") <= hi)).first()
+        k = math.floor(rank)
+        if not below <= k or upto < min(k + 2, n):  # few rows: the bracket is all of them
+            lo, hi, below = float("-inf"), float("inf"), 0
+        near = [r.v for r in values.where(F.col("v").between(lo, hi)).orderBy("v").offset(k - below).limit(2).collect()]
+        out.append(near[0] + (rank - k) * (near[-1] - near[0]))
+    return out
 
 
 def six_number_summary(df: DataFrame, col: str) -> DataFrame:
-    """Min, Q1, median, mean, Q3, max; quantiles are exact and linear
-    between order statistics (R type 7)."""
-    p = F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.min(col).alias("min"), p.alias("_p"), F.avg(col).alias("mean"), F.max(col).alias("max")).select(
-        "min", F.col("_p")[0].alias("q1"), F.col("_p")[1].alias("median"), "mean",
-        F.col("_p")[2].alias("q3"), "max")
-
+    """Min, Q1, median, mean, Q3, max; quantiles as :func:`exact_quantiles`."""
+    table = materialize(df.select(col), "summary")
+    q1, median, q3 = (F.lit(q).cast("double") for q in exact_quantiles(table, col, [0.25, 0.5, 0.75]))
+    return table.agg(F.min(col).alias("min"), F.avg(col).alias("mean"), F.max(col).alias("max")).select(
+        "min", q1.alias("q1"), median.alias("median"), "mean", q3.alias("q3"), "max")
 
-def prune_by_tfidf(dtm: DataFrame, threshold: float | None = None) -> DataFrame:
-    """Keep terms whose O47 score is ≥ threshold (the median when None).
 
-    The median is a scalar subquery, not a value pulled to the driver; the
-    kept vocabulary reaches the DTM through a left-semi join.
-    """
-    scores = term_tfidf_mean(dtm)
-    thr = F.lit(threshold) if threshold is not None else scores.select(F.percentile("score", 0.5)).scalar()
-    keep = scores.where(F.col("score") >= thr).select("term")
-    return dtm.join(keep, "term", "left_semi")
+def prune_by_tfidf(dtm: DataFrame, threshold: float | None = None, n_docs=None) -> DataFrame:
+    """Keep terms whose O47 score is ≥ threshold (the median when None);
+    the kept vocabulary reaches the DTM through a salted semi-join."""
+    scores = term_tfidf_mean(dtm, n_docs)
+    if threshold is None:
+        scores = materialize(scores, "term-scores")
+        threshold = exact_quantiles(scores, "score", [0.5])[0]
+    keep = scores.where(F.col("score") >= F.lit(threshold)).select("term")
+    return join_terms(dtm, keep, "left_semi").select("id", "term", "n")
 
 
-def prune_sparse_terms(dtm: DataFrame, sparse: float) -> DataFrame:
+def prune_sparse_terms(dtm: DataFrame, sparse: float, n_docs=None) -> DataFrame:
     """Keep terms found in more than N·(1−sparse) documents."""
     if not 0 < sparse < 1:
         raise ValueError("sparse must lie strictly between 0 and 1")
-    n_docs = dtm.select(F.countDistinct("id")).scalar()
-    keep = doc_frequency(dtm).where(F.col("df") > n_docs * (1 - sparse)).select("term")
-    return dtm.join(keep, "term", "left_semi")
+    keep = doc_frequency(dtm).where(F.col("df") > _n(dtm, n_docs) * (1 - sparse)).select("term")
+    return join_terms(dtm, keep, "left_semi").select("id", "term", "n")
 
 
 def dtm_slice(dtm: DataFrame, n_docs: int = 20, n_terms: int = 20) -> DataFrame:

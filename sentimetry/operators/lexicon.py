@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import bounded_broadcast, inherit_bound
@@ -11,13 +11,13 @@ from ..session import bounded_broadcast, inherit_bound
 
 def lexicon_setup(lexicons: DataFrame, valence: DataFrame | None = None, do_split: bool = False) -> DataFrame:
     """Lower-case words, keep the first score per word and lexicon (input
-    order in ``pos`` when given), drop shifter words from the word lists, and
+    order is the column ``pos``), drop shifter words from the word lists, and
     with ``do_split`` make ``<lex>_POS`` / ``<lex>_NEG`` lexicons."""
+    if "pos" not in lexicons.columns:
+        raise ValueError("lexicons need a column pos with the order of their entries")
     src = lexicons
     lx = lexicons.withColumn("x", F.lower(F.trim(F.col("x"))))
-    order = F.col("pos") if "pos" in lx.columns else F.col("y")
-    w = Window.partitionBy("lexicon", "x").orderBy(order)
-    lx = lx.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    lx = lx.groupBy("lexicon", "x").agg(F.min_by("y", F.struct("pos", "y")).alias("y"))
     if valence is not None:
         shifters = inherit_bound(valence.select(F.lower(F.col("x")).alias("x")).distinct(), valence)
         lx = lx.join(bounded_broadcast(shifters), "x", "left_anti")
@@ -31,17 +31,18 @@ def lexicon_setup(lexicons: DataFrame, valence: DataFrame | None = None, do_spli
 
 def lexicon_custom(spark: SparkSession, entries: list[tuple[str, float]], phrases: DataFrame | None = None,
                    name: str = "myLexicon") -> DataFrame:
-    """Hand-made entries plus mined phrases (O35 output ``(w, s)``).
+    """Hand-made entries plus mined phrases (O35 output ``(w, s, pattern)``).
 
-    Mined phrases come first, then the fixed entries, as in the reference;
-    ``pos`` keeps that order for :func:`lexicon_setup`.
+    Mined phrases come first, in the order of their patterns, then the fixed
+    entries; ``pos`` keeps that order for :func:`lexicon_setup`, at any
+    partitioning.
     """
     fixed = spark.createDataFrame([(w, float(s), 1_000_000_000 + i) for i, (w, s) in enumerate(entries)],
                                   "x string, y double, pos long")
     parts = fixed
     if phrases is not None:
-        mined = phrases.select(F.col("w").alias("x"), F.col("s").alias("y"),
-                               F.monotonically_increasing_id().alias("pos"))
+        mined = phrases.groupBy(F.col("w").alias("x"), F.col("s").alias("y")).agg(
+            F.min("pattern").cast("long").alias("pos"))
         parts = mined.unionByName(fixed)
     return parts.select(F.lit(name).alias("lexicon"), "x", "y", "pos")
 

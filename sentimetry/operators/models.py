@@ -29,9 +29,9 @@ def with_interactions(df: DataFrame, pairs: list[tuple[str, str]]) -> tuple[Data
     return df, names
 
 
-def _assemble(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
+def _assemble(df: DataFrame, label: str, cols: list[str], *more: str) -> DataFrame:
     """``(label, features)`` with regressors taken by exact name (``a:b`` ok)."""
-    data = df.select(F.col(label).cast("double").alias("label"),
+    data = df.select(F.col(label).cast("double").alias("label"), *more,
                      *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(data)
 
@@ -104,12 +104,21 @@ def fitted_vs_actual(model, df: DataFrame, label: str, cols: list[str], id_col:
                       (F.col("prediction") >= 0.5).cast("int").alias("above_half"))
 
 
-def stepwise_aic(df: DataFrame, label: str, full: list[str], scope: list[str] | None = None,
-                 max_steps: int = 50) -> list[tuple[int, str, str, float]]:
+def _is_singular(error: Exception) -> bool:
+    """Whether a fit failed because its regressors are collinear or separate the
+    classes; anything else (a lost executor, say) is no property of the data."""
+    text = str(error).lower()
+    return any(w in text for w in ("singular", "positive definite", "no solution", "summary", "nan", "infinite"))
+
+
+def stepwise_aic(df: DataFrame, label: str, full: list[str],
+                 scope: list[str] | None = None) -> list[tuple[int, str, str, float]]:
     """O108/O109: both-direction selection by AIC from the full model.
 
-    Every candidate is one GLM fit on the (cached) design DataFrame; the loop
-    keeps the driver to choosing the next candidate set.  Returns the trace
+    Every candidate is one GLM fit on the (cached) design table, which has a
+    row for each period and so one partition; the loop keeps the driver to
+    choosing the next candidate set and ends when none lowers the AIC.
+    Returns the trace
     ``(step, action, term, aic)``.  ``scope`` may hold interaction names
     ``a:b`` (added only when both parents are in, dropped only when no
     interaction above them is in: marginality).
@@ -120,7 +129,7 @@ def stepwise_aic(df: DataFrame, label: str, full: list[str], scope: list[str] |
         if ":" in t and t not in data.columns:
             a, b = t.split(":")
             data = data.withColumn(t, F.col(a) * F.col(b))
-    data = data.select(F.col(label), *[F.col(f"`{t}`") for t in scope]).cache()
+    data = data.select(F.col(label), *[F.col(f"`{t}`") for t in scope]).coalesce(1).cache()
     n_aic = logit_null(data, label).first()["aic"]
 
     def aic(cols):
@@ -130,8 +139,10 @@ def stepwise_aic(df: DataFrame, label: str, full: list[str], scope: list[str] |
             m = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=50, tol=1e-8).fit(
                 _assemble(data, label, cols))
             return float(m.summary.aic)
-        except Exception:  # noqa: BLE001 - singular or diverging fit: not a candidate
-            return math.inf
+        except Exception as error:  # noqa: BLE001
+            if _is_singular(error):  # not a candidate
+                return math.inf
+            raise
 
     def allowed_drop(cur, t):
         return not any(":" in u and t in u.split(":") for u in cur if u != t)
@@ -142,7 +153,7 @@ def stepwise_aic(df: DataFrame, label: str, full: list[str], scope: list[str] |
     cur = list(full)
     best = aic(cur)
     trace = [(0, "start", "", best)]
-    for step in range(1, max_steps + 1):
+    for step in itertools.count(1):  # AIC falls at every step, so no set comes back
         cands = [("-", t, [c for c in cur if c != t]) for t in cur if allowed_drop(cur, t)]
         cands += [("+", t, cur + [t]) for t in scope if t not in cur and allowed_add(cur, t)]
         scored = [(aic(c), a, t, c) for a, t, c in cands]
@@ -162,24 +173,35 @@ def pairwise_scope(cols: list[str]) -> list[str]:
     return list(cols) + [f"{a}:{b}" for a, b in itertools.combinations(cols, 2)]
 
 
+def lambda_path(df: DataFrame, label: str, cols: list[str], n: int = 10, ratio: float = 0.01) -> list[float]:
+    """λ from λmax down to ``ratio`` · λmax, evenly on the log scale."""
+    top = lambda_max(df, label, cols)
+    return [top * ratio ** (i / (n - 1)) for i in range(n)]
+
+
 def lasso_kfold(df: DataFrame, label: str, cols: list[str], lambdas: list[float], k: int = 10,
-                fold_col: str = "fold", seed: int = 1):
+                fold_col: str = "fold") -> tuple[float, list[tuple[float, float, float]]]:
     """O115/O116: LASSO logit, k-fold CV on misclassification with
-    deterministic folds from ``fold_col``.  Returns (best model, cv curve rows
-    ``(lambda, cv_error, cv_se)``)."""
-    data = VectorAssembler(inputCols=list(cols), outputCol="features").transform(
-        df.select(F.col(label).cast("double").alias("label"), F.col(fold_col).cast("int").alias("fold"),
-                  *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]))
-    lr = LogisticRegression(elasticNetParam=1.0, standardization=True, maxIter=100, tol=1e-6)
+    deterministic folds from ``fold_col``.  Returns λ.min (lowest mean error,
+    ties to the larger λ) and the curve ``(lambda, cv_error, cv_se)``; refit at
+    λ.min with :func:`sparse_fit`.  The table has a row for each period, so one
+    partition; fits run side by side."""
+    data = _assemble(df.withColumn("_fold", F.col(fold_col).cast("int")), label, cols, "_fold").coalesce(1).cache()
+    lr = LogisticRegression(elasticNetParam=1.0, standardization=True, maxIter=50, tol=1e-5)
     grid = ParamGridBuilder().addGrid(lr.regParam, list(lambdas)).build()
     ev = MulticlassClassificationEvaluator(metricName="accuracy")
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=k,
-                        seed=seed, parallelism=4)
-    model = cv.fit(data)
-    stds = list(model.stdMetrics) if model.stdMetrics else [float("nan")] * len(lambdas)
-    curve = [(float(lam), 1.0 - float(m), float(s) / math.sqrt(k))
-             for lam, m, s in zip(lambdas, model.avgMetrics, stds)]
-    return model.bestModel, curve
+    model = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, foldCol="_fold", numFolds=k,
+                           parallelism=8).fit(data)
+    data.unpersist()
+    curve = [(float(lam), 1.0 - float(m), float(s) / math.sqrt(k - 1))  # stdMetrics divides by k, a standard error by k - 1
+             for lam, m, s in zip(lambdas, model.avgMetrics, model.stdMetrics)]
+    return min(curve, key=lambda r: (round(r[1], 12), -r[0]))[0], curve
+
+
+def cv_curve(errors: DataFrame) -> DataFrame:
+    """O116: ``(lambda, fold, error)`` → mean error and its standard error per λ."""
+    return errors.groupBy("lambda").agg(F.avg("error").alias("cv_error"),
+                                        (F.stddev_samp("error") / F.sqrt(F.count("*"))).alias("cv_se"))
 
 
 def lambda_max(df: DataFrame, label: str, cols: list[str]) -> float:
@@ -208,25 +230,36 @@ def sparse_fit(df: DataFrame, label: str, cols: list[str], reg: float, max_iter:
 
 
 def timeslice_cv(df: DataFrame, label: str, cols: list[str], lambdas: list[float], train: int = 60,
-                 test: int = 10, order_col: str = "date") -> list[tuple[float, int, float]]:
+                 test: int = 10, order_col: str = "date") -> list[tuple[float, int, float | None, str | None]]:
     """O114: rolling-origin CV.  Rows get a period index; slice s trains on
     [s, s+train) and tests on [s+train, s+train+test).  One LASSO fit per
-    slice and λ, each a Spark job; returns ``(lambda, slice, error)``."""
-    # the design table has one row per period (hundreds of rows), so one
-    # ordered window over it is cheap
+    slice and λ on the one-partition period table; returns ``(lambda, slice,
+    error, reason)``: a slice whose training rows have one class has no fit,
+    so a NULL error and the reason."""
+    # periods are ranked by their distinct dates: one row per period
     w_idx = F.dense_rank().over(Window.orderBy(order_col)) - 1
-    data = df.withColumn("_t", w_idx).cache()
-    n = data.select(F.max("_t")).first()[0] + 1
+    data = _assemble(df.withColumn("_t", w_idx), label, cols, "_t").coalesce(1).cache()
+    n = (data.select(F.max("_t")).first()[0] or 0) + 1
+    lr = LogisticRegression(elasticNetParam=1.0, standardization=True, maxIter=50, tol=1e-5)
     out = []
     for s in range(0, max(0, n - train - test + 1)):
-        tr = data.where((F.col("_t") >= s) & (F.col("_t") < s + train))
+        tr = data.where((F.col("_t") >= s) & (F.col("_t") < s + train)).cache()
         te = data.where((F.col("_t") >= s + train) & (F.col("_t") < s + train + test))
-        if tr.select(F.countDistinct(label)).first()[0] < 2:
-            continue
-        for lam in lambdas:
-            m = sparse_fit(tr, label, cols, lam)
-            te_v = _assemble(te, label, cols)
-            err = m.transform(te_v).select(F.avg((F.col("prediction") != F.col("label")).cast("double"))).first()[0]
-            out.append((float(lam), s, float(err)))
+        if tr.select("label").distinct().count() < 2:
+            out += [(float(lam), s, None, "one class in training") for lam in lambdas]
+        else:
+            for lam, m in lr.fitMultiple(tr, [{lr.regParam: x} for x in lambdas]):
+                err = m.transform(te).select(F.avg((F.col("prediction") != F.col("label")).cast("double"))).first()[0]
+                out.append((float(lambdas[lam]), s, float(err), None))
+        tr.unpersist()
     data.unpersist()
     return out
+
+
+def best_lambda(errors: list[tuple]) -> float | None:
+    """λ of least mean error over slices that have one; ties to the larger λ."""
+    means: dict[float, list[float]] = {}
+    for lam, _, err, *_ in errors:
+        if err is not None:
+            means.setdefault(lam, []).append(err)
+    return min(means, key=lambda x: (round(sum(means[x]) / len(means[x]), 12), -x)) if means else None

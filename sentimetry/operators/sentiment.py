@@ -148,8 +148,8 @@ def score_documents(corpus: DataFrame, lexicons: DataFrame, valence: DataFrame |
         # of the text pipeline
         n_docs = corpus.select(F.count("*")).scalar()
         idf = dfreq.select("kind", "unit", F.log10(n_docs / F.col("df")).alias("idf"))
-        # one row per matched lexicon unit: bounded by the lexicon size
-        idf_side = F.broadcast(idf)
+        # one row per matched lexicon unit: hinted where the lexicon's size is known
+        idf_side = bounded_broadcast(inherit_bound(idf, lexicons))
     # both branches read the same per-document aggregate (one text pass; the
     # stage is shared): documents without a match keep one row via
     # explode_outer and score 0
@@ -185,11 +185,12 @@ def document_sentiment(corpus: DataFrame, lexicons: DataFrame, valence: DataFram
 DTM_COLUMNS = {"id", "term", "n"}
 
 
-def score_dtm(dtm: DataFrame, lexicons: DataFrame, how: str = "counts") -> DataFrame:
+def score_dtm(dtm: DataFrame, lexicons: DataFrame, how: str = "counts", docs: DataFrame | None = None) -> DataFrame:
     """Score a ready-made document-term table ``(id, term, n)``.
 
-    Returns ``(id, word_count, lexicon, score)`` for every document of the
-    table; a table of another shape is rejected like a non-dfm argument.
+    Returns ``(id, word_count, lexicon, score)`` for every document of ``docs``
+    (id), those without a term included, or else of the table; a table of
+    another shape is rejected like a non-dfm argument.
     """
     if not DTM_COLUMNS.issubset(set(dtm.columns)):
         raise ValueError("The 'dtm' argument should be a document-term table with columns id, term, n.")
@@ -198,11 +199,15 @@ def score_dtm(dtm: DataFrame, lexicons: DataFrame, how: str = "counts") -> DataF
     lex = bounded_broadcast(lexicons.select(F.col("x").alias("term"), "lexicon", "y"))
     d = dtm.select("id", "term", F.col("n").cast("double").alias("n"))
     wc = d.groupBy("id").agg(F.sum("n").alias("word_count"))
+    if docs is not None:
+        wc = docs.select("id").join(wc, "id", "left").select("id", F.coalesce("word_count", F.lit(0.0)).alias("word_count"))
+    d = d.join(lex, "term")  # only lexicon terms go on, so what follows has their size
     if how == "tf-idf":
-        n_docs = wc.select(F.count("*")).scalar()
-        dfreq = d.where("n > 0").groupBy("term").agg(F.count("*").alias("df"))
+        n_docs = (docs if docs is not None else wc).select(F.count("*")).scalar()
+        listed = dtm.where("n > 0").join(lexicons.select(F.col("x").alias("term")).distinct(), "term", "left_semi")
+        dfreq = listed.groupBy("term").agg(F.count("*").alias("df"))
         d = d.join(dfreq, "term").withColumn("n", F.col("n") * F.log10(n_docs / F.col("df")))
-    sums = d.join(lex, "term").groupBy("id").agg(
+    sums = d.groupBy("id").agg(
         *[F.sum(F.when(F.col("lexicon") == n, F.col("n") * F.col("y"))).alias(f"_s{i}")
           for i, n in enumerate(names)])
     out = wc.join(sums, "id", "left")

@@ -32,13 +32,6 @@ def word_tokens(df: DataFrame, id_col: str = "id", text_col: str = "text", stopw
     return out
 
 
-def remove_stopwords(tokens: DataFrame, stopwords: DataFrame, term_col: str = "term") -> DataFrame:
-    """O26 as a join: drop tokens found in a stop-word table (left anti, broadcast
-    when the table is proven small)."""
-    sw = stopwords.select(F.col(stopwords.columns[0]).alias(term_col)).distinct()
-    return tokens.join(bounded_broadcast(sw), term_col, "left_anti")
-
-
 def sentence_units(df: DataFrame, id_col: str = "id", text_col: str = "text", clean: bool = True,
                    stopwords: list[str] | None = None) -> DataFrame:
     """One row per sentence ``(id, spos, unit)``; a unit is the sentence's
@@ -116,21 +109,10 @@ def lemmatize_tokens(tokens: DataFrame, dictionary: DataFrame, term_col: str = "
         term_col, F.coalesce("_lemma", term_col)).drop("_lemma")
 
 
-# The six proximity patterns of the reference's phrase mining and
-# their scores, in the order given there.
-REFERENCE_PHRASE_PATTERNS = [
-    (r"instead\s*([a-zA-Z]+\s*){1,5}safety", -2.0),
-    (r"grant+\s+patent\s*([a-zA-Z]+\s*){1,4}to+\s+gilead", 2.0),
-    (r"\bsuccessfully\b\s*?\b(develop|approve)(?:\W+\w+){0,2}?\W+(develop|approve)\b", 3.0),
-    (r"\b(tolerate|accept)(?:\W+\w+){0,2}?\W+(risk)\b", -3.0),
-    (r"\b(raise|rise)(?:\W+\w+){0,2}?\W+(risk)\b", -3.0),
-    (r"\b(rather)\b\s*?\b(than)(?:\W+\w+){0,2}?\W+(development)\b", -2.0),
-]
-
-
 def extract_phrases(df: DataFrame, patterns: list[tuple[str, float]], text_col: str = "text") -> DataFrame:
     """First match per document and pattern, non-matches dropped,
-    distinct ``(w, s)`` phrases with the pattern's score.
+    distinct ``(w, s)`` phrases with the pattern's score, and the number
+    ``pattern`` of the pattern, in the order given.
 
     The pattern list is a parameter expanded into one ``regexp_extract`` per
     pattern in a single projection; ``distinct`` aggregates partially first.
@@ -138,9 +120,9 @@ def extract_phrases(df: DataFrame, patterns: list[tuple[str, float]], text_col:
     for p, _ in patterns:
         re.compile(p)
     hits = F.array(*[
-        F.struct(F.regexp_extract(F.col(text_col), p, 0).alias("w"), F.lit(float(s)).alias("s"))
-        for p, s in patterns])
-    return (df.select(F.explode(hits).alias("h")).select("h.w", "h.s")
+        F.struct(F.regexp_extract(F.col(text_col), p, 0).alias("w"), F.lit(float(s)).alias("s"),
+                 F.lit(i).alias("pattern")) for i, (p, s) in enumerate(patterns)])
+    return (df.select(F.explode(hits).alias("h")).select("h.w", "h.s", "h.pattern")
             .where(F.col("w") != "").distinct())
 
 

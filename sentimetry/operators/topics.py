@@ -1,7 +1,7 @@
 """Topic models and topic tables (O83–O100).
 
 θ is ``(doc_id, topic, theta)`` and φ is ``(topic, term, phi)``, both long.
-Relational operators work on any θ/φ (MLlib LDA output or stand-ins);
+Relational operators work on any θ/φ (fitted or stand-ins);
 pairwise topic statistics self-join φ on term, so their size is
 topics² × vocabulary, independent of the number of documents.
 """
@@ -11,13 +11,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import safe_corr
+from .dtm import n_documents, prune_by_tfidf, prune_sparse_terms
+from .lda import TopicModels, lda_em
 
 
 # --- relational topic tables -------------------------------------------------
@@ -117,11 +116,12 @@ def metric_cao_juan(phi: DataFrame) -> DataFrame:
 
 
 def metric_deveaud(phi: DataFrame) -> DataFrame:
-    """Mean over ordered pairs of ½KL(i‖j) + ½KL(j‖i) (higher is better)."""
+    """Σ over pairs of ½Σx·ln(x/y) + ½Σy·ln(y/x), divided by k(k−1) (higher is better)."""
     sym = _pairs(phi).groupBy("t1", "t2").agg(
         (0.5 * F.sum(F.col("p") * F.log(F.col("p") / F.col("q")))
          + 0.5 * F.sum(F.col("q") * F.log(F.col("q") / F.col("p")))).alias("d"))
-    return sym.agg(F.avg("d").alias("value"))
+    # k(k−1)/2 pairs, so their mean is twice the value
+    return sym.agg((F.avg("d") / 2).alias("value"))
 
 
 def metric_normalise(metrics: DataFrame) -> DataFrame:
@@ -131,68 +131,20 @@ def metric_normalise(metrics: DataFrame) -> DataFrame:
                                                      F.max("value").over(w) - F.min("value").over(w)))
 
 
-# --- MLlib LDA -----------------------------------------------------------------
-def dtm_vectors(dtm: DataFrame, vocab_size: int | None = None, min_df: float = 1.0):
-    """Long DTM → ``(doc_id, features)`` sparse count vectors.
-
-    Each document's own counts are expanded back to a token array inside its
-    group (bounded by one document) and counted by ``CountVectorizer``.  The
-    vocabulary is every term of the DTM (its size is counted first), so no
-    term is dropped by a size cap.
-    """
-    if vocab_size is None:
-        vocab_size = max(1, dtm.select(F.countDistinct("term")).first()[0])
-    docs = dtm.groupBy(F.col("id").alias("doc_id")).agg(
-        F.flatten(F.collect_list(F.array_repeat("term", F.col("n").cast("int")))).alias("tokens"))
-    cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocab_size, minDF=min_df).fit(docs)
-    return cv.transform(docs).select("doc_id", "features"), cv.vocabulary
-
-
-def lda_fit(vectors: DataFrame, k: int, seed: int = 622, max_iter: int = 20, optimizer: str = "online"):
-    """MLlib LDA (EM or online variational Bayes; the reference samples
-    with Gibbs: same model, another estimator)."""
-    if optimizer == "em":
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(vectors.sparkSession)
-    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol="features",
-              checkpointInterval=10)
-    return lda.fit(vectors)
-
-
-def lda_theta(model, vectors: DataFrame) -> DataFrame:
-    """θ as ``(doc_id, topic, theta)`` (topics numbered from 1)."""
-    t = model.transform(vectors).select("doc_id", vector_to_array("topicDistribution").alias("v"))
-    return t.select("doc_id", F.posexplode("v").alias("p", "theta")).select(
-        "doc_id", (F.col("p") + 1).alias("topic"), "theta")
-
-
-def lda_phi(spark: SparkSession, model, vocabulary: list[str]) -> DataFrame:
-    """φ as ``(topic, term, phi)``; columns of the topics matrix are
-    normalised per topic by ``describeTopics``."""
-    vocab = spark.createDataFrame(list(enumerate(vocabulary)), "idx int, term string")
-    d = model.describeTopics(len(vocabulary))
-    ex = d.select((F.col("topic") + 1).alias("topic"),
-                  F.explode(F.arrays_zip("termIndices", "termWeights")).alias("z"))
-    return ex.select("topic", F.col("z.termIndices").alias("idx"), F.col("z.termWeights").alias("phi")).join(
-        vocab, "idx").select("topic", "term", "phi")
-
-
-def lda_top_terms(spark: SparkSession, model, vocabulary: list[str], t: int = 20) -> DataFrame:
-    """O85 for a fitted model: ``describeTopics(T)`` gives the T best term
-    indices per topic (k × T numbers of model output); they are named from the
-    model's vocabulary."""
-    rows = []
-    for r in model.describeTopics(t).collect():
-        for rank, (i, w) in enumerate(zip(r["termIndices"], r["termWeights"]), start=1):
-            rows.append((int(r["topic"]) + 1, vocabulary[i], float(w), rank))
-    return spark.createDataFrame(rows, "topic int, term string, phi double, rank int")
+# --- fitted models -------------------------------------------------------------
+def topic_token_table(phi: DataFrame, share: DataFrame) -> DataFrame:
+    """O90, token table: share of each topic in a term, φ·topic share over the
+    sum of the topics."""
+    j = phi.join(share, "topic").select("topic", "term", (F.col("phi") * F.col("share")).alias("w"))
+    tot = j.groupBy("term").agg(F.sum("w").alias("tot"))
+    return j.join(tot, "term").select("topic", "term", (F.col("w") / F.col("tot")).alias("freq"))
 
 
 def metric_arun(phi: DataFrame, theta: DataFrame, doc_len: DataFrame) -> float:
     """Symmetric KL between the singular values of φ (k × V) and the
     length-weighted θ totals / max length.  The singular values come from the
     k × k Gram matrix φφᵀ, built by a self-join on term; only that k × k
-    matrix reaches the driver."""
+    matrix reaches the driver.  Lengths are the DTM's row sums."""
     a = phi.select(F.col("topic").alias("t1"), "term", F.col("phi").alias("p"))
     b = phi.select(F.col("topic").alias("t2"), "term", F.col("phi").alias("q"))
     gram_rows = a.join(b, "term").groupBy("t1", "t2").agg(F.sum(F.col("p") * F.col("q")).alias("g")).collect()
@@ -201,32 +153,45 @@ def metric_arun(phi: DataFrame, theta: DataFrame, doc_len: DataFrame) -> float:
     g = np.zeros((len(topics), len(topics)))
     for r in gram_rows:
         g[pos[r["t1"]], pos[r["t2"]]] = r["g"]
-    sv = np.sqrt(np.clip(np.sort(np.linalg.eigvalsh(g))[::-1], 0, None))
-    j = theta.join(doc_len, "doc_id")
-    mx = doc_len.select(F.max("len")).first()[0]
-    cm2 = {r["topic"]: r["s"] / mx for r in j.groupBy("topic").agg(
-        F.sum(F.col("theta") * F.col("len")).alias("s")).collect()}
-    c2 = np.array(sorted([cm2.get(t, 0.0) for t in topics], reverse=True))
-    c1 = sv / sv.sum()
-    c2 = c2 / c2.sum()
+    c1 = np.sqrt(np.clip(np.sort(np.linalg.eigvalsh(g))[::-1], 1e-300, None))
+    mx = doc_len.select(F.max("doc_len")).first()[0]
+    totals = theta.join(doc_len.withColumnRenamed("id", "doc_id"), "doc_id").groupBy("topic").agg(
+        F.sum(F.col("theta") * F.col("doc_len")).alias("s"))
+    cm2 = {r["topic"]: r["s"] / mx for r in totals.collect()}
+    c2 = np.clip(np.array([cm2.get(t, 0.0) for t in topics]), 1e-300, None)
     return float(np.sum(c1 * np.log(c1 / c2)) + np.sum(c2 * np.log(c2 / c1)))
 
 
-def topic_count_grid(spark: SparkSession, vectors: DataFrame, vocabulary: list[str], ks: list[int],
-                     doc_len: DataFrame, seed: int = 77, max_iter: int = 10) -> DataFrame:
-    """Fit k = ks on one cached vector table and score each fit:
-    ``griffiths_bound`` (log-likelihood bound), CaoJuan2009, Arun2010,
-    Deveaud2014.  Output ``(k, metric, value)``."""
-    vec = vectors.cache()
+def _value(df: DataFrame) -> float:
+    v = df.first()["value"]
+    return math.nan if v is None else float(v)
+
+
+def score_models(spark: SparkSession, models: TopicModels, doc_len: DataFrame) -> DataFrame:
+    """``(k, metric, value)`` of every fitted model: ``griffiths_bound``
+    (log-likelihood of the text under θ and φ), CaoJuan2009, Arun2010,
+    Deveaud2014."""
     rows = []
-    for k in ks:
-        m = lda_fit(vec, k, seed=seed, max_iter=max_iter, optimizer="online")
-        phi = lda_phi(spark, m, vocabulary).where(F.col("phi") > 0).cache()
-        th = lda_theta(m, vec)
-        rows.append((k, "griffiths_bound", float(m.logLikelihood(vec))))
-        rows.append((k, "CaoJuan2009", float(metric_cao_juan(phi).first()["value"])))
-        rows.append((k, "Deveaud2014", float(metric_deveaud(phi).first()["value"] or math.nan)))
-        rows.append((k, "Arun2010", metric_arun(phi, th, doc_len)))
-        phi.unpersist()
-    vec.unpersist()
+    for m, k in enumerate(models.ks):
+        phi = models.phi_long(m)
+        rows += [(k, "griffiths_bound", float(models.log_likelihood[m])), (k, "CaoJuan2009", _value(metric_cao_juan(phi))),
+                 (k, "Deveaud2014", _value(metric_deveaud(phi))),
+                 (k, "Arun2010", metric_arun(phi, models.theta_long(m), doc_len))]
     return spark.createDataFrame(rows, "k int, metric string, value double")
+
+
+def topic_model(dtm: DataFrame, docs: DataFrame, remove: str = "sparse", p: float = 0.99, k: int = 10,
+                seed: int = 622, t: int = 20, **fit) -> dict:
+    """O83 wrapper: prune the DTM (``remove`` = ``no``, ``sparse`` or ``tf-idf``),
+    fit k topics and return ``model``, ``topics`` (most likely topic of each
+    document), ``terms`` (T best terms of each topic), ``theta`` and ``phi``."""
+    n = n_documents(docs)
+    if remove == "sparse":
+        dtm = prune_sparse_terms(dtm, p, n)
+    elif remove == "tf-idf":
+        dtm = prune_by_tfidf(dtm, None, n)
+    elif remove != "no":
+        raise ValueError("remove must be 'no', 'sparse' or 'tf-idf'")
+    model = lda_em(dtm, docs, [k], seed, **fit)
+    theta, phi = model.theta_long(), model.phi_long()
+    return {"model": model, "topics": topic_of_doc(theta), "terms": topic_top_terms(phi, t), "theta": theta, "phi": phi}

@@ -36,10 +36,11 @@ def _custom(spark, sf):
 
 def _custom_sql():
     parts = " UNION ALL ".join(
-        f"SELECT regexp_extract({ASCII_LOWER_SQL}, {Q.q(p)}, 0) AS w, {s!r} AS s FROM corpus" for p, s in PHRASE_PATTERNS)
-    fixed = Q.values([(w, float(s)) for w, s in CUSTOM_ENTRIES], ["x", "y"])
-    return f"""mined AS (SELECT DISTINCT w AS x, s AS y FROM ({parts}) WHERE w <> ''),
-custom AS (SELECT 'myLexicon' AS lexicon, x, y FROM mined UNION ALL SELECT 'myLexicon', x, y FROM {fixed})"""
+        f"SELECT regexp_extract({ASCII_LOWER_SQL}, {Q.q(p)}, 0) AS w, {s!r} AS s, {i} AS pattern FROM corpus"
+        for i, (p, s) in enumerate(PHRASE_PATTERNS))
+    fixed = Q.values([(w, float(s), 1000 + i) for i, (w, s) in enumerate(CUSTOM_ENTRIES)], ["x", "y", "pos"])
+    return f"""mined AS (SELECT w AS x, s AS y, min(pattern) AS pos FROM ({parts}) WHERE w <> '' GROUP BY 1, 2),
+custom AS (SELECT 'myLexicon' AS lexicon, x, y, pos FROM mined UNION ALL SELECT 'myLexicon', x, y, pos FROM {fixed})"""
 
 
 @register("lexicon_custom", Q.with_(Q.CORPUS, _custom_sql()) + "SELECT lexicon, x, y FROM custom")
@@ -50,7 +51,7 @@ def lexicon_custom(spark, sf):
 
 @register("lexicon_setup", Q.with_(Q.CORPUS, _custom_sql(), Q.LEXICON, Q.VALENCE) + """,
 allx AS (SELECT lexicon, x, y, pos FROM lex_raw UNION ALL
-  SELECT lexicon, x, y, 1000 + row_number() OVER (ORDER BY x) FROM custom),
+  SELECT lexicon, x, y, pos FROM custom),
 firsts AS (SELECT lexicon, lower(trim(x)) AS x, CAST(y AS DOUBLE) AS y,
   row_number() OVER (PARTITION BY lexicon, lower(trim(x)) ORDER BY pos) AS rn FROM allx)
 SELECT lexicon || CASE WHEN y > 0 THEN '_POS' ELSE '_NEG' END AS lexicon, x, y FROM firsts

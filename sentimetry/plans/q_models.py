@@ -159,36 +159,44 @@ def _measure_cols(dm):
     return [c for c in dm.columns if "--" in c]
 
 
-LAMBDAS = [0.001, 0.01, 0.05, 0.1, 0.2]
+def _path(dm, cols, n=8):
+    return MD.lambda_path(dm, "label", cols, n)
 
 
 @register("sparse_timeslice_cv", None)
 def sparse_timeslice_cv(spark, sf):
     """O114: LASSO logit, rolling origin (train 60, test 10 periods)."""
     dm = _design_fixed(spark, sf)
-    rows = MD.timeslice_cv(dm, "label", GLOBS + _measure_cols(dm), [0.01, 0.05, 0.1], 60, 10)
-    return spark.createDataFrame(rows, "lambda double, slice int, error double")
+    cols = GLOBS + _measure_cols(dm)
+    rows = MD.timeslice_cv(dm, "label", cols, _path(dm, cols, 4), 60, 10)
+    best = MD.best_lambda(rows)
+    return spark.createDataFrame([(*r, r[0] == best) for r in rows],
+                                 "lambda double, slice int, error double, reason string, chosen boolean")
 
 
-def _kfold(spark, sf):
-    dm = _design_fixed(spark, sf)
-    dm = dm.withColumn("fold", ((F.year("date") * 12 + F.month("date")) % 5).cast("int"))
-    return MD.lasso_kfold(dm, "label", GLOBS + _measure_cols(dm), LAMBDAS, k=5)
+def _kfold(spark, sf, k):
+    """(λ.min, curve, model refitted at λ.min, its regressors)."""
+    dm = _design_fixed(spark, sf).withColumn("fold", ((F.year("date") * 12 + F.month("date")) % k).cast("int"))
+    cols = GLOBS + _measure_cols(dm)
+    best, curve = MD.lasso_kfold(dm, "label", cols, _path(dm, cols), k=k)
+    return best, curve, MD.sparse_fit(dm, "label", cols, best, 50, 1e-5), cols
 
 
 @register("sparse_kfold_cv", None)
 def sparse_kfold_cv(spark, sf):
-    """O115: LASSO logit, 5-fold CV on misclassification: λ.min and error."""
-    model, curve = _kfold(spark, sf)
-    best = min(curve, key=lambda r: (r[1], -r[0]))
-    return spark.createDataFrame([(best[0], best[1], float(model.getRegParam()))],
-                                 "lambda_min double, cv_error double, fitted_reg double")
+    """O115: LASSO logit, 10-fold CV on misclassification: λ.min, its error and
+    the coefficients of the refit at λ.min."""
+    best, curve, model, cols = _kfold(spark, sf, 10)
+    error = next(e for lam, e, _ in curve if lam == best)
+    terms = [("(Intercept)", float(model.intercept)), *zip(cols, map(float, model.coefficients))]
+    return spark.createDataFrame([(best, error, float(model.getRegParam()), t, b) for t, b in terms],
+                                 "lambda_min double, cv_error double, fitted_reg double, term string, beta double")
 
 
 @register("cv_curve", None)
 def cv_curve(spark, sf):
-    """O116: mean CV error and its standard error per λ."""
-    _, curve = _kfold(spark, sf)
+    """O116: mean 5-fold CV error and its standard error per λ."""
+    _, curve, _, _ = _kfold(spark, sf, 5)
     return spark.createDataFrame(curve, "lambda double, cv_error double, cv_se double")
 
 

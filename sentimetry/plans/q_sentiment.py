@@ -8,6 +8,7 @@ from ..operators import sentiment as S
 from ..sources import fixtures as fx
 from . import sql as Q
 from .common import LEX_NAMES, corpus, lexicons, r6, s6
+from ..session import materialize
 from .registry import register
 
 PRE = [Q.CORPUS, Q.FEATS, Q.TOKS, Q.LEXICON, Q.VALENCE, Q.LEX_SETUP]
@@ -81,16 +82,16 @@ def sent_phrases_unit(spark, sf):
 
 @register("sent_from_dtm", Q.with_(*PRE)[:-1] + """,
 dtm AS (SELECT id, term, count(*) AS n FROM words_prev WHERE term NOT IN """ + Q.STOP_LIST + """ GROUP BY 1, 2),
-wcs AS (SELECT id, sum(n) AS wc FROM dtm GROUP BY 1),
-nd AS (SELECT count(*) AS n FROM wcs),
+wcs AS (SELECT c.id, coalesce(sum(d.n), 0) AS wc FROM corpus c LEFT JOIN dtm d ON d.id = c.id GROUP BY 1),
+nd AS (SELECT count(*) AS n FROM corpus),
 dfreq AS (SELECT term, count(*) AS df FROM dtm GROUP BY 1),
 raw AS (SELECT d.id, l.lexicon, sum(d.n * log10((SELECT n FROM nd) / f.df) * l.y) AS s
   FROM dtm d JOIN dfreq f USING (term) JOIN lex l ON l.x = d.term GROUP BY 1, 2),
 names AS (SELECT DISTINCT lexicon FROM lex)
-SELECT w.id, CAST(w.wc AS DOUBLE) AS word_count, n.lexicon, """ + s6("coalesce(r.s, 0) / w.wc") + """ AS score
+SELECT w.id, CAST(w.wc AS DOUBLE) AS word_count, n.lexicon, """ + s6("coalesce(r.s / nullif(w.wc, 0), 0)") + """ AS score
 FROM wcs w CROSS JOIN names n LEFT JOIN raw r ON r.id = w.id AND r.lexicon = n.lexicon""")
 def sent_from_dtm(spark, sf):
     """Score a ready document-term table (tf-idf)."""
-    dtm = D.dtm_build(corpus(spark, sf), fx.STOPWORDS)
-    out = S.score_dtm(dtm, lexicons(spark), "tf-idf")
+    dtm = materialize(D.dtm_build(corpus(spark, sf), fx.STOPWORDS), "dtm")
+    out = S.score_dtm(dtm, lexicons(spark), "tf-idf", corpus(spark, sf))
     return out.select("id", "word_count", "lexicon", r6("score").alias("score"))

@@ -240,7 +240,7 @@ def extract_phrases(spark, sf):
     """First match per document and pattern, distinct phrases with the
     pattern's score (on lower-cased ASCII text)."""
     c = corpus(spark, sf).select(_ascii_lower().alias("text"))
-    return TK.extract_phrases(c, PHRASE_PATTERNS)
+    return TK.extract_phrases(c, PHRASE_PATTERNS).select("w", "s").distinct()
 
 
 @register("valence_mark", Q.with_(Q.CORPUS, Q.TOKS, Q.VALENCE) + """

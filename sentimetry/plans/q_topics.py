@@ -1,7 +1,7 @@
 """Registered queries: topic models and topic tables (O83–O100).
 
 Relational operators run on the stand-in θ (embeddings) and φ (per-language
-term shares) of FIXTURES.md, which have exact SQL twins; MLlib fits are
+term shares) of FIXTURES.md, which have exact SQL twins; fitted models are
 rows-only."""
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import nonblank_runs
 from ..operators import dtm as D
+from ..operators import tokens as TK
 from ..operators import topics as TP
 from ..sources import fixtures as fx
 from . import sql as Q
@@ -19,16 +20,15 @@ from .registry import register
 from ..session import materialize
 
 THETA_SQL = """th AS (SELECT vec_id AS doc_id, i AS topic,
-  abs(CAST(embedding[i] AS DOUBLE)) / list_sum(list_transform(embedding[1:10], lambda v: abs(CAST(v AS DOUBLE))))
-  AS theta FROM embeddings, range(1, 11) r(i)),
+  abs(CAST(embedding[i] AS DOUBLE)) / list_sum(list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE))))
+  AS theta FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
 cat AS (SELECT vec_id AS doc_id, CAST(label AS VARCHAR) AS category FROM embeddings)"""
-PHI_SQL = f"""vocab AS (SELECT term FROM dtm WHERE length(term) >= 3 GROUP BY term ORDER BY sum(n) DESC, term
-  LIMIT {fx.PHI_VOCAB}),
+PHI_SQL = """vocab AS (SELECT DISTINCT term FROM dtm WHERE length(term) >= 3),
 langs AS (SELECT DISTINCT lang FROM corpus),
 cnt AS (SELECT c.lang, d.term, sum(d.n) AS n FROM dtm d JOIN corpus c ON c.id = d.id
   WHERE d.term IN (SELECT term FROM vocab) GROUP BY 1, 2),
 tot AS (SELECT lang, sum(n) AS s FROM cnt GROUP BY 1),
-phi AS (SELECT l.lang AS topic, v.term, (coalesce(c.n, 0) + 1.0) / (coalesce(t.s, 0) + {fx.PHI_VOCAB}) AS phi
+phi AS (SELECT l.lang AS topic, v.term, (coalesce(c.n, 0) + 1.0) / (coalesce(t.s, 0) + (SELECT count(*) FROM vocab)) AS phi
   FROM langs l CROSS JOIN vocab v LEFT JOIN cnt c ON c.lang = l.lang AND c.term = v.term
   LEFT JOIN tot t ON t.lang = l.lang)"""
 PHI_ALL = DTM_SQL + ", " + PHI_SQL + "\n"
@@ -40,18 +40,23 @@ def theta_standin(spark, sf):
 
 
 def phi_standin(spark, sf):
-    """φ(topic = language, term) = (n + 1) / (Σn + V) over the V most
-    frequent terms of three letters or more."""
-    dtm = D.dtm_build(corpus(spark, sf), fx.STOPWORDS)
-    vocab = D.top_terms(dtm.where(F.length("term") >= 3), fx.PHI_VOCAB).select("term")
+    """φ(topic = language, term) = (n + 1) / (Σn + V) over the V terms of
+    three letters or more.
+
+    One pass over the text: counts by language and term, written once, give the
+    totals, the vocabulary's size and the grid of languages and terms."""
     docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
-    cnt = dtm.join(vocab, "term", "left_semi").join(docs, "id").groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    toks = TK.word_tokens(corpus(spark, sf), stopwords=fx.STOPWORDS).where(F.length("term") >= 3)
+    cnt = materialize(toks.join(docs, "id").groupBy("lang", "term").agg(F.count("*").alias("n")), "phi-counts")
     tot = cnt.groupBy("lang").agg(F.sum("n").alias("s"))
     langs = docs.select(F.sort_array(F.collect_set("lang"))).scalar()
-    grid = vocab.select("term", F.explode(langs).alias("lang"))
-    return (grid.join(cnt, ["lang", "term"], "left").join(tot, "lang", "left")
+    by_term = cnt.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
+    size = cnt.select(F.countDistinct("term")).scalar()
+    grid = by_term.select("term", F.explode(langs).alias("lang"), "by_lang").select(
+        "term", "lang", F.coalesce(F.try_element_at("by_lang", "lang"), F.lit(0)).alias("n"))
+    return (grid.join(tot, "lang", "left")
             .select(F.col("lang").alias("topic"), "term",
-                    ((F.coalesce("n", F.lit(0)) + 1.0) / (F.coalesce("s", F.lit(0)) + fx.PHI_VOCAB)).alias("phi")))
+                    ((F.col("n") + 1.0) / (F.coalesce("s", F.lit(0)) + size)).alias("phi")))
 
 
 @register("topic_of_doc", THETA_ALL + """SELECT doc_id, topic FROM (SELECT doc_id, topic,
@@ -172,76 +177,74 @@ def metric_cao_juan(spark, sf):
     return TP.metric_cao_juan(phi_standin(spark, sf)).select(r6("value").alias("value"))
 
 
-@register("metric_deveaud", PAIRS_SQL + "SELECT " + s6("avg(d)") + """ AS value FROM (SELECT t1, t2,
+@register("metric_deveaud", PAIRS_SQL + "SELECT " +
+          s6("sum(d) / ((SELECT count(DISTINCT topic) FROM phi) * ((SELECT count(DISTINCT topic) FROM phi) - 1))") +
+          """ AS value FROM (SELECT t1, t2,
   0.5 * sum(p * ln(p / q)) + 0.5 * sum(q * ln(q / p)) AS d FROM pr GROUP BY 1, 2)""")
 def metric_deveaud(spark, sf):
     """Mean symmetric divergence of topic pairs."""
     return TP.metric_deveaud(phi_standin(spark, sf)).select(r6("value").alias("value"))
 
 
-# --- MLlib LDA (rows-only) -----------------------------------------------------
-def _lda_inputs(spark, sf):
-    """Topic DTM written once to the checkpoint folder (text is tokenised
-    once; pruning reads it twice: median score, then the kept terms), pruned
-    at the median tf-idf score, then turned into count vectors."""
-    tdtm = materialize(D.topic_dtm(corpus(spark, sf), fx.STOPWORDS, 3))
-    return TP.dtm_vectors(D.prune_by_tfidf(tdtm))
+# --- fitted models (rows-only) ---------------------------------------------------
+K_TOPICS = 10
+K_GRID = list(range(2, 16))
 
 
-K_TOPICS = 10
+def _topic_dtm(spark, sf):
+    """Topic DTM pruned at the median tf-idf score; the text is tokenised once."""
+    c = corpus(spark, sf)
+    tdtm = materialize(D.topic_dtm(c, fx.STOPWORDS, 3, True), "topic-dtm")
+    return materialize(D.prune_by_tfidf(tdtm, None, D.n_documents(c)), "pruned-dtm")
+
+
+def _models(spark, sf, ks, seed):
+    """(models, row sums of the DTM they saw)."""
+    dtm, docs = _topic_dtm(spark, sf), corpus(spark, sf)
+    return TP.lda_em(dtm, docs, ks, seed), D.doc_lengths(dtm, docs)
 
 
 @register("lda_fit", None)
 def lda_fit(spark, sf):
     """LDA with k = 10 on the tf-idf-pruned topic DTM; top 20 terms."""
-    vec, vocab = _lda_inputs(spark, sf)
-    m = TP.lda_fit(vec, K_TOPICS, seed=622, max_iter=20, optimizer="online")
-    return TP.lda_top_terms(spark, m, vocab, 20)
+    dtm = materialize(D.topic_dtm(corpus(spark, sf), fx.STOPWORDS, 3, True), "topic-dtm")
+    return TP.topic_model(dtm, corpus(spark, sf), "tf-idf", k=K_TOPICS, seed=622)["terms"]
 
 
 @register("topic_posteriors", None)
 def topic_posteriors(spark, sf):
-    """θ of the fitted LDA as a table."""
-    vec, vocab = _lda_inputs(spark, sf)
-    m = TP.lda_fit(vec, K_TOPICS, seed=622, max_iter=20, optimizer="online")
-    return TP.lda_theta(m, vec)
-
-
-def _doc_len(spark, sf):
-    return corpus(spark, sf).select(F.col("id").alias("doc_id"), nonblank_runs("text").alias("len"))
-
-
-K_GRID = list(range(2, 16))
+    """θ of every document and φ of every term, as one table."""
+    m, _ = _models(spark, sf, [K_TOPICS], 622)
+    return m.theta_long().select(F.lit("theta").alias("kind"), F.col("doc_id").cast("string").alias("key"), "topic",
+                                 F.col("theta").alias("value")).unionByName(
+        m.phi_long().select(F.lit("phi").alias("kind"), F.col("term").alias("key"), "topic", F.col("phi").alias("value")))
 
 
 @register("topic_count_grid", None)
 def topic_count_grid(spark, sf):
-    """k = 2..15 scored by four metrics."""
-    vec, vocab = _lda_inputs(spark, sf)
-    return TP.topic_count_grid(spark, vec, vocab, K_GRID, _doc_len(spark, sf))
+    """k = 2..15, fitted side by side and scored by four metrics."""
+    m, lens = _models(spark, sf, K_GRID, 77)
+    return TP.score_models(spark, m, lens)
 
 
 @register("metric_arun", None)
 def metric_arun(spark, sf):
     """Arun2010 for the k = 10 fit."""
-    vec, vocab = _lda_inputs(spark, sf)
-    m = TP.lda_fit(vec, K_TOPICS, seed=77, max_iter=10)
-    v = TP.metric_arun(TP.lda_phi(spark, m, vocab).where("phi > 0"), TP.lda_theta(m, vec), _doc_len(spark, sf))
+    m, lens = _models(spark, sf, [K_TOPICS], 77)
+    v = TP.metric_arun(m.phi_long(), m.theta_long(), lens)
     return spark.createDataFrame([(K_TOPICS, "Arun2010", v)], "k int, metric string, value double")
 
 
 @register("metric_griffiths", None)
 def metric_griffiths(spark, sf):
-    """Log-likelihood bound of the k = 10 fit (named griffiths_bound)."""
-    vec, vocab = _lda_inputs(spark, sf)
-    m = TP.lda_fit(vec, K_TOPICS, seed=77, max_iter=10)
-    return spark.createDataFrame([(K_TOPICS, "griffiths_bound", float(m.logLikelihood(vec)))],
+    """Log-likelihood of the k = 10 fit (named griffiths_bound)."""
+    m, _ = _models(spark, sf, [K_TOPICS], 77)
+    return spark.createDataFrame([(K_TOPICS, "griffiths_bound", float(m.log_likelihood[0]))],
                                  "k int, metric string, value double")
 
 
 @register("metric_normalise", None)
 def metric_normalise(spark, sf):
     """O100: min-max scaled metrics over the k grid."""
-    vec, vocab = _lda_inputs(spark, sf)
-    return TP.metric_normalise(TP.topic_count_grid(spark, vec, vocab, K_GRID, _doc_len(spark, sf)))
-
+    m, lens = _models(spark, sf, K_GRID, 77)
+    return TP.metric_normalise(TP.score_models(spark, m, lens))

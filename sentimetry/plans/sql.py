@@ -171,12 +171,30 @@ grid AS (SELECT unnest(range(lo, hi + 1)) AS i FROM bounds),
   ON p.lexicon = k.lexicon AND p.feature = k.feature AND {period_index_expr('p.date', by)} = g.i)"""
 
 
+def weights_sql(name: str, lag: int, most: int) -> str:
+    """Unnormalised weights of a scheme, oldest first, from its formula;
+    ``most``: greatest Almon order in use."""
+    if name == "equal_weight":
+        w = "1.0"
+    elif name == "linear":
+        w = "i"
+    elif name.startswith("exponential"):
+        alpha = name.removeprefix("exponential")
+        w = f"{alpha} * pow(1 - {alpha}, {lag} - i)"
+    else:
+        order = name.removeprefix("almon").removesuffix("_inv")
+        x = f"(1 - i / {lag}.0)" if name.endswith("_inv") else f"(i / {lag}.0)"
+        w = f"(1 - pow(1 - {x}, {order})) * pow(1 - {x}, {most} - {order})"
+    return f"list_transform(range(1, {lag + 1}), lambda i: CAST({w} AS DOUBLE))"
+
+
 def roll_sql(schemes: dict, src: str = "filled", name: str = "rolled", keys=("lexicon", "feature")) -> str:
     lag = len(next(iter(schemes.values())))
+    most = max([int(n.removeprefix("almon").removesuffix("_inv")) for n in schemes if n.startswith("almon")], default=0)
     k = ", ".join(keys)
     sel = " UNION ALL ".join(
-        f"SELECT date, {k}, {q(n)} AS time, list_dot_product(v, [{', '.join(repr(float(x)) for x in w)}]) AS value"
-        f" FROM framed" for n, w in schemes.items())
+        f"SELECT date, {k}, {q(n)} AS time, list_dot_product(v, {weights_sql(n, lag, most)}) / "
+        f"list_sum({weights_sql(n, lag, most)}) AS value FROM framed" for n in schemes)
     return f"""framed0 AS (SELECT date, {k}, list(value) OVER (PARTITION BY {k} ORDER BY date
     ROWS BETWEEN {lag - 1} PRECEDING AND CURRENT ROW) AS v FROM {src}),
 framed AS (SELECT * FROM framed0 WHERE len(v) = {lag}),

@@ -1,17 +1,17 @@
-"""Session helpers: building a session, size-checked broadcast, checkpoint folder."""
+"""Session helpers: building a session, size-checked broadcast, shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Default row bound under which a side table (lexicon, valence list, stop
-# words, timeline, weights) is hinted for broadcast.  Above it the join falls
-# back to a shuffle join that AQE may still re-plan at run time.
+# Row bound under which a parameter table (lexicon, valence list, stop words,
+# timeline, weights) is hinted for broadcast.
 BROADCAST_MAX_ROWS = 2_000_000
 
 
@@ -27,7 +27,8 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "sentim
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
+        .config("spark.sql.files.maxPartitionBytes", os.environ.get("SPARK_MAX_PARTITION_BYTES", "64m"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()
@@ -35,21 +36,25 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "sentim
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
 
-    On a cluster the setting names a shared folder and is used as is.  Only
-    when it is unset (local tests) a scratch folder is created.
+    It is ``spark.checkpoint.dir`` of the session, never overridden.  Where it
+    is unset, a session in local mode (tests, one machine) gets a scratch
+    folder once; on a cluster that would be machine-local, so it is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="sentimetry-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:  # noqa: BLE001 - a read-only setting: the context below still gets the folder
-            pass
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="sentimetry-local-")
+    return _LOCAL_DIRS[app]
+
+
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 # Proven row bounds of DataFrames built from Python lists (parameter tables)
@@ -72,44 +77,21 @@ def inherit_bound(derived: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
-    """Hint ``df`` for broadcast only when its row count is proven <= max_rows.
+    """Hint ``df`` for broadcast when its row count is proven <= max_rows.
 
-    ``known_rows`` is passed when the caller built the table from a Python
-    list; otherwise a bounded count (``limit(max_rows + 1)``) decides.  Beyond
-    the bound the table is returned unhinted and Spark plans a shuffle join.
+    Only parameter tables have a proven bound: ``known_rows`` or one recorded
+    by :func:`mark_bounded`.  Any other table is returned as it is, without a
+    count of its own, and AQE decides from its size at run time.
     """
     if known_rows is None:
         known_rows = _BOUNDS.get(df)
-    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if known_rows is not None and known_rows <= max_rows else df
 
 
-def spread_scan(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has cores.
-
-    A small input stored as one parquet row group is read by one task; the
-    text work after it would then run on one core.  Only in that case the rows
-    are hash-partitioned by ``key`` (deterministic, so a lost task recomputes
-    the same split).  A large input already comes in many splits and is
-    returned unchanged: no shuffle of the raw text at scale.
-    """
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the plan as is
-        return df
-    if have >= want:
-        return df
-    return df.repartition(want, key)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return a DataFrame reading it
-    (lineage cut; a lost executor re-reads files instead of re-running the
-    plan).  The plan is persisted for the duration of the write, so it runs
-    once rather than once for the action and again for the checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist()
-    out = held.checkpoint(eager=True)
-    held.unpersist()
-    return out
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once to the shared folder and return a DataFrame reading it:
+    lineage is cut, and a lost executor re-reads files instead of re-running
+    the plan."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import mark_bounded, spread_scan
+from ..session import mark_bounded
 from .corpus import corpus_from_table
 
 # ---------------------------------------------------------------------------
@@ -46,8 +46,6 @@ COEF_ROWS = [
     ("LEXB--press--equal_weight", 2.0), ("LEXC--other--linear", 0.0),
 ]
 FEATURE_NAMES = ["press", "web", "news", "products", "results", "other"]
-TOPIC_COUNT = 10
-PHI_VOCAB = 200
 
 LEXICON_SCHEMA = T.StructType([
     T.StructField("lexicon", T.StringType(), False),
@@ -67,7 +65,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dated corpus ``(id, date, text, features MAP<STRING,DOUBLE>)``."""
-    docs = spread_scan(table(spark, sf_dir, "documents"), "doc_id")
+    docs = table(spark, sf_dir, "documents")
     src = F.regexp_extract("source", r"^src(\d+)$", 1).cast("long")
     lang_en = (F.col("lang") == "en").cast("double")
     press = (src % 3 == 0).cast("double")
@@ -127,9 +125,9 @@ def market_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F8: ``(doc_id, topic, theta)`` from the first ten embedding values."""
+    """F8: ``(doc_id, topic, theta)``: one topic for each embedding value."""
     e = table(spark, sf_dir, "embeddings")
-    vals = F.transform(F.slice("embedding", 1, TOPIC_COUNT), lambda v: F.abs(v.cast("double")))
+    vals = F.transform("embedding", lambda v: F.abs(v.cast("double")))
     tot = F.aggregate(vals, F.lit(0.0), lambda acc, v: acc + v)
     return (
         e.select(F.col("vec_id").alias("doc_id"), vals.alias("v"), tot.alias("tot"))

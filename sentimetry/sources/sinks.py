@@ -1,23 +1,19 @@
 """Sinks (O07 result_sink, O08 topic_json_sink).
 
-Results are written under the folder named by ``spark.checkpoint.dir`` (a
-shared folder on a cluster); only when that is unset, as in tests, a scratch
-folder is taken.  Each write gets its own sub-folder, written with mode
-``overwrite`` so a retried job replaces a partial attempt.
+Results are written under the session's shared folder (``spark.checkpoint.dir``),
+in a sub-folder named by the application and the result.  A repeated write has
+the same target and mode ``overwrite``, so it replaces a partial attempt.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import shared_dir
 
 
 def _target(spark: SparkSession, name: str) -> str:
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/results/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/results/{spark.sparkContext.applicationId}/{name}"
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
@@ -39,3 +35,10 @@ def write_json_and_read(spark: SparkSession, df: DataFrame, name: str) -> DataFr
     path = _target(spark, name)
     df.write.mode("overwrite").json(path)
     return spark.read.text(path).withColumnRenamed("value", "json")
+
+
+def save_model(model, spark: SparkSession, name: str) -> str:
+    """Save a fitted MLlib model; a repeated save replaces it."""
+    path = _target(spark, f"models/{name}")
+    model.write().overwrite().save(path)
+    return path

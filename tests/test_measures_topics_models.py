@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sentimetry.functions import weights as W
 from sentimetry.operators import attribution as A
 from sentimetry.operators import dtm as D
+from sentimetry.operators import lda as LDA
 from sentimetry.operators import measures as M
 from sentimetry.operators import models as MD
 from sentimetry.operators import target as TG
@@ -21,6 +22,14 @@ def d(s):
 
 
 # --- weights -------------------------------------------------------------------
+def test_weight_values_by_hand():
+    assert W.exponential_weights(3, 0.5) == pytest.approx([1 / 7, 2 / 7, 4 / 7])
+    # lag 2, R = 2, r = 1: x = .5: .5 * .5 = .25; x = 1: 1 * 0 = 0
+    assert W.almon_weights(2, 1, 2) == pytest.approx([1.0, 0.0])
+    # inverse: x = .5: .25; x = 0: 0;  r = 2: x = .5: .75; x = 1: 1
+    assert W.almon_weights(2, 2, 2) == pytest.approx([0.75 / 1.75, 1 / 1.75])
+
+
 @pytest.mark.parametrize("how", ["equal_weight", "linear", "exponential", "almon"])
 def test_weights_sum_to_one(how):
     for name, w in W.time_schemes((how,), 7, alphas_exp=(0.2, 0.5)).items():
@@ -144,6 +153,34 @@ def test_six_number_summary_type7(spark):
     assert r["mean"] == pytest.approx(4.0)
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 1000, 20000])
+def test_exact_quantiles(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.choice([0.0, 1.0, 2.5], n) + rng.normal(size=n) * (rng.random(n) < 0.7)  # with ties
+    df = spark.createDataFrame([(float(v),) for v in x], "v double").repartition(5)
+    ps = [0.0, 0.25, 0.5, 0.75, 1.0]
+    assert D.exact_quantiles(df, "v", ps) == pytest.approx(list(np.quantile(x, ps)))
+    assert D.exact_quantiles(df.where("false"), "v", [0.5]) == [None]
+
+
+def test_documents_without_terms_count(spark):
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    n = D.n_documents(docs)
+    t = {(r["id"], r["term"]): r["tfidf"] for r in D.tfidf_docs(_dtm(spark), n).collect()}
+    assert t[(1, "a")] == pytest.approx(1 / 3 * math.log10(3)) and t[(2, "b")] == pytest.approx(0.5 * math.log10(1.5))
+    assert {r["id"]: r["doc_len"] for r in D.doc_lengths(_dtm(spark), docs).collect()} == {1: 3, 2: 2, 3: 0}
+
+
+def test_one_scan_and_one_tokenisation(spark):
+    """The statistics' plans read the text once."""
+    corpus = spark.createDataFrame([(1, "aaa bbb ccc"), (2, "aaa ddd")], "id long, text string")
+    plan = D.term_tfidf_mean(D.topic_dtm(corpus, ["bbb"], 3, True), F.lit(2))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Generate ") == 1 and "Join" not in text
+    got = {r["term"]: r["score"] for r in plan.collect()}
+    assert got == {"aaa": 0.0, "ccc": pytest.approx(0.5), "ddd": pytest.approx(0.5)}
+
+
 def test_dtm_slice_dense(spark):
     out = D.dtm_slice(_dtm(spark), 2, 3)
     assert out.count() == 6
@@ -171,15 +208,87 @@ def test_topic_tables(spark):
     assert ratio[("y", 2)]["ratio"] == pytest.approx(4.0) and ratio[("y", 2)]["rank"] == 1
 
 
-def test_lda_rows_sum_to_one(spark):
-    dtm = spark.createDataFrame([(i, t, 1 + (i + j) % 3) for i in range(12) for j, t in enumerate("abcdef")
-                                 if (i + j) % 2 == 0], "id long, term string, n long")
-    vec, vocab = TP.dtm_vectors(dtm)
-    m = TP.lda_fit(vec, 2, seed=1, max_iter=5)
-    th = TP.lda_theta(m, vec).groupBy("doc_id").agg(F.sum("theta").alias("s")).collect()
-    assert all(r["s"] == pytest.approx(1.0, abs=1e-6) for r in th)
-    ph = TP.lda_phi(spark, m, vocab).groupBy("topic").agg(F.sum("phi").alias("s")).collect()
-    assert all(r["s"] == pytest.approx(1.0, abs=1e-6) for r in ph)
+def _lda_table(spark):
+    return spark.createDataFrame([(i, t, 1 + (i + j) % 3) for i in range(12) for j, t in enumerate("abcdef")
+                                  if (i + j) % 2 == 0], "id long, term string, n long")
+
+
+def test_lda_shares_and_rising_bound(spark):
+    docs = spark.range(14)  # two documents without a term
+    m = LDA.lda_em(_lda_table(spark), docs, [2, 3], seed=1, tol=1e-5)
+    for model, k in ((0, 2), (1, 3)):
+        th = m.theta_long(model).groupBy("doc_id").agg(F.sum("theta").alias("s"), F.count("*").alias("n")).collect()
+        assert len(th) == 14 and all(r["s"] == pytest.approx(1.0) and r["n"] == k for r in th)
+        ph = m.phi_long(model).groupBy("topic").agg(F.sum("phi").alias("s"), F.count("*").alias("n")).collect()
+        assert len(ph) == k and all(r["s"] == pytest.approx(1.0) and r["n"] == 6 for r in ph)
+        assert all(y >= x - 1e-9 for x, y in zip(m.trace[model], m.trace[model][1:]))
+    assert m.theta_long(0).where("doc_id = 13").select("theta").collect() == [(0.5,), (0.5,)]
+
+
+def test_lda_one_exact_step(spark):
+    """One E-step and one M-step by hand: a = 0.5, b = 0.25, two topics."""
+    rows = [(1, "x", 2), (1, "y", 1), (2, "y", 3), (2, "z", 1)]
+    share = {(1, "x"): 0.75, (1, "y"): 0.5, (2, "y"): 0.25, (2, "z"): 0.1}
+    dtm = spark.createDataFrame(rows, "id long, term string, n long")
+    start = spark.createDataFrame([(i, t, n * share[i, t], n * (1 - share[i, t])) for i, t, n in rows],
+                                  "id long, term string, g0_0 double, g0_1 double")
+    m = LDA.lda_em(dtm, spark.createDataFrame([(1,), (2,)], "id long"), [2], doc_prior=0.5, term_prior=0.25,
+                   start=start, rounds=1)
+
+    def parameters(g):
+        nd, nt, nk = {}, {}, [0.0, 0.0]
+        for (i, t), v in g.items():
+            for k in (0, 1):
+                nd.setdefault(i, [0, 0])[k] += v[k]
+                nt.setdefault(t, [0, 0])[k] += v[k]
+                nk[k] += v[k]
+        theta = {i: [(v[k] + 0.5) / (sum(v) + 1.0) for k in (0, 1)] for i, v in nd.items()}
+        phi = {t: [(v[k] + 0.25) / (nk[k] + 3 * 0.25) for k in (0, 1)] for t, v in nt.items()}
+        return theta, phi
+
+    g = {(i, t): [n * share[i, t], n * (1 - share[i, t])] for i, t, n in rows}
+    theta, phi = parameters(g)
+    g = {}
+    for i, t, n in rows:
+        w = [theta[i][k] * phi[t][k] for k in (0, 1)]
+        g[i, t] = [n * x / sum(w) for x in w]
+    theta, phi = parameters(g)
+    got = {(r["doc_id"], r["topic"]): r["theta"] for r in m.theta_long().collect()}
+    assert got == {(i, k + 1): pytest.approx(theta[i][k]) for i in theta for k in (0, 1)}
+    got = {(r["term"], r["topic"]): r["phi"] for r in m.phi_long().collect()}
+    assert got == {(t, k + 1): pytest.approx(phi[t][k]) for t in phi for k in (0, 1)}
+
+
+def test_topic_model_removals(spark):
+    for remove in ("no", "sparse", "tf-idf"):
+        out = TP.topic_model(_lda_table(spark), spark.range(12), remove, p=0.6, k=2, t=3, tol=1e-2)
+        assert out["topics"].count() == 12 and out["terms"].groupBy("topic").count().where("count > 3").isEmpty()
+    with pytest.raises(ValueError):
+        TP.topic_model(_lda_table(spark), spark.range(12), "other")
+
+
+def test_metric_values(spark):
+    """O97 divides the pair sum by k(k−1); O98 compares singular values with
+    length-weighted totals as they are."""
+    phi = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (2, "a", 0.8), (2, "b", 0.2)],
+                                "topic int, term string, phi double")
+    kl = 0.5 * (0.5 * math.log(0.5 / 0.8) + 0.5 * math.log(0.5 / 0.2)) + 0.5 * (
+        0.8 * math.log(0.8 / 0.5) + 0.2 * math.log(0.2 / 0.5))
+    assert TP.metric_deveaud(phi).first()["value"] == pytest.approx(kl / 2)
+    theta = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.5), (2, 1, 0.2), (2, 2, 0.8)],
+                                  "doc_id long, topic int, theta double")
+    lens = spark.createDataFrame([(1, 4), (2, 10)], "id long, doc_len long")
+    c1 = np.linalg.svd(np.array([[0.5, 0.5], [0.8, 0.2]]), compute_uv=False)
+    c2 = np.array([4 * 0.5 + 10 * 0.2, 4 * 0.5 + 10 * 0.8]) / 10
+    want = (c1 * np.log(c1 / c2)).sum() + (c2 * np.log(c2 / c1)).sum()
+    assert TP.metric_arun(phi, theta, lens) == pytest.approx(want)
+
+
+def test_token_table(spark):
+    phi = spark.createDataFrame([(1, "a", 0.5), (2, "a", 0.25)], "topic int, term string, phi double")
+    share = spark.createDataFrame([(1, 0.4), (2, 0.6)], "topic int, share double")
+    got = {r["topic"]: r["freq"] for r in TP.topic_token_table(phi, share).collect()}
+    assert got == {1: pytest.approx(0.2 / 0.35), 2: pytest.approx(0.15 / 0.35)}
 
 
 # --- target, models, attribution ----------------------------------------------------
@@ -216,6 +325,62 @@ def test_sparse_at_lambda_max_is_intercept_only(spark):
     assert m.intercept == pytest.approx(math.log(40 / 20), abs=1e-6)
 
 
+def test_lasso_of_one_binary_regressor_closed_form(spark):
+    """O117 with a non-zero coefficient: at the optimum the mean residual
+    covariance of the standardised regressor equals λ in absolute value."""
+    rows = [(1, 0.0)] * 30 + [(0, 0.0)] * 10 + [(1, 1.0)] * 5 + [(0, 1.0)] * 15
+    df = spark.createDataFrame(rows, "label int, x1 double")
+    lam = MD.lambda_max(df, "label", ["x1"]) / 3
+    m = MD.sparse_fit(df, "label", ["x1"], lam)
+    b0, b = m.intercept, m.coefficients[0]
+    p = lambda x: 1 / (1 + math.exp(-(b0 + b * x)))
+    assert sum(y - p(x) for y, x in rows) / len(rows) == pytest.approx(0, abs=1e-5)
+    sd = np.std([x for _, x in rows], ddof=1)
+    slope = sum((y - p(x)) * x for y, x in rows) / len(rows) / sd
+    assert b < 0 and slope == pytest.approx(-lam, abs=1e-5)
+
+
+def test_kfold_choice_and_standard_error(spark):
+    rng = np.random.default_rng(0)
+    rows = [(int(x + rng.normal() > 0), float(x), float(rng.normal()), i % 5) for i, x in enumerate(rng.normal(size=60))]
+    df = spark.createDataFrame(rows, "label int, a double, b double, fold int")
+    path = MD.lambda_path(df, "label", ["a", "b"], 4)
+    assert path[0] == pytest.approx(MD.lambda_max(df, "label", ["a", "b"])) and path[-1] == pytest.approx(path[0] * 0.01)
+    best, curve = MD.lasso_kfold(df, "label", ["a", "b"], path, k=5)
+    assert best == min(curve, key=lambda r: (round(r[1], 12), -r[0]))[0]
+    assert MD.sparse_fit(df, "label", ["a", "b"], best).getRegParam() == best
+    errors = []
+    for lam in path:
+        for f in range(5):
+            m = MD.sparse_fit(df.where(f"fold <> {f}"), "label", ["a", "b"], lam, 50, 1e-5)
+            t = m.transform(MD._assemble(df.where(f"fold = {f}"), "label", ["a", "b"]))
+            errors.append((lam, f, t.select(F.avg((F.col("prediction") != F.col("label")).cast("double"))).first()[0]))
+    want = MD.cv_curve(spark.createDataFrame(errors, "lambda double, fold int, error double")).collect()
+    assert {r["lambda"]: (r["cv_error"], r["cv_se"]) for r in want} == {
+        x: (pytest.approx(e, abs=1e-9), pytest.approx(se, abs=1e-9)) for x, e, se in curve}
+
+
+def test_timeslices_keep_one_class_slices(spark):
+    rows = [(d(f"20{i:02d}-01-01"), int(i >= 8 and i % 2), float(i % 3)) for i in range(14)]
+    df = spark.createDataFrame(rows, "date date, label int, a double")
+    out = MD.timeslice_cv(df, "label", ["a"], [0.1, 0.01], 6, 2)
+    assert sorted({r[1] for r in out}) == list(range(7))
+    assert [(r[2], r[3]) for r in out if r[1] == 0] == [(None, "one class in training")] * 2
+    assert all(r[2] is not None and r[3] is None for r in out if r[1] == 6)
+    assert MD.best_lambda(out) in (0.1, 0.01)
+
+
+def test_stepwise_raises_what_is_no_singular_fit(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 2, float(i)) for i in range(10)], "label int, x1 double")
+
+    def lost(*_, **__):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(MD.GeneralizedLinearRegression, "fit", lost)
+    with pytest.raises(RuntimeError):
+        MD.stepwise_aic(df, "label", ["x1"])
+
+
 def test_attribution_sums_to_link(spark):
     m = _measures(spark)
     coefs = spark.createDataFrame([("A--x--equal_weight", 2.0), ("B--y--equal_weight", -1.0)],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentimetry.functions import text as T
 from sentimetry.operators import lexicon as L
+from sentimetry.operators import tokens as TK
 from sentimetry.operators import sentiment as S
 from sentimetry.sources import fixtures as fx
 from sentimetry.sources.corpus import corpus_from_table
@@ -53,8 +54,21 @@ def test_lexicon_setup_first_entry_wins_and_shifters_dropped(spark):
     assert out == {("A", "than"): 3.0}
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_phrase_of_two_patterns_keeps_the_first_score(spark, parts):
+    """Pattern order decides, at any partitioning."""
+    texts = spark.createDataFrame([(t,) for t in ["rise risk", "so rise risk", "zz", "aa risk"]], "text string")
+    mined = TK.extract_phrases(texts.repartition(parts), [("aa risk", 5.0), ("rise [a-z]+", -3.0), ("[a-z]+e risk", 2.0)])
+    lx = L.lexicon_custom(spark, [("aa risk", 9.0), ("must", -2.0)], mined)
+    out = {r["x"]: r["y"] for r in L.lexicon_setup(lx.repartition(parts)).collect()}
+    assert out == {"rise risk": -3.0, "aa risk": 5.0, "must": -2.0}
+    with pytest.raises(ValueError):
+        L.lexicon_setup(lx.drop("pos"))
+
+
 def test_lexicon_split(spark):
-    lx = spark.createDataFrame([("A", "good", 1.0), ("A", "bad", -2.0)], "lexicon string, x string, y double")
+    lx = spark.createDataFrame([("A", "good", 1.0, 0), ("A", "bad", -2.0, 1)],
+                               "lexicon string, x string, y double, pos int")
     out = {(r["lexicon"], r["x"]) for r in L.lexicon_setup(lx, do_split=True).collect()}
     assert out == {("A_POS", "good"), ("A_NEG", "bad")}
 

@@ -6,14 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentimetry.operators import measures as M
-from sentimetry.session import bounded_broadcast, inherit_bound, mark_bounded, materialize, spread_scan
-
-
-def test_spread_scan_only_for_few_splits(spark):
-    few = spark.range(100).coalesce(1)
-    assert spread_scan(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
-    assert spread_scan(many, "id") is many
+from sentimetry.sources import sinks as K
+from sentimetry.session import bounded_broadcast, inherit_bound, mark_bounded, materialize, shared_dir
 
 
 def test_bounds_and_broadcast(spark):
@@ -22,15 +16,48 @@ def test_bounds_and_broadcast(spark):
     plan = spark.range(5).join(bounded_broadcast(derived), F.col("id") == F.col("x"))
     assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString() or \
         "broadcast" in plan._jdf.queryExecution().optimizedPlan().toString().lower()
-    # above the bound no hint is given
-    assert bounded_broadcast(spark.range(10), max_rows=3) is not None
+    # without a proven bound, or above it, no hint is given and no job runs
+    assert bounded_broadcast(big := spark.range(10)) is big
+    assert bounded_broadcast(small, max_rows=1) is small
 
 
 def test_materialize_cuts_lineage(spark):
     df = spark.range(50).withColumn("y", F.col("id") * 2)
     m = materialize(df)
-    assert m.count() == 50
-    assert "LogicalRDD" in m._jdf.queryExecution().logical().toString()
+    assert m.count() == 50 and m.schema == df.schema
+    assert m.inputFiles()[0].startswith("file:") and shared_dir(spark) in m.inputFiles()[0]
+
+
+def test_shared_folder_is_the_sessions(spark):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+class _Session:
+    """A session without a checkpoint folder."""
+
+    def __init__(self, master):
+        self.conf, self.sparkContext = self, self
+        self.master, self.applicationId = master, f"app-{master}"
+
+    def get(self, key, default):
+        return default
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    with pytest.raises(ValueError):
+        shared_dir(_Session("spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(_Session("local-cluster[2,1,1024]"))
+    local = _Session("local[2]")
+    assert shared_dir(local) == shared_dir(local)
+
+
+def test_a_repeated_write_replaces_the_first(spark):
+    K.write_and_read(spark, spark.range(10), "again")
+    assert K.write_and_read(spark, spark.range(3), "again").count() == 3
 
 
 def test_cluster_globals_one_pass(spark):
