@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, inherit_bound
+from ..session import bounded_broadcast, inherit_bound, mark_bounded
 
 DIMS = ("lexicon", "feature", "time")
 
@@ -84,6 +84,23 @@ def attribution_all_dims(measures: DataFrame, coefs: DataFrame) -> DataFrame:
     return g.select("date", dim.alias("dim"), F.coalesce("lexicon", "feature", "time").alias("member"), "attrib")
 
 
+def attribution_by_lag(series: DataFrame, schemes: dict[str, list[float]], coefs: DataFrame) -> DataFrame:
+    """O123, lag dimension: what each period back adds to a date's link,
+    Σ beta · weight · value over measures ``(date, dim, member, attrib)``;
+    ``series``: filled ``(date, lexicon, feature, value)`` before the windows;
+    member 0 is the date's own period.  Sums over lags equal the other dimensions'."""
+    spark, lag = series.sparkSession, len(next(iter(schemes.values())))
+    rows = [(n, lag - 1 - i, float(w)) for n, ws in schemes.items() for i, w in enumerate(ws)]
+    weights = mark_bounded(spark.createDataFrame(rows, "time string, back int, w double"), len(rows))
+    w = Window.partitionBy("lexicon", "feature").orderBy("date").rowsBetween(-(lag - 1), 0)
+    frame = series.select("date", "lexicon", "feature", F.collect_list("value").over(w).alias("v")).where(F.size("v") == lag)
+    cells = frame.select("date", "lexicon", "feature", F.posexplode("v").alias("p", "value")).withColumn("back", F.lit(lag - 1) - F.col("p"))
+    named = cells.join(bounded_broadcast(weights), "back")
+    parts = _weighted(named.select("date", "lexicon", "feature", "time", "back", (F.col("w") * F.col("value")).alias("value")), coefs)
+    return parts.groupBy("date", "back").agg(F.sum(F.col("beta") * F.col("value")).alias("attrib")).select(
+        "date", F.lit("lag").alias("dim"), F.col("back").cast("string").alias("member"), "attrib")
+
+
 def attribution_check(link: DataFrame, attrib_long: DataFrame, intercept: float) -> DataFrame:
     """O124: link − intercept − Σ attributions per date (≈ 0)."""
     s = attrib_long.groupBy("date").agg(F.sum("attrib").alias("sa"))

@@ -82,23 +82,30 @@ def ngram_units(tokens_col, n: int):
     return F.when(F.size(arr) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def lemmatize(df: DataFrame, dictionary: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Replace each blank-separated token by its dictionary form.
+DICTIONARY_BUCKETS = 1024
 
-    Tokens are exploded, looked up in the (broadcast) dictionary and folded
-    back per document in position order.  The fold groups one document's own
-    tokens, so a group never exceeds one text.
-    """
-    d = dictionary.select(F.col(dictionary.columns[0]).alias("term"), F.col(dictionary.columns[1]).alias("lemma"))
-    d = d.dropDuplicates(["term"])
-    toks = df.select(F.col(id_col).alias("_id"), F.posexplode(F.split(F.col(text_col), " ")).alias("pos", "term"))
-    mapped = toks.join(bounded_broadcast(d), "term", "left").select(
-        "_id", "pos", F.coalesce("lemma", "term").alias("term"))
-    folded = mapped.groupBy("_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda s: s["term"]), " ")
-        .alias("_lem"))
-    out = df.join(folded, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    return out.withColumn(text_col, F.coalesce("_lem", F.col(text_col))).drop("_lem")
+
+def _bucket(term: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(term), F.lit(DICTIONARY_BUCKETS)).cast("int")
+
+
+def dictionary_row(dictionary: DataFrame) -> F.Column:
+    """The dictionary (form, lemma) as one value: an array of small maps by hash
+    of the form, so that a look-up inside a row scans a few entries only."""
+    form, lemma = dictionary.columns[:2]
+    one = dictionary.groupBy(F.col(form).alias("form")).agg(F.min(lemma).alias("lemma"))
+    maps = one.groupBy(_bucket(F.col("form")).alias("b")).agg(F.collect_list(F.struct("form", "lemma")).alias("m"))
+    every = dictionary.sparkSession.range(DICTIONARY_BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "m"))), lambda x: F.map_from_entries(x["m"]))).scalar()
+
+
+def lemmatize(df: DataFrame, dictionary: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """Replace each blank-separated token by its dictionary form, in the
+    document's own row: the dictionary (a parameter) comes as one value, so no
+    text and no token is shuffled."""
+    forms = lambda t: F.coalesce(F.try_element_at(F.get(F.col("_dictionary"), _bucket(t)), t), t)
+    folded = F.array_join(F.transform(F.split(F.col(text_col), " "), forms), " ")
+    return df.withColumn("_dictionary", dictionary_row(dictionary)).withColumn(text_col, folded).drop("_dictionary")
 
 
 def lemmatize_tokens(tokens: DataFrame, dictionary: DataFrame, term_col: str = "term") -> DataFrame:
@@ -140,13 +147,19 @@ def keyword_features(corpus: DataFrame, keywords: dict[str, list[str]], text_col
     return corpus.withColumn("features", F.map_concat(F.col("features"), new))
 
 
-def transfer_features(corpus: DataFrame, source: DataFrame, names: list[str]) -> DataFrame:
-    """Features computed on a derived corpus attached to the original by id."""
-    sub = source.select("id", F.map_filter("features", lambda k, v: k.isin(names)).alias("_f"))
-    out = corpus.join(sub, "id", "left")
+def transfer_features(corpus: DataFrame, derive, names: list[str]) -> DataFrame:
+    """Features computed on a derived corpus, attached to the original.
+
+    ``derive`` is a row-local DataFrame → DataFrame step (say lemmatise, then
+    keyword features) that rewrites ``text`` and ``features``; it runs on a copy
+    of both inside the row, so nothing is joined or shuffled.
+    """
+    own = corpus.withColumn("_own", F.struct("text", "features")).withColumn(
+        "features", F.create_map().cast("map<string,double>"))
+    out = derive(own)
     return out.withColumn("features", F.map_concat(
-        F.map_filter("features", lambda k, v: ~k.isin(names)),
-        F.coalesce("_f", F.create_map().cast("map<string,double>")))).drop("_f")
+        F.map_filter("_own.features", lambda k, v: ~k.isin(names)),
+        F.map_filter("features", lambda k, v: k.isin(names)))).withColumn("text", F.col("_own.text")).drop("_own")
 
 
 def feature_totals(corpus: DataFrame) -> DataFrame:

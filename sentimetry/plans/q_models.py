@@ -7,11 +7,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import attribution as A
+from ..operators import measures as M
 from ..operators import models as MD
+from ..operators.sentiment import document_sentiment
 from ..sources import fixtures as fx
 from . import sql as Q
-from .common import LEX_NAMES, r6
-from .q_measures import BASE_SQL, CLUSTERS, _base, _base_once
+from .common import LEX_NAMES, corpus, lexicons, r6
+from .q_measures import BASE, BASE_SQL, CLUSTERS, _base, _base_once
 from .q_target import ALIGNED_SQL, _design, target_monthly
 from .registry import register
 from ..session import materialize
@@ -219,6 +221,7 @@ LINK_SQL = BASE_SQL + f""", {Q.COEFS},
 named AS (SELECT date, lexicon, feature, time, lexicon || '--' || feature || '--' || time AS measure, value FROM rolled),
 contrib AS (SELECT n.date, n.lexicon, n.feature, n.time, c.beta * n.value AS bv FROM named n
   JOIN coefs c ON c.measure = n.measure),
+scheme_weights AS ({" UNION ALL ".join(f"SELECT {Q.q(n)} AS time, {Q.weights_sql(n, BASE.lag, 3)} AS w" for n in BASE.schemes())}),
 link AS (SELECT d.date, {B0!r} + coalesce(s.s, 0.0) AS link FROM (SELECT DISTINCT date FROM rolled) d
   LEFT JOIN (SELECT date, sum(bv) AS s FROM contrib GROUP BY 1) s ON s.date = d.date)
 """
@@ -283,10 +286,22 @@ def attribution(spark, sf):
 @register("attribution_all_dims", LINK_SQL + """SELECT date, 'lexicon' AS dim, lexicon AS member,
   (round(sum(bv), 6) + 0.0) AS attrib FROM contrib GROUP BY 1, 2, 3
 UNION ALL SELECT date, 'feature', feature, (round(sum(bv), 6) + 0.0) FROM contrib GROUP BY 1, 2, 3
-UNION ALL SELECT date, 'time', time, (round(sum(bv), 6) + 0.0) FROM contrib GROUP BY 1, 2, 3""")
+UNION ALL SELECT date, 'time', time, (round(sum(bv), 6) + 0.0) FROM contrib GROUP BY 1, 2, 3
+UNION ALL SELECT f.date, 'lag', CAST(b.back AS VARCHAR), (round(sum(c.beta * w.w[b.lag - b.back] / list_sum(w.w)
+  * f.v[b.lag - b.back]), 6) + 0.0) FROM framed f JOIN scheme_weights w ON true
+  JOIN coefs c ON c.measure = f.lexicon || '--' || f.feature || '--' || w.time
+  JOIN (SELECT unnest(range(0, len(w))) AS back, len(w) AS lag FROM (SELECT w FROM scheme_weights LIMIT 1)) b ON true
+  GROUP BY 1, 2, 3""")
 def attribution_all_dims(spark, sf):
-    """O123: attributions by lexicon, feature and time (grouping sets)."""
-    a = A.attribution_all_dims(_base(spark, sf), _coefs(spark))
+    """O123: attributions by lexicon, feature and time (grouping sets), and by
+    lag (the share of each period in the windows)."""
+    per = M.aggregate_documents(document_sentiment(corpus(spark, sf), lexicons(spark), fx.valence(spark), fx.STOPWORDS,
+                                                   BASE.how_within, BASE.units, BASE.phrase_mode),
+                                BASE.by, BASE.how_docs, BASE.ignore_zeros)
+    filled = materialize(M.fill_periods(per, BASE.by, BASE.fill), "filled")
+    schemes = BASE.schemes()
+    a = A.attribution_all_dims(M.roll_series(filled, schemes), _coefs(spark)).unionByName(
+        A.attribution_by_lag(filled, schemes, _coefs(spark)))
     return a.select("date", "dim", "member", r6("attrib").alias("attrib"))
 
 

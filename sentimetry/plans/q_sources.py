@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..operators.measures import aggregate_documents
@@ -94,11 +96,20 @@ def result_sink(spark, sf):
 
 @register("topic_json_sink", None)
 def topic_json_sink(spark, sf):
-    """Topic-browser tables as JSON lines (rows-only check)."""
-    from .q_topics import phi_standin
-    phi = phi_standin(spark, sf)
-    return K.write_json_and_read(spark, phi.groupBy("topic").agg(
-        F.sort_array(F.collect_list(F.struct("term", "phi"))).alias("terms")), "topic_terms")
+    """The topic browser's tables as JSON lines, one row each: φ, topic
+    shares, term relevance, topic distances and the token table (rows-only)."""
+    from ..operators import topics as TP
+    from ..session import materialize
+    from .q_topics import phi_counts, phi_standin
+    cnt = phi_counts(spark, sf)
+    phi = materialize(phi_standin(spark, sf, cnt), "phi")
+    total = cnt.select(F.sum("n")).scalar()
+    share = cnt.groupBy(F.col("lang").alias("topic")).agg((F.sum("n") / total).alias("share"))
+    freq = cnt.groupBy("term").agg(F.sum("n").alias("freq"))
+    tables = {"phi": phi, "share": share, "relevance": TP.topic_term_relevance(phi, freq, [0.0, 0.5, 1.0], 30),
+              "distance": TP.topic_distance(phi), "token": TP.topic_token_table(phi, share)}
+    rows = [t.select(F.lit(k).alias("kind"), F.to_json(F.struct("*")).alias("row")) for k, t in tables.items()]
+    return K.write_json_and_read(spark, functools.reduce(lambda a, b: a.unionByName(b), rows), "topic_browser")
 
 
 @register("distinct_dates_peek", Q.with_(Q.CORPUS) + "SELECT DISTINCT date FROM corpus ORDER BY date LIMIT 6")

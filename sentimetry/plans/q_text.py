@@ -213,12 +213,11 @@ SELECT id, CAST(regexp_matches(text, '(tha)') AS DOUBLE) AS increase,
 def transfer_features(spark, sf):
     """Keyword features found on the lemmatised corpus, attached to the
     original corpus by id."""
-    c = corpus(spark, sf)
-    lem_text = c.select("id", F.array_join(T.split_tokens(T.text_clean("text")), " ").alias("text"))
-    lem = TK.lemmatize(lem_text, fx.dictionary(spark)).withColumn(
-        "features", F.create_map().cast("map<string,double>"))
-    lem = TK.keyword_features(lem, {"increase": ["tha"], "detect": ["eri"]})
-    out = TK.transfer_features(c, lem, ["increase", "detect"])
+    def derive(c):
+        c = c.withColumn("text", F.array_join(T.split_tokens(T.text_clean("text")), " "))
+        return TK.keyword_features(TK.lemmatize(c, fx.dictionary(spark)), {"increase": ["tha"], "detect": ["eri"]})
+
+    out = TK.transfer_features(corpus(spark, sf), derive, ["increase", "detect"])
     return out.select("id", F.col("features")["increase"].alias("increase"),
                       F.col("features")["detect"].alias("detect"))
 

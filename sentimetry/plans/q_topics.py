@@ -39,15 +39,21 @@ def theta_standin(spark, sf):
     return fx.theta(spark, sf)
 
 
-def phi_standin(spark, sf):
+def phi_counts(spark, sf):
+    """Counts by language and term of three letters or more, written once."""
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
+    toks = TK.word_tokens(corpus(spark, sf), stopwords=fx.STOPWORDS).where(F.length("term") >= 3)
+    return materialize(toks.join(docs, "id").groupBy("lang", "term").agg(F.count("*").alias("n")), "phi-counts")
+
+
+def phi_standin(spark, sf, cnt=None):
     """φ(topic = language, term) = (n + 1) / (Σn + V) over the V terms of
     three letters or more.
 
     One pass over the text: counts by language and term, written once, give the
     totals, the vocabulary's size and the grid of languages and terms."""
-    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
-    toks = TK.word_tokens(corpus(spark, sf), stopwords=fx.STOPWORDS).where(F.length("term") >= 3)
-    cnt = materialize(toks.join(docs, "id").groupBy("lang", "term").agg(F.count("*").alias("n")), "phi-counts")
+    docs = fx.table(spark, sf, "documents").select("lang")
+    cnt = phi_counts(spark, sf) if cnt is None else cnt
     tot = cnt.groupBy("lang").agg(F.sum("n").alias("s"))
     langs = docs.select(F.sort_array(F.collect_set("lang"))).scalar()
     by_term = cnt.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
@@ -116,9 +122,9 @@ SELECT CAST(lam AS DOUBLE) AS "lambda", topic, term, rank, """ + s6("relevance")
           s6("logprob") + " AS logprob, " + s6("loglift") + " AS loglift FROM rk WHERE rank <= 30")
 def topic_term_relevance(spark, sf):
     """Per λ ∈ {0, .5, 1} the 30 most relevant terms of each topic."""
-    phi = phi_standin(spark, sf)
-    dtm = D.dtm_build(corpus(spark, sf), fx.STOPWORDS)
-    tf = D.term_totals(dtm.join(phi.select("term").distinct(), "term", "left_semi"))
+    cnt = phi_counts(spark, sf)
+    phi = phi_standin(spark, sf, cnt)
+    tf = cnt.groupBy("term").agg(F.sum("n").alias("freq"))
     r = TP.topic_term_relevance(phi, tf, [0.0, 0.5, 1.0], 30)
     return r.select("lambda", "topic", "term", F.col("rank").cast("long").alias("rank"),
                     r6("relevance").alias("relevance"), r6("logprob").alias("logprob"), r6("loglift").alias("loglift"))

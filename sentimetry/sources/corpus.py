@@ -53,27 +53,22 @@ def distinct_dates_peek(corpus: DataFrame, n: int = 6) -> DataFrame:
 def corpus_build(corpus: DataFrame) -> DataFrame:
     """Validate a corpus and min-max scale features that leave [0, 1].
 
-    Per feature the min and max come from one aggregate over the exploded map
-    (partial + final hash aggregate; result has one row per feature) joined
-    back by feature name (AQE turns this into a broadcast join at run time,
-    as the table has one row per feature), then the map is rebuilt per
-    document.
+    Per feature the min and max come from one aggregate over the exploded map,
+    which doesn't read the text; as a one-row map (feature → bounds) they are a
+    scalar subquery, and each document scales its own map in place: no text is
+    shuffled.
     """
     missing = {"id", "date", "text"} - set(corpus.columns)
     if missing:
         raise ValueError(f"corpus lacks columns {sorted(missing)}")
-    long = corpus.select("id", F.explode_outer("features").alias("feature", "v"))
-    stats = long.where(F.col("feature").isNotNull()).groupBy("feature").agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"))
-    scaled = (
-        long.join(stats, "feature", "left")
-        .select(
-            "id", "feature",
-            F.when((F.col("lo") >= 0) & (F.col("hi") <= 1), F.col("v"))
-            .otherwise(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)))
-            .alias("v"))
-        .groupBy("id")
-        .agg(F.map_from_entries(F.collect_list(F.when(F.col("feature").isNotNull(),
-                                                      F.struct("feature", "v")))).alias("features"))
-    )
-    return corpus.drop("features").join(scaled, "id", "left")
+    bounds = corpus.select(F.explode("features").alias("feature", "v")).groupBy("feature").agg(
+        F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("b"))
+    by_name = bounds.agg(F.map_from_entries(F.collect_list(F.struct("feature", "b")))).scalar()
+
+    def scale(name, v):
+        b = F.try_element_at(F.col("_bounds"), name)
+        return F.when((b["lo"] >= 0) & (b["hi"] <= 1), v).otherwise(
+            F.coalesce(F.try_divide(v - b["lo"], b["hi"] - b["lo"]), F.lit(0.0)))
+
+    scaled = F.transform_values("features", scale)
+    return corpus.withColumn("_bounds", by_name).withColumn("features", scaled).drop("_bounds")

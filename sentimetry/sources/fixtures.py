@@ -7,6 +7,7 @@ joined to data derived from those tables.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +97,12 @@ def valence(spark: SparkSession) -> DataFrame:
     return mark_bounded(spark.createDataFrame(VALENCE_ROWS, VALENCE_SCHEMA), len(VALENCE_ROWS))
 
 
+def default_stopwords(spark: SparkSession, extra: tuple[str, ...] = ("www", "https", "http", "httpwww")) -> DataFrame:
+    """Spark's English stop list with the given tokens appended."""
+    words = list(dict.fromkeys([*StopWordsRemover.loadDefaultStopWords("english"), *extra]))
+    return mark_bounded(spark.createDataFrame([(w,) for w in words], "term string"), len(words))
+
+
 def stopwords(spark: SparkSession) -> DataFrame:
     return mark_bounded(spark.createDataFrame([(w,) for w in STOPWORDS], "term string"), len(STOPWORDS))
 
