@@ -87,29 +87,45 @@ def aggregate_documents(doc_sent: DataFrame, by: str = "day", how_docs: str = "e
 
 
 def fill_periods(series: DataFrame, by: str, fill: str = "zero", keys: list[str] | None = None) -> DataFrame:
-    """Add the missing periods between a series' first and last
-    period; ``zero`` puts 0, ``latest`` the last value.
+    """Add the missing periods of one grid, from the first to the last
+    period of the whole table; ``zero`` puts 0, ``latest`` the last value (none
+    before a series' first).
 
     Each row looks at the next period of its series (``lead`` over a window
-    partitioned by the series key, i.e. periods × measures rows, never
-    documents) and emits the periods up to it with ``sequence``: one pass,
-    no join back, no scalar subquery.  Every series of a measures table spans
-    the same periods, as every document is scored for every lexicon and
-    feature.
+    partitioned by the series key) and emits the periods up to it with
+    ``sequence``.  The grid's ends come from a window over the same rows, which
+    are periods × measures, never documents: one pass, no join back, and the
+    text pipeline behind the table runs once.
     """
     keys = keys or KEYS
     if fill == "none":
         return series
     if fill not in ("zero", "latest"):
         raise ValueError("fill is zero, latest or none")
-    s = series.withColumn("_i", period_index("date", by))
+    # events and the like have their own periods; the grid is per what isn't a measure key
+    grid = Window.partitionBy(*[k for k in keys if k not in KEYS])
     w = Window.partitionBy(*keys).orderBy("_i")
-    s = s.withColumn("_n", F.coalesce(F.lead("_i").over(w), F.col("_i") + 1))
-    ex = s.select(*keys, "value", "_i", F.explode(F.sequence(F.col("_i"), F.col("_n") - 1)).alias("_j"))
+    s = series.withColumn("_i", period_index("date", by))
+    s = s.withColumn("_n", F.coalesce(F.lead("_i").over(w), F.max("_i").over(grid) + 1))
+    first = F.when(F.lag("_i").over(w).isNull(), F.min("_i").over(grid)).otherwise(F.col("_i"))
+    s = s.withColumn("_from", first if fill == "zero" else F.col("_i"))
+    ex = s.select(*keys, "value", "_i", F.explode(F.sequence(F.col("_from"), F.col("_n") - 1)).alias("_j"))
     v = F.col("value") if fill == "latest" else F.when(F.col("_j") == F.col("_i"), F.col("value")).otherwise(0.0)
     return ex.select(period_from_index("_j", by).alias("date"), *keys, v.alias("value"))
 
 
+def measure_dates(corpus: DataFrame, opts: AggOptions) -> DataFrame:
+    """The dates that measures of ``opts`` have: the grid of periods from the
+    corpus' first to its last, without the first ``lag − 1``.  It reads the date
+    column only, not the text."""
+    if opts.fill == "none":
+        raise ValueError("without filling the dates are those of the measures themselves")
+    ends = corpus.agg(F.min(period_index("date", opts.by)).alias("lo"), F.max(period_index("date", opts.by)).alias("hi"))
+    full = ends.where(F.col("hi") - F.col("lo") >= opts.lag - 1)
+    return full.select(F.explode(F.sequence(F.col("lo") + (opts.lag - 1), "hi")).alias("_j")).select(
+        period_from_index("_j", opts.by).alias("date"))
+
+
 def roll_series(series: DataFrame, schemes: dict[str, list[float]], keys: list[str] | None = None) -> DataFrame:
     """Weighted moving windows, every scheme in one window pass.
 
@@ -175,9 +191,10 @@ def measures_stats(measures: DataFrame) -> DataFrame:
         F.max("value").alias("max"), F.min("value").alias("min"))
     a = m.select("date", F.col("measure").alias("m1"), F.col("value").alias("v1"))
     b = m.select("date", F.col("measure").alias("m2"), F.col("value").alias("v2"))
-    pairs = a.join(b, "date").where(F.col("m1") != F.col("m2")).groupBy("m1", "m2").agg(
+    pairs = a.join(b, "date").where(F.col("m1") < F.col("m2")).groupBy("m1", "m2").agg(
         safe_corr("v1", "v2").alias("r"))
-    mean_r = pairs.groupBy(F.col("m1").alias("measure")).agg(F.avg("r").alias("meanCorr"))
+    both = pairs.select(F.explode(F.array("m1", "m2")).alias("measure"), "r")  # correlation is symmetric
+    mean_r = both.groupBy("measure").agg(F.avg("r").alias("meanCorr"))
     return basic.join(mean_r, "measure", "left")
 
 

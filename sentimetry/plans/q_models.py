@@ -260,7 +260,7 @@ SELECT count(*) FILTER (WHERE p = 1 AND y = 1) AS TP, count(*) FILTER (WHERE p =
 def confusion_scores(spark, sf):
     """O120: confusion counts and rates against the volume-event target."""
     base = _base_once(spark, sf)
-    c = A.confusion_scores(A.predict_class(_link(spark, sf, base)), target_monthly(spark, sf, base))
+    c = A.confusion_scores(A.predict_class(_link(spark, sf, base)), target_monthly(spark, sf))
     return c.select("TP", "TN", "FP", "FN", r6("TPR").alias("TPR"), r6("TNR").alias("TNR"),
                     r6("accuracy").alias("accuracy"))
 
@@ -271,7 +271,7 @@ SELECT date, 'true' AS variable, tru AS value FROM j UNION ALL SELECT date, 'pre
 def binary_plot_table(spark, sf):
     """O121: (date, true, predicted) in long form."""
     base = _base_once(spark, sf)
-    return A.binary_plot_table(A.predict_class(_link(spark, sf, base)), target_monthly(spark, sf, base))
+    return A.binary_plot_table(A.predict_class(_link(spark, sf, base)), target_monthly(spark, sf))
 
 
 @register("attribution", LINK_SQL + "SELECT d.date, " + ", ".join(

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import measures as M
 from ..operators import target as TG
 from ..sources import fixtures as fx
 from . import sql as Q
-from .common import r6, s6
-from .q_measures import BASE_SQL, CLUSTERS, NAMES, _base, _base_once, _cluster_globals, _cluster_sql, _filled, _fill_sql
+from .common import corpus, r6, s6
+from .q_measures import BASE, BASE_SQL, CLUSTERS, NAMES, _base_once, _cluster_globals, _cluster_sql, _filled, _fill_sql
 from .registry import register
 
 MV_SQL = "mv AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, sum(o_totalprice) AS volume " \
@@ -19,8 +20,13 @@ def _mv(spark, sf):
     return TG.monthly_volume(fx.market(spark, sf))
 
 
-def _aligned(spark, sf, base=None):
-    return TG.align_target(_mv(spark, sf), base if base is not None else _base(spark, sf))
+def _dates(spark, sf):
+    """Dates of the base measures, from the corpus' dates alone."""
+    return M.measure_dates(corpus(spark, sf), BASE)
+
+
+def _aligned(spark, sf):
+    return TG.align_target(_mv(spark, sf), _dates(spark, sf))
 
 
 ALIGNED_SQL = BASE_SQL + f""", {MV_SQL},
@@ -31,8 +37,8 @@ target AS (SELECT a.date, a.volume, CASE WHEN t.date IS NULL THEN 0 ELSE 1 END A
 """
 
 
-def target_monthly(spark, sf, base=None):
-    return TG.top_abs_events(_aligned(spark, sf, base), 20)
+def target_monthly(spark, sf):
+    return TG.top_abs_events(_aligned(spark, sf), 20)
 
 
 @register("monthly_volume", Q.with_(MV_SQL) + f"SELECT date, {s6('volume')} AS volume FROM mv")
@@ -51,7 +57,7 @@ def align_target(spark, sf):
   - (SELECT count(DISTINCT date) FROM rolled WHERE date IN (SELECT date FROM mv)) AS gap""")
 def align_check(spark, sf):
     """O102 assertion: aligned target and measure periods agree (gap 0)."""
-    return TG.alignment_gap(_mv(spark, sf), _base(spark, sf))
+    return TG.alignment_gap(_mv(spark, sf), _dates(spark, sf))
 
 
 @register("top_abs_events", ALIGNED_SQL + f"SELECT date, {s6('volume')} AS volume, label FROM target")
@@ -91,7 +97,7 @@ def design_matrix(spark, sf):
 
 def _design(spark, sf, round_=True):
     base = _base_once(spark, sf)
-    dm = TG.design_matrix(target_monthly(spark, sf, base), _cluster_globals(spark, sf, base), base, NAMES,
+    dm = TG.design_matrix(target_monthly(spark, sf), _cluster_globals(spark, sf, base), base, NAMES,
                           list(CLUSTERS))
     if not round_:
         return dm

@@ -122,6 +122,17 @@ def test_merge_global_select_scale(spark):
     assert (sp["c1"], sp["c2"], sp["spread"]) == ("c1", "c2", 0.75)
 
 
+def test_fill_takes_one_grid_for_all_series(spark):
+    rows = [(d("2020-01-01"), "A", "x", 1.0), (d("2020-04-01"), "A", "x", 4.0), (d("2020-02-01"), "B", "x", 2.0)]
+    s = spark.createDataFrame(rows, "date date, lexicon string, feature string, value double")
+    zero = {(r["lexicon"], r["date"].month): r["value"] for r in M.fill_periods(s, "month", "zero").collect()}
+    assert zero == {("A", 1): 1, ("A", 2): 0, ("A", 3): 0, ("A", 4): 4, ("B", 1): 0, ("B", 2): 2, ("B", 3): 0, ("B", 4): 0}
+    last = {(r["lexicon"], r["date"].month): r["value"] for r in M.fill_periods(s, "month", "latest").collect()}
+    assert last == {("A", 1): 1, ("A", 2): 1, ("A", 3): 1, ("A", 4): 4, ("B", 2): 2, ("B", 3): 2, ("B", 4): 2}
+    dates = M.measure_dates(s.select("date"), M.AggOptions(by="month", lag=2, fill="zero"))
+    assert sorted(r["date"].month for r in dates.collect()) == [2, 3, 4]
+
+
 def test_measures_stats_pairs(spark):
     st = {r["measure"]: r for r in M.measures_stats(_measures(spark)).collect()}
     assert st["A--x--equal_weight"]["mean"] == pytest.approx(1.5)
