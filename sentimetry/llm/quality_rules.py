@@ -120,20 +120,20 @@ def _shares(r: Rules):
         """Documents with a word and the sum of its shares, by language; words
         below 0 and above -CLASSES - 2 stand for character classes and, last, all documents."""
         held: list[tuple] = []
+        names: dict[str | None, int] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
             lang, word, share = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            names, number = np.unique(lang.astype(str), return_inverse=True)
-            order, first = grouped(word.view(np.uint64), number)
+            order, first = grouped(word.view(np.uint64), lang)
             times = np.diff(np.append(first, len(order)))
             own = order[first]
-            label = pa.array([x[1:] if x[:1] == "1" else None for x in names.tolist()], pa.string())
-            return pa.record_batch([label.take(pa.array(number[own])), pa.array(word[own]), pa.array(times), pa.array(np.add.reduceat(share[order], first) if len(first) else share)], names=[x.split()[0] for x in SHARES.split(", ")])
+            label = pa.array(list(names), pa.string()).take(pa.array(lang[own]))
+            return pa.record_batch([label, pa.array(word[own]), pa.array(times), pa.array(np.add.reduceat(share[order], first) if len(first) else share)], names=[x.split()[0] for x in SHARES.split(", ")])
 
         for batch in batches:
-            langs = np.array(["0" if x is None else "1" + x for x in batch.column("lang").to_pylist()], object)
+            langs = np.array([names.setdefault(x, len(names)) for x in batch.column("lang").to_pylist()], np.int64)
             for at, block in blocks(batch.column("text")):
                 n = len(block)
                 chars = char_histograms(block)
@@ -169,7 +169,7 @@ def references(docs: DataFrame, r: Rules = Rules()) -> list[dict]:
     total = docs.mapInArrow(_shares(r), SHARES).groupBy("lang", "word").agg(F.sum("docs").alias("docs"), F.sum("share").alias("share"))
     total = stored(total.where((F.col("word") < 0) | (F.col("docs") > 1)), "shares")
     sizes = total.where(F.col("word") == -1 - CLASSES).select(F.col("lang").alias("of"), F.col("docs").alias("all"))
-    known = total.join(F.broadcast(sizes), F.col("lang").eqNullSafe(F.col("of"))).where((F.col("word") < 0) | (F.col("docs") * 100 >= F.col("all")))
+    known = total.join(sizes, F.col("lang").eqNullSafe(F.col("of"))).where((F.col("word") < 0) | (F.col("docs") * 100 >= F.col("all")))
     order = Window.partitionBy("lang", F.col("word") < 0).orderBy(F.col("docs").desc(), "word")
     top = known.withColumn("rank", F.row_number().over(order)).where((F.col("word") < 0) | (F.col("rank") <= r.common_words))
     return [x.asDict() for x in top.where(F.col("word") > -1 - CLASSES).select("lang", "word", (F.col("share") / F.col("all") / UNIT).alias("share")).collect()]
