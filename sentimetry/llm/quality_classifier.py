@@ -42,9 +42,9 @@ META_SIZE = 1 << 10
 class CoTraining:
     fit_rows: int = 10_000
     pool_rows: int = 3_000
-    rounds: int = 3
+    rounds: int = 2
     confident: float = 0.98
-    steps: int = 150
+    steps: int = 100
     ridge: float = 1e-4
     least_rows: int = 4  # of the training set, that a hashed word needs
     marker: float = 2.5  # evidence against a document from which a word is a marker
@@ -133,8 +133,12 @@ def fit_logistic(rows: Rows, y: np.ndarray, size: int, p: CoTraining) -> np.ndar
     loss, over hashed words scaled by their evidence."""
     scaled = np.abs(evidence(rows, y, size, p))
     scaled[1 << WORD_BITS :] = 1.0  # shapes
-    w = _descend(Rows(rows.column, rows.value * scaled[rows.column], rows.count), y, size, p)
-    w[:-1] *= scaled
+    told = scaled[rows.column] != 0  # rare words are no evidence
+    column, count = rows.column[told], np.bincount(rows.row[told], minlength=len(y))
+    used, place = np.unique(column, return_inverse=True)
+    own = _descend(Rows(place, (rows.value * scaled[rows.column])[told], count), y, len(used), p)
+    w = np.zeros(size + 1)
+    w[used], w[-1] = own[:-1] * scaled[used], own[-1]
     return w
 
 
