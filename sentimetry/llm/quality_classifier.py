@@ -40,8 +40,8 @@ META_SIZE = 1 << 10
 
 @dataclass(frozen=True)
 class CoTraining:
-    fit_rows: int = 10_000
-    pool_rows: int = 3_000
+    fit_rows: int = 8_000
+    pool_rows: int = 2_000
     rounds: int = 2
     confident: float = 0.98
     steps: int = 100
@@ -250,7 +250,9 @@ def fit(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> dic
     count = lambda c: np.diff(np.asarray(got.column(c).combine_chunks().offsets))
     text = Rows(flat("text_column").astype(np.int64), flat("text_value").astype(float), count("text_column"))
     meta = Rows(flat("meta_column").astype(np.int64), np.ones(len(flat("meta_column"))), count("meta_column"))
-    return co_train(text, meta, got.column("label").to_numpy(), p)
+    label = got.column("label").to_numpy()
+    del got
+    return co_train(text, meta, label, p)
 
 
 SCORES = "doc_id long, text_score double, meta_score double, score double, kept boolean"
