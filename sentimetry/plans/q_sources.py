@@ -12,6 +12,7 @@ from ..operators.tokens import word_tokens
 from ..sources import corpus as C
 from ..sources import fixtures as fx
 from ..sources import sinks as K
+from ..session import bounded_broadcast, inherit_bound
 from . import sql as Q
 from .common import corpus, lexicons, r6, s6
 from .registry import register
@@ -35,8 +36,11 @@ LEFT JOIN words_all w ON w.term = l.x WHERE l.lexicon IN ('LEXA', 'LEXC') GROUP
 def lexicon_scan(spark, sf):
     """Choose lexicons by name; each entry with the number of
     documents whose tokens contain it."""
-    lx = fx.lexicons(spark).where(F.col("lexicon").isin("LEXA", "LEXC"))
-    toks = word_tokens(corpus(spark, sf)).select("id", F.col("term").alias("x")).distinct()
+    own = fx.lexicons(spark)
+    lx = own.where(F.col("lexicon").isin("LEXA", "LEXC"))
+    listed = bounded_broadcast(inherit_bound(lx.select("x").distinct(), own))
+    toks = word_tokens(corpus(spark, sf)).select("id", F.col("term").alias("x"))
+    toks = toks.join(listed, "x", "left_semi").distinct()  # only listed words are shuffled
     return (lx.join(toks, "x", "left").groupBy("lexicon", "x", "y")
             .agg(F.countDistinct("id").alias("n_docs")))
 
