@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 13
-BROADCAST_WINDOWS = 2_000_000
+BROADCAST_WINDOWS = 200_000  # some 60 MB with their words
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
