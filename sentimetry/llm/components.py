@@ -1,4 +1,4 @@
-"""Connected components of a link table, by least-label rounds in Spark."""
+"""Connected components of a link table, by hooking and contraction in Spark."""
 
 from __future__ import annotations
 
@@ -8,16 +8,41 @@ from pyspark.sql import functions as F
 from .store import stored
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``links`` (a, b) -> (node, root): root is the least node of its component.
-    Each round takes the least label among neighbours, then the label's own
-    label, so chains halve; it stops when no label changes."""
-    edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+
+    A round hooks every node to its least neighbour, follows hooks to their
+    ends (doubling the reach each time), and contracts the links to those ends:
+    at least half of the linked nodes go in a round, and links inside a
+    component are read once.  ``known``: components of earlier links, which the
+    new ones extend.
+    """
+    if known is not None:
+        to = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        links = links.join(to("a"), "a", "left").join(to("b"), "b", "left")
+        fresh = links.select(F.explode(F.array(F.when(F.col("a_root").isNull(), F.col("a")), F.when(F.col("b_root").isNull(), F.col("b")))).alias("node")).where("node is not null").distinct()
+        known = stored(known.unionByName(fresh.select("node", F.col("node").alias("root"))), "roots")
+        links = links.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    edges = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    roots = known
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        lower = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
-        up = lower.select(F.col("node").alias("new"), F.col("new").alias("up"))
-        labels = stored(lower.join(up, "new").select("node", F.least("new", "up").alias("root"), (F.least("new", "up") < F.col("root")).alias("changed")), "labels")
-        if labels.where("changed").isEmpty():
-            return labels.select("node", "root")
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up")), "hooks")
+        if roots is not None and hook.isEmpty():
+            return roots
+        while True:  # two doublings between writes
+            for _ in range(2):
+                above = hook.select(F.col("node").alias("up"), F.col("up").alias("above"))
+                hook = hook.select("node", "up").join(above, "up").select("node", F.col("above").alias("up"), (F.col("above") < F.col("up")).alias("moved"))
+            hook = stored(hook, "hooks")
+            if hook.where("moved").isEmpty():
+                break
+        hook = hook.select("node", "up")
+        end = lambda c: hook.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))
+        edges = edges.join(end("a"), "a").join(end("b"), "b").where("a_up <> b_up")
+        edges = stored(edges.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(), "edges")
+        if roots is None:
+            roots = hook.withColumnRenamed("up", "root")
+        else:
+            above = hook.select(F.col("node").alias("root"), "up")
+            roots = stored(roots.join(above, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")

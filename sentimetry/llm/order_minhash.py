@@ -15,7 +15,8 @@ their shingles within the band that the threshold leaves: the similarity is
 m / (a + b - m) with m shingles matched in order.  Then, while links are found,
 bucket members outside the component of the bucket's best linked node are
 compared with that node: this joins star-shaped groups whose centre wasn't the
-leader.  Components are least-label rounds; nothing is collected.
+leader.  Components come from hooking and
+contraction; nothing is collected.
 
 Defined results: null counts as empty, and texts without a word are copies of
 each other; a null id is kept, and a class of null ids only has a null class
@@ -272,8 +273,8 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> tu
 
     tried = stored(pairs, "candidates")
     links = verified(tried)
+    roots = components(links)
     while True:
-        roots = components(links)
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         state = bucket.join(roots, "node", "left").join(degree, "node", "left").select("band", "sample", "node", "n", "low", "high", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
         hubs = state.groupBy("band", "sample").agg(F.max(F.struct("degree", "node", "n", "low", "high", "root")).alias("y")).where("y.degree > 0")
@@ -282,7 +283,7 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> tu
         more = verified(fresh)
         if more.isEmpty():
             break
-        tried, links = tried.unionByName(fresh), links.unionByName(more)
+        tried, links, roots = tried.unionByName(fresh), links.unionByName(more), components(more, roots)
 
     root = rows.select("doc_id", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = nodes.select("node", "least_id").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least_id").alias("class_id"))
