@@ -9,7 +9,8 @@ is a copy of other pages, not boilerplate around a text.
 Only hashes of lines are shuffled, reduced to one count for each host and line
 before the exchange, so neither a hot host nor a hot line meets in one task.  A
 host has at most (lines of a page on average / ratio) such lines, so they fit a
-row of their host; texts then filter their own lines in place.
+row of their host.  These rows are written, counted, and broadcast when they are
+few, so texts filter their own lines in place and never move.
 
 Defined results: null text stays null; a null host is a host of its own; a
 page's repeated rows are pages of their own; a page whose lines partly go keeps
@@ -21,6 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import stored
+
+BROADCAST_LINES = 1_000_000  # hashes; beyond, texts are joined to them by host, a hot host in splits
 BLANK = " \t\r\f\v"
 
 
@@ -44,8 +48,10 @@ def boilerplate_lines(pages: DataFrame, host: Column, text: Column, ratio: float
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least_pages: int = 5) -> DataFrame:
     """``pages`` with boilerplate lines gone from ``text``, and ``lines_dropped`` (int)."""
     marks = boilerplate_lines(pages, F.col(host), F.col(text), ratio, least_pages)
+    marks = stored(marks, "boilerplate")
+    hashes = marks.agg(F.sum(F.size("boilerplate") + 1)).first()[0] or 0
     p, m = pages.select(F.struct("*").alias("page"), F.col(host).alias("page_host")), marks
-    both = p.join(m, F.col("page_host").eqNullSafe(F.col("host")), "left")
+    both = p.join(F.broadcast(m) if hashes <= BROADCAST_LINES else m, F.col("page_host").eqNullSafe(F.col("host")), "left")
     old = F.col("page").getField(text)
     goes = lambda line: _has_word(line) & F.array_contains(F.col("boilerplate"), _hash(line))
     lines = F.split(old, "\n")

@@ -40,6 +40,12 @@ def test_against_counts_and_sql(spark):
     assert sorted(con.execute(op.line_dedup_sql()).fetchall(), key=repr) == got
 
 
+def test_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(op, "BROADCAST_LINES", -1)
+    got = sorted(((r.doc_id, r.text, r.lines_dropped) for r in op.drop_boilerplate(documents(spark, table())).collect()), key=repr)
+    assert got == brute(table(), 0.1, 5)
+
+
 def test_columns_stay(spark):
     docs = with_clashes(documents(spark, table()))
     assert op.drop_boilerplate(docs).columns == [*docs.columns, "lines_dropped"]
