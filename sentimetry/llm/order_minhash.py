@@ -15,8 +15,11 @@ their shingles within the band that the threshold leaves: the similarity is
 m / (a + b - m) with m shingles matched in order.  Then, while links are found,
 bucket members outside the component of the bucket's best linked node are
 compared with that node: this joins star-shaped groups whose centre wasn't the
-leader.  Components come from hooking and
-contraction; nothing is collected.
+leader.  Last, all other pairs of a bucket whose nodes are still in different
+components are compared, so no such pair is left untested: a bucket is dealt
+into blocks, and blocks meet blocks at doubling distances, with components
+brought up to date between.  Components come from hooking and contraction;
+nothing is collected.
 
 Defined results: null counts as empty, and texts without a word are copies of
 each other; a null id is kept, and a class of null ids only has a null class
@@ -29,10 +32,11 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -45,8 +49,9 @@ SEPARATOR[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """``large``: bucket size from which it is cut; ``neighbours``: how many
-    nodes before it a node meets; ``bits_agree``: sketch bins (of 64)
+    """``large``: bucket size from which it is cut for the first links;
+    ``neighbours``: how many nodes before it a node meets for them; ``block``:
+    nodes of a bucket in a block of the last rounds; ``bits_agree``: sketch bins (of 64)
     whose two bits must agree, over 5 deviations below what a pair at the
     threshold shows."""
 
@@ -56,6 +61,7 @@ class NearDuplicates:
     sample: int = 3
     large: int = 64
     neighbours: int = 4
+    block: int = 256
     bits_agree: int = 38
 
 
@@ -225,28 +231,44 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
 
 def _verify(p: NearDuplicates):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lambda cell: shingles(w := np.frombuffer(cell.as_py(), np.uint32), np.zeros(len(w), np.int64), 1, p.shingle)[0]
+        @lru_cache(128)
+        def of(words: bytes) -> tuple[np.ndarray, frozenset[int]]:
+            w = np.frombuffer(words, np.uint32)
+            shingle, text = shingles(w, np.zeros(len(w), np.int64), 1, p.shingle)
+            return shingle, frozenset(labelled(shingle, text).tolist())
+
+        def similar_to(x: bytes, y: bytes) -> float:
+            (a, in_a), (b, in_b) = of(x), of(y)
+            common = len(in_a & in_b)  # no more can match in order
+            return similarity(a, b, p.threshold) if common >= p.threshold * (len(a) + len(b) - common) - 1e-6 else 0.0
+
         for batch in batches:
-            similar = [similarity(of(x), of(y), p.threshold) for x, y in zip(batch.column("left"), batch.column("right"))]
+            similar = [similar_to(x.as_py(), y.as_py()) for x, y in zip(batch.column("left"), batch.column("right"))]
             out = pa.record_batch([batch.column("a"), batch.column("b"), pa.array(similar, pa.float64())], names=["a", "b", "similarity"])
             yield out.filter(pa.array([s > 0 for s in similar], pa.bool_()))
 
     return verify
 
 
-def _possible(pairs: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Distinct (a, b), a < b, that sizes and sketch bits don't rule out."""
+def _like(p: NearDuplicates) -> Column:
+    """Whether sizes and sketch bits of ``x`` and ``y`` don't rule the threshold out."""
     fold = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")).bitwiseOR(F.shiftrightunsigned(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")), 1)).bitwiseAND(F.lit(0x5555555555555555)))
     far = (fold("low") + fold("high")) > BINS - p.bits_agree
     small = F.least("x.n", "y.n") < F.greatest("x.n", "y.n") * p.threshold
-    kept = pairs.where((F.col("x.node") != F.col("y.node")) & ~small & ~far)
+    return (F.col("x.node") != F.col("y.node")) & ~small & ~far
+
+
+def _possible(pairs: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Distinct (a, b), a < b, that sizes and sketch bits don't rule out."""
+    kept = pairs.where(_like(p))
     return kept.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of ``docs`` (doc_id, text).  classes: doc_id, key (of the
-    row's id and text), node, root (of its class), class_id (least id of the
-    class) and n_links, for every row; links: (a, b, similarity) between different texts, by node."""
+    row's id and text), node, root (of its class) and class_id (least id of the
+    class), for every row; links: (a, b, similarity) between different texts, by
+    node, enough to join each class, not all of it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     rows = stored(docs.mapInArrow(_sketch(p), SKETCHES), "sketches")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("samples").alias("samples"))
@@ -285,9 +307,33 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> tu
             break
         tried, links, roots = tried.unionByName(fresh), links.unionByName(more), components(more, roots)
 
+    def parted(members: DataFrame) -> DataFrame:
+        """``members`` of buckets that hold several components, with their roots."""
+        state = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = state.groupBy("band", "sample").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first < last")
+        return state.join(several.select("band", "sample"), ["band", "sample"])
+
+    dealt = bucket.withColumn("blocks", F.ceil(F.col("members") / p.block)).withColumn("block", F.pmod("node", "blocks"))
+    dealt = stored(parted(dealt.select("band", "sample", "node", "n", "low", "high", "blocks", "block")).drop("root"), "parted")
+    most, near, far = dealt.agg(F.max("blocks")).first()[0] or 0, 0, 1
+    while near < most:  # blocks that lie from near to far - 1 apart
+        state = parted(dealt)
+        ahead = F.sequence(F.col("block") + near, F.least(F.col("block") + far, F.col("blocks")) - 1)
+        x = state.where(F.col("block") + near < F.col("blocks")).withColumn("block", F.explode(ahead)).alias("x")
+        meets = F.col("x.root") != F.col("y.root")
+        for c in ("band", "sample", "block"):
+            meets &= F.col(f"x.{c}") == F.col(f"y.{c}")
+        if near == 0:
+            meets &= F.col("x.node") < F.col("y.node")
+        fresh = stored(_possible(x.join(state.alias("y"), meets & _like(p)), p).join(tried, ["a", "b"], "left_anti"), "candidates")
+        more = verified(fresh)
+        if not more.isEmpty():
+            links, roots = links.unionByName(more), components(more, roots)
+        tried, near, far = tried.unionByName(fresh), far, far * 2
+
     root = rows.select("doc_id", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = nodes.select("node", "least_id").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least_id").alias("class_id"))
-    out = root.join(classes, "root").join(degree, "node", "left").select("doc_id", "key", "node", "root", "class_id", F.coalesce("degree", F.lit(0)).alias("n_links"))
+    out = root.join(classes, "root").select("doc_id", "key", "node", "root", "class_id")
     return out, links
 
 

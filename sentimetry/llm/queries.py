@@ -34,7 +34,7 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .order_minhash import near_duplicates
 
     classes, _ = near_duplicates(lake(spark, sf_dir, "documents"))
-    return classes.select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
+    return classes.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

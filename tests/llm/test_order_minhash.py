@@ -83,6 +83,28 @@ def test_star_of_variants(spark):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_family_around_the_threshold(spark):
+    """One template of 270 shingles with 12 slots, alike when 6 slots agree or more:
+    the few links of a text are anywhere in its buckets, which hold hundreds."""
+    rng = random.Random(8)
+    slots = [[rng.randrange(6) for _ in range(12)] for _ in range(300)]
+    texts = []
+    for own in slots:
+        words = [f"t{i}" for i in range(274)]
+        for k, v in enumerate(own):
+            words[15 + 20 * k] = f"s{k}v{v}"
+        texts.append(" ".join(words))
+    root = list(range(len(slots)))
+    for i in range(len(slots)):
+        for j in range(i):
+            if root[i] != root[j] and sum(map(int.__eq__, slots[i], slots[j])) >= 6:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got, _ = op.near_duplicates(documents(spark, list(enumerate(texts))))
+    got = {r.doc_id: r.class_id for r in got.collect()}
+    assert len(set(root)) == 31 and [got[i] for i in range(len(texts))] == root
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     rng = random.Random(5)
     a, b = lorem(rng, 50), lorem(rng, 50)
