@@ -3,7 +3,8 @@
 Each language gets two references from all its documents: the histogram of
 character classes and the histogram of its common words (the ``common_words``
 words in most documents, and a bin for the rest).  Documents weigh alike in a
-reference, whatever their length.  A document is compared with the references
+reference, whatever their length, but those under ``least_chars`` or
+``least_words`` weigh by their share of it, as they are noisy.  A document is compared with the references
 of its language by Jensen-Shannon distance (root of the base-2 divergence, 0 to
 1) and rejected above ``max_char`` or ``max_word``; texts under ``least_chars``
 or ``least_words`` have too little to compare and pass.  Repetition is judged
@@ -11,7 +12,7 @@ before that by the base rule.
 
 Words are counted in tasks and reduced by (language, word hash), so hot words
 and languages are sums, not groups; a word in at least a hundredth of its
-language's documents may be common, which bounds what one language ranks.
+language's documents, by weight, may be common, which bounds what one language ranks.
 
 Defined results: null text has no words; a null language is a language of its
 own; an empty text fails the base rule; repeated rows are judged each; an empty
@@ -118,7 +119,8 @@ SHARES = "lang string, word long, docs long, share long"
 def _shares(r: Rules):
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents with a word and the sum of its shares, by language; words
-        below 0 and above -CLASSES - 2 stand for character classes and, last, all documents."""
+        below 0 and above -CLASSES - 2 stand for character classes and, last, all
+        documents and their weight."""
         held: list[tuple] = []
         names: dict[str | None, int] = {}
         size = 0
@@ -144,15 +146,13 @@ def _shares(r: Rules):
                 n_words = per_text(text, n)
                 order, first = grouped(word.view(np.uint64), text)
                 own, times = order[first], np.diff(np.append(first, len(order)))
-                long = n_words[text[own]] >= r.least_words
-                own, times = own[long], times[long]
                 lang = langs[at : at + n]
-                held.append((lang[text[own]], word[own], (times * UNIT // n_words[text[own]]).astype(np.int64)))
-                fit = np.flatnonzero((n_words >= r.least_words) & (chars.sum(axis=1) >= r.least_chars))
+                held.append((lang[text[own]], word[own], (times * UNIT // np.maximum(n_words[text[own]], r.least_words)).astype(np.int64)))
+                fit = np.flatnonzero(chars.sum(axis=1) > 0)
                 for c in range(CLASSES):
-                    held.append((lang[fit], np.full(len(fit), -1 - c), chars[fit, c] * UNIT // chars[fit].sum(axis=1)))
-                every = np.flatnonzero(n_words >= r.least_words)
-                held.append((lang[every], np.full(len(every), -1 - CLASSES), np.zeros(len(every), np.int64)))
+                    held.append((lang[fit], np.full(len(fit), -1 - c), chars[fit, c] * UNIT // np.maximum(chars[fit].sum(axis=1), r.least_chars)))
+                every = np.flatnonzero(n_words > 0)
+                held.append((lang[every], np.full(len(every), -1 - CLASSES), n_words[every] * UNIT // np.maximum(n_words[every], r.least_words)))
                 size += len(own)
                 if size >= FLUSH_WORDS:
                     yield flush()
@@ -168,11 +168,11 @@ def references(docs: DataFrame, r: Rules = Rules()) -> list[dict]:
     each language; ``word`` below 0 is a class."""
     total = docs.mapInArrow(_shares(r), SHARES).groupBy("lang", "word").agg(F.sum("docs").alias("docs"), F.sum("share").alias("share"))
     total = stored(total.where((F.col("word") < 0) | (F.col("docs") > 1)), "shares")
-    sizes = total.where(F.col("word") == -1 - CLASSES).select(F.col("lang").alias("of"), F.col("docs").alias("all"))
-    known = total.join(sizes, F.col("lang").eqNullSafe(F.col("of"))).where((F.col("word") < 0) | (F.col("docs") * 100 >= F.col("all")))
+    sizes = total.where(F.col("word") == -1 - CLASSES).select(F.col("lang").alias("of"), F.col("share").alias("weight"))
+    known = total.join(sizes, F.col("lang").eqNullSafe(F.col("of"))).where((F.col("word") < 0) | (F.col("docs") * 100 >= F.col("weight") / UNIT))
     order = Window.partitionBy("lang", F.col("word") < 0).orderBy(F.col("docs").desc(), "word")
     top = known.withColumn("rank", F.row_number().over(order)).where((F.col("word") < 0) | (F.col("rank") <= r.common_words))
-    return [x.asDict() for x in top.where(F.col("word") > -1 - CLASSES).select("lang", "word", (F.col("share") / F.col("all") / UNIT).alias("share")).collect()]
+    return [x.asDict() for x in top.where(F.col("word") > -1 - CLASSES).select("lang", "word", (F.col("share") / F.col("weight")).alias("share")).collect()]
 
 
 # ---- the verdict -----------------------------------------------------------

@@ -46,6 +46,25 @@ def test_verdicts(spark):
     assert not any(kept[x[0]] for x in symbols + lists + shout)
 
 
+def test_short_documents_shape_the_references(spark):
+    """A language all of whose documents are under ``least_words`` is judged by its characters."""
+    rng = random.Random(4)
+    good = [(i, prose(rng, rng.randrange(100, 149)), "xx", "s") for i in range(60)]
+    junk = [(1000 + i, " ".join(f"{rng.randrange(10**6)}$%#|" for _ in range(60)), "xx", "s") for i in range(3)]
+    rows = documents(spark, good + junk + [(2000, "two words", "xx", "s"), (2001, "", "xx", "s")])
+    got = {r.doc_id: r for r in op.quality_rules(rows).collect()}
+    assert all(got[g[0]].kept for g in good)
+    assert not any(got[x[0]].base_failed or got[x[0]].kept for x in junk)
+    total = collections.Counter()
+    for _, text, *_ in good + junk + [(0, "two words")]:
+        own = collections.Counter("l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else " " if c == " " else "m" if c == "." else "o" for c in text)
+        for c, k in own.items():
+            total[c] += k / max(len(text), 400)
+    shares = {x["word"]: x["share"] for x in op.references(rows.select("text", "lang")) if x["word"] < 0}
+    for i, c in enumerate("lud mo"):
+        assert abs(shares[-1 - i] / sum(shares.values()) - total[c] / sum(total.values())) < 1e-6
+
+
 def test_same_twice_and_empty(spark):
     rng = random.Random(3)
     docs = documents(spark, [(i % 30, prose(rng, 200)) for i in range(40)] + [(None, None)])
