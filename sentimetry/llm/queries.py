@@ -73,12 +73,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(lake(spark, sf_dir, "documents")).drop("key", "source")
 
 
+def op11_ns_bounds_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import digest
+
+    return digest(lake(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": corpus_pipeline.run} | {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .centroids import clustering_sql
     from .decontamination import decontamination_sql
     from .line_dedup import line_dedup_sql
 
-    return {"op5_line_dedup": line_dedup_sql(), "op6_decontamination": decontamination_sql()}
+    return {"op5_line_dedup": line_dedup_sql(), "op6_decontamination": decontamination_sql(), "op11_ns_bounds_clusters": clustering_sql()}
