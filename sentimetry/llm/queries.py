@@ -79,6 +79,13 @@ def op11_ns_bounds_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(lake(spark, sf_dir, "embeddings"))
 
 
+def op13_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_join
+
+    rows, _ = jaccard_join(lake(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": corpus_pipeline.run} | {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
