@@ -238,7 +238,8 @@ def jaccard_join(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> tuple[DataF
     bucket = sketches.select("node", F.explode("signatures").alias("signature")).select("node", F.expr(shared).alias("leader"), F.expr(shared.replace("min", "max")).alias("last"))
     groups = stored(bucket.where("leader < last").groupBy("leader", "node").agg(F.count("*").alias("shared")).join(nodes.select("node", "key", "n"), "node"), "groups")
     members = groups.groupBy("node").agg(F.first("key").alias("key"))
-    sets = stored(docs.join(members, "key").dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets(p), "node long, elements binary"), "sets")
+    # the same plan at every size: texts are shuffled once, never by a broadcast that only small inputs get
+    sets = stored(docs.join(members.hint("merge"), "key").dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets(p), "node long, elements binary"), "sets")
 
     def compared(blocks: DataFrame) -> DataFrame:
         """``blocks``: leader, i, j, side, node, root."""
