@@ -79,6 +79,12 @@ def op11_ns_bounds_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(lake(spark, sf_dir, "embeddings"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_alignment import token_alignment
+
+    return token_alignment(lake(spark, sf_dir, "documents"))
+
+
 def op13_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_join
 
