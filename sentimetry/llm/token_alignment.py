@@ -9,8 +9,10 @@ all of them in order.
 
 A text is cut before each space that follows a byte which is no white space
 under any reading: both tokenizers always end a token there, so pieces align by
-themselves, long texts need memory for their pieces only, and each task keeps
-the alignment of frequent pieces.
+themselves, long texts need memory for their pieces only, and each worker keeps
+the alignment of the first ``kept`` pieces.  New pieces of a batch are tokenised
+as one text: the byte-level vocabulary is read by a second, faster library where
+all characters are of settled classes (tests hold both libraries together).
 
 Then counts of id pairs are summed over the corpus.  Pairs beyond the ``head``
 most frequent are looked up by a join, the head by a table sent to the tasks,
@@ -38,18 +40,23 @@ from pyspark.sql import functions as F
 from .store import stored
 
 #: Python's white space holds every other reading's but U+180E, which was white space before Unicode 6.3.
-CUT = re.compile("(?<=[^\\s᠎])(?= )")
+CUT = re.compile("(?<=[^\\s\u180e])(?= )")
+BLANKS = re.compile("[\\s\u180e] ")
+#: Words of the byte-level vocabulary: its pre-tokenizer's pattern.  Fixed value.
+PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters whose classes no Unicode version changed; texts of others go to the slower library.
+SETTLED = re.compile("[\0-\u024f]*")
 
 
 @dataclass(frozen=True)
 class Alignment:
     """``kept``: pieces whose alignment a worker keeps, of up to ``kept_chars``
-    each; ``head``: most frequent id pairs sent to the tasks; ``flush``: pairs a
+    characters each; ``head``: most frequent id pairs sent to the tasks; ``flush``: pairs a
     task counts before it gives them out."""
 
     byte_bpe: str = "/opt/tokenizers/byte_bpe_50k.json"
     piece_bpe: str = "/opt/tokenizers/piece_bpe_32k.model"
-    kept: int = 150_000
+    kept: int = 250_000
     kept_chars: int = 48
     head: int = 400_000
     flush: int = 1_000_000
@@ -63,17 +70,22 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers, and the bytes of their ids."""
+    """Both tokenizers, the bytes of their ids, and the alignment of pieces: piece
+    ``i`` has counts ``stats[i]``, its groups as ``groups[i]`` and its link codes
+    at ``links[first[i] : first[i + 1]]``.  A piece is named without the space it begins with."""
 
     def __init__(self, p: Alignment):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(p.byte_bpe)
         self.a.encode_special_tokens = True
         to_byte = byte_of_char()
+        special = set(self.a.get_added_tokens_decoder())
         self.bytes_a = {i: bytes(to_byte[c] for c in entry) for entry, i in self.a.get_vocab(with_added_tokens=True).items() if all(c in to_byte for c in entry)}
+        self.fast_a = tiktoken.Encoding("ranks", pat_str=PRETOKEN, mergeable_ranks={x: i for i, x in self.bytes_a.items() if i not in special}, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=p.piece_bpe)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", x) else x.replace("▁", " ").encode() for x in pieces]
@@ -81,48 +93,84 @@ class Pair:
         self.n_b = len(pieces)
         if any("▁" in x.lstrip("▁") for x in pieces):
             raise ValueError("a piece with a blank behind another character: texts can't be cut before blanks")
-        self.known: dict[str, int] = {}
-        self.parts: list[tuple | None] = []
-
-    def ids(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of each piece, which begins with a space, by either tokenizer."""
-        a = self.a.encode_batch_fast(pieces, add_special_tokens=False)
-        b = self.b.encode([x[1:] for x in pieces], num_threads=1)
-        for x, y, z in zip(pieces, a, b):
-            yield y.ids, z if len(x) > 1 else self.blank  # the model adds no space to nothing
-
-    def align(self, piece: str, a: list[int], b: list[int]) -> tuple | None:
-        """(n_a, n_b, n_groups, n_links, groups as text, link codes) or None."""
-        raw = piece.encode()
-        in_a, in_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(in_a) != raw or b"".join(in_b) != raw:
-            return None
-        groups, codes, i, j = [], [], 0, 0
-        end_a, end_b, from_a, from_b = len(in_a[0]), len(in_b[0]), 0, 0
-        while True:
-            codes.append(a[i] * self.n_b + b[j])
-            done_a, done_b = end_a <= end_b, end_b <= end_a
-            i, j = i + done_a, j + done_b
-            if done_a and done_b:
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                if i == len(a):
-                    return len(a), len(b), len(groups), len(codes), ";".join(groups), np.array(codes, np.uint64)
-                from_a, from_b = i, j
-            if done_a:
-                end_a += len(in_a[i])
-            if done_b:
-                end_b += len(in_b[j])
-
-    def aligned(self, pieces: list[str], p: Alignment) -> list[tuple | None]:
-        """Alignment of each piece; frequent ones are remembered."""
-        fresh = [x for x in dict.fromkeys(pieces) if x not in self.known]
-        new = {x: self.align(x, *ids) for x, ids in zip(fresh, self.ids(fresh))} if fresh else {}
-        for x, part in new.items():
-            if len(x) <= p.kept_chars and len(self.known) < p.kept:
-                self.known[x] = len(self.parts)
-                self.parts.append(part)
-        known, parts = self.known, self.parts
-        return [parts[known[x]] if x in known else new[x] for x in pieces]
+        n_a = max(self.bytes_a) + 1
+        self.length_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(n_a)])
+        self.length_b = np.array([len(x) for x in self.bytes_b])
+        self.names = np.array([f"{i}{sign}" for sign in ",|;" for i in range(max(n_a, self.n_b))], object).reshape(3, -1)
+        self.index: dict[str, int] = {}
+        self.stats, self.first, self.links, self.groups = np.zeros((0, 4), np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64), []
+
+    def ids_a(self, text: str) -> list[int]:
+        return self.fast_a.encode_ordinary(text) if SETTLED.fullmatch(text) else self.a.encode(text, add_special_tokens=False).ids
+
+    def ids_b(self, text: str) -> list[int]:
+        """``text`` begins with the space that the model adds, but not to nothing."""
+        return self.b.encode(text[1:]) if len(text) > 1 else self.blank
+
+    def _align(self, names: list[str]) -> bool:
+        """Align pieces as one text and add them; False if that text isn't given back, or not cut at every piece."""
+        text = " " + " ".join(names)
+        a, b = self.ids_a(text), self.ids_b(text)
+        if (raw := text.encode()) != b"".join([self.bytes_a.get(i, b"") for i in a]) or raw != b"".join([self.bytes_b[i] for i in b]):
+            return False
+        a, b = np.array(a), np.array(b)
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        ends, both = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
+        cut = np.cumsum([len(x.encode()) + 1 for x in names])
+        if not np.isin(cut, both, assume_unique=True).all():
+            return False
+        upto = lambda x: np.searchsorted(x, cut, side="right")
+        tokens = [upto(x) for x in (end_a, end_b, both, ends)]
+        stats = np.diff(np.stack(tokens, axis=1), axis=0, prepend=0)
+        codes = a[np.searchsorted(end_a, ends)] * self.n_b + b[np.searchsorted(end_b, ends)]
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        size_a, size_b = np.bincount(group_a, minlength=len(both)), np.bincount(group_b, minlength=len(both))
+        sign_a, sign_b = np.isin(end_a, both, assume_unique=True).astype(int), np.isin(end_b, both, assume_unique=True) * 2
+        out = np.empty(len(a) + len(b), object)  # group by group, A's ids before B's
+        out[np.arange(len(a)) + (np.cumsum(size_b) - size_b)[group_a]] = self.names[sign_a, a]
+        out[np.arange(len(b)) + np.cumsum(size_a)[group_b]] = self.names[sign_b, b]
+        text_of, at = out.tolist(), np.concatenate([[0], tokens[0] + tokens[1]]).tolist()
+        self.index.update(zip(names, range(len(self.groups), len(self.groups) + len(names))))
+        self.groups += ["".join(text_of[x:y])[:-1] for x, y in zip(at, at[1:])]
+        self.stats = np.concatenate([self.stats, stats])
+        self.first = np.concatenate([self.first, self.first[-1] + tokens[3]])
+        self.links = np.concatenate([self.links, codes.astype(np.uint64)])
+        return True
+
+    def learn(self, names: list[str]) -> None:
+        """Align new pieces, together where they can stand in one text."""
+        plain = [x for x in names if x and not x[-1].isspace() and "▁" not in x and "\u180e" not in x]
+        if plain and not self._align(plain):
+            half = len(plain) // 2
+            for some in ([plain[:half], plain[half:]] if half else []):
+                self.learn(some)
+            if not half:
+                self._refuse(plain[0])
+        for x in set(names) - set(plain):
+            if not self._align([x]):
+                self._refuse(x)
+
+    def _refuse(self, name: str) -> None:
+        """A piece that isn't given back by both: no tokens."""
+        self.index[name] = len(self.groups)
+        self.groups.append("")
+        self.stats = np.concatenate([self.stats, np.zeros((1, 4), np.int64)])
+        self.first = np.append(self.first, self.first[-1])
+
+    def forget(self, size: int, fresh: list[str]) -> None:
+        """Keep the first ``size`` pieces; the others are among ``fresh``."""
+        if size < len(self.groups):
+            for x in fresh:
+                if self.index[x] >= size:
+                    del self.index[x]
+            del self.groups[size:]
+            self.stats, self.first = self.stats[:size], self.first[: size + 1]
+            self.links = self.links[: self.first[-1]]
+
+    def codes(self, piece: np.ndarray) -> np.ndarray:
+        """Link codes of pieces, one after the other."""
+        n = self.first[piece + 1] - self.first[piece]
+        return self.links[np.arange(n.sum()) + np.repeat(self.first[piece] - np.cumsum(n) + n, n)]
 
 
 _pairs: dict[Alignment, Pair] = {}
@@ -138,26 +186,39 @@ def _pair(p: Alignment) -> Pair:
 NONE = (0, 0, 0, 0, "")
 
 
-def measures(pair: Pair, text: str, p: Alignment) -> tuple[tuple, np.ndarray, np.ndarray]:
-    """((n_a, n_b, n_groups, n_links, digest), distinct link codes, their numbers) of a text."""
-    cut = CUT.split(" " + text)
-    weight: dict[int, list] = {}
-    digest = hashlib.sha256()
-    for at in range(0, len(cut), 4096):
-        some = pair.aligned(cut[at : at + 4096], p)
-        if any(x is None for x in some):
-            return NONE, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for x in some:
-            if (seen := weight.get(id(x[5]))) is None:
-                weight[id(x[5])] = [1, x]
-            else:
-                seen[0] += 1
-        digest.update(((";" if at else "") + ";".join([x[4] for x in some])).encode())
-    times = np.array([n for n, _ in weight.values()], np.int64)
-    total = (np.array([x[:4] for _, x in weight.values()], np.int64) * times[:, None]).sum(axis=0)
-    codes, place = np.unique(np.concatenate([x[5] for _, x in weight.values()]), return_inverse=True)
-    number = np.bincount(place, weights=np.repeat(times, [x[3] for _, x in weight.values()]), minlength=len(codes)).astype(np.int64)
-    return (*total.tolist(), digest.hexdigest()), codes, number
+def names_of(text: str) -> list[str]:
+    """The pieces of space + ``text``, each without the space it begins with."""
+    if text[0] != " " and not BLANKS.search(text):
+        return text.split(" ")
+    return [x[1:] for x in CUT.split(" " + text)]
+
+
+def measures(pair: Pair, texts: list[str | None], p: Alignment) -> list[tuple[tuple, np.ndarray, np.ndarray]]:
+    """((n_a, n_b, n_groups, n_links, digest), distinct link codes, their numbers) of each text."""
+    none = (NONE, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    names = [names_of(x) if x else [] for x in texts]
+    fresh = list({x for some in names for x in some if x not in pair.index})
+    short = [x for x in fresh if len(x) <= p.kept_chars]
+    if short:
+        pair.learn(short)
+    size = min(p.kept, len(pair.groups))
+    if len(short) < len(fresh):
+        pair.learn([x for x in fresh if len(x) > p.kept_chars])
+    out = []
+    for some in names:
+        at = [pair.index[x] for x in some]
+        piece, times = np.unique(np.array(at, np.int64), return_counts=True)
+        stats = pair.stats[piece]
+        if not some or not stats[:, 0].all():
+            out.append(none)
+            continue
+        codes, place = np.unique(pair.codes(piece), return_inverse=True)
+        number = np.bincount(place, weights=np.repeat(times, stats[:, 3]), minlength=len(codes)).astype(np.int64)
+        groups = pair.groups
+        digest = hashlib.sha256(";".join([groups[i] for i in at]).encode()).hexdigest()
+        out.append(((*(stats * times[:, None]).sum(axis=0).tolist(), digest), codes, number))
+    pair.forget(size, fresh)
+    return out
 
 
 ALIGNED = "text_key binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes binary, numbers binary"
@@ -176,8 +237,7 @@ def _align(p: Alignment):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                texts = [_utf8(x) for x in some.column("text").to_pylist()]
-                done = [(NONE, np.zeros(0, np.uint64), np.zeros(0, np.int64)) if not x else measures(pair, x, p) for x in texts]
+                done = measures(pair, [_utf8(x) for x in some.column("text").to_pylist()], p)
                 row = [list(x) for x in zip(*(d[0] for d in done))]
                 yield pa.record_batch([some.column("text_key"), some.column("copies"), *(pa.array(x, pa.int64()) for x in row[:4]), pa.array(row[4], pa.string()), pa.array([d[1].tobytes() for d in done], pa.binary()), pa.array([d[2].astype(np.uint32).tobytes() for d in done], pa.binary())], names=[c.split()[0] for c in ALIGNED.split(", ")])
 

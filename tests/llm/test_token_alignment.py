@@ -73,7 +73,7 @@ def random_texts(n, seed=1):
 def test_cut_texts_align_as_whole_ones(pair):
     p = T.Alignment()
     for text in [x for x in ODD if x] + random_texts(600):
-        want, (got, codes, numbers) = whole(pair, text), T.measures(pair, text, p)
+        want, (got, codes, numbers) = whole(pair, text), T.measures(pair, [text], p)[0]
         if want is None:
             assert got == T.NONE and not len(codes)
             continue
@@ -90,6 +90,22 @@ def test_against_whole_texts(spark, pair, head):
     assert result(spark, rows, T.Alignment(head=head)) == brute(pair, rows)
 
 
+def test_both_libraries_read_the_vocabulary_alike(pair, spark):
+    texts = [x for x in ODD if x] + random_texts(400, 7) + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for text in texts:
+        assert pair.ids_a(" " + text) == pair.a.encode(" " + text, add_special_tokens=False).ids
+
+
+def test_many_texts_at_once_and_in_turn(pair):
+    texts = [x for x in ODD if x] + random_texts(200, 9)
+    own = T.Pair(T.Alignment())
+    together = T.measures(own, texts, T.Alignment(kept=20, kept_chars=4))
+    assert len(own.groups) <= 20 and len(own.first) == len(own.groups) + 1
+    for text, x in zip(texts, together):
+        alone = T.measures(pair, [text], T.Alignment())[0]
+        assert x[0] == alone[0] and x[1].tolist() == alone[1].tolist() and x[2].tolist() == alone[2].tolist()
+
+
 def test_small_memory_and_no_rows(spark, pair):
     rows = [(i, t) for i, t in enumerate(random_texts(40, 3))]
     assert result(spark, rows, T.Alignment(kept=3, kept_chars=2, flush=10)) == brute(pair, rows)
