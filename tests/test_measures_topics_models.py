@@ -414,3 +414,39 @@ def test_sink_round_trip(spark):
     df = _measures(spark)
     back = write_and_read(spark, df, "t", partition_by=["lexicon"])
     assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_lda_by_document_equals_joins(spark):
+    """The map with φ sent to the tasks and the joins give the same rounds."""
+    docs = spark.range(14)
+    one, two = (LDA.lda_em(_lda_table(spark), docs, [2, 3], seed=5, rounds=6, tol=0, broadcast_cells=c) for c in (10**6, 0))
+    for x, y in zip(one.trace, two.trace):
+        assert x == pytest.approx(y) and len(x) == 7
+    assert one.log_likelihood == pytest.approx(two.log_likelihood)
+    for m in (0, 1):
+        theta = [{(r["doc_id"], r["topic"]): r["theta"] for r in t.theta_long(m).collect()} for t in (one, two)]
+        phi = [{(r["term"], r["topic"]): r["phi"] for r in t.phi_long(m).collect()} for t in (one, two)]
+        assert theta[0] == pytest.approx(theta[1]) and phi[0] == pytest.approx(phi[1])
+
+
+def test_lda_slices_blocks_and_odd_tables(spark, monkeypatch):
+    monkeypatch.setattr(LDA, "SLICE_CELLS", 8)
+    monkeypatch.setattr(LDA, "BLOCK_CELLS", 4)
+    docs, table = spark.range(14), _lda_table(spark)
+    small = LDA.lda_em(table, docs, [3], seed=5, rounds=3, tol=0)
+    monkeypatch.undo()
+    assert small.trace[0] == pytest.approx(LDA.lda_em(table, docs, [3], seed=5, rounds=3, tol=0).trace[0])
+    empty = LDA.lda_em(table.limit(0), docs, [2], seed=5)
+    assert empty.phi.count() == 0 and {tuple(r["shares"]) for r in empty.theta.collect()} == {(0.5, 0.5)}
+    named = LDA.lda_em(table.withColumn("id", F.concat(F.lit("d"), "id")), spark.createDataFrame([("d1",)], "id string"), [2], seed=5, rounds=1)
+    assert named.theta_long().count() == 2
+
+
+def test_draws_are_sparks_hash(spark):
+    import numpy as np
+    h = np.array([0, 1, -5, 2**62], np.int64)
+    got = LDA._xxhash64(np.full(4, 3, np.uint64), h.view(np.uint64)).view(np.int64).tolist()
+    rows = [r[0] for r in spark.range(5).select(F.xxhash64("id", F.lit(3).cast("long"))).collect()]
+    first = np.array([r[0] for r in spark.range(5).select(F.xxhash64("id")).collect()], np.int64)
+    assert LDA._xxhash64(np.full(5, 3, np.uint64), first.view(np.uint64)).view(np.int64).tolist() == rows
+    assert len(set(got)) == 4
