@@ -450,3 +450,42 @@ def test_draws_are_sparks_hash(spark):
     first = np.array([r[0] for r in spark.range(5).select(F.xxhash64("id")).collect()], np.int64)
     assert LDA._xxhash64(np.full(5, 3, np.uint64), first.view(np.uint64)).view(np.int64).tolist() == rows
     assert len(set(got)) == 4
+
+
+def test_pair_sums_against_numpy(spark):
+    """Metrics of two models side by side, from one pass, against plain formulas."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    ks = [2, 3]
+    p = rng.dirichlet(np.ones(40), 5)
+    p[1, 3] = p[4, 7] = 0.0
+    terms = spark.createDataFrame([(f"t{j}", p[:, j].tolist()) for j in range(40)], "term string, shares array<double>").repartition(3)
+    ln = lambda v: np.log(np.where(v > 0, v, 1.0))
+    at = 0
+    for k, sums in zip(ks, TP.pair_sums(terms, ks)):
+        own = p[at:at + k]
+        at += k
+        cos = own @ own.T / np.outer(*[np.sqrt((own ** 2).sum(1))] * 2)
+        assert TP.cao_juan(sums) == pytest.approx(cos[np.triu_indices(k, 1)].mean())
+        jsd = [[sum((x * ln(x)).sum() / 2 for x in (own[i], own[j])) - ((own[i] + own[j]) / 2 * ln((own[i] + own[j]) / 2)).sum() for j in range(k)] for i in range(k)]
+        assert np.allclose(sums.distances(), jsd)
+        sym = [((own[i] - own[j]) * (ln(own[i]) - ln(own[j]))).sum() / 2 for j in range(k) for i in range(j)]
+        assert TP.deveaud(sums) == pytest.approx(np.mean(sym) / 2)
+
+
+def test_scores_of_fitted_models_against_numpy(spark):
+    import numpy as np
+    table, docs = _lda_table(spark), spark.range(14)
+    lens = table.groupBy("id").agg(F.sum("n").alias("doc_len"))
+    m = LDA.lda_em(table, docs, [2, 3], seed=2, rounds=3, tol=0)
+    got = {(r["k"], r["metric"]): r["value"] for r in TP.score_models(spark, m, lens).collect()}
+    n = {(r["id"], r["term"]): r["n"] for r in table.collect()}
+    for i, k in enumerate((2, 3)):
+        theta = {(r["doc_id"], r["topic"]): r["theta"] for r in m.theta_long(i).collect()}
+        phi = {(r["term"], r["topic"]): r["phi"] for r in m.phi_long(i).collect()}
+        like = sum(c * np.log(sum(theta[d, t] * phi[w, t] for t in range(1, k + 1))) for (d, w), c in n.items())
+        assert got[k, "griffiths_bound"] == pytest.approx(like)
+        assert TP.log_likelihood(table, m.theta_long(i), m.phi_long(i)).first()[0] == pytest.approx(like)
+        assert got[k, "Arun2010"] == pytest.approx(TP.metric_arun(m.phi_long(i), m.theta_long(i), lens))
+        assert got[k, "CaoJuan2009"] == pytest.approx(TP.metric_cao_juan(m.phi_long(i)).first()[0])
+        assert got[k, "Deveaud2014"] == pytest.approx(TP.metric_deveaud(m.phi_long(i)).first()[0])
