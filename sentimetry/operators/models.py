@@ -1,15 +1,21 @@
 """Regression, selection and evaluation (O105–O118) on MLlib.
 
-Fits run on Spark (IRLS for the GLM, OWL-QN for the sparse logit).  The
-driver only holds model parameters (one number per regressor) and, for the
-selection loops, decides which fit to run next; data never leaves Spark.
+Single fits run in MLlib (IRLS for the GLM, OWL-QN for the sparse logit).
+Selection and cross-validation fit many models to one small table: while its
+counted cells stay under ``SENT_CELLS`` the table is sent to the tasks and the
+models are dealt to them, so a grid of folds and λ, or all candidates of a
+step, are one job.  Larger tables stay where they are: MLlib fits one model
+after the other.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -19,6 +25,108 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+SENT_CELLS = 4_000_000  # rows x regressors of a table sent to the tasks: 32 MB
+
+
+def _sent(df: DataFrame, label: str, cols: list[str], *more: str, cells: int):
+    """(regressors, labels, more columns) as arrays, or None if over ``cells``."""
+    if df.count() * max(1, len(cols)) > cells:
+        return None
+    double = lambda c: F.col(f"`{c}`").cast("double")
+    table = df.select(double(label).alias("y"), *[F.col(c).alias(f"m{i}") for i, c in enumerate(more)], *[double(c).alias(f"x{i}") for i, c in enumerate(cols)]).toArrow()
+    of = lambda c: table.column(c).to_numpy()
+    x = np.stack([of(f"x{i}") for i in range(len(cols))], axis=1) if cols else np.zeros((table.num_rows, 0))
+    return x, of("y"), [of(f"m{i}") for i in range(len(more))]
+
+
+def lasso_path(x: np.ndarray, y: np.ndarray, lambdas: list[float], steps: int = 20_000, tol: float = 1e-10) -> np.ndarray:
+    """LASSO logits at all ``lambdas`` side by side: (1 + regressors) x lambdas,
+    the intercept first, on the regressors' own scale.  Penalties hold for
+    regressors divided by their standard deviation.  Accelerated proximal
+    gradient; a model's momentum restarts where it points uphill."""
+    n, lam = len(y), np.array(lambdas)
+    mean, sd = x.mean(axis=0), x.std(axis=0, ddof=1)
+    live = sd > 0
+    a = np.column_stack([np.ones(n), (x[:, live] - mean[live]) / sd[live]])
+    rate = 4 * n / np.linalg.eigvalsh(a.T @ a)[-1]
+    limit = rate * np.vstack([0 * lam, np.broadcast_to(lam, (a.shape[1] - 1, len(lam)))])
+    b = np.zeros((a.shape[1], len(lam)))
+    z, t = b, np.ones(len(lam))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a @ z, -500, 500)))
+        to = z - rate / n * (a.T @ (p - y[:, None]))
+        to = np.sign(to) * np.maximum(np.abs(to) - limit, 0)
+        move = to - b
+        t = np.where(((z - to) * move).sum(axis=0) > 0, 1.0, t)
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        z, b, t = to + (t - 1) / after * move, to, after
+        if np.abs(move).max(initial=0) < tol:
+            break
+    out = np.zeros((1 + x.shape[1], len(lam)))
+    out[1:][live] = b[1:] / sd[live][:, None]
+    out[0] = b[0] - mean @ out[1:]
+    return out
+
+
+def _grid_errors(spark: SparkSession, x: np.ndarray, y: np.ndarray, groups: list[int], split: Callable, lambdas: list[float]) -> list[tuple[int, int, float | None]]:
+    """(group, number of λ, misclassification of the group's test rows) of a path
+    fitted to each group's training rows, one job; ``split``: group -> (training,
+    test) masks.  None where the training rows have one class."""
+    sent = spark.sparkContext.broadcast((x, y))  # rows x regressors is bounded
+
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = sent.value
+        for batch in batches:
+            for group in batch.column("id").to_pylist():
+                train, test = split(group)
+                if len(np.unique(y[train])) < 2:
+                    error = [None] * len(lambdas)
+                else:
+                    b = lasso_path(x[train], y[train], lambdas)
+                    error = ((b[0] + x[test] @ b[1:] > 0) != y[test][:, None]).mean(axis=0).tolist() if test.any() else [None] * len(lambdas)
+                yield pa.record_batch([pa.array([group] * len(lambdas), pa.int64()), pa.array(range(len(lambdas)), pa.int64()), pa.array(error, pa.float64())], names=["g", "i", "error"])
+
+    if not groups:
+        return []
+    rows = spark.createDataFrame([(g,) for g in groups], "id long").repartitionByRange(len(groups), "id").mapInArrow(errors, "g long, i long, error double").collect()
+    sent.unpersist()
+    return sorted(((r["g"], r["i"], r["error"]) for r in rows), key=lambda r: r[:2])
+
+
+def _aic(x: np.ndarray, y: np.ndarray) -> float:
+    """AIC of a binomial logit by IRLS; infinite where the regressors are
+    collinear or separate the classes."""
+    a = np.column_stack([np.ones(len(y)), x])
+    if np.linalg.matrix_rank(a) < a.shape[1]:
+        return math.inf
+    b = np.zeros(a.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a @ b, -500, 500)))
+        try:
+            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a, a.T @ (y - p))
+        except np.linalg.LinAlgError:
+            return math.inf
+        b = b + step
+        if not np.isfinite(b).all():
+            return math.inf
+        if np.abs(step).max() < 1e-9 * max(1.0, np.abs(b).max()):
+            eta = a @ b
+            return float(2 * a.shape[1] - 2 * (y @ eta - np.logaddexp(0, eta).sum()))
+    return math.inf
+
+
+def _aics(spark: SparkSession, sent, sets: list[list[int]]) -> list[float]:
+    """AIC of each set of columns, one job."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = sent.value
+        for batch in batches:
+            aic = [_aic(x[:, own], y) for own in batch.column("own").to_pylist()]
+            yield pa.record_batch([batch.column("id"), pa.array(aic, pa.float64())], names=["id", "aic"])
+
+    rows = spark.createDataFrame(list(enumerate(sets)), "id long, own array<int>").repartitionByRange(len(sets), "id")
+    return [r["aic"] for r in sorted(rows.mapInArrow(score, "id long, aic double").collect(), key=lambda r: r["id"])]
+
+
 def with_interactions(df: DataFrame, pairs: list[tuple[str, str]]) -> tuple[DataFrame, list[str]]:
     """O107: product columns ``a:b`` for the given pairs."""
     names = []
@@ -111,14 +219,14 @@ def _is_singular(error: Exception) -> bool:
     return any(w in text for w in ("singular", "positive definite", "no solution", "summary", "nan", "infinite"))
 
 
-def stepwise_aic(df: DataFrame, label: str, full: list[str],
-                 scope: list[str] | None = None) -> list[tuple[int, str, str, float]]:
+def stepwise_aic(df: DataFrame, label: str, full: list[str], scope: list[str] | None = None,
+                 cells: int = SENT_CELLS) -> list[tuple[int, str, str, float]]:
     """O108/O109: both-direction selection by AIC from the full model.
 
-    Every candidate is one GLM fit on the (cached) design table, which has a
-    row for each period and so one partition; the loop keeps the driver to
-    choosing the next candidate set and ends when none lowers the AIC.
-    Returns the trace
+    The first model is an MLlib fit; all candidates of a step are scored in one
+    job while the design table has at most ``cells`` cells, else fitted one after
+    the other.  The driver chooses the next candidate set and ends when none
+    lowers the AIC.  Returns the trace
     ``(step, action, term, aic)``.  ``scope`` may hold interaction names
     ``a:b`` (added only when both parents are in, dropped only when no
     interaction above them is in: marginality).
@@ -150,15 +258,25 @@ def stepwise_aic(df: DataFrame, label: str, full: list[str],
     def allowed_add(cur, t):
         return ":" not in t or all(p in cur for p in t.split(":"))
 
+    table = _sent(data, label, scope, cells=cells)
+    sent = data.sparkSession.sparkContext.broadcast(table[:2]) if table else None
+
+    def scores(sets: list[list[str]]) -> list[float]:
+        if sent is None:
+            return [aic(c) for c in sets]
+        filled = [c for c in sets if c]
+        known = iter(_aics(data.sparkSession, sent, [[scope.index(t) for t in c] for c in filled]) if filled else [])
+        return [next(known) if c else float(n_aic) for c in sets]
+
     cur = list(full)
     best = aic(cur)
     trace = [(0, "start", "", best)]
     for step in itertools.count(1):  # AIC falls at every step, so no set comes back
         cands = [("-", t, [c for c in cur if c != t]) for t in cur if allowed_drop(cur, t)]
         cands += [("+", t, cur + [t]) for t in scope if t not in cur and allowed_add(cur, t)]
-        scored = [(aic(c), a, t, c) for a, t, c in cands]
-        if not scored:
+        if not cands:
             break
+        scored = [(x, a, t, c) for x, (a, t, c) in zip(scores([c for _, _, c in cands]), cands)]
         a_best = min(scored, key=lambda x: (x[0], x[1], x[2]))
         if a_best[0] >= best - 1e-9:
             break
@@ -180,12 +298,24 @@ def lambda_path(df: DataFrame, label: str, cols: list[str], n: int = 10, ratio:
 
 
 def lasso_kfold(df: DataFrame, label: str, cols: list[str], lambdas: list[float], k: int = 10,
-                fold_col: str = "fold") -> tuple[float, list[tuple[float, float, float]]]:
+                fold_col: str = "fold", cells: int = SENT_CELLS) -> tuple[float, list[tuple[float, float, float]]]:
     """O115/O116: LASSO logit, k-fold CV on misclassification with
     deterministic folds from ``fold_col``.  Returns λ.min (lowest mean error,
     ties to the larger λ) and the curve ``(lambda, cv_error, cv_se)``; refit at
-    λ.min with :func:`sparse_fit`.  The table has a row for each period, so one
-    partition; fits run side by side."""
+    λ.min with :func:`sparse_fit`.  A fold's whole path is fitted at once, the
+    folds in one job, while the table has at most ``cells`` cells; else MLlib's
+    cross-validator fits them one by one.  A fold without test rows, or whose
+    training rows have one class, has no error and doesn't count."""
+    if table := _sent(df, label, cols, fold_col, cells=cells):
+        x, y, (fold,) = table
+        errors = _grid_errors(df.sparkSession, x, y, list(range(k)), lambda f: (fold != f, fold == f), lambdas)
+        curve = []
+        for i, lam in enumerate(lambdas):
+            own = [e for _, j, e in errors if j == i and e is not None]
+            mean = sum(own) / len(own) if own else math.nan
+            spread = math.sqrt(sum((e - mean) ** 2 for e in own) / (len(own) - 1) / len(own)) if len(own) > 1 else math.nan
+            curve.append((float(lam), mean, spread))
+        return min(curve, key=lambda r: (round(r[1], 12), -r[0]))[0], curve
     data = _assemble(df.withColumn("_fold", F.col(fold_col).cast("int")), label, cols, "_fold").coalesce(1).cache()
     lr = LogisticRegression(elasticNetParam=1.0, standardization=True, maxIter=50, tol=1e-5)
     grid = ParamGridBuilder().addGrid(lr.regParam, list(lambdas)).build()
@@ -230,15 +360,22 @@ def sparse_fit(df: DataFrame, label: str, cols: list[str], reg: float, max_iter:
 
 
 def timeslice_cv(df: DataFrame, label: str, cols: list[str], lambdas: list[float], train: int = 60,
-                 test: int = 10, order_col: str = "date") -> list[tuple[float, int, float | None, str | None]]:
+                 test: int = 10, order_col: str = "date", cells: int = SENT_CELLS) -> list[tuple[float, int, float | None, str | None]]:
     """O114: rolling-origin CV.  Rows get a period index; slice s trains on
-    [s, s+train) and tests on [s+train, s+train+test).  One LASSO fit per
-    slice and λ on the one-partition period table; returns ``(lambda, slice,
-    error, reason)``: a slice whose training rows have one class has no fit,
-    so a NULL error and the reason."""
+    [s, s+train) and tests on [s+train, s+train+test).  The slices' whole paths
+    are fitted in one job while the table has at most ``cells`` cells, else one
+    fit per slice and λ.  Returns ``(lambda, slice, error, reason)``: a slice
+    whose training rows have one class has no fit, so a NULL error and the reason."""
     # periods are ranked by their distinct dates: one row per period
-    w_idx = F.dense_rank().over(Window.orderBy(order_col)) - 1
-    data = _assemble(df.withColumn("_t", w_idx), label, cols, "_t").coalesce(1).cache()
+    dates = df.select(order_col).distinct().withColumn("_t", F.row_number().over(Window.orderBy(order_col)) - 1)
+    ranked = df.join(dates, order_col)
+    if table := _sent(ranked, label, cols, "_t", cells=cells):
+        x, y, (at,) = table
+        slices = list(range(max(0, int(at.max(initial=-1)) + 2 - train - test)))
+        split = lambda s: ((at >= s) & (at < s + train), (at >= s + train) & (at < s + train + test))
+        found = _grid_errors(df.sparkSession, x, y, slices, split, lambdas)
+        return [(float(lambdas[i]), s, e, "one class in training" if e is None else None) for s, i, e in found]
+    data = _assemble(ranked, label, cols, "_t").coalesce(1).cache()
     n = (data.select(F.max("_t")).first()[0] or 0) + 1
     lr = LogisticRegression(elasticNetParam=1.0, standardization=True, maxIter=50, tol=1e-5)
     out = []

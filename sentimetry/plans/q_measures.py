@@ -242,7 +242,8 @@ def _cluster_sql():
         f"SELECT {Q.q(n)} AS cluster, date, sum(value) / count(*) AS global FROM merged "
         f"WHERE feature = {Q.q(t[2])} AND lexicon IN ({Q.q(t[0])}, {Q.q(t[1])}) GROUP BY date"
         for n, t in CLUSTERS.items())
-    return MERGED_SQL + f", globs AS ({parts})\n"
+    once = MERGED_SQL.replace("merged AS (", "merged AS MATERIALIZED (")
+    return once + f", globs AS MATERIALIZED ({parts})\n"
 
 
 @register("global_index", BASE_SQL + """, w AS (SELECT date, value,

@@ -141,65 +141,179 @@ def _design_fixed(spark, sf):
     return materialize(_design(spark, sf, round_=False))
 
 
-@register("stepwise_aic", None)
+@register("design_stepwise_aic", None)
+def design_stepwise_aic(spark, sf):
+    """O108 on the design table: both-direction AIC selection over the cluster indices."""
+    trace = MD.stepwise_aic(_design_fixed(spark, sf), "label", GLOBS)
+    return spark.createDataFrame(trace, STEP_SCHEMA)
+
+
+@register("design_stepwise_aic_2way", None)
+def design_stepwise_aic_2way(spark, sf):
+    """O109 on the design table: the same with all two-way interactions in scope."""
+    trace = MD.stepwise_aic(_design_fixed(spark, sf), "label", GLOBS, MD.pairwise_scope(GLOBS))
+    return spark.createDataFrame(trace, STEP_SCHEMA)
+
+
+STEP_SCHEMA = "step int, action string, term string, aic double"
+DUMMIES = {"d_de": "de", "d_es": "es", "d_fr": "fr"}
+# any set of dummies of one factor pools the other languages, so its logit is saturated
+STEP_SQL = "WITH RECURSIVE" + MODEL_SQL[len("WITH"):] + f""", lg AS (SELECT CASE {' '.join(f"WHEN d.lang = '{v}' THEN {1 << i}" for i, v in enumerate(DUMMIES.values()))} ELSE 0 END AS bit,
+  CAST(l.quality AS INTEGER) AS label FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+pooled AS (SELECT m.mask, CASE WHEN bit & m.mask > 0 THEN bit ELSE 0 END AS cell, sum(label) AS n1, count(*) - sum(label) AS n0
+  FROM lg CROSS JOIN (SELECT unnest(range({1 << len(DUMMIES)})) AS mask) m GROUP BY 1, 2),
+aics AS (SELECT mask, -2 * sum(n1 * ln(n1 / (n1 + n0)) + n0 * ln(n0 / (n1 + n0))) + 2 * (1 + bit_count(mask)) AS aic FROM pooled GROUP BY 1),
+moves AS (SELECT a.mask, a.aic AS before, CASE WHEN a.mask & t.bit > 0 THEN '-' ELSE '+' END AS action, t.term, b.mask AS after, b.aic,
+  row_number() OVER (PARTITION BY a.mask ORDER BY b.aic, CASE WHEN a.mask & t.bit > 0 THEN '-' ELSE '+' END, t.term) AS rn
+  FROM aics a CROSS JOIN (VALUES {', '.join(f"('{k}', {1 << i})" for i, k in enumerate(DUMMIES))}) AS t(term, bit) JOIN aics b ON b.mask = xor(a.mask, t.bit)),
+walk AS (SELECT 0 AS step, 'start' AS action, '' AS term, {(1 << len(DUMMIES)) - 1} AS mask, aic FROM aics WHERE mask = {(1 << len(DUMMIES)) - 1}
+  UNION ALL SELECT w.step + 1, m.action, m.term, m.after, m.aic FROM walk w JOIN moves m ON m.mask = w.mask AND m.rn = 1 WHERE m.aic < w.aic - 1e-9)
+SELECT step, action, term, """ + s4("aic") + " AS aic FROM walk"
+
+
+def _stepwise(spark, sf, scope):
+    docs = fx.table(spark, sf, "documents").select("doc_id", *[(F.col("lang") == v).cast("double").alias(k) for k, v in DUMMIES.items()])
+    table = fx.table(spark, sf, "labels").join(docs, "doc_id").select(F.col("quality").cast("int").alias("label"), *DUMMIES)
+    trace = MD.stepwise_aic(table, "label", list(DUMMIES), scope)
+    return spark.createDataFrame(trace, STEP_SCHEMA).withColumn("aic", r4("aic"))
+
+
+@register("stepwise_aic", STEP_SQL)
 def stepwise_aic(spark, sf):
-    """O108: both-direction AIC selection over the cluster indices."""
-    dm = _design_fixed(spark, sf)
-    trace = MD.stepwise_aic(dm, "label", GLOBS)
-    return spark.createDataFrame(trace, "step int, action string, term string, aic double")
+    """O108: both-direction AIC selection over the language dummies of quality."""
+    return _stepwise(spark, sf, None)
 
 
-@register("stepwise_aic_2way", None)
+@register("stepwise_aic_2way", STEP_SQL)
 def stepwise_aic_2way(spark, sf):
-    """O109: the same with all two-way interactions in scope."""
-    dm = _design_fixed(spark, sf)
-    trace = MD.stepwise_aic(dm, "label", GLOBS, MD.pairwise_scope(GLOBS))
-    return spark.createDataFrame(trace, "step int, action string, term string, aic double")
+    """O109: the same with two-way interactions in scope; dummies of one factor
+    never meet, so these are collinear and no candidate."""
+    return _stepwise(spark, sf, MD.pairwise_scope(list(DUMMIES)))
 
 
 def _measure_cols(dm):
     return [c for c in dm.columns if "--" in c]
 
 
-def _path(dm, cols, n=8):
+N_LAMBDAS = 100
+
+
+def _path(dm, cols, n=N_LAMBDAS):
     return MD.lambda_path(dm, "label", cols, n)
 
 
-@register("sparse_timeslice_cv", None)
-def sparse_timeslice_cv(spark, sf):
-    """O114: LASSO logit, rolling origin (train 60, test 10 periods)."""
-    dm = _design_fixed(spark, sf)
-    cols = GLOBS + _measure_cols(dm)
-    rows = MD.timeslice_cv(dm, "label", cols, _path(dm, cols, 4), 60, 10)
+def _slices(df, cols, order="date"):
+    rows = MD.timeslice_cv(df, "label", cols, _path(df, cols), 60, 10, order)
     best = MD.best_lambda(rows)
-    return spark.createDataFrame([(*r, r[0] == best) for r in rows],
-                                 "lambda double, slice int, error double, reason string, chosen boolean")
+    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows],
+                                           "lambda double, slice int, error double, reason string, chosen boolean")
 
 
-def _kfold(spark, sf, k):
-    """(λ.min, curve, model refitted at λ.min, its regressors)."""
+def _choice(df, cols, k):
+    """λ.min, its error and the coefficients of the refit at λ.min."""
+    best, curve = MD.lasso_kfold(df, "label", cols, _path(df, cols), k=k)
+    model = MD.sparse_fit(df, "label", cols, best)
+    error = next(e for lam, e, _ in curve if lam == best)
+    terms = [("(Intercept)", float(model.intercept)), *zip(cols, map(float, model.coefficients))]
+    return df.sparkSession.createDataFrame([(best, error, float(model.getRegParam()), t, b) for t, b in terms],
+                                           "lambda_min double, cv_error double, fitted_reg double, term string, beta double")
+
+
+def _curve(df, cols, k):
+    _, curve = MD.lasso_kfold(df, "label", cols, _path(df, cols), k=k)
+    return df.sparkSession.createDataFrame(curve, "lambda double, cv_error double, cv_se double")
+
+
+def _folds(spark, sf, k):
     dm = _design_fixed(spark, sf).withColumn("fold", ((F.year("date") * 12 + F.month("date")) % k).cast("int"))
-    cols = GLOBS + _measure_cols(dm)
-    best, curve = MD.lasso_kfold(dm, "label", cols, _path(dm, cols), k=k)
-    return best, curve, MD.sparse_fit(dm, "label", cols, best, 50, 1e-5), cols
+    return dm, GLOBS + _measure_cols(dm)
+
+
+@register("design_timeslice_cv", None)
+def design_timeslice_cv(spark, sf):
+    """O114 on the design table: LASSO logit, rolling origin (train 60, test 10 periods)."""
+    dm = _design_fixed(spark, sf)
+    return _slices(dm, GLOBS + _measure_cols(dm))
 
 
-@register("sparse_kfold_cv", None)
+@register("design_kfold_cv", None)
+def design_kfold_cv(spark, sf):
+    """O115 on the design table: LASSO logit, 10-fold CV on misclassification."""
+    return _choice(*_folds(spark, sf, 10), 10)
+
+
+@register("design_cv_curve", None)
+def design_cv_curve(spark, sf):
+    """O116 on the design table: mean 5-fold CV error and its standard error per λ."""
+    return _curve(*_folds(spark, sf, 5), 5)
+
+
+# a LASSO logit of one binary regressor has a closed form: the penalty takes λ·sd·n/n1 from the share of
+# positives where x = 1 and gives λ·sd·n/n0 to that where x = 0, until both are the overall share
+PATH_SQL = """WITH mt AS (SELECT l.doc_id, CAST(l.quality AS INTEGER) AS y, CAST(l.toxic AS INTEGER) AS x,
+  date_trunc('month', CAST(DATE '1995-01-01' + CAST((l.doc_id * 41) % 2405 AS INTEGER) AS DATE)) AS month
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+lam AS (SELECT i, (SELECT abs(sum(x * y) - avg(y) * sum(x)) / (count(*) * stddev_samp(x)) FROM mt) * power(0.01, i / {last}) AS lm
+  FROM (SELECT unnest(range({n})) AS i)),
+{groups},
+tr AS (SELECT g, count(*) AS n, sum(x) AS n1, count(*) - sum(x) AS n0, avg(y) AS yb, sum(x * y) AS p1, sum(y) - sum(x * y) AS p0,
+  coalesce(stddev_samp(x), 0) AS sd FROM train GROUP BY 1),
+fit AS (SELECT tr.*, lam.i, lam.lm, CASE WHEN n1 = 0 OR n0 = 0 OR lm >= abs(p1 - yb * n1) / (n * sd) THEN yb
+    ELSE p1 / n1 - sign(p1 / n1 - p0 / n0) * lm * sd * n / n1 END AS s1,
+  CASE WHEN n1 = 0 OR n0 = 0 OR lm >= abs(p1 - yb * n1) / (n * sd) THEN yb
+    ELSE p0 / n0 + sign(p1 / n1 - p0 / n0) * lm * sd * n / n0 END AS s0 FROM tr CROSS JOIN lam),
+err AS (SELECT f.g, f.i, f.lm, CASE WHEN f.yb IN (0, 1) THEN NULL
+  ELSE avg(CAST((CASE WHEN t.x = 1 THEN f.s1 ELSE f.s0 END > 0.5) <> (t.y = 1) AS INTEGER)) END AS error
+  FROM fit f JOIN test t ON t.g = f.g GROUP BY f.g, f.i, f.lm, f.yb),
+curve AS (SELECT i, lm, avg(error) AS cv_error, stddev_samp(error) / sqrt(count(error)) AS cv_se FROM err GROUP BY 1, 2),
+best AS (SELECT lm, cv_error FROM curve WHERE cv_error IS NOT NULL ORDER BY round(cv_error, 12), lm DESC LIMIT 1)
+""".replace("{n}", str(N_LAMBDAS)).replace("{last}", f"{N_LAMBDAS - 1}.0")
+
+
+def _fold_groups(k):
+    return (f"train AS (SELECT f.g, mt.* FROM mt JOIN (SELECT unnest(range({k})) AS g) f ON mt.doc_id % {k} <> f.g), "
+            f"test AS (SELECT doc_id % {k} AS g, * FROM mt)")
+
+
+SLICE_GROUPS = """ranked AS (SELECT mt.*, r.t FROM mt JOIN (SELECT month, row_number() OVER (ORDER BY month) - 1 AS t FROM (SELECT DISTINCT month FROM mt)) r USING (month)),
+starts AS (SELECT unnest(range(greatest((SELECT max(t) FROM ranked) + 2 - 70, 0))) AS g),
+train AS (SELECT s.g, r.* FROM ranked r JOIN starts s ON r.t >= s.g AND r.t < s.g + 60),
+test AS (SELECT s.g, r.* FROM ranked r JOIN starts s ON r.t >= s.g + 60 AND r.t < s.g + 70)"""
+
+
+def _binary(spark, sf, k):
+    """The labelled documents: quality by one binary regressor, folds by id, months."""
+    month = fx.corpus(spark, sf).select(F.col("id").alias("doc_id"), F.trunc("date", "month").alias("month"))
+    return _mt(spark, sf).select("doc_id", "label", "x1").join(month, "doc_id").withColumn("fold", (F.col("doc_id") % k).cast("int"))
+
+
+@register("sparse_timeslice_cv", PATH_SQL.replace("{groups}", SLICE_GROUPS) + f"""SELECT {s4('e.lm')} AS "lambda", CAST(e.g AS INTEGER) AS slice, {s4('e.error')} AS error,
+  CASE WHEN e.error IS NULL THEN 'one class in training' END AS reason, e.lm = b.lm AS chosen FROM err e CROSS JOIN best b""")
+def sparse_timeslice_cv(spark, sf):
+    """O114: LASSO logit path of 100 λ, rolling origin over months (train 60, test 10)."""
+    rows = _slices(_binary(spark, sf, 1), ["x1"], "month")
+    return rows.withColumns({c: r4(c) for c in ("lambda", "error")})
+
+
+@register("sparse_kfold_cv", PATH_SQL.replace("{groups}", _fold_groups(10)) + f""", whole AS (SELECT count(*) AS n, sum(x) AS n1, count(*) - sum(x) AS n0, avg(y) AS yb,
+  sum(x * y) AS p1, sum(y) - sum(x * y) AS p0, stddev_samp(x) AS sd FROM mt),
+refit AS (SELECT b.lm, b.cv_error, CASE WHEN b.lm >= abs(p1 - yb * n1) / (n * sd) * (1 - 1e-12) THEN yb ELSE p1 / n1 - sign(p1 / n1 - p0 / n0) * b.lm * sd * n / n1 END AS s1,
+  CASE WHEN b.lm >= abs(p1 - yb * n1) / (n * sd) * (1 - 1e-12) THEN yb ELSE p0 / n0 + sign(p1 / n1 - p0 / n0) * b.lm * sd * n / n0 END AS s0 FROM whole CROSS JOIN best b)
+SELECT {s4('lm')} AS lambda_min, {s4('cv_error')} AS cv_error, {s4('lm')} AS fitted_reg, term, {s4('beta')} AS beta FROM (
+  SELECT lm, cv_error, '(Intercept)' AS term, ln(s0 / (1 - s0)) AS beta FROM refit
+  UNION ALL SELECT lm, cv_error, 'x1', ln(s1 / (1 - s1)) - ln(s0 / (1 - s0)) FROM refit)""")
 def sparse_kfold_cv(spark, sf):
-    """O115: LASSO logit, 10-fold CV on misclassification: λ.min, its error and
-    the coefficients of the refit at λ.min."""
-    best, curve, model, cols = _kfold(spark, sf, 10)
-    error = next(e for lam, e, _ in curve if lam == best)
-    terms = [("(Intercept)", float(model.intercept)), *zip(cols, map(float, model.coefficients))]
-    return spark.createDataFrame([(best, error, float(model.getRegParam()), t, b) for t, b in terms],
-                                 "lambda_min double, cv_error double, fitted_reg double, term string, beta double")
+    """O115: LASSO logit, 100 λ, 10-fold CV on misclassification: λ.min, its
+    error and the coefficients of the refit at λ.min."""
+    out = _choice(_binary(spark, sf, 10), ["x1"], 10)
+    return out.withColumns({c: r4(c) for c in ("lambda_min", "cv_error", "fitted_reg", "beta")})
 
 
-@register("cv_curve", None)
+@register("cv_curve", PATH_SQL.replace("{groups}", _fold_groups(5)) + f'SELECT {s4("lm")} AS "lambda", {s4("cv_error")} AS cv_error, {s4("cv_se")} AS cv_se FROM curve')
 def cv_curve(spark, sf):
-    """O116: mean 5-fold CV error and its standard error per λ."""
-    _, curve, _, _ = _kfold(spark, sf, 5)
-    return spark.createDataFrame(curve, "lambda double, cv_error double, cv_se double")
+    """O116: mean 5-fold CV error and its standard error for 100 λ."""
+    out = _curve(_binary(spark, sf, 5), ["x1"], 5)
+    return out.withColumns({c: r4(c) for c in out.columns})
 
 
 @register("sparse_coefficients", MODEL_SQL + """, mt3 AS (SELECT avg(label) AS p FROM mt)

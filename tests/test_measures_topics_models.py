@@ -489,3 +489,38 @@ def test_scores_of_fitted_models_against_numpy(spark):
         assert got[k, "Arun2010"] == pytest.approx(TP.metric_arun(m.phi_long(i), m.theta_long(i), lens))
         assert got[k, "CaoJuan2009"] == pytest.approx(TP.metric_cao_juan(m.phi_long(i)).first()[0])
         assert got[k, "Deveaud2014"] == pytest.approx(TP.metric_deveaud(m.phi_long(i)).first()[0])
+
+
+def test_lasso_path_equals_single_fits(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 4)) * [1, 5, 0.2, 1]
+    x[:, 3] = 2.0  # constant
+    y = (x[:, 0] - 0.4 * x[:, 1] + rng.normal(size=80) > 0).astype(int)
+    df = spark.createDataFrame([(int(c), *map(float, r)) for c, r in zip(y, x)], "label int, a double, b double, c double, k double")
+    path = MD.lambda_path(df, "label", list("abc"), 4)
+    b = MD.lasso_path(x, y.astype(float), path)
+    for i, lam in enumerate(path):
+        m = MD.sparse_fit(df, "label", list("abck"), lam)
+        assert b[:, i] == pytest.approx([m.intercept, *m.coefficients], abs=2e-4)
+
+
+def test_grids_equal_fits_one_by_one(spark):
+    """The one-job grid and MLlib's fits, which a larger table gets, agree."""
+    rng = np.random.default_rng(5)
+    rows = [(d(f"20{i // 4:02d}-0{1 + i % 4}-01"), int(v + rng.normal() > 0), float(v), float(rng.normal()), i % 3) for i, v in enumerate(rng.normal(size=48))]
+    df = spark.createDataFrame(rows, "date date, label int, a double, b double, fold int")
+    path = MD.lambda_path(df, "label", ["a", "b"], 3)
+    (x, one), (z, two) = (MD.lasso_kfold(df, "label", ["a", "b"], path, 3, cells=c) for c in (10**6, 0))
+    assert x == z and np.allclose(one, two)
+    got, want = (sorted(MD.timeslice_cv(df, "label", ["a", "b"], path, 40, 4, cells=c)) for c in (10**6, 0))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want])
+
+
+def test_stepwise_in_one_job_a_step_equals_single_fits(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(a + rng.normal() > 0), float(a), float(rng.normal()), float(2 * a)) for a in rng.normal(size=60)]
+    df = spark.createDataFrame(rows, "label int, a double, b double, twice double")
+    one, two = (MD.stepwise_aic(df, "label", ["a", "b"], ["a", "b", "a:b"], cells=c) for c in (10**6, 0))
+    assert [r[:3] for r in one] == [r[:3] for r in two] and [r[3] for r in one] == pytest.approx([r[3] for r in two], abs=1e-5)
+    x, y = np.array([r[1:] for r in rows]), np.array([float(r[0]) for r in rows])
+    assert MD._aic(x, y) == math.inf and MD._aic(np.sign(y - 0.5)[:, None], y) == math.inf
