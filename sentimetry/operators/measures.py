@@ -9,13 +9,14 @@ are partitioned by measure.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import safe_corr
-
 from ..functions.text import period_bucket, period_from_index, period_index
 from ..functions.weights import time_schemes
 from .sentiment import HOWS, UNITS, document_sentiment
@@ -86,16 +87,24 @@ def aggregate_documents(doc_sent: DataFrame, by: str = "day", how_docs: str = "e
     return d.groupBy("date", *keys).agg(F.coalesce(val, F.lit(0.0)).alias("value"))
 
 
-def fill_periods(series: DataFrame, by: str, fill: str = "zero", keys: list[str] | None = None) -> DataFrame:
+def period_ends(dated: DataFrame, by: str) -> DataFrame:
+    """One row (lo, hi): the first and last period of the column ``date``."""
+    return dated.agg(F.min(period_index("date", by)).alias("lo"), F.max(period_index("date", by)).alias("hi"))
+
+
+def fill_periods(series: DataFrame, by: str, fill: str = "zero", keys: list[str] | None = None,
+                 ends: DataFrame | None = None) -> DataFrame:
     """Add the missing periods of one grid, from the first to the last
     period of the whole table; ``zero`` puts 0, ``latest`` the last value (none
     before a series' first).
 
     Each row looks at the next period of its series (``lead`` over a window
     partitioned by the series key) and emits the periods up to it with
-    ``sequence``.  The grid's ends come from a window over the same rows, which
-    are periods × measures, never documents: one pass, no join back, and the
-    text pipeline behind the table runs once.
+    ``sequence``.  The grid's ends are ``ends`` (:func:`period_ends`, of the
+    corpus' dates where the series come from one, so that the text pipeline
+    behind them runs once), else those of the series, as scalar subqueries: no
+    row leaves its series' partition.  Series with further keys (events) have a
+    grid for each of these.
     """
     keys = keys or KEYS
     if fill == "none":
@@ -103,11 +112,16 @@ def fill_periods(series: DataFrame, by: str, fill: str = "zero", keys: list[str]
     if fill not in ("zero", "latest"):
         raise ValueError("fill is zero, latest or none")
     # events and the like have their own periods; the grid is per what isn't a measure key
-    grid = Window.partitionBy(*[k for k in keys if k not in KEYS])
+    own = [k for k in keys if k not in KEYS]
     w = Window.partitionBy(*keys).orderBy("_i")
     s = series.withColumn("_i", period_index("date", by))
-    s = s.withColumn("_n", F.coalesce(F.lead("_i").over(w), F.max("_i").over(grid) + 1))
-    first = F.when(F.lag("_i").over(w).isNull(), F.min("_i").over(grid)).otherwise(F.col("_i"))
+    if own:
+        low, high = F.min("_i").over(Window.partitionBy(*own)), F.max("_i").over(Window.partitionBy(*own))
+    else:
+        ends = period_ends(series, by) if ends is None else ends
+        low, high = ends.select("lo").scalar(), ends.select("hi").scalar()
+    s = s.withColumn("_n", F.coalesce(F.lead("_i").over(w), high + 1))
+    first = F.when(F.lag("_i").over(w).isNull(), low).otherwise(F.col("_i"))
     s = s.withColumn("_from", first if fill == "zero" else F.col("_i"))
     ex = s.select(*keys, "value", "_i", F.explode(F.sequence(F.col("_from"), F.col("_n") - 1)).alias("_j"))
     v = F.col("value") if fill == "latest" else F.when(F.col("_j") == F.col("_i"), F.col("value")).otherwise(0.0)
@@ -120,7 +134,7 @@ def measure_dates(corpus: DataFrame, opts: AggOptions) -> DataFrame:
     column only, not the text."""
     if opts.fill == "none":
         raise ValueError("without filling the dates are those of the measures themselves")
-    ends = corpus.agg(F.min(period_index("date", opts.by)).alias("lo"), F.max(period_index("date", opts.by)).alias("hi"))
+    ends = period_ends(corpus, opts.by)
     full = ends.where(F.col("hi") - F.col("lo") >= opts.lag - 1)
     return full.select(F.explode(F.sequence(F.col("lo") + (opts.lag - 1), "hi")).alias("_j")).select(
         period_from_index("_j", opts.by).alias("date"))
@@ -151,11 +165,12 @@ def roll_series(series: DataFrame, schemes: dict[str, list[float]], keys: list[s
         "date", *keys, "_s.time", "_s.value")
 
 
-def aggregate_measures(doc_sent: DataFrame, opts: AggOptions, extra_keys: list[str] | None = None) -> DataFrame:
+def aggregate_measures(doc_sent: DataFrame, opts: AggOptions, extra_keys: list[str] | None = None,
+                       ends: DataFrame | None = None) -> DataFrame:
     """``perform_agg``: documents → periods → filled grid → rolled measures."""
     keys = (extra_keys or []) + KEYS
     per = aggregate_documents(doc_sent, opts.by, opts.how_docs, opts.ignore_zeros, extra_keys)
-    filled = fill_periods(per, opts.by, opts.fill, keys)
+    filled = fill_periods(per, opts.by, opts.fill, keys, ends)
     return roll_series(filled, opts.schemes(), keys)
 
 
@@ -163,7 +178,7 @@ def sentiment_measures(corpus: DataFrame, lexicons: DataFrame, opts: AggOptions,
                        stopwords: list[str] | None = None) -> DataFrame:
     """O126: corpus + lexicons + options → long measures, one lazy plan."""
     ds = document_sentiment(corpus, lexicons, valence, stopwords, opts.how_within, opts.units, opts.phrase_mode)
-    return aggregate_measures(ds, opts)
+    return aggregate_measures(ds, opts, ends=period_ends(corpus, opts.by))
 
 
 def event_month_corpus(corpus: DataFrame, timeline: DataFrame) -> DataFrame:
@@ -184,18 +199,49 @@ def measures_wide(measures: DataFrame, names: list[str]) -> DataFrame:
 
 def measures_stats(measures: DataFrame) -> DataFrame:
     """Per measure mean, sd, max, min and mean correlation with the other
-    measures (pairs by a self-join on date, ``corr`` grouped by pair)."""
-    m = measures.withColumn("measure", measure_name()).select("date", "measure", "value")
+    measures, each pair over the dates that both have; a pair whose correlation
+    isn't defined (a constant, under two common dates) doesn't count.
+
+    No pair is joined: a date is one row with a vector over the measures, less
+    their means, and a task adds up outer products; measures × measures sums
+    leave it.
+    """
+    m = measures.withColumn("measure", measure_name()).select("date", "measure", F.col("value").cast("double").alias("value"))
     basic = m.groupBy("measure").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
         F.max("value").alias("max"), F.min("value").alias("min"))
-    a = m.select("date", F.col("measure").alias("m1"), F.col("value").alias("v1"))
-    b = m.select("date", F.col("measure").alias("m2"), F.col("value").alias("v2"))
-    pairs = a.join(b, "date").where(F.col("m1") < F.col("m2")).groupBy("m1", "m2").agg(
-        safe_corr("v1", "v2").alias("r"))
-    both = pairs.select(F.explode(F.array("m1", "m2")).alias("measure"), "r")  # correlation is symmetric
-    mean_r = both.groupBy("measure").agg(F.avg("r").alias("meanCorr"))
-    return basic.join(mean_r, "measure", "left")
+    names = sorted(r[0] for r in m.select("measure").distinct().collect())
+    place = F.array_position(F.lit(names) if names else F.array().cast("array<string>"), F.col("measure")) - 1
+    rows = m.where("value is not null").join(basic.select("measure", "mean"), "measure").groupBy("date").agg(
+        F.collect_list(F.struct(place.cast("int").alias("at"), (F.col("value") - F.col("mean")).alias("x"))).alias("cells"))
+    size = len(names)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((4, size, size))
+        for batch in batches:
+            x, have = np.zeros((2, batch.num_rows, size))
+            cells = batch.column("cells")
+            row = np.repeat(np.arange(batch.num_rows), cells.value_lengths().to_numpy())
+            at = cells.flatten().field("at").to_numpy()
+            x[row, at], have[row, at] = cells.flatten().field("x").to_numpy(), 1
+            out += [have.T @ have, x.T @ have, (x * x).T @ have, x.T @ x]
+        yield pa.record_batch([pa.array([out.ravel()], pa.list_(pa.float64()))], names=["sums"])
+
+    n, sx, sxx, sxy = np.zeros((4, size, size))
+    if size:
+        cells = rows.select("cells").mapInArrow(products, "sums array<double>").select(F.posexplode("sums").alias("at", "v"))
+        total = np.zeros(4 * size * size)
+        for r in cells.groupBy("at").agg(F.sum("v").alias("v")).collect():  # 4 x measures x measures numbers
+            total[r["at"]] = r["v"]
+        n, sx, sxx, sxy = total.reshape(4, size, size)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = np.maximum(sxx - sx * sx / n, 0)
+        spread[spread <= 1e-20 * np.maximum(np.diag(sxx)[:, None], 1e-300)] = 0
+        r = (sxy - sx * sx.T / n) / np.sqrt(spread * spread.T)
+    np.fill_diagonal(r, np.nan)
+    r[~np.isfinite(r)] = np.nan
+    mean_r = [(name, float(np.nanmean(row)) if np.isfinite(row).any() else None) for name, row in zip(names, r)]
+    return basic.join(measures.sparkSession.createDataFrame(mean_r, "measure string, meanCorr double"), "measure", "left")
 
 
 def select_measures(measures: DataFrame, to_select: list[str], do_combine: bool = True) -> DataFrame:

@@ -85,7 +85,7 @@ def _fill_sql(by, fill):
 
 def _filled(spark, sf, by, fill):
     per = M.aggregate_documents(_doc_sent(spark, sf), by, "equal_weight", True)
-    return _per_out(M.fill_periods(per, by, fill))
+    return _per_out(M.fill_periods(per, by, fill, ends=M.period_ends(corpus(spark, sf), by)))
 
 
 @register("fill_zero", _fill_sql("week", "zero"))

@@ -412,7 +412,7 @@ def attribution_all_dims(spark, sf):
     per = M.aggregate_documents(document_sentiment(corpus(spark, sf), lexicons(spark), fx.valence(spark), fx.STOPWORDS,
                                                    BASE.how_within, BASE.units, BASE.phrase_mode),
                                 BASE.by, BASE.how_docs, BASE.ignore_zeros)
-    filled = materialize(M.fill_periods(per, BASE.by, BASE.fill), "filled")
+    filled = materialize(M.fill_periods(per, BASE.by, BASE.fill, ends=M.period_ends(corpus(spark, sf), BASE.by)), "filled")
     schemes = BASE.schemes()
     a = A.attribution_all_dims(M.roll_series(filled, schemes), _coefs(spark)).unionByName(
         A.attribution_by_lag(filled, schemes, _coefs(spark)))

@@ -524,3 +524,30 @@ def test_stepwise_in_one_job_a_step_equals_single_fits(spark):
     assert [r[:3] for r in one] == [r[:3] for r in two] and [r[3] for r in one] == pytest.approx([r[3] for r in two], abs=1e-5)
     x, y = np.array([r[1:] for r in rows]), np.array([float(r[0]) for r in rows])
     assert MD._aic(x, y) == math.inf and MD._aic(np.sign(y - 0.5)[:, None], y) == math.inf
+
+
+def test_mean_correlation_with_gaps_and_constants(spark):
+    import pandas as pd
+    rng = np.random.default_rng(2)
+    dates = pd.date_range("2020-01-01", periods=30)
+    wide = pd.DataFrame({"a": rng.normal(size=30), "b": 1e6 + rng.normal(size=30), "c": 5.0, "d": rng.normal(size=30)}, index=dates)
+    wide["b"] += wide["a"]
+    wide.loc[dates[:12], "d"] = np.nan
+    rows = [(t.date(), k, "f", "w", float(v)) for k in wide for t, v in wide[k].items() if not np.isnan(v)]
+    df = spark.createDataFrame(rows, "date date, lexicon string, feature string, time string, value double").repartition(3)
+    got = {r["measure"][0]: r["meanCorr"] for r in M.measures_stats(df).collect()}
+    r = wide.corr()
+    for k in "abd":
+        assert got[k] == pytest.approx(r.loc[k, [x for x in "abd" if x != k]].mean(), abs=1e-9)
+    assert got["c"] is None
+    assert M.measures_stats(df.limit(0)).count() == 0
+
+
+def test_fill_keeps_series_in_their_partitions(spark, tmp_path):
+    docs = spark.createDataFrame([(d("2019-12-30"),), (d("2020-01-07"),)], "date date")
+    filled = M.fill_periods(_series(spark), "day", "zero", ends=M.period_ends(docs, "day"))
+    assert filled.count() == 9 and filled.agg(F.sum("value")).first()[0] == 3.0
+    for df in (filled, M.fill_periods(_series(spark), "day", "latest")):
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        for line, below in zip(plan, plan[1:]):  # one row only: a total of partial totals
+            assert "SinglePartition" not in line or "partial_" in below
