@@ -16,10 +16,12 @@ m / (a + b - m) with m shingles matched in order.  Then, while links are found,
 bucket members outside the component of the bucket's best linked node are
 compared with that node: this joins star-shaped groups whose centre wasn't the
 leader.  Last, all other pairs of a bucket whose nodes are still in different
-components are compared, so no such pair is left untested: a bucket is dealt
-into blocks, and blocks meet blocks at doubling distances, with components
-brought up to date between.  Components come from hooking and contraction;
-nothing is collected.
+components are compared, so no such pair is left untested.  Buckets of one
+leader are one group, so a family that shares many buckets is compared a few
+times only; a group is dealt into blocks, a task takes two blocks with their
+texts, drops pairs by size and sketch bits, aligns the others, and gives out
+only links that join components: no pair is a row.  Components come from hooking
+and contraction; nothing is collected.
 
 Defined results: null counts as empty, and texts without a word are copies of
 each other; a null id is kept, and a class of null ids only has a null class
@@ -33,6 +35,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +54,7 @@ SEPARATOR[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 class NearDuplicates:
     """``large``: bucket size from which it is cut for the first links;
     ``neighbours``: how many nodes before it a node meets for them; ``block``:
-    nodes of a bucket in a block of the last rounds; ``bits_agree``: sketch bins (of 64)
+    shingles of all texts in a block of the last comparison, about; ``bits_agree``: sketch bins (of 64)
     whose two bits must agree, over 5 deviations below what a pair at the
     threshold shows."""
 
@@ -61,7 +64,7 @@ class NearDuplicates:
     sample: int = 3
     large: int = 64
     neighbours: int = 4
-    block: int = 256
+    block: int = 400_000
     bits_agree: int = 38
 
 
@@ -250,6 +253,57 @@ def _verify(p: NearDuplicates):
     return verify
 
 
+def joined(words: list[bytes], size: np.ndarray, bits: np.ndarray, root: np.ndarray, side: np.ndarray, p: NearDuplicates) -> list[tuple[int, int, float]]:
+    """Similar pairs that join components, of all pairs of different sides (one
+    side only: of all pairs)."""
+    of = np.unique(root, return_inverse=True)[1]
+    across, links = side.min() != side.max(), []
+    half = np.uint64(0x5555555555555555)
+
+    @lru_cache(None)
+    def text(i: int) -> tuple[np.ndarray, frozenset[int]]:
+        w = np.frombuffer(words[i], np.uint32)
+        shingle, at = shingles(w, np.zeros(len(w), np.int64), 1, p.shingle)
+        return shingle, frozenset(labelled(shingle, at).tolist())
+
+    for i in range(len(words) - 1):
+        rest = np.arange(i + 1, len(words))
+        rest = rest[(of[rest] != of[i]) & (np.minimum(size[rest], size[i]) >= np.maximum(size[rest], size[i]) * p.threshold)]
+        if across:
+            rest = rest[side[rest] != side[i]]
+        apart = bits[rest] ^ bits[i]
+        apart = np.bitwise_count((apart | (apart >> np.uint64(1))) & half).sum(axis=1, dtype=np.int64)
+        for j in rest[apart <= BINS - p.bits_agree].tolist():
+            if of[j] == of[i]:
+                continue
+            (a, in_a), (b, in_b) = text(i), text(j)
+            common = len(in_a & in_b)  # no more can match in order
+            if common >= p.threshold * (len(a) + len(b) - common) - 1e-6 and (alike := similarity(a, b, p.threshold)):
+                links.append((i, j, alike))
+                of[of == of[j]] = of[i]
+        if not across and (of == of[0]).all():
+            break
+    return links
+
+
+def _compare(p: NearDuplicates):
+    def rows(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("leader", "i", "j", "side", "node", "root", "n", "low", "high", "words")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block in groupby(rows(batches), key=lambda r: r[:3]):
+            _, _, _, side, node, root, n, low, high, words = zip(*block)
+            bits = np.array([low, high], np.int64).T.copy().view(np.uint64)
+            links = joined(list(words), np.array(n), bits, np.array(root), np.array(side), p)
+            if links:
+                a, b, alike = zip(*links)
+                ends = np.sort(np.array([[node[i] for i in a], [node[i] for i in b]], np.int64), axis=0)
+                yield pa.record_batch([pa.array(ends[0]), pa.array(ends[1]), pa.array(alike, pa.float64())], names=["a", "b", "similarity"])
+
+    return compare
+
+
 def _like(p: NearDuplicates) -> Column:
     """Whether sizes and sketch bits of ``x`` and ``y`` don't rule the threshold out."""
     fold = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")).bitwiseOR(F.shiftrightunsigned(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")), 1)).bitwiseAND(F.lit(0x5555555555555555)))
@@ -307,29 +361,18 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> tu
             break
         tried, links, roots = tried.unionByName(fresh), links.unionByName(more), components(more, roots)
 
-    def parted(members: DataFrame) -> DataFrame:
-        """``members`` of buckets that hold several components, with their roots."""
-        state = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = state.groupBy("band", "sample").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first < last")
-        return state.join(several.select("band", "sample"), ["band", "sample"])
-
-    dealt = bucket.withColumn("blocks", F.ceil(F.col("members") / p.block)).withColumn("block", F.pmod("node", "blocks"))
-    dealt = stored(parted(dealt.select("band", "sample", "node", "n", "low", "high", "blocks", "block")).drop("root"), "parted")
-    most, near, far = dealt.agg(F.max("blocks")).first()[0] or 0, 0, 1
-    while near < most:  # blocks that lie from near to far - 1 apart
-        state = parted(dealt)
-        ahead = F.sequence(F.col("block") + near, F.least(F.col("block") + far, F.col("blocks")) - 1)
-        x = state.where(F.col("block") + near < F.col("blocks")).withColumn("block", F.explode(ahead)).alias("x")
-        meets = F.col("x.root") != F.col("y.root")
-        for c in ("band", "sample", "block"):
-            meets &= F.col(f"x.{c}") == F.col(f"y.{c}")
-        if near == 0:
-            meets &= F.col("x.node") < F.col("y.node")
-        fresh = stored(_possible(x.join(state.alias("y"), meets & _like(p)), p).join(tried, ["a", "b"], "left_anti"), "candidates")
-        more = verified(fresh)
-        if not more.isEmpty():
-            links, roots = links.unionByName(more), components(more, roots)
-        tried, near, far = tried.unionByName(fresh), far, far * 2
+    state = bucket.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = state.groupBy("band", "sample").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band", "sample")
+    group = state.join(several, ["band", "sample"]).groupBy("leader", "node").agg(*[F.first(c).alias(c) for c in ("n", "low", "high", "root")])
+    group = stored(group, "groups")
+    many = group.groupBy("leader").agg(F.ceil(F.sum("n") / p.block).alias("blocks"))
+    dealt = group.join(many, "leader").withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
+    other = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    meets = other.select("leader", "node", "n", "low", "high", "root", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), (F.col("o") < F.col("i")).cast("int").alias("side"))
+    blocks_of = meets.join(words, "node").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "side", "node")
+    more = stored(blocks_of.mapInArrow(_compare(p), "a long, b long, similarity double"), "links")
+    if not more.isEmpty():
+        links, roots = links.unionByName(more), components(more, roots)
 
     root = rows.select("doc_id", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = nodes.select("node", "least_id").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least_id").alias("class_id"))
