@@ -138,3 +138,27 @@ def test_order_matters_in_samples():
     few = label.copy()
     few[50] = 7
     assert 0.88 < (op.order_samples(label, text, p) == op.order_samples(few, text, p)).mean() < 0.99
+
+
+def test_joining_pairs_of_two_blocks():
+    """In-task comparison: sides meet each other only, and links join components."""
+    import random
+
+    import numpy as np
+
+    from sentimetry.llm import order_minhash as O
+    from sentimetry.llm.textbytes import Block
+
+    p, rng = O.NearDuplicates(), random.Random(3)
+    base = [f"w{rng.randrange(500)}" for _ in range(200)]
+    texts = [" ".join(base[:k] + [f"e{k}"] + base[k + 1 :]) for k in (10, 60, 110, 160)] + [" ".join(f"z{rng.randrange(500)}" for _ in range(200))]
+    word, text = O.words_of(Block([t.encode() for t in texts]))
+    words = [x.tobytes() for x in np.split(word, np.searchsorted(text, np.arange(1, len(texts))))]
+    shingle, owner = O.shingles(word, text, len(texts), p.shingle)
+    bits = O.sketch_bits(O.labelled(shingle, owner), owner, len(texts))
+    size = np.bincount(owner)
+    one = O.joined(words, size, bits, np.arange(5), np.zeros(5, int), p)
+    assert [x[:2] for x in one] == [(0, 1), (0, 2), (0, 3)] and all(x[2] >= p.threshold for x in one)
+    two = O.joined(words, size, bits, np.arange(5), np.array([0, 0, 1, 1, 1]), p)
+    assert {x[:2] for x in two} == {(0, 2), (0, 3), (1, 2)}
+    assert O.joined(words, size, bits, np.array([7, 7, 7, 7, 8]), np.zeros(5, int), p) == []
