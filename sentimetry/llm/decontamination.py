@@ -45,9 +45,9 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return gram.withColumn("hash", by_size).groupBy("size", "hash").agg(F.collect_list(F.struct("gram", "items")).alias("grams"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` with n_words, hit_spans (array of (first, end) word numbers, merged),
-    n_hit and items (sorted array of strings)."""
+def judged(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc, n_words, hit_spans, n_hit, items, contaminated): each row of ``docs``
+    as a struct, whatever its columns are called, and what was found in it."""
     windows = benchmark_windows(benchmark, width).persist()
     sizes = {r["size"]: r["count"] for r in windows.groupBy("size").count().collect()}  # width rows at most
     small = sum(sizes.values()) <= BROADCAST_WINDOWS
@@ -79,23 +79,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
         return F.struct(F.when(joins, F.concat(rest, span(last["first"], F.greatest(last["end"], h["end"])))).otherwise(F.concat(so_far["spans"], span(h["at"], h["end"]))).alias("spans"))
 
     both = both.withColumn("hit_spans", F.aggregate("sure", none, add)["spans"])
-    own = {"n_words", "hit_spans", "n_hit", "items", "contaminated"}
     result = both.select(
-        *[F.col("doc").getField(c).alias(c) for c in docs.columns if c not in own],
-        F.size("w").cast("long").alias("n_words"), "hit_spans",
+        "doc", F.size("w").cast("long").alias("n_words"), "hit_spans",
         F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"]).alias("n_hit"),
         F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("sure", lambda h: h["items"])), lambda i: i.cast("string")))).alias("items"),
     )
     return result.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` with n_words, hit_spans (array of (first, end) word numbers, merged),
+    n_hit, items (sorted array of strings) and contaminated; columns of ``docs``
+    with these names give way to them."""
+    own = ["n_words", "hit_spans", "n_hit", "items", "contaminated"]
+    return judged(docs, benchmark, width).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c not in own], *own)
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` without contaminated documents; stray hits of others stay."""
-    return contamination(docs, benchmark, width).where(~F.col("contaminated")).select(*docs.columns)
+    """``docs`` without contaminated documents, its own columns as they came;
+    stray hits of others stay."""
+    return judged(docs, benchmark, width).where(~F.col("contaminated")).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def decontamination_sql(docs: str = "documents", benchmark: str = "benchmark", width: int = WIDTH) -> str:

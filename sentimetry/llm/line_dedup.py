@@ -45,8 +45,9 @@ def boilerplate_lines(pages: DataFrame, host: Column, text: Column, ratio: float
     return same.where(F.col("having") > F.col("pages") * ratio).groupBy(F.col("c.host").alias("host")).agg(F.collect_list("line").alias("boilerplate"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least_pages: int = 5) -> DataFrame:
-    """``pages`` with boilerplate lines gone from ``text``, and ``lines_dropped`` (int)."""
+def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least_pages: int = 5) -> DataFrame:
+    """(page, lines_dropped): each row of ``pages`` as a struct, whatever its columns
+    are called, without the boilerplate lines in its ``text``."""
     marks = boilerplate_lines(pages, F.col(host), F.col(text), ratio, least_pages)
     marks = stored(marks, "boilerplate")
     hashes = marks.agg(F.sum(F.size("boilerplate") + 1)).first()[0] or 0
@@ -61,8 +62,14 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     some_left = F.exists("kept", _has_word)
     dropped = F.when(touched & some_left, F.size(lines) - F.size("kept")).otherwise(0)
     columns = [F.col("page").getField(c).alias(c) if c != text else F.when(dropped > 0, F.array_join("kept", "\n")).otherwise(old).alias(text) for c in pages.columns]
-    name = "lines_dropped"
-    return both.select(*[c for c, n in zip(columns, pages.columns) if n != name], dropped.alias(name))
+    return both.select(F.struct(*columns).alias("page"), dropped.alias("lines_dropped"))
+
+
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least_pages: int = 5) -> DataFrame:
+    """``pages`` with boilerplate lines gone from ``text``, and ``lines_dropped`` (int),
+    to which a column of that name gives way."""
+    columns = [F.col("page").getField(c).alias(c) for c in pages.columns if c != "lines_dropped"]
+    return without_boilerplate(pages, host, text, ratio, least_pages).select(*columns, "lines_dropped")
 
 
 def line_dedup_sql(table: str = "documents", ratio: float = 0.1, least_pages: int = 5) -> str:

@@ -133,11 +133,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
-    """``docs`` with ``copies`` and ``taken``, without documents that the mix takes no copy of."""
+    """``docs`` with ``copies`` (``mix_copies`` where the documents have a column of
+    that name, which stays), without documents that the mix takes no copy of."""
     taken = mix(docs, weights, most).groupBy("doc_id", "key", "source").agg(F.sort_array(F.collect_list("copies")).alias("each"))
     order = Window.partitionBy("id", "key", "of").orderBy(F.lit(0))  # equal rows
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("key"), F.col("source").cast("string").alias("of")).withColumn("nth", F.row_number().over(order))
     t = taken.alias("t")
     both = rows.join(t, F.col("id").eqNullSafe(F.col("t.doc_id")) & (rows["key"] == F.col("t.key")) & F.col("of").eqNullSafe(F.col("t.source")))
-    columns = [F.col("doc").getField(c).alias(c) for c in docs.columns if c != "copies"]
-    return both.withColumn("copies", F.get("each", F.col("nth") - 1)).where("copies > 0").select(*columns, "copies")
+    name = "copies"
+    while name in docs.columns:
+        name = "mix_" + name
+    columns = [F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return both.withColumn("copies", F.get("each", F.col("nth") - 1)).where("copies > 0").select(*columns, F.col("copies").alias(name))

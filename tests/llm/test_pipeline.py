@@ -58,3 +58,23 @@ def test_run(spark, tmp_path):
     _, _, path = folder(spark, tmp_path)
     rows = corpus_pipeline.run(spark, path).collect()
     assert rows and all(0 < r.copies <= 3 and r.doc_id < 300 for r in rows)
+
+
+def test_stages_keep_columns_named_like_their_own(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing columns pass the stages unchanged."""
+    rows, _, path = folder(spark, tmp_path)
+    docs = documents(spark, [r for r in rows if r[0] < 400] + [(900, None, None, None), (901, "", "en", None), (902, "one word", "en", "src1"), (902, "one word", "en", "src1")])
+    docs = docs.selectExpr("*", *(f"doc_id + 0.5D as {c}" for c in ("n_words", "copies", "lines_dropped", "taken", "n_hit")), "cast(doc_id as string) as items", "doc_id % 2 = 0 as contaminated", "doc_id as page", "doc_id as doc", "doc_id as hits", "doc_id as kept")
+    before = {r.doc_id: r.asDict() for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, path)
+        assert out.schema.names == docs.schema.names + ["mix_copies"] * (name == "mixture")
+        got = [r.asDict() for r in out.collect()]
+        assert got
+        for r in got:
+            if name == "mixture":
+                assert 0 < r.pop("mix_copies") <= 3
+            assert {**r, "text": 0} == {**before[r["doc_id"]], "text": 0}
+            assert name == "lines" or r["text"] == before[r["doc_id"]]["text"]
+        empty = stage(spark, docs.where("false"), path)
+        assert empty.columns == out.columns and empty.collect() == []
