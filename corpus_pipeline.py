@@ -4,7 +4,8 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet to the shared folder and read again as the next stage's
 documents, so a lost executor never costs an earlier stage.  Every stage works
 on all that the one before kept.  All but the last return the columns of
-``documents``; the last adds ``copies`` and leaves out what the mix takes no
+``documents`` with all extra ones, whatever they are called; the last adds
+``copies`` (``mix_copies`` beside a column of that name) and leaves out what the mix takes no
 copy of.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sentimetry.llm.decontamination import decontaminate
-from sentimetry.llm.line_dedup import drop_boilerplate
+from sentimetry.llm.line_dedup import without_boilerplate
 from sentimetry.llm.mixing import mixed_documents
 from sentimetry.llm.order_minhash import one_of_each
 from sentimetry.llm.quality_classifier import good_documents
@@ -27,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source."""
-    return drop_boilerplate(docs).select(*docs.columns)
+    return without_boilerplate(docs).select("page.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
