@@ -28,10 +28,23 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), CAPITALS, CAPITALS.lower()), F.lit(WORD), F.lit(0))
 
 
-def window_hashes(words: Column, size: int) -> Column:
-    """Hash of each window of ``size`` words, by its first word."""
-    one = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(size)])
-    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), one))
+def with_window_hashes(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """``rows`` (with words ``w``) and, for each k of ``sizes``, ``h<k>``: the hash of each
+    window of k words, by its first word.
+
+    Words are hashed once; runs of 2, 4, 8, ... words hash the hashes of their
+    halves, and a window of k those of its first and last run of the greatest
+    power of two up to k, so a window costs a few hashes of numbers."""
+    pair = lambda a, b: F.xxhash64(a, b)
+    rows, run = rows.withColumn("run1", F.transform("w", lambda x: F.xxhash64(x))), 1
+    for k in sorted(sizes):
+        while 2 * run <= k:
+            half = F.col(f"run{run}")
+            rows, run = rows.withColumn(f"run{2 * run}", F.zip_with(half, F.slice(half, run + 1, F.size(half)), pair)), 2 * run
+        last = F.col(f"run{run}")
+        whole = last if run == k else F.zip_with(last, F.slice(last, k - run + 1, F.size(last)), pair)
+        rows = rows.withColumn(f"h{k}", F.slice(whole, 1, F.greatest(F.size("w") - (k - 1), F.lit(0))))
+    return rows
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -40,8 +53,9 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     item = item.withColumn("size", F.least(F.size("w"), F.lit(width)))
     gram = item.select("item_id", "size", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("size")), lambda i: F.slice("w", i + 1, F.col("size")))).alias("gram"))
     gram = gram.groupBy("size", "gram").agg(F.collect_set("item_id").alias("items"))
-    # xxhash64 chains its arguments, as window_hashes() gives them
-    by_size = F.coalesce(*[F.when(F.col("size") == k, F.xxhash64(*[F.get("gram", F.lit(j)) for j in range(k)])) for k in range(1, width + 1)])
+    every = list(range(1, width + 1))
+    gram = with_window_hashes(gram.withColumnRenamed("gram", "w"), every).withColumnRenamed("w", "gram")
+    by_size = F.coalesce(*[F.when(F.col("size") == k, F.get(f"h{k}", F.lit(0))) for k in every])
     return gram.withColumn("hash", by_size).groupBy("size", "hash").agg(F.collect_list(F.struct("gram", "items")).alias("grams"))
 
 
@@ -52,23 +66,23 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
     sizes = {r["size"]: r["count"] for r in windows.groupBy("size").count().collect()}  # width rows at most
     small = sum(sizes.values()) <= BROADCAST_WINDOWS
     text = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.col("text")).alias("version"), words(F.col("text")).alias("w"))
-    hits = None
-    for size in sorted(sizes):
-        found = text.select("id", "version", F.posexplode(window_hashes(F.col("w"), size)).alias("at", "hash"))
-        wanted = windows.where(F.col("size") == size)
-        found = found.join(F.broadcast(wanted) if small else wanted, "hash").select("id", "version", F.struct("at", "size", "grams").alias("hit"))
-        hits = found if hits is None else hits.unionByName(found)
     row = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text")).alias("version"))
-    if hits is None:
+    if not sizes:
         both = row.withColumn("hits", F.expr("cast(array() as array<struct<at:int,size:int,grams:array<struct<gram:array<string>,items:array<bigint>>>>>)"))
     else:
-        by_doc = hits.groupBy("id", "version").agg(F.collect_list("hit").alias("hits"))
+        placed = lambda k: F.transform(F.col(f"h{k}"), lambda h, at: F.struct(F.lit(k).alias("size"), at.alias("at"), h.alias("hash")))
+        every = [placed(k) for k in sorted(sizes)]
+        found = with_window_hashes(text, sorted(sizes)).select("id", "version", F.explode(F.concat(*every) if len(every) > 1 else every[0]).alias("x")).select("id", "version", "x.*")
+        found = found.join(F.broadcast(windows) if small else windows, ["size", "hash"])
+        by_doc = found.groupBy("id", "version").agg(F.collect_list(F.struct("at", "size", "grams")).alias("hits"))
         r, h = row.alias("r"), by_doc.alias("h")
         both = r.join(h, F.col("r.id").eqNullSafe(F.col("h.id")) & (F.col("r.version") == F.col("h.version")), "left").select("doc", "hits")
     both = both.withColumn("w", words(F.col("doc.text")))
     same = lambda h: F.transform(F.filter(h["grams"], lambda g: g["gram"] == F.slice(F.col("w"), h["at"] + 1, h["size"])), lambda g: g["items"])
     sure = F.filter(F.transform("hits", lambda h: F.struct(h["at"].alias("at"), (h["at"] + h["size"]).alias("end"), F.flatten(same(h)).alias("items"))), lambda h: F.size(h["items"]) > 0)
-    both = both.withColumn("sure", F.array_sort(F.coalesce(sure, F.array().cast("array<struct<at:int,end:int,items:array<bigint>>>"))))
+    sure = F.array_sort(F.coalesce(sure, F.array().cast("array<struct<at:int,end:int,items:array<bigint>>>")))
+    # a generator keeps the optimizer from repeating the comparison of words wherever its result is read
+    both = both.select("doc", F.explode(F.array(F.struct(F.size("w").cast("long").alias("n_words"), sure.alias("sure")))).alias("x")).select("doc", "x.*")
     none = F.struct(F.array().cast("array<struct<first:int,end:int>>").alias("spans"))
     span = lambda a, b: F.array(F.struct(a.alias("first"), b.alias("end")))
 
@@ -79,12 +93,13 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
         return F.struct(F.when(joins, F.concat(rest, span(last["first"], F.greatest(last["end"], h["end"])))).otherwise(F.concat(so_far["spans"], span(h["at"], h["end"]))).alias("spans"))
 
     both = both.withColumn("hit_spans", F.aggregate("sure", none, add)["spans"])
-    result = both.select(
-        "doc", F.size("w").cast("long").alias("n_words"), "hit_spans",
-        F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"]).alias("n_hit"),
+    beyond = lambda n, h: F.struct(F.greatest(n["upto"], h["end"]).alias("upto"), (n["hit"] + F.greatest(h["end"] - F.greatest(h["at"], n["upto"]), F.lit(0))).alias("hit"))
+    hit = F.aggregate("sure", F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("hit")), beyond)["hit"]
+    return both.select(
+        "doc", "n_words", "hit_spans", hit.alias("n_hit"),
         F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("sure", lambda h: h["items"])), lambda i: i.cast("string")))).alias("items"),
+        (hit * 20 >= F.greatest("n_words", F.lit(20))).alias("contaminated"),  # and so n_hit > 0
     )
-    return result.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
