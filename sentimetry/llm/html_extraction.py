@@ -6,14 +6,21 @@ its blocks and divided by their number; both ratios are smoothed along the page
 by a Gaussian over neighbouring blocks of one section, fused by product, and a
 path counts as content when its fused ratio reaches a share of the page's
 mean.  Content is the element around the content paths that holds most of the
-fused mass; its blocks are kept in page order, short ones too, so a brief
-paragraph or heading of the article isn't lost.
+fused mass, grown over headings and sections beside it; its blocks are kept in
+page order, short ones too, so a brief paragraph or heading of the article isn't
+lost, and link lists of a marked article stay.  A class that only tells the
+layout (``with-sidebar``, ``no-sidebar``, ``side-by-side``) leaves nothing out, a
+quotation in an ``aside`` of an article is part of it.
 
 Menus, page headers and footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are left out by element, role, class or id before
 ratios are taken.  A page is read whole, once, in its own row; tags need not be
 balanced.
 
+Time grows with the page and, for blocks with text, with the depth of their
+paths; a very long page or text is read whole like any other.  Further columns
+of ``pages`` are ignored.
+
 Defined results: null or empty html gives the empty text; a page without
 markup is its text; repeated rows are extracted each; an empty table gives no
 rows.
@@ -57,6 +64,10 @@ NAMES = re.compile(
     re.I,
 )
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|head)(?:$|[\s_-])", re.I)
+LAYOUT = re.compile(r"(?<!\S)(?:(?:with|without|has|have|no|not|is|in|side-by)[_-]\S*|\S+[_-](?:open|closed|left|right|layout)(?!\S))", re.I)  # classes that say how a page is laid out
+QUOTE = re.compile(r"\s*<(?:blockquote|q)\b", re.I)
+QUOTE_NAMES = re.compile(r"pull-?_?quote|(?:^|[\s_-])quote(?:$|[\s_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¡¿]")
 
 
@@ -68,11 +79,14 @@ class Block:
     linked: int = 0
 
 
-def left_out(tag: str, attributes: str, inside: set[str]) -> bool:
-    """Whether an element and what it holds is no article text."""
+def left_out(tag: str, attributes: str, inside: bool, quote: bool = False) -> bool:
+    """Whether an element and what it holds is no article text; ``inside``: of an
+    article or main element; ``quote``: it begins with a quotation."""
+    if tag == "aside" and inside and (quote or QUOTE_NAMES.search(attributes)):
+        return False
     if tag in LEFT_OUT:
         return True
-    if tag == "header" and not inside & {"article", "main"}:
+    if tag == "header" and not inside:
         return True
     if attributes and not attributes.isspace():
         for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -80,7 +94,7 @@ def left_out(tag: str, attributes: str, inside: set[str]) -> bool:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
                 return True
             if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                if NAMES.search(value) or HEADER_NAMES.search(value) and not inside & {"article", "main"}:
+                if NAMES.search(value) and NAMES.search(LAYOUT.sub(" ", value)) or HEADER_NAMES.search(value) and not inside:
                     return True
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
@@ -93,7 +107,8 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
     names: dict[int, str] = {}
     stack: list[tuple[str, int, bool]] = []  # tag, number, left out
     block: Block | None = None
-    at = number = links = 0
+    at = number = 0
+    open_now: dict[str, int] = defaultdict(int)  # elements of each tag on the stack
 
     def add(text: str) -> None:
         nonlocal block
@@ -106,13 +121,13 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
             block = Block(tuple(n for _, n in chain), "/".join(t for t, _ in chain))
             out.append(block)
         block.text.append(text)
-        if links:
+        if open_now["a"]:
             block.linked += len(text)
 
     def close(upto: int) -> None:
-        nonlocal block, links
+        nonlocal block
         for tag, _, _ in stack[upto:]:
-            links -= tag == "a"
+            open_now[tag] -= 1
             if tag in BLOCKS:
                 block = None
         del stack[upto:]
@@ -129,7 +144,7 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_now[tag] else ():
                 if stack[i][0] == tag:
                     close(i)
                     break
@@ -145,14 +160,14 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
                 at = stop.end() if stop else len(page)
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_now["p"] else ():
                 if stack[i][0] == "p":
                     close(i)
                     break
                 if stack[i][0] in BLOCKS:
                     break
         if tag in SIBLINGS:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if any(open_now[t] for t in SIBLINGS[tag]) else ():
                 if stack[i][0] in SIBLINGS[tag]:
                     close(i)
                     if tag != "tr" or stack and stack[-1][0] != "tr":
@@ -165,8 +180,9 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
             continue
         number += 1
         names[number] = tag
-        out_here = bool(stack and stack[-1][2]) or left_out(tag, m["attributes"], {t for t, _, _ in stack})
-        links += tag == "a"
+        inside = open_now["article"] + open_now["main"] > 0
+        out_here = bool(stack and stack[-1][2]) or left_out(tag, m["attributes"], inside, tag == "aside" and bool(QUOTE.match(page, at)))
+        open_now[tag] += 1
         stack.append((tag, number, out_here))
 
 
@@ -186,6 +202,29 @@ def smoothed(values: list[float], section: list, sigma: float) -> list[float]:
     return out
 
 
+def grown(root: int, kept: list[tuple[Block, str]], names: dict[int, str], linked: float) -> set[int]:
+    """``root`` and what belongs to it beside it: an element that adds a heading and
+    little link text around it takes its place, and a section brings the sections
+    next to it."""
+    way = next(b.path[: b.path.index(root) + 1] for b, _ in kept if root in b.path)  # from the page to the root
+    beside: dict[int, list[tuple[Block, str]]] = defaultdict(list)  # by the depth at which blocks leave that way
+    for b, t in kept:
+        depth = next((i for i, (x, y) in enumerate(zip(b.path, way)) if x != y), min(len(b.path), len(way)))
+        if depth < len(way):
+            beside[depth].append((b, t))
+    level = len(way) - 1
+    for depth in sorted(beside, reverse=True):
+        new = beside[depth]
+        heads = any(b.path and names.get(b.path[-1]) in HEADINGS for b, _ in new)
+        if not depth or names.get(way[depth - 1]) in ("body", "html") or not heads or sum(b.linked for b, _ in new) >= linked * sum(len(t) for _, t in new):
+            break
+        level = depth - 1
+    roots = {way[level]}
+    if names.get(way[level]) == "section":
+        roots |= {b.path[level] for b, _ in kept if b.path[:level] == way[:level] and len(b.path) > level and names.get(b.path[level]) == "section"}
+    return roots
+
+
 def main_blocks(found: list[Block], names: dict[int, str], sigma: float = 1.0, share: float = 0.3, linked: float = 0.6) -> list[str]:
     """Texts of the blocks that hold the article."""
     texts = [" ".join("".join(b.text).split()) for b in found]
@@ -220,8 +259,11 @@ def main_blocks(found: list[Block], names: dict[int, str], sigma: float = 1.0, s
         roots = {max((n for n in mass if mass[n] >= 0.9 * total), default=0)}
         if names.get(max(roots)) in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"):
             roots = {b.path[-2] if len(b.path) > 1 else 0 for b, _ in kept if b.path and b.path[-1] in roots}
+        if len(roots) == 1 and 0 not in roots:
+            roots = grown(max(roots), kept, names, linked)
     inside = lambda b: 0 in roots or not roots.isdisjoint(b.path)
-    return [t for b, t in kept if inside(b) and (b.linked < linked * len(t) or b.names in content)]
+    # a marked article keeps its lists of links too: what isn't its own was left out by name
+    return [t for b, t in kept if inside(b) and (marked or b.linked < linked * len(t) or b.names in content)]
 
 
 def extract(page: str | None) -> str:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from sentimetry.llm import html_extraction as op
 
@@ -36,6 +38,28 @@ def test_long_page_and_deep_nesting():
     assert op.extract("<div>" * 3000 + "<p>deep, text. here.</p>") == "deep, text. here."
 
 
+BODY = "".join(f"<p>Paragraph {i}, one of many here. It goes on, and on.</p>" for i in range(40))
+BODY_TEXT = [f"Paragraph {i}, one of many here. It goes on, and on." for i in range(40)]
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body>{MENU}<div><h1>Title</h1><div class=lead><p>A short lead.</p></div><div class=text>{BODY}</div></div><div class=footer>Imprint.</div></body>", ["Title", "A short lead.", *BODY_TEXT]),
+    (f"<article>{BODY}<h2>References</h2><ul><li><a href=x>One source</a></li><li><a href=y>Another</a></li></ul></article>", [*BODY_TEXT, "References", "One source", "Another"]),
+    *((f"<body>{MENU}<div class='{c}'>{BODY}</div><div class=sidebar><p>Other, things. Many, of them.</p></div></body>", BODY_TEXT) for c in ("content with-sidebar", "no-sidebar", "side-by-side", "has_menu page")),
+    (f"<body>{MENU}<div><section>{BODY}</section><section><p>Short end.</p></section></div></body>", [*BODY_TEXT, "Short end."]),
+    (f"<article>{BODY}<aside><blockquote>It was said.</blockquote></aside><aside class=pullquote>Said twice.</aside><aside><p>See also, this. And that.</p></aside></article>", [*BODY_TEXT, "It was said.", "Said twice."]),
+])
+def test_article_is_kept_whole(page, text):
+    assert op.extract(page) == "\n\n".join(text)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20000 + "deep, text.", "<b>" * 3000 + "</i>" * 20000 + "deep, text.", "<div>" * 3000 + "</p></span>" * 20000 + "deep, text.", "<li>" * 20000 + "deep, text."])
+def test_malformed_pages_take_no_square_time(page):
+    begin = time.process_time()
+    assert op.extract(page) == "deep, text."
+    assert time.process_time() - begin < 2
+
+
 def test_query_rows(spark):
     pages = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", 5), (1, "u", f"<article>{ARTICLE}</article>", 5), (None, None, None, 6)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, op.main_text(pages).collect()), key=repr) == sorted([(1, "u", TEXT, len(TEXT))] * 2 + [(None, None, "", 0)], key=repr)
