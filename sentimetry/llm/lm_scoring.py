@@ -89,7 +89,7 @@ def fill_segment(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray,
     word_level, pair_level = quantised(word_counts), quantised(pair_counts)
     room = model.segment_bits // model.bits_per_entry - word_level.sum()
     if pair_level.sum() > room:  # the rarest go, all of a level together
-        kept = np.bincount(pair_level) * np.arange(pair_level.max() + 1)
+        kept = np.bincount(pair_level) * np.arange(pair_level.max(initial=0) + 1) if len(pairs) else np.zeros(1, np.int64)
         beyond = np.cumsum(kept[::-1])[::-1]
         least = int(np.argmax(np.append(beyond, 0) <= max(room, 0)))
         pairs, pair_level = pairs[pair_level >= least], pair_level[pair_level >= least]
@@ -103,11 +103,13 @@ def fill_segment(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray,
 
 
 def probe_levels(bits: np.ndarray, entry: np.ndarray, model: Model) -> np.ndarray:
-    """Level of each entry: probe 1, 2, ... until a bit is missing."""
+    """Level of each entry: probe 1, 2, ... until a bit is missing, to the top level
+    at most, however full the filter is."""
+    top = len(level_floors(model.step)) - 1
     level, at = np.zeros(len(entry), np.int64), np.arange(len(entry))
     offset = segment_of(entry) * np.uint64(model.segment_bits)
     j = 1
-    while len(at):
+    while len(at) and j <= top:
         there = np.ones(len(at), bool)
         for place in bit_places(entry[at], j, model):
             place = place + offset[at]

@@ -112,3 +112,15 @@ def test_filter_levels_and_size():
     assert (op.probe_levels(bits, entry[30:], model) > 0).mean() < 0.05
     assert len(op.fill_segment(entry[:20], counts[:20], entry, counts, model)) == 1024  # rare pairs go, the size stays
     assert np.unpackbits(np.frombuffer(op.fill_segment(entry[:20], counts[:20], entry, counts, model), np.uint8)).mean() < 0.5
+
+
+def test_full_filter_ends():
+    """A filter of ones, and a segment with more words than room and no pair, end and give levels of the table."""
+    model = op.Model(filter_bytes=op.SEGMENTS * 256)
+    entry = np.random.default_rng(5).integers(0, 1 << 55, 2000).astype(np.uint64)
+    none = np.zeros(0, np.int64)
+    filled = op.fill_segment(entry, np.full(2000, 9), none.astype(np.uint64), none, model)
+    assert len(filled) == 256
+    level = op.probe_levels(np.full(model.filter_bytes, 255, np.uint8), entry, model)
+    values = op.level_values(model.step)
+    assert (level == len(values) - 1).all() and np.isfinite(values[level]).all()
