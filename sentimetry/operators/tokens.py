@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SENTENCE_SPLIT, drop_words, split_tokens, text_clean
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, row_bound
 
 
 def tokens_array(df: DataFrame, text_col: str = "text", clean: bool = True, out: str = "tokens") -> DataFrame:
@@ -83,29 +83,59 @@ def ngram_units(tokens_col, n: int):
 
 
 DICTIONARY_BUCKETS = 1024
+DICTIONARY_ROWS = 200_000  # proven rows up to which a dictionary comes as one value
 
 
 def _bucket(term: F.Column) -> F.Column:
     return F.pmod(F.xxhash64(term), F.lit(DICTIONARY_BUCKETS)).cast("int")
 
 
+def _one_lemma(dictionary: DataFrame) -> DataFrame:
+    form, lemma = dictionary.columns[:2]
+    return dictionary.where(F.col(form).isNotNull()).groupBy(F.col(form).alias("form")).agg(F.min(lemma).alias("lemma"))
+
+
 def dictionary_row(dictionary: DataFrame) -> F.Column:
     """The dictionary (form, lemma) as one value: an array of small maps by hash
     of the form, so that a look-up inside a row scans a few entries only."""
-    form, lemma = dictionary.columns[:2]
-    one = dictionary.groupBy(F.col(form).alias("form")).agg(F.min(lemma).alias("lemma"))
-    maps = one.groupBy(_bucket(F.col("form")).alias("b")).agg(F.collect_list(F.struct("form", "lemma")).alias("m"))
+    maps = _one_lemma(dictionary).groupBy(_bucket(F.col("form")).alias("b")).agg(F.collect_list(F.struct("form", "lemma")).alias("m"))
     every = dictionary.sparkSession.range(DICTIONARY_BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "m"))), lambda x: F.map_from_entries(x["m"]))).scalar()
 
 
+def text_dictionaries(texts: DataFrame, dictionary: DataFrame, text_col: str) -> DataFrame:
+    """(text_key, forms): for each text that has a form of the dictionary, these
+    forms by bucket, each with its lemma.
+
+    The distinct words of each text meet the dictionary by a join on the word, so
+    neither is held whole anywhere; a word in very many texts has one row in the
+    dictionary, and the join's other side can be split.  The key is the text's
+    hash: texts that share one by chance share their forms, which are right for both.
+    """
+    key = F.xxhash64(text_col).alias("text_key")
+    words = texts.where(F.col(text_col).isNotNull()).select(key, F.explode(F.array_distinct(F.split(F.col(text_col), " "))).alias("form")).distinct()
+    found = words.join(_one_lemma(dictionary).where(F.col("lemma") != F.col("form")), "form")
+    some = found.groupBy("text_key", _bucket(F.col("form")).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("m"))
+    return some.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("forms"))
+
+
 def lemmatize(df: DataFrame, dictionary: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Replace each blank-separated token by its dictionary form, in the
-    document's own row: the dictionary (a parameter) comes as one value, so no
-    text and no token is shuffled."""
-    forms = lambda t: F.coalesce(F.try_element_at(F.get(F.col("_dictionary"), _bucket(t)), t), t)
-    folded = F.array_join(F.transform(F.split(F.col(text_col), " "), forms), " ")
-    return df.withColumn("_dictionary", dictionary_row(dictionary)).withColumn(text_col, folded).drop("_dictionary")
+    """Replace each blank-separated token by its dictionary form.
+
+    A dictionary of at most ``DICTIONARY_ROWS`` proven rows (a parameter table)
+    comes as one value, and each document is folded in its own row: no text and
+    no token is shuffled.  Any other dictionary is joined to the distinct words
+    of the texts, and each text gets the entries it needs."""
+    bound = row_bound(dictionary)
+    if bound is not None and bound <= DICTIONARY_ROWS:
+        with_forms = df.withColumn("_forms", dictionary_row(dictionary))
+        forms = lambda t: F.try_element_at(F.get(F.col("_forms"), _bucket(t)), t)
+    else:
+        own = text_dictionaries(df, dictionary, text_col).withColumnRenamed("forms", "_forms").withColumnRenamed("text_key", "_text_key")
+        with_forms = df.withColumn("_text_key", F.xxhash64(text_col)).join(own, "_text_key", "left").drop("_text_key")
+        forms = lambda t: F.try_element_at(F.try_element_at(F.col("_forms"), _bucket(t)), t)
+    folded = F.array_join(F.transform(F.split(F.col(text_col), " "), lambda t: F.coalesce(forms(t), t)), " ")
+    return with_forms.withColumn(text_col, folded).drop("_forms")
 
 
 def lemmatize_tokens(tokens: DataFrame, dictionary: DataFrame, term_col: str = "term") -> DataFrame:

@@ -76,6 +76,11 @@ def inherit_bound(derived: DataFrame, source: DataFrame) -> DataFrame:
     return derived
 
 
+def row_bound(df: DataFrame) -> int | None:
+    """The proven bound on the rows of ``df``, None where there is none."""
+    return _BOUNDS.get(df)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
     """Hint ``df`` for broadcast when its row count is proven <= max_rows.
 

@@ -176,3 +176,18 @@ def test_stream_scores_match_batch(spark, tmpdir_path):
     a = {(r["id"], r["lexicon"]): round(r["score"], 9) for r in streamed.collect()}
     b = {(r["id"], r["lexicon"]): round(r["score"], 9) for r in batch.collect()}
     assert a == b and len(a) == 4 * 200
+
+
+def test_lemmatize_with_any_dictionary(spark):
+    """A dictionary without a proven bound is joined, with the same results as the one held as a value."""
+    from sentimetry.operators import tokens as TK
+    from sentimetry.session import mark_bounded
+    docs = spark.createDataFrame([(1, "cats ran  home", 1), (1, "cats ran  home", 2), (2, "", 3), (3, None, 4), (4, "w" + " cats" * 3000, 5), (None, "a b", 6), (5, "mice", 7)], "id long, text string, form int")
+    forms = spark.createDataFrame([("cats", "cat"), ("cats", "zat"), ("ran", "run"), ("mice", "mouse"), ("home", "home"), (None, "x"), ("b", None)], "f string, l string")
+    want = [(1, "cat run  home", 1), (1, "cat run  home", 2), (2, "", 3), (3, None, 4), (4, "w" + " cat" * 3000, 5), (None, "a b", 6), (5, "mouse", 7)]
+    joined = TK.lemmatize(docs, forms)
+    assert sorted(map(tuple, joined.collect()), key=lambda r: r[2]) == want and joined.columns == docs.columns
+    bounded = mark_bounded(forms.select("*"), 7)
+    assert sorted(map(tuple, TK.lemmatize(docs, bounded).collect()), key=lambda r: r[2]) == want
+    assert TK.lemmatize(docs.where("false"), forms).collect() == []
+    assert sorted(map(tuple, TK.lemmatize(docs, forms.where("false")).collect()), key=lambda r: r[2]) == sorted(map(tuple, docs.collect()), key=lambda r: r[2])
