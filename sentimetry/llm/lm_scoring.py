@@ -10,8 +10,9 @@ Counting runs in Spark over all training texts: tasks reduce their own texts
 to (n-gram hash, count), shuffle them as packed blocks by filter segment, and
 each segment is summed and filled by one task.  A segment that would hold more
 than one entry per ``bits_per_entry`` bits drops its rarest word pairs first
-(the usual count cut-off), so the filter keeps its size and its error rate at
-any corpus size; words are never dropped.  The exact unigram base score doesn't
+(the usual count cut-off), so the filter keeps its size; words are never dropped,
+so where words alone exceed a segment's room its error rate rises and unseen
+words may read as seen.  The exact unigram base score doesn't
 use the filter: the commonest words (at most ``head_words``) are broadcast,
 all others are joined by hash.
 
