@@ -1,23 +1,28 @@
 """Operator 2: language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and word pairs are quantised and held in one Bloom filter of
-bounded size: an n-gram of level q is entered q times, as (n-gram, 1) ..
-(n-gram, q), and a reader probes levels upwards until the first miss.  The
-filter goes to every worker; texts are scored by an interpolated bigram with
-absolute discounting, every count coming from such probes.
+Counts of words and word pairs are quantised and held in one Bloom filter: an
+n-gram of level q is entered q times, as (n-gram, 1) .. (n-gram, q), and a
+reader probes levels upwards until the first miss.  Texts are scored by an
+interpolated bigram with absolute discounting, every count coming from such probes.
 
 Counting runs in Spark over all training texts: tasks reduce their own texts
 to (n-gram hash, count), shuffle them as packed blocks by filter segment, and
-each segment is summed and filled by one task.  A segment that would hold more
-than one entry per ``bits_per_entry`` bits drops its rarest word pairs first
-(the usual count cut-off), so the filter keeps its size; words are never dropped,
-so where words alone exceed a segment's room its error rate rises and unseen
-words may read as seen.  The exact unigram base score doesn't
-use the filter: the commonest words (at most ``head_words``) are broadcast,
-all others are joined by hash.
+each segment is summed and filled by one task.  A segment is as large as its
+counted entries ask for (``bits_per_entry`` each), and there are more segments the
+more training text there is, so the filter grows with the corpus and holds
+every counted n-gram.  The mass that discounting frees after contexts of a level
+is counted too: distinct pairs by context, joined to the contexts' counts.
+
+A filter of up to ``broadcast_bytes``, which is measured, goes to every worker.
+A larger one stays where it is: texts are dealt into chunks, the distinct
+n-grams of a chunk travel to their segments, are probed there, and their levels
+come back to the chunk.  Both ways give the same levels.  The exact unigram base
+score doesn't use the filter: the commonest words (at most ``head_words``) are
+broadcast, all others are joined by hash.
 
 Defined results: null or empty text has one token, the end; a null id counts
-as training; repeated rows are scored each; an empty table gives no rows.
+as training; repeated rows are scored each; an empty table gives no rows; without
+training text every count is 0.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,27 +40,30 @@ from .store import stored
 from .textbytes import WHITE_SPACE, Block, blocks, mix, run_starts
 
 END = np.uint64(0x5EAF00D5EAF00D51)
-SEGMENTS = 256
 FLUSH_TOKENS = 1_500_000
+CHUNK_BYTES = 1 << 22
+PIECE = 1 << 16  # n-grams in a row of counts
 
 
 @dataclass(frozen=True)
 class Model:
-    """``filter_bytes``: size of the broadcast filter; ``probes``: bits an entry
-    sets; ``bits_per_entry``: least bits an entry has; ``step``: ratio of count
-    levels; ``discount``: what is taken off each pair count; ``head_words``:
-    most words whose exact counts are broadcast for the base score."""
-
-    filter_bytes: int = 1 << 25
-    probes: int = 4
-    bits_per_entry: int = 10
+    """``broadcast_bytes``: largest filter that is sent to every worker;
+    ``bits_per_entry``: bits an entry has; ``step``: ratio of count levels;
+    ``discount``: what is taken off each pair count; ``head_words``: most words
+    whose exact counts are broadcast for the base score; ``segment_text``: bytes
+    of training text a segment, between ``least_segments`` and 65,536 of them."""
+
+    broadcast_bytes: int = 1 << 27
+    bits_per_entry: int = 12
     step: float = 1.25
     discount: float = 0.75
     head_words: int = 1 << 20
+    segment_text: int = 1 << 21
+    least_segments: int = 256
 
-    @property
-    def segment_bits(self) -> int:
-        return self.filter_bytes // SEGMENTS * 8
+    def segments(self, text_bytes: int) -> int:
+        """Number of segments, a power of two."""
+        return 1 << (max(self.least_segments, min(text_bytes // self.segment_text, 1 << 16)) - 1).bit_length()
 
 
 def level_floors(step: float) -> np.ndarray:
@@ -71,54 +80,72 @@ def level_values(step: float) -> np.ndarray:
     return np.concatenate([[0.0], (floors[:-1] + floors[1:] - 1) / 2])
 
 
-def bit_places(entry: np.ndarray, level: int, model: Model) -> Iterator[np.ndarray]:
-    """Bits of (entry, level) within the entry's segment."""
+def levels_of(count: np.ndarray, step: float) -> np.ndarray:
+    return np.searchsorted(level_floors(step)[:-1], count, side="right").astype(np.int64)
+
+
+def segment_of(entry: np.ndarray, segments: int) -> np.ndarray:
+    """By the leading bits, so sorted entries are sorted by segment."""
+    return (entry >> np.uint64(1)) >> np.uint64(64 - segments.bit_length())
+
+
+def bit_places(entry: np.ndarray, level: int, size: np.ndarray | np.uint64) -> tuple[np.ndarray, list[np.ndarray]]:
+    """64-bit word of (entry, level) in a segment of ``size`` words, and the four
+    bits in it: an entry's bits share a word, so a probe reads memory once."""
     h = mix(entry + np.uint64(level * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    for i in range(model.probes):
-        yield (h + np.uint64(i) * step) % np.uint64(model.segment_bits)
-
-
-def segment_of(entry: np.ndarray) -> np.ndarray:
-    return entry >> np.uint64(64 - SEGMENTS.bit_length() + 1)
-
-
-def fill_segment(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, model: Model) -> bytes:
-    """Bits of one segment, as packed bytes."""
-    floors = level_floors(model.step)
-    quantised = lambda c: np.searchsorted(floors, c, side="right").astype(np.int64)
-    word_level, pair_level = quantised(word_counts), quantised(pair_counts)
-    room = model.segment_bits // model.bits_per_entry - word_level.sum()
-    if pair_level.sum() > room:  # the rarest go, all of a level together
-        kept = np.bincount(pair_level) * np.arange(pair_level.max(initial=0) + 1) if len(pairs) else np.zeros(1, np.int64)
-        beyond = np.cumsum(kept[::-1])[::-1]
-        least = int(np.argmax(np.append(beyond, 0) <= max(room, 0)))
-        pairs, pair_level = pairs[pair_level >= least], pair_level[pair_level >= least]
-    bits = np.zeros(model.segment_bits, np.uint8)
-    entry, level = np.concatenate([words, pairs]), np.concatenate([word_level, pair_level])
+    return (h >> np.uint64(32)) * size >> np.uint64(32), [h >> np.uint64(6 * i) & np.uint64(63) for i in range(4)]
+
+
+def fill_segment(entry: np.ndarray, count: np.ndarray, model: Model) -> bytes:
+    """Bits of one segment with all its n-grams, in little-endian words of 64."""
+    level = levels_of(count, model.step)
+    size = -(-int(level.sum()) * model.bits_per_entry // 64)
+    bits = np.zeros(size * 64, np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
         entry, level = entry[level >= j], level[level >= j]
-        for place in bit_places(entry, j, model):
-            bits[place] = 1
+        word, places = bit_places(entry, j, np.uint64(size))
+        for place in places:
+            bits[word * np.uint64(64) + place] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def probe_levels(bits: np.ndarray, entry: np.ndarray, model: Model) -> np.ndarray:
-    """Level of each entry: probe 1, 2, ... until a bit is missing, to the top level
-    at most, however full the filter is."""
-    top = len(level_floors(model.step)) - 1
-    level, at = np.zeros(len(entry), np.int64), np.arange(len(entry))
-    offset = segment_of(entry) * np.uint64(model.segment_bits)
-    j = 1
-    while len(at) and j <= top:
-        there = np.ones(len(at), bool)
-        for place in bit_places(entry[at], j, model):
-            place = place + offset[at]
-            there &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        at = at[there]
-        level[at] = j
-        j += 1
-    return level
+class Filter:
+    """Segments one after the other; a segment without entries has no words."""
+
+    def __init__(self, parts: list[bytes], model: Model):
+        size = np.array([len(x) // 8 for x in parts], np.uint64)
+        self.words = np.frombuffer(b"".join(parts) + bytes(8), np.uint64)
+        self.first, self.size, self.top = np.cumsum(size) - size, size, len(level_floors(model.step)) - 1
+
+    def levels(self, entry: np.ndarray) -> np.ndarray:
+        """Level of each entry: probe 1, 2, ... until a bit is missing, to the top level
+        at most, however full the filter is."""
+        level = np.zeros(len(entry), np.int64)
+        segment = segment_of(entry, len(self.size))
+        at = np.flatnonzero(self.size[segment] > 0)
+        entry, first, size = entry[at], self.first[segment[at]], self.size[segment[at]]
+        for j in range(1, self.top + 1):
+            if not len(at):
+                break
+            place, bits = bit_places(entry, j, size)
+            mask = np.uint64(1) << bits[0]
+            for bit in bits[1:]:
+                mask |= np.uint64(1) << bit
+            there = self.words[first + place] & mask == mask
+            at, entry, first, size = at[there], entry[there], first[there], size[there]
+            level[at] = j
+        return level
+
+
+class Answers:
+    """Levels that were probed elsewhere: ``entry`` and ``level`` of all n-grams that are looked up."""
+
+    def __init__(self, entry: np.ndarray, level: np.ndarray):
+        order = np.argsort(entry)
+        self.entry, self.level = entry[order], level[order].astype(np.int64)
+
+    def levels(self, entry: np.ndarray) -> np.ndarray:
+        return self.level[np.searchsorted(self.entry, entry)]
 
 
 def tokens_of(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -150,80 +177,106 @@ def context_of(token: np.ndarray, text: np.ndarray, value: np.ndarray, at_start:
     return before
 
 
-def _summed(parts: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys = np.concatenate(parts)
-    if counts is None:
-        return np.unique(keys, return_counts=True)
+def _summed(parts: list[np.ndarray], counts: list[np.ndarray], more: list[np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct keys, sorted, with their sums and, of ``more``, a value that equal keys share."""
+    keys = np.concatenate(parts or [np.zeros(0, np.uint64)])
     order = np.argsort(keys, kind="stable")
-    keys, weight = keys[order], np.concatenate(counts)[order]
+    keys, weight = keys[order], np.concatenate(counts or [np.zeros(0, np.int64)])[order]
     first = run_starts(keys)
-    return keys[first], np.add.reduceat(weight, first) if len(first) else weight
+    out = keys[first], np.add.reduceat(weight, first) if len(first) else weight
+    return out if more is None else (*out, np.concatenate(more or [np.zeros(0, np.uint64)])[order[first]])
 
 
-BLOCKS = pa.schema([("segment", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())])
+COUNTED = "segment int, words binary, word_counts binary, pairs binary, pair_counts binary, contexts binary"
+_CELLS = [x.split()[0] for x in COUNTED.split(", ")[1:]]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words: list[np.ndarray] = []
-    pairs: list[np.ndarray] = []
+def _count(segments: int):
+    cut = np.arange(1, segments, dtype=np.uint64) << np.uint64(65 - segments.bit_length())
 
-    def flush() -> pa.RecordBatch:
-        (w, wc), (p, pc) = _summed(words), _summed(pairs)  # sorted by hash, so by segment too
-        words.clear(), pairs.clear()
-        cut = np.arange(1, SEGMENTS, dtype=np.uint64) << np.uint64(64 - SEGMENTS.bit_length() + 1)
+    def flush(words: list[np.ndarray], contexts: list[np.ndarray], pairs: list[np.ndarray]) -> pa.RecordBatch:
+        w, wc = np.unique(np.concatenate(words), return_counts=True)  # sorted by hash, so by segment too
+        p, at, pc = np.unique(np.concatenate(pairs), return_index=True, return_counts=True)
+        c = np.concatenate(contexts)[at]
+        words.clear(), contexts.clear(), pairs.clear()
         at_w, at_p = (np.concatenate([[0], np.searchsorted(x, cut), [len(x)]]) for x in (w, p))
-        cells = lambda x, at: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
-        return pa.record_batch([pa.array(np.arange(SEGMENTS, dtype=np.int32)), cells(w, at_w), cells(wc.astype(np.int64), at_w), cells(p, at_p), cells(pc.astype(np.uint32), at_p)], schema=BLOCKS)
+        used = np.flatnonzero((at_w[1:] > at_w[:-1]) | (at_p[1:] > at_p[:-1]))
+        cells = lambda x, at: pa.array([x[at[i] : at[i + 1]].tobytes() for i in used], pa.binary())
+        return pa.record_batch([
+            pa.array(used.astype(np.int32)), cells(w, at_w), cells(wc.astype(np.int64), at_w),
+            cells(p, at_p), cells(pc.astype(np.uint32), at_p), cells(c, at_p),
+        ], names=["segment", *_CELLS])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[np.ndarray] = []
+        contexts: list[np.ndarray] = []
+        pairs: list[np.ndarray] = []
+        for batch in batches:
+            for _, block in blocks(batch.column("text")):
+                token, text = tokens_of(block)
+                words.append(token)
+                contexts.append(context_of(token, text, token, END))
+                pairs.append(pairs_of(token, text))
+                if sum(map(len, words)) >= FLUSH_TOKENS:
+                    yield flush(words, contexts, pairs)
+        if words:
+            yield flush(words, contexts, pairs)
 
-    for batch in batches:
-        for _, block in blocks(batch.column("text")):
-            token, text = tokens_of(block)
-            words.append(token)
-            pairs.append(pairs_of(token, text))
-            if sum(map(len, words)) >= FLUSH_TOKENS:
-                yield flush()
-    if words:
-        yield flush()
+    return count
 
 
-FILLED = pa.schema([("segment", pa.int32()), ("bits", pa.binary()), ("word", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+FILLED = "segment int, bits binary, word array<long>, n array<long>, level array<int>, context array<long>, follow array<long>"
 
 
 def _fill(model: Model):
+    """Sum and fill the segments of a task, which come sorted, one after the other.  A
+    segment gives its bits once and its words, and the distinct pairs by context,
+    in rows of bounded size."""
+
+    def filled(segment: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        column = lambda i, kind: [np.frombuffer(r[i], kind) for r in rows]
+        words, n = _summed(column(0, np.uint64), column(1, np.int64))
+        pairs, times, contexts = _summed(column(2, np.uint64), [x.astype(np.int64) for x in column(3, np.uint32)], column(4, np.uint64))
+        context, follow = np.unique(contexts, return_counts=True)
+        bits: bytes | None = fill_segment(np.concatenate([words, pairs]), np.concatenate([n, times]), model)
+        level = levels_of(n, model.step).astype(np.int32)
+        for i in range(0, max(len(words), len(context)), PIECE):
+            lists = [words.view(np.int64), n, level, context.view(np.int64), follow.astype(np.int64)]
+            yield pa.record_batch([pa.array([segment], pa.int32()), pa.array([bits], pa.binary()), *(pa.array([x[i : i + PIECE]], pa.list_(pa.from_numpy_dtype(x.dtype))) for x in lists)], names=[x.split()[0] for x in FILLED.split(", ")])
+            bits = None
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
+        now, rows = None, []
         for batch in batches:
-            for segment, *cells in zip(*(batch.column(c).to_pylist() for c in BLOCKS.names)):
-                held.setdefault(segment, []).append(cells)
-        for segment, rows in held.items():
-            words, word_counts = _summed([np.frombuffer(r[0], np.uint64) for r in rows], [np.frombuffer(r[1], np.int64) for r in rows])
-            pairs, pair_counts = _summed([np.frombuffer(r[2], np.uint64) for r in rows], [np.frombuffer(r[3], np.uint32).astype(np.int64) for r in rows])
-            bits = fill_segment(words, word_counts, pairs, pair_counts, model)
-            yield pa.record_batch([pa.array([segment], pa.int32()), pa.array([bits], pa.binary()), pa.array([words.view(np.int64)], FILLED.field("word").type), pa.array([word_counts], FILLED.field("n").type)], schema=FILLED)
+            for segment, *cells in zip(*(batch.column(c).to_pylist() for c in ("segment", *_CELLS))):
+                if segment != now and rows:
+                    yield from filled(now, rows)
+                    rows = []
+                now = segment
+                rows.append(cells)
+        if rows:
+            yield from filled(now, rows)
 
     return fill
 
 
 class Scorer:
-    """What a worker needs: filter, smoothing masses and corpus totals."""
+    """What scoring needs: ``source`` of levels, smoothing masses and corpus totals."""
 
-    def __init__(self, bits: bytes | bytearray, model: Model, train_tokens: int, distinct: int, mass: np.ndarray | None = None):
-        self.bits, self.model, self.mass = np.frombuffer(bits, np.uint8), model, mass
+    def __init__(self, source: Filter | Answers, model: Model, train_tokens: int, distinct: int, mass: np.ndarray):
+        self.source, self.model, self.mass = source, model, mass
         self.value = level_values(model.step)
         self.total = train_tokens + distinct + 1
 
     def counts(self, token: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(count of the token, level and count of its context, count of the pair), from probes."""
+        """(count of the token, level of its context, count of the pair), from probes."""
         seen, back = np.unique(token, return_inverse=True)
-        level = probe_levels(self.bits, seen, self.model)[back]
-        end = probe_levels(self.bits, np.array([END]), self.model)[0]
-        context = context_of(token, text, level, end)
+        level = self.source.levels(seen)[back]
+        context = context_of(token, text, level, self.source.levels(np.array([END]))[0])
         possible = np.flatnonzero((level > 0) & (context > 0))  # a pair can't be commoner than its words
         pair, pair_back = np.unique(pairs_of(token, text)[possible], return_inverse=True)
         pair_level = np.zeros(len(token), np.int64)
-        pair_level[possible] = probe_levels(self.bits, pair, self.model)[pair_back]
+        pair_level[possible] = self.source.levels(pair)[pair_back]
         return self.value[level], context, self.value[np.minimum(pair_level, np.minimum(level, context))]
 
     def log10(self, token: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -235,70 +288,120 @@ class Scorer:
         return np.log10(np.minimum(p, 1.0))
 
 
-def _masses(shared, model: Model):
-    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value["bits"], model, shared.value["tokens"], shared.value["types"])
-        free, seen = np.zeros(len(scorer.value)), np.zeros(len(scorer.value))
-        for batch in batches:
-            for _, block in blocks(batch.column("text")):
-                _, context, pair = scorer.counts(*tokens_of(block))
-                share = np.where(pair > 0, np.minimum(model.discount, pair) / np.maximum(pair, 1), 1.0)
-                free += np.bincount(context, share, len(free))
-                seen += np.bincount(context, minlength=len(seen))
-        at = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(np.rint(free[at] * 1024).astype(np.int64)), pa.array(seen[at].astype(np.int64))], names=["level", "free", "seen"])
-
-    return masses
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, score double, word array<long>, n array<long>"
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, score double, word array<long>, n array<long>"
+def _scored(own: pa.RecordBatch, block: Block, scorer: Scorer, data: dict) -> pa.RecordBatch:
+    """A block's texts scored; words outside the broadcast head are left to the join."""
+    head, head_log = np.frombuffer(data["head"], np.uint64), np.frombuffer(data["head_log"], np.float64)
+    token, text = tokens_of(block)
+    n = len(block)
+    place = np.minimum(np.searchsorted(head, token), max(len(head) - 1, 0))
+    common = head[place] == token if len(head) else np.zeros(len(token), bool)
+    rest_key, rest_text = token[~common], text[~common]
+    order = np.lexsort((rest_key, rest_text))
+    rest_key, rest_text = rest_key[order], rest_text[order]
+    new = np.flatnonzero(np.concatenate([[True], (rest_key[1:] != rest_key[:-1]) | (rest_text[1:] != rest_text[:-1])])) if len(order) else np.zeros(0, np.int64)
+    times = np.diff(np.append(new, len(order)))
+    offsets = pa.array(np.searchsorted(rest_text[new], np.arange(n + 1)).astype(np.int32))
+    return pa.record_batch([
+        own.column("row"), own.column("doc_id"), own.column("held_out"),
+        pa.array(np.bincount(text, minlength=n)), pa.array(np.bincount(text[common], minlength=n)),
+        pa.array(np.bincount(text[common], head_log[place[common]], n) if len(head) else np.zeros(n)),
+        pa.array(np.bincount(text, scorer.log10(token, text), n)),
+        pa.ListArray.from_arrays(offsets, pa.array(rest_key[new].view(np.int64))),
+        pa.ListArray.from_arrays(offsets, pa.array(times)),
+    ], names=[x.split()[0] for x in SCORED.split(", ")])
 
 
 def _score(shared, model: Model, mass: np.ndarray):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = shared.value
-        scorer = Scorer(data["bits"], model, data["tokens"], data["types"], mass)
-        head, head_log = np.frombuffer(data["head"], np.uint64), np.frombuffer(data["head_log"], np.float64)
+        scorer = Scorer(Filter(data["bits"], model), model, data["tokens"], data["types"], mass)
         for batch in batches:
-            for first, block in blocks(batch.column("text")):
-                token, text = tokens_of(block)
-                n = len(block)
-                place = np.minimum(np.searchsorted(head, token), max(len(head) - 1, 0))
-                common = head[place] == token if len(head) else np.zeros(len(token), bool)
-                rest_key, rest_text = token[~common], text[~common]
-                order = np.lexsort((rest_key, rest_text))
-                rest_key, rest_text = rest_key[order], rest_text[order]
-                new = np.flatnonzero(np.concatenate([[True], (rest_key[1:] != rest_key[:-1]) | (rest_text[1:] != rest_text[:-1])])) if len(order) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(order)))
-                offsets = pa.array(np.searchsorted(rest_text[new], np.arange(n + 1)).astype(np.int32))
-                ids = batch.slice(first, n)
-                yield pa.record_batch([
-                    ids.column("row"), ids.column("doc_id"), ids.column("held_out"),
-                    pa.array(np.bincount(text, minlength=n)), pa.array(np.bincount(text[common], minlength=n)),
-                    pa.array(np.bincount(text[common], head_log[place[common]], n) if len(head) else np.zeros(n)),
-                    pa.array(np.bincount(text, scorer.log10(token, text), n)),
-                    pa.ListArray.from_arrays(offsets, pa.array(rest_key[new].view(np.int64))),
-                    pa.ListArray.from_arrays(offsets, pa.array(times)),
-                ], names=[x.split()[0] for x in SCORED.split(", ")])
+            for first, block in blocks(batch.column("text"), CHUNK_BYTES):
+                yield _scored(batch.slice(first, len(block)), block, scorer, data)
 
     return score
 
 
+def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their chunk, of ``CHUNK_BYTES`` or one longer text."""
+    chunk = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for first, block in blocks(batch.column("text"), CHUNK_BYTES):
+            own = batch.slice(first, len(block))
+            yield pa.record_batch([pa.array(np.full(len(block), chunk)), *own.columns], names=["chunk", *own.schema.names])
+            chunk += 1
+
+
+def _ask(segments: int):
+    """The distinct n-grams of a chunk's texts, packed by segment."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = batch.column("chunk").to_numpy()
+            first = run_starts(chunks)
+            for a, b in zip(first, np.append(first[1:], len(chunks))):
+                for _, block in blocks(batch.column("text").slice(a, b - a), CHUNK_BYTES):
+                    token, text = tokens_of(block)
+                    entry = np.unique(np.concatenate([token, pairs_of(token, text), [END]]))
+                    segment = segment_of(entry, segments)
+                    new = run_starts(segment)
+                    packed = [entry[i:j].tobytes() for i, j in zip(new, np.append(new[1:], len(entry)))]
+                    yield pa.record_batch([pa.array(segment[new].astype(np.int32)), pa.array(np.full(len(new), chunks[a])), pa.array(packed, pa.binary())], names=["segment", "chunk", "entry"])
+
+    return ask
+
+
+def _answer(model: Model):
+    """Levels of the n-grams asked of one segment."""
+
+    def answer(asked: pa.Table, filled: pa.Table) -> pa.Table:
+        bits = filled.column("bits").to_pylist() if filled.num_rows else []
+        segment = Filter(bits or [b""], model)  # a filter of this one segment
+        level = [segment.levels(np.frombuffer(x, np.uint64)).astype(np.uint16).tobytes() for x in asked.column("entry").to_pylist()]
+        return pa.table({"chunk": asked.column("chunk"), "entry": asked.column("entry"), "level": pa.array(level, pa.binary())})
+
+    return answer
+
+
+def _score_chunk(shared, model: Model, mass: np.ndarray):
+    def score(texts: pa.Table, answered: pa.Table) -> pa.Table:
+        data = shared.value
+        packed = lambda c, kind: np.frombuffer(b"".join(answered.column(c).to_pylist()), kind)
+        entry, first = np.unique(packed("entry", np.uint64), return_index=True)
+        scorer = Scorer(Answers(entry, packed("level", np.uint16)[first]), model, data["tokens"], data["types"], mass)
+        out = []
+        for batch in texts.combine_chunks().to_batches():
+            for at, block in blocks(batch.column("text"), CHUNK_BYTES):
+                out.append(_scored(batch.slice(at, len(block)), block, scorer, data))
+        return pa.Table.from_batches(out)
+
+    return score
+
+
+def _by_segments(docs: DataFrame, filled: DataFrame, segments: int, shared, model: Model, mass: np.ndarray) -> DataFrame:
+    """Scores with a filter too large to broadcast: a task holds one segment with
+    what is asked of it, or one chunk with its answers."""
+    chunks = stored(docs.mapInArrow(_chunk, "chunk long, doc_id long, text string, held_out boolean, row long"), "lm-chunks")
+    asked = chunks.select("chunk", "text").mapInArrow(_ask(segments), "segment int, chunk long, entry binary")
+    bits = filled.where("bits is not null").select("segment", "bits")
+    answered = asked.groupBy("segment").cogroup(bits.groupBy("segment")).applyInArrow(_answer(model), "chunk long, entry binary, level binary")
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_score_chunk(shared, model, mass), SCORED)
+
+
 def lm_scores(docs: DataFrame, training, model: Model = Model()) -> DataFrame:
     """Score every text of ``docs`` (doc_id, text); ``training``: boolean column
     that picks the rows to learn from.  See the module for defined results."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(~training, F.lit(False)).alias("held_out"))
     train = docs.where(~F.col("held_out")).select("text")
-    counted = train.mapInArrow(_count, "segment int, words binary, word_counts binary, pairs binary, pair_counts binary")
-    filled = stored(counted.repartition("segment").mapInArrow(_fill(model), "segment int, bits binary, word array<long>, n array<long>"), "lm-filter")
-
-    # The filter is filter_bytes in all, each segment collected once.
-    bits = bytearray(model.filter_bytes)
-    size = model.filter_bytes // SEGMENTS
-    for row in filled.select("segment", "bits").toArrow().to_pylist():
-        bits[row["segment"] * size : (row["segment"] + 1) * size] = row["bits"]
-    words = filled.select(F.explode(F.arrays_zip("word", "n")).alias("x")).select(F.col("x.word").alias("word"), F.col("x.n").alias("n"))
+    segments = model.segments(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    counted = train.mapInArrow(_count(segments), COUNTED)
+    filled = stored(counted.repartition("segment").sortWithinPartitions("segment").mapInArrow(_fill(model), FILLED), "lm-filter")
+
+    words = filled.select(F.explode(F.arrays_zip("word", "n", "level")).alias("x")).select(F.col("x.word").alias("word"), F.col("x.n").alias("n"), F.col("x.level").alias("level"))
     band = F.floor(F.log2("n") * 8).cast("int").alias("band")  # a few hundred bands, whatever the corpus
     bands = words.groupBy(band).agg(F.count("*").alias("types"), F.sum("n").alias("tokens")).collect()
     tokens, types, least, room = sum(r.tokens for r in bands), sum(r.types for r in bands), 1 << 30, model.head_words
@@ -310,17 +413,33 @@ def lm_scores(docs: DataFrame, training, model: Model = Model()) -> DataFrame:
     head = words.where(band >= least).toArrow()  # at most head_words rows
     key = head.column("word").to_numpy().view(np.uint64)
     order = np.argsort(key)
-    shared = {"bits": bits, "tokens": tokens, "types": types, "head": key[order].tobytes(), "head_log": np.log10(head.column("n").to_numpy()[order] + 1.0).tobytes()}
+    shared = {"tokens": tokens, "types": types, "head": key[order].tobytes(), "head_log": np.log10(head.column("n").to_numpy()[order] + 1.0).tobytes()}
+    del head
 
-    sent = spark.sparkContext.broadcast(shared)
+    # Every token but a text's last is followed by one, so a context's count is also how often it is one.
+    follow = filled.select(F.explode(F.arrays_zip("context", "follow")).alias("x")).groupBy(F.col("x.context").alias("word")).agg(F.sum("x.follow").alias("follow"))
     mass = np.ones(len(level_values(model.step)))
-    for r in train.mapInArrow(_masses(sent, model), "level int, free long, seen long").groupBy("level").agg(F.sum("free").alias("free"), F.sum("seen").alias("seen")).collect():
-        mass[r.level] = r.free / 1024 / r.seen
-    scored = stored(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(sent, model, mass), SCORED), "lm-scored")
+    for r in words.join(follow, "word").groupBy("level").agg(F.sum("follow").alias("follow"), F.sum("n").alias("n")).collect():
+        mass[r.level] = min(1.0, model.discount * r.follow / r.n)
+
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    size = filled.agg(F.sum(F.length("bits"))).first()[0] or 0
+    if size <= model.broadcast_bytes:  # each segment collected once
+        shared["bits"] = [b""] * segments
+        for batch in filled.where("bits is not null").select("segment", "bits").toArrow().to_batches():
+            for segment, bits in zip(batch.column("segment").to_pylist(), batch.column("bits")):
+                shared["bits"][segment] = bits.as_py()
+        sent = spark.sparkContext.broadcast(shared)
+        scored = docs.mapInArrow(_score(sent, model, mass), SCORED)
+    else:
+        sent = spark.sparkContext.broadcast(shared)
+        scored = _by_segments(docs, filled, segments, sent, model, mass)
+    del shared
+    scored = stored(scored, "lm-scored")
     sent.destroy()
 
     rest = scored.select("row", F.explode(F.arrays_zip("word", "n")).alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.n").alias("times"))
-    rare = words.where(band < least)
+    rare = words.where(band < least).select("word", "n")
     extra = rest.join(rare, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_log"))
     return scored.drop("word", "n").join(extra, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
