@@ -41,7 +41,7 @@ from .textbytes import WHITE_SPACE, Block, blocks, mix, run_starts
 
 END = np.uint64(0x5EAF00D5EAF00D51)
 FLUSH_TOKENS = 1_500_000
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 PIECE = 1 << 16  # n-grams in a row of counts
 
 
@@ -110,12 +110,11 @@ def fill_segment(entry: np.ndarray, count: np.ndarray, model: Model) -> bytes:
 
 
 class Filter:
-    """Segments one after the other; a segment without entries has no words."""
+    """Segments one after the other in ``bits``, of ``size`` 64-bit words each."""
 
-    def __init__(self, parts: list[bytes], model: Model):
-        size = np.array([len(x) // 8 for x in parts], np.uint64)
-        self.words = np.frombuffer(b"".join(parts) + bytes(8), np.uint64)
-        self.first, self.size, self.top = np.cumsum(size) - size, size, len(level_floors(model.step)) - 1
+    def __init__(self, bits: bytes | bytearray, size: np.ndarray, model: Model):
+        self.words, self.size = np.frombuffer(bits, np.uint64), size.astype(np.uint64)
+        self.first, self.top = np.cumsum(self.size) - self.size, len(level_floors(model.step)) - 1
 
     def levels(self, entry: np.ndarray) -> np.ndarray:
         """Level of each entry: probe 1, 2, ... until a bit is missing, to the top level
@@ -162,21 +161,22 @@ def tokens_of(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return token, np.repeat(np.arange(len(block)), n)
 
 
-def pairs_of(token: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it; a text's first token follows the end."""
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[run_starts(text)] = END
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
-
-
-def context_of(token: np.ndarray, text: np.ndarray, value: np.ndarray, at_start: float) -> np.ndarray:
+def context_of(token: np.ndarray, text: np.ndarray, value: np.ndarray, at_start) -> np.ndarray:
+    """The value of the token before each; a text's first token follows the end."""
     before = np.empty_like(value)
     before[1:] = value[:-1]
     before[run_starts(text)] = at_start
     return before
 
 
+def pair_hash(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) + token)
+
+
+def pairs_of(token: np.ndarray, text: np.ndarray) -> np.ndarray:
+    return pair_hash(context_of(token, text, token, END), token)
+
+
 def _summed(parts: list[np.ndarray], counts: list[np.ndarray], more: list[np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
     """Distinct keys, sorted, with their sums and, of ``more``, a value that equal keys share."""
     keys = np.concatenate(parts or [np.zeros(0, np.uint64)])
@@ -187,24 +187,32 @@ def _summed(parts: list[np.ndarray], counts: list[np.ndarray], more: list[np.nda
     return out if more is None else (*out, np.concatenate(more or [np.zeros(0, np.uint64)])[order[first]])
 
 
-COUNTED = "segment int, words binary, word_counts binary, pairs binary, pair_counts binary, contexts binary"
+COUNTED = "segment int, words binary, word_counts binary, contexts binary, runs binary, tokens binary, pair_counts binary"
 _CELLS = [x.split()[0] for x in COUNTED.split(", ")[1:]]
 
 
 def _count(segments: int):
+    """Counts of a task's texts, by segment: words, and pairs as each context with
+    the tokens after it, so that a context is sent once and a pair's hash not at all."""
     cut = np.arange(1, segments, dtype=np.uint64) << np.uint64(65 - segments.bit_length())
 
     def flush(words: list[np.ndarray], contexts: list[np.ndarray], pairs: list[np.ndarray]) -> pa.RecordBatch:
-        w, wc = np.unique(np.concatenate(words), return_counts=True)  # sorted by hash, so by segment too
+        token, context = np.concatenate(words), np.concatenate(contexts)
+        w, wc = np.unique(token, return_counts=True)  # sorted by hash, so by segment too
         p, at, pc = np.unique(np.concatenate(pairs), return_index=True, return_counts=True)
-        c = np.concatenate(contexts)[at]
         words.clear(), contexts.clear(), pairs.clear()
-        at_w, at_p = (np.concatenate([[0], np.searchsorted(x, cut), [len(x)]]) for x in (w, p))
+        segment, c, t = segment_of(p, segments), context[at], token[at]
+        order = np.argsort(segment << np.uint64(48) | c >> np.uint64(16))
+        segment, c, t, pc = segment[order], c[order], t[order], pc[order]
+        run = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (segment[1:] != segment[:-1])]))
+        numbers = np.arange(1, segments, dtype=np.uint64)
+        bounds = lambda x, at: np.concatenate([[0], np.searchsorted(x, at), [len(x)]])
+        at_w, at_p, at_c = bounds(w, cut), bounds(segment, numbers), bounds(segment[run], numbers)
         used = np.flatnonzero((at_w[1:] > at_w[:-1]) | (at_p[1:] > at_p[:-1]))
         cells = lambda x, at: pa.array([x[at[i] : at[i + 1]].tobytes() for i in used], pa.binary())
         return pa.record_batch([
-            pa.array(used.astype(np.int32)), cells(w, at_w), cells(wc.astype(np.int64), at_w),
-            cells(p, at_p), cells(pc.astype(np.uint32), at_p), cells(c, at_p),
+            pa.array(used.astype(np.int32)), cells(w, at_w), cells(wc.astype(np.int64), at_w), cells(c[run], at_c),
+            cells(np.diff(np.append(run, len(c))).astype(np.uint32), at_c), cells(t, at_p), cells(pc.astype(np.uint32), at_p),
         ], names=["segment", *_CELLS])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +224,7 @@ def _count(segments: int):
                 token, text = tokens_of(block)
                 words.append(token)
                 contexts.append(context_of(token, text, token, END))
-                pairs.append(pairs_of(token, text))
+                pairs.append(pair_hash(contexts[-1], token))
                 if sum(map(len, words)) >= FLUSH_TOKENS:
                     yield flush(words, contexts, pairs)
         if words:
@@ -236,7 +244,9 @@ def _fill(model: Model):
     def filled(segment: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         column = lambda i, kind: [np.frombuffer(r[i], kind) for r in rows]
         words, n = _summed(column(0, np.uint64), column(1, np.int64))
-        pairs, times, contexts = _summed(column(2, np.uint64), [x.astype(np.int64) for x in column(3, np.uint32)], column(4, np.uint64))
+        contexts = [np.repeat(c, n) for c, n in zip(column(2, np.uint64), column(3, np.uint32))]
+        hashes = [pair_hash(c, t) for c, t in zip(contexts, column(4, np.uint64))]
+        pairs, times, contexts = _summed(hashes, [x.astype(np.int64) for x in column(5, np.uint32)], contexts)
         context, follow = np.unique(contexts, return_counts=True)
         bits: bytes | None = fill_segment(np.concatenate([words, pairs]), np.concatenate([n, times]), model)
         level = levels_of(n, model.step).astype(np.int32)
@@ -317,7 +327,7 @@ def _scored(own: pa.RecordBatch, block: Block, scorer: Scorer, data: dict) -> pa
 def _score(shared, model: Model, mass: np.ndarray):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = shared.value
-        scorer = Scorer(Filter(data["bits"], model), model, data["tokens"], data["types"], mass)
+        scorer = Scorer(Filter(data["bits"], data["sizes"], model), model, data["tokens"], data["types"], mass)
         for batch in batches:
             for first, block in blocks(batch.column("text"), CHUNK_BYTES):
                 yield _scored(batch.slice(first, len(block)), block, scorer, data)
@@ -358,8 +368,8 @@ def _answer(model: Model):
     """Levels of the n-grams asked of one segment."""
 
     def answer(asked: pa.Table, filled: pa.Table) -> pa.Table:
-        bits = filled.column("bits").to_pylist() if filled.num_rows else []
-        segment = Filter(bits or [b""], model)  # a filter of this one segment
+        bits = b"".join(filled.column("bits").to_pylist())
+        segment = Filter(bits, np.array([len(bits) // 8]), model)  # a filter of this one segment
         level = [segment.levels(np.frombuffer(x, np.uint64)).astype(np.uint16).tobytes() for x in asked.column("entry").to_pylist()]
         return pa.table({"chunk": asked.column("chunk"), "entry": asked.column("entry"), "level": pa.array(level, pa.binary())})
 
@@ -391,6 +401,17 @@ def _by_segments(docs: DataFrame, filled: DataFrame, segments: int, shared, mode
     return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_score_chunk(shared, model, mass), SCORED)
 
 
+def _collected(filled: DataFrame, segments: int, size: int) -> dict:
+    """The whole filter, of ``size`` bytes, and its segments' sizes in words."""
+    bits, sizes, at = bytearray(size), np.zeros(segments, np.int64), 0
+    table = filled.where("bits is not null").select("segment", "bits").orderBy("segment").toArrow()
+    for segment, part in zip(table.column("segment").to_pylist(), table.column("bits")):
+        part = part.as_buffer()
+        bits[at : at + part.size], sizes[segment] = memoryview(part), part.size // 8
+        at += part.size
+    return {"bits": bits, "sizes": sizes}
+
+
 def lm_scores(docs: DataFrame, training, model: Model = Model()) -> DataFrame:
     """Score every text of ``docs`` (doc_id, text); ``training``: boolean column
     that picks the rows to learn from.  See the module for defined results."""
@@ -424,17 +445,12 @@ def lm_scores(docs: DataFrame, training, model: Model = Model()) -> DataFrame:
 
     docs = docs.withColumn("row", F.monotonically_increasing_id())
     size = filled.agg(F.sum(F.length("bits"))).first()[0] or 0
-    if size <= model.broadcast_bytes:  # each segment collected once
-        shared["bits"] = [b""] * segments
-        for batch in filled.where("bits is not null").select("segment", "bits").toArrow().to_batches():
-            for segment, bits in zip(batch.column("segment").to_pylist(), batch.column("bits")):
-                shared["bits"][segment] = bits.as_py()
-        sent = spark.sparkContext.broadcast(shared)
-        scored = docs.mapInArrow(_score(sent, model, mass), SCORED)
-    else:
-        sent = spark.sparkContext.broadcast(shared)
-        scored = _by_segments(docs, filled, segments, sent, model, mass)
+    sent_whole = size <= model.broadcast_bytes
+    if sent_whole:  # each segment collected once
+        shared |= _collected(filled, segments, size)
+    sent = spark.sparkContext.broadcast(shared)
     del shared
+    scored = docs.mapInArrow(_score(sent, model, mass), SCORED) if sent_whole else _by_segments(docs, filled, segments, sent, model, mass)
     scored = stored(scored, "lm-scored")
     sent.destroy()
 

@@ -74,7 +74,8 @@ def test_model_beats_the_base_on_held_out_text(spark):
 
 def by_segments(entry, count, model, segments):
     segment = op.segment_of(entry, segments)
-    return op.Filter([op.fill_segment(entry[segment == s], count[segment == s], model) for s in range(segments)], model)
+    parts = [op.fill_segment(entry[segment == s], count[segment == s], model) for s in range(segments)]
+    return op.Filter(b"".join(parts), np.array([len(x) // 8 for x in parts]), model)
 
 
 def test_probabilities_sum_to_about_one():
@@ -120,7 +121,7 @@ def test_filter_holds_every_entry():
 def test_full_filter_ends():
     """On a filter of ones every probe ends at the top level of the table."""
     model = op.Model()
-    source = op.Filter([b"\xff" * 256] * 4, model)
+    source = op.Filter(b"\xff" * 1024, np.full(4, 32), model)
     level = source.levels(np.random.default_rng(5).integers(0, 1 << 62, 2000).astype(np.uint64))
     values = op.level_values(model.step)
     assert (level == len(values) - 1).all() and np.isfinite(values[level]).all()
