@@ -41,7 +41,7 @@ from .textbytes import WHITE_SPACE, Block, blocks, mix, run_starts
 
 END = np.uint64(0x5EAF00D5EAF00D51)
 FLUSH_TOKENS = 1_500_000
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 PIECE = 1 << 16  # n-grams in a row of counts
 
 
