@@ -2,21 +2,25 @@
 
 Two logistic models see a document apart: one its text (hashed words and
 shape), one its page metadata (language, source, recorded length).  Both start
-from labelled documents; in each round either model labels a pool of unlabelled
-ones, and what it is confident of, in the proportion of the classes, is added to
-the *other* model's training set.  Then each view is calibrated (Platt) on
-labelled documents kept apart, the calibrated views are combined by a last
+from labelled documents.  In each round both models score every unlabelled
+document in a map with the broadcast weights; what one view is confident of,
+beyond quantiles of its scores that follow the proportion of the classes, is
+offered to the *other* view's training set.  Then each view is calibrated (Platt)
+on labelled documents kept apart, the calibrated views are combined by a last
 logistic fit there, and all documents are scored by the combination.
 
-A document is good when its label says quality 1 and not toxic.  Fitting uses at
-most ``fit_rows`` labelled and ``pool_rows`` unlabelled documents, the first by
-hash of their id; that is the bound on what reaches the driver.  Scoring is a
-map over all documents with the broadcast weights, whose number is fixed.
+A document is good when its label says quality 1 and not toxic.  A view is fitted
+on at most ``fit_rows`` labelled documents, the first by hash of their id, and
+``exchange_rows`` that the other view has labelled in this round, drawn from all it is
+confident of by hash, with equal chances for every language and source; that
+is the bound on what reaches the driver.
 
 Defined results: null or empty text has shape features of zero; null metadata is
-a value of its own; labels with a null are ignored; without labels of both kinds
-every document is kept with score 1; repeated rows are scored each; a doc_id
-with several labels trains with each; an empty table gives no rows.
+a value of its own; labels with a null, or of no document, are ignored; without labels
+of both kinds every document is kept with score 1; repeated rows are scored each; a
+doc_id with several labels trains with each; of several documents with one id the
+one with the least hash of its columns trains; a document without id teaches nothing;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import stored
 from .textbytes import WHITE_SPACE, blocks, mix
 
 WORD_BITS = 18
@@ -41,10 +46,10 @@ META_SIZE = 1 << 10
 @dataclass(frozen=True)
 class CoTraining:
     fit_rows: int = 8_000
-    pool_rows: int = 2_000
-    rounds: int = 2
+    exchange_rows: int = 2_000
+    rounds: int = 3
     confident: float = 0.98
-    steps: int = 100
+    steps: int = 150
     ridge: float = 1e-4
     least_rows: int = 4  # of the training set, that a hashed word needs
     marker: float = 2.5  # evidence against a document from which a word is a marker
@@ -72,6 +77,10 @@ class Rows:
         return Rows(self.column[at], self.value[at], count)
 
 
+def joined(parts: list[Rows]) -> Rows:
+    return Rows(*(np.concatenate([getattr(x, c) for x in parts]) for c in ("column", "value", "count")))
+
+
 def text_features(block) -> Rows:
     """Hashed lower-case words that a text has, and its shape."""
     data, n = block.data, len(block)
@@ -172,42 +181,53 @@ def with_markers(rows: Rows, marker: np.ndarray) -> Rows:
     return Rows(rows.column, value, rows.count)
 
 
-def co_train(text: Rows, meta: Rows, label: np.ndarray, p: CoTraining) -> dict | None:
-    """``label``: 1 good, 0 not, -1 unlabelled.  None without both kinds."""
+def logits(rows: Rows, weights: np.ndarray) -> np.ndarray:
+    return rows.dot(weights[:-1]) + weights[-1]
+
+
+def offered_in_memory(text: Rows, meta: Rows, p: CoTraining):
+    """The exchange over unlabelled rows that are at hand."""
+
+    def offer(weights: dict, marker: np.ndarray, prior: float, share: float) -> dict:
+        views = {"text": with_markers(text, marker), "meta": meta}
+        out = {}
+        for v, other in (("text", "meta"), ("meta", "text")):
+            logit = logits(views[v], weights[v])
+            each = len(logit) * share
+            good, bad = np.argsort(-logit, kind="stable")[: int(each * prior)], np.argsort(logit, kind="stable")[: int(each * (1 - prior))]
+            good, bad = good[sigmoid(logit[good]) >= p.confident], bad[sigmoid(logit[bad]) <= 1 - p.confident]
+            out[other] = views[other].take(np.concatenate([good, bad])), np.repeat([1.0, 0.0], [len(good), len(bad)])
+        return out
+
+    return offer
+
+
+def co_train(text: Rows, meta: Rows, label: np.ndarray, p: CoTraining, offer=None) -> dict | None:
+    """``label``: 1 good, 0 not, -1 unlabelled.  ``offer``: (weights, marker words, rate of
+    good ones, share of the unlabelled) to (rows, labels) for each view, from what the
+    other is sure of; by default from the unlabelled rows given.  None without both kinds."""
     known = np.flatnonzero(label >= 0)
     kept_apart = known[np.arange(len(known)) % p.apart == 0] if len(known) >= 10 * p.apart else known
     train = np.setdiff1d(known, kept_apart) if len(kept_apart) < len(known) else known
     if any(len(set(label[x].tolist())) < 2 for x in (train, kept_apart)):
         return None
+    offer = offer or offered_in_memory(text.take(np.flatnonzero(label < 0)), meta.take(np.flatnonzero(label < 0)), p)
     marker = evidence(text.take(train), label[train].astype(float), TEXT_SIZE, p) <= -p.marker
     marker[1 << WORD_BITS :] = False
     text = with_markers(text, marker)
     views = {"text": (text, TEXT_SIZE), "meta": (meta, META_SIZE)}
-    extra = {v: np.zeros(0, np.int64) for v in views}
-    guess = {v: np.zeros(len(label)) for v in views}
-    prior = label[train].mean()
-    weights = {}
+    own = {v: rows.take(train) for v, (rows, _) in views.items()}
+    prior, taught, weights = label[train].mean(), {}, {}
     for round_ in range(p.rounds + 1):
-        logit = {}
-        for v, (rows, size) in views.items():
-            which = np.concatenate([train, extra[v]])
-            y = np.concatenate([label[train].astype(float), guess[v][extra[v]]])
-            weights[v] = fit_logistic(rows.take(which), y, size, p)
-            logit[v] = rows.dot(weights[v][:-1]) + weights[v][-1]
-        if round_ == p.rounds:
-            break
-        pool = np.flatnonzero(label < 0)
-        each = len(pool) // (2 * p.rounds) * (round_ + 1)
-        for v, other in (("text", "meta"), ("meta", "text")):  # what one view is sure of teaches the other
-            q = sigmoid(logit[v][pool])
-            good = pool[np.argsort(-q, kind="stable")[: int(each * prior)]]
-            bad = pool[np.argsort(q, kind="stable")[: int(each * (1 - prior))]]
-            good, bad = good[sigmoid(logit[v][good]) >= p.confident], bad[sigmoid(logit[v][bad]) <= 1 - p.confident]
-            extra[other] = np.concatenate([good, bad])
-            guess[other][good], guess[other][bad] = 1.0, 0.0
+        for v, (_, size) in views.items():
+            rows, y = taught.get(v, (own[v].take(np.zeros(0, np.int64)), np.zeros(0)))
+            weights[v] = fit_logistic(joined([own[v], rows]), np.concatenate([label[train].astype(float), y]), size, p)
+        if round_ < p.rounds:  # what one view is sure of teaches the other
+            taught = offer(weights, marker, prior, (round_ + 1) / (2 * p.rounds))
+    logit = {v: logits(rows.take(kept_apart), weights[v]) for v, (rows, _) in views.items()}
     y = label[kept_apart].astype(float)
-    platt = {v: fit_dense(logit[v][kept_apart][:, None], y) for v in views}
-    calibrated = np.stack([logit[v][kept_apart] * platt[v][0] + platt[v][1] for v in views], axis=1)
+    platt = {v: fit_dense(logit[v][:, None], y) for v in views}
+    calibrated = np.stack([logit[v] * platt[v][0] + platt[v][1] for v in views], axis=1)
     both = fit_dense(calibrated, y)
     return {"weights": {v: w.astype(np.float32) for v, w in weights.items()}, "marker": marker, "platt": platt, "both": both}
 
@@ -215,7 +235,7 @@ def co_train(text: Rows, meta: Rows, label: np.ndarray, p: CoTraining) -> dict |
 def combined(model: dict, text: Rows, meta: Rows) -> tuple[np.ndarray, ...]:
     """(probability by text, by metadata, by both) of being good."""
     text = with_markers(text, model["marker"])
-    c = [(rows.dot(model["weights"][v][:-1]) + model["weights"][v][-1]) * model["platt"][v][0] + model["platt"][v][1] for v, rows in (("text", text), ("meta", meta))]
+    c = [logits(rows, model["weights"][v]) * model["platt"][v][0] + model["platt"][v][1] for v, rows in (("text", text), ("meta", meta))]
     return sigmoid(c[0]), sigmoid(c[1]), sigmoid(c[0] * model["both"][0] + c[1] * model["both"][1] + model["both"][2])
 
 
@@ -233,26 +253,93 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([own.column("label"), cell(text.column, text.count, np.int32), cell(text.value, text.count, np.float32), cell(meta.column, meta.count, np.int32)], names=["label", "text_column", "text_value", "meta_column"])
 
 
+META = ("lang", "source", "n_chars")
+STRATA = 4096  # classes of (language, source) that draw alike; bounds the broadcast of their counts
+
+
+def _read(rows: DataFrame) -> tuple[Rows, Rows, np.ndarray]:
+    """Features of a bounded table (text, lang, source, n_chars, label), in the driver."""
+    got = rows.select("text", *META, "label").mapInArrow(_features, FEATURES).toArrow().combine_chunks()
+    cell = lambda c: got.column(c).combine_chunks()
+    flat = lambda c: cell(c).flatten().to_numpy() if got.num_rows else np.zeros(0)
+    count = lambda c: np.diff(np.asarray(cell(c).offsets)) if got.num_rows else np.zeros(0, np.int64)
+    text = Rows(flat("text_column").astype(np.int64), flat("text_value").astype(float), count("text_column"))
+    meta = Rows(flat("meta_column").astype(np.int64), np.ones(len(flat("meta_column"))), count("meta_column"))
+    return text, meta, got.column("label").to_numpy()
+
+
+def _with_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The documents of a bounded table (doc_id, label): one a doc_id and label, in order."""
+    every = F.struct(F.xxhash64("text", *META).alias("hash"), "text", *META)
+    one = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(every).alias("d"))
+    return one.select("doc_id", "label", "d.*").orderBy("doc_id", "label")
+
+
+LOGITS = "doc_id long, lang string, source string, n_chars long, text double, meta double"
+
+
+def _logits(shared):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, marker = shared.value
+        for batch in batches:
+            for at, block in blocks(batch.column("text")):
+                own = batch.slice(at, len(block))
+                text = logits(with_markers(text_features(block), marker), weights["text"])
+                meta = logits(meta_features(*(own.column(c).to_pylist() for c in META)), weights["meta"])
+                yield pa.record_batch([*(own.column(c) for c in ("doc_id", *META)), pa.array(text), pa.array(meta)], names=["doc_id", *META, "text", "meta"])
+
+    return score
+
+
+def offered_by_corpus(docs: DataFrame, labelled: DataFrame, p: CoTraining):
+    """The exchange over all unlabelled documents: a map scores them, quantiles of either
+    view's scores say what it is sure of, and the other view gets a bounded draw of that.
+    The thin rows of scores are parted from the ``labelled`` ids, so no text is shuffled."""
+    spark = docs.sparkSession
+    edge = float(np.log(p.confident / (1 - p.confident)))
+
+    def offer(weights: dict, marker: np.ndarray, prior: float, share: float) -> dict:
+        sent = spark.sparkContext.broadcast(({v: w.astype(np.float32) for v, w in weights.items()}, marker))
+        scored = docs.where("doc_id is not null").mapInArrow(_logits(sent), LOGITS)
+        scored = stored(scored.join(labelled, "doc_id", "left_anti"), "quality-logits")
+        sent.destroy()
+        at = [float(1 - share * prior), float(share * (1 - prior))]
+        cuts = scored.agg(*(F.percentile_approx(v, at, 10_000).alias(v) for v in ("text", "meta"))).first()
+        stratum = F.pmod(F.xxhash64("lang", "source"), F.lit(STRATA))
+        chance = (F.xxhash64("doc_id", F.lit(11)).bitwiseAND((1 << 52) - 1).cast("double") + 1) * F.col("n")
+        out = {}
+        for v, other in (("text", "meta"), ("meta", "text")):
+            high, low = cuts[v] or (np.inf, -np.inf)
+            sure = F.when(F.col(v) >= max(high, edge), 1).when(F.col(v) <= min(low, -edge), 0)
+            picked = scored.select("doc_id", *META, stratum.alias("stratum"), sure.alias("label")).where("label is not null")
+            counts = picked.groupBy("stratum", "label").agg(F.count("*").alias("n"))  # 2 * STRATA rows at most
+            drawn = picked.join(F.broadcast(counts), ["stratum", "label"]).withColumn("chance", chance)
+            most = {1: round(p.exchange_rows * prior), 0: round(p.exchange_rows * (1 - prior))}
+            part = [drawn.where(F.col("label") == y).orderBy("chance", "doc_id", *META).limit(n) for y, n in most.items()]
+            chosen = part[0].unionByName(part[1])
+            if other == "meta":
+                rows = chosen.select(*META, "label").orderBy(*META, "label").toArrow()
+                features = meta_features(*(rows.column(c).to_pylist() for c in META))
+                out[other] = features, rows.column("label").to_numpy().astype(float)
+            else:
+                ids = stored(chosen.groupBy("doc_id").agg(F.min("label").alias("label")), "quality-chosen")
+                features, _, y = _read(_with_text(docs, ids))  # exchange_rows ids at most
+                out[other] = with_markers(features, marker), y.astype(float)
+        return out
+
+    return offer
+
+
 def fit(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> dict | None:
-    """The model, from at most ``fit_rows + pool_rows`` documents."""
+    """The model, from at most ``fit_rows`` labelled and, a round, ``exchange_rows`` other documents at a time."""
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), good.alias("label")).where("doc_id is not null and label is not null")
     rank = [F.xxhash64(F.col("doc_id"), F.lit(3)), F.col("doc_id")]
-    known = labels.orderBy(*rank, "label").limit(p.fit_rows)
-    other = docs.select("doc_id").where("doc_id is not null").join(labels.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(*rank).limit(p.pool_rows)
-    chosen = known.unionByName(other.select("doc_id", F.lit(-1).alias("label")))
-    # fit_rows + pool_rows ids at most, so they may be broadcast
-    rows = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "label"]).select("doc_id", "text", "lang", "source", "n_chars", "label")
-    got = rows.orderBy("doc_id", "label").select("text", "lang", "source", "n_chars", "label").mapInArrow(_features, FEATURES).toArrow()
-    if not got.num_rows:
+    known = labels.join(docs.select("doc_id"), "doc_id", "left_semi").distinct().orderBy(*rank, "label").limit(p.fit_rows)
+    text, meta, label = _read(_with_text(docs, known))  # fit_rows ids at most, so they may be broadcast
+    if not len(label):
         return None
-    flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy()
-    count = lambda c: np.diff(np.asarray(got.column(c).combine_chunks().offsets))
-    text = Rows(flat("text_column").astype(np.int64), flat("text_value").astype(float), count("text_column"))
-    meta = Rows(flat("meta_column").astype(np.int64), np.ones(len(flat("meta_column"))), count("meta_column"))
-    label = got.column("label").to_numpy()
-    del got
-    return co_train(text, meta, label, p)
+    return co_train(text, meta, label, p, offered_by_corpus(docs, labels.select("doc_id").distinct(), p))
 
 
 SCORES = "doc_id long, text_score double, meta_score double, score double, kept boolean"

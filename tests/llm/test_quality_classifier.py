@@ -4,7 +4,7 @@ import numpy as np
 from helpers import documents, lorem, with_clashes
 from sentimetry.llm import quality_classifier as op
 
-SMALL = op.CoTraining(fit_rows=400, pool_rows=200, steps=80)
+SMALL = op.CoTraining(fit_rows=400, exchange_rows=200, steps=80)
 
 
 def tables(spark, n=700, seed=1):
@@ -71,3 +71,37 @@ def test_filter_keeps_columns(spark):
     kept = op.good_documents(docs, labels, SMALL)
     want = sorted(r.doc_id for r in op.quality_scores(docs, labels, SMALL).collect() if r.kept)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_exchange_reaches_all_unlabelled_documents(spark):
+    """A source that no label covers and that few documents have is learned from the text view's verdicts."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 4 == 0
+        text = " ".join(w + "###" if bad else w for w in lorem(rng, 60).split())
+        source = "rare" if i >= 200 and i % 100 == 0 else f"src{i % 3}"
+        rows.append((i, text, "en", source))
+        if i < 200:
+            labels.append((i, int(not bad), 0))
+    docs = documents(spark, rows)
+    given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    p = op.CoTraining(fit_rows=200, exchange_rows=120, steps=80, rounds=2, confident=0.8)
+    got = {r.doc_id: r for r in op.quality_scores(docs, given, p).collect()}
+    rare = [got[i].meta_score for i, _, _, s in rows if s == "rare"]
+    other = [got[i].meta_score for i, _, _, s in rows if s != "rare"]
+    assert max(rare) < np.mean(other)
+
+
+def test_several_documents_with_one_id_rerun_equal(spark):
+    docs, labels, _ = tables(spark, 300)
+    twice = docs.unionByName(docs.withColumn("text", op.F.upper("text")))
+    runs = [sorted((r.doc_id, r.score) for r in op.quality_scores(d, labels, SMALL).collect()) for d in (twice, twice.repartition(7))]
+    assert runs[0] == runs[1]
+
+
+def test_labels_without_documents_take_no_room(spark):
+    docs, labels, _ = tables(spark, 300)
+    strange = spark.range(10_000, 20_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    a, b = (sorted((r.doc_id, r.score) for r in op.quality_scores(docs, x, SMALL).collect()) for x in (labels, labels.unionByName(strange)))
+    assert a == b
