@@ -39,22 +39,40 @@ def _sent(df: DataFrame, label: str, cols: list[str], *more: str, cells: int):
     return x, of("y"), [of(f"m{i}") for i in range(len(more))]
 
 
+BLOCK_CELLS = 1 << 20  # rows x models worked on at once: 8 MB
+
+
+def _row_blocks(rows: int, models: int) -> list[slice]:
+    step = max(1, BLOCK_CELLS // max(1, models))
+    return [slice(at, at + step) for at in range(0, rows, step)]
+
+
+def _misclassified(x: np.ndarray, y: np.ndarray, b: np.ndarray) -> list[float | None]:
+    """Share of the rows that each of the models ``b`` gets wrong."""
+    wrong = sum(((b[0] + x[at] @ b[1:] > 0) != y[at, None]).sum(axis=0) for at in _row_blocks(len(y), b.shape[1]))
+    return (wrong / len(y)).tolist() if len(y) else [None] * b.shape[1]
+
+
 def lasso_path(x: np.ndarray, y: np.ndarray, lambdas: list[float], steps: int = 20_000, tol: float = 1e-10) -> np.ndarray:
     """LASSO logits at all ``lambdas`` side by side: (1 + regressors) x lambdas,
     the intercept first, on the regressors' own scale.  Penalties hold for
     regressors divided by their standard deviation.  Accelerated proximal
-    gradient; a model's momentum restarts where it points uphill."""
+    gradient; a model's momentum restarts where it points uphill.  Equal rows are
+    one row with a weight, and a step takes ``BLOCK_CELLS`` cells at a time."""
     n, lam = len(y), np.array(lambdas)
     mean, sd = x.mean(axis=0), x.std(axis=0, ddof=1)
     live = sd > 0
-    a = np.column_stack([np.ones(n), (x[:, live] - mean[live]) / sd[live]])
-    rate = 4 * n / np.linalg.eigvalsh(a.T @ a)[-1]
+    some, times = np.unique(np.column_stack([x[:, live], y]), axis=0, return_counts=True)
+    a, y = np.column_stack([np.ones(len(some)), (some[:, :-1] - mean[live]) / sd[live]]), some[:, -1]
+    weighed = a * times[:, None]
+    rate = 4 * n / np.linalg.eigvalsh(weighed.T @ a)[-1]
+    blocks = _row_blocks(len(a), len(lam))
     limit = rate * np.vstack([0 * lam, np.broadcast_to(lam, (a.shape[1] - 1, len(lam)))])
     b = np.zeros((a.shape[1], len(lam)))
     z, t = b, np.ones(len(lam))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ z, -500, 500)))
-        to = z - rate / n * (a.T @ (p - y[:, None]))
+        slope = sum(weighed[at].T @ (1 / (1 + np.exp(-np.clip(a[at] @ z, -500, 500))) - y[at, None]) for at in blocks)
+        to = z - rate / n * slope
         to = np.sign(to) * np.maximum(np.abs(to) - limit, 0)
         move = to - b
         t = np.where(((z - to) * move).sum(axis=0) > 0, 1.0, t)
@@ -82,8 +100,7 @@ def _grid_errors(spark: SparkSession, x: np.ndarray, y: np.ndarray, groups: list
                 if len(np.unique(y[train])) < 2:
                     error = [None] * len(lambdas)
                 else:
-                    b = lasso_path(x[train], y[train], lambdas)
-                    error = ((b[0] + x[test] @ b[1:] > 0) != y[test][:, None]).mean(axis=0).tolist() if test.any() else [None] * len(lambdas)
+                    error = _misclassified(x[test], y[test], lasso_path(x[train], y[train], lambdas))
                 yield pa.record_batch([pa.array([group] * len(lambdas), pa.int64()), pa.array(range(len(lambdas)), pa.int64()), pa.array(error, pa.float64())], names=["g", "i", "error"])
 
     if not groups:
