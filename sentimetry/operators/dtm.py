@@ -1,7 +1,7 @@
 """Document-term tables and term statistics.
 
-A DTM is the long table ``(id, term, n BIGINT)``: one hash aggregate on
-``(id, term)`` with map-side partial aggregation.  Per-term statistics
+A DTM is the long table ``(id, term, n BIGINT)``: texts are dealt out by id, so
+their tokens are counted on ``(id, term)`` without a shuffle.  Per-term statistics
 aggregate partially before their shuffle, so a very common term costs one
 row per map task, not one per occurrence.
 """
@@ -24,6 +24,7 @@ def dtm_build(corpus: DataFrame, stopwords: list[str] | None = None, clean: bool
     """Counts of the O28 word tokens per document.  With ``with_len`` each
     row carries ``doc_len``, the document's kept tokens: known inside the row
     before it is exploded, so no statistic needs a second pass for it."""
+    corpus = _by_id(corpus)
     if not with_len:
         return word_tokens(corpus, stopwords=stopwords, clean=clean).groupBy("id", "term").agg(
             F.count("*").alias("n"))
@@ -31,6 +32,11 @@ def dtm_build(corpus: DataFrame, stopwords: list[str] | None = None, clean: bool
     return _counted(tokens_array(corpus.select("id", "text"), clean=clean).select("id", kept.alias("w")))
 
 
+def _by_id(corpus: DataFrame) -> DataFrame:
+    """Texts of one id in one partition: a text is shorter than its rows of counts."""
+    return corpus.select("id", "text").repartition("id")
+
+
 def _counted(words: DataFrame) -> DataFrame:
     """``(id, w ARRAY)`` → ``(id, doc_len, term, n)``."""
     return words.select("id", F.size("w").cast("long").alias("doc_len"), F.explode("w").alias("term")).groupBy(
@@ -50,7 +56,7 @@ def _topic_words(stopwords: list[str] | None, min_len: int) -> F.Column:
 def topic_dtm(corpus: DataFrame, stopwords: list[str] | None = None, min_len: int = 3,
               with_len: bool = False) -> DataFrame:
     """O40 for the topic scripts (``DocumentTermMatrix`` with its controls)."""
-    out = _counted(corpus.select("id", _topic_words(stopwords, min_len).alias("w")))
+    out = _counted(_by_id(corpus).select("id", _topic_words(stopwords, min_len).alias("w")))
     return out if with_len else out.drop("doc_len")
 
 
@@ -98,16 +104,16 @@ def n_documents(docs: DataFrame) -> F.Column:
     return docs.select(F.count("*")).scalar()
 
 
-SALTS = 16
+JOIN_ROWS = 1_000_000  # terms of a side that is broadcast
 
 
 def join_terms(dtm: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
-    """Join a DTM with one row per term.  A term of every document puts a row
-    for each document on one key, so the key is salted by the document and the
-    (much smaller) side is repeated for each salt."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    salted = dtm.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    return salted.join(side.select("*", salts), ["term", "_salt"], how).drop("_salt")
+    """Join a DTM with one row per term.  The side is written and counted: up to
+    ``JOIN_ROWS`` terms it is broadcast, so no row of the DTM moves; beyond it both
+    are shuffled by term and the side's part is hashed, so the DTM isn't sorted, and
+    AQE splits the partition of a term of very many documents."""
+    side = materialize(side, "terms")
+    return dtm.join(F.broadcast(side) if side.count() <= JOIN_ROWS else side.hint("shuffle_hash"), "term", how)
 
 
 def _with_len(dtm: DataFrame) -> DataFrame:
@@ -166,7 +172,7 @@ def six_number_summary(df: DataFrame, col: str) -> DataFrame:
 
 def prune_by_tfidf(dtm: DataFrame, threshold: float | None = None, n_docs=None) -> DataFrame:
     """Keep terms whose O47 score is ≥ threshold (the median when None);
-    the kept vocabulary reaches the DTM through a salted semi-join."""
+    the kept vocabulary reaches the DTM through a semi-join."""
     scores = term_tfidf_mean(dtm, n_docs)
     if threshold is None:
         scores = materialize(scores, "term-scores")
@@ -187,7 +193,7 @@ def dtm_slice(dtm: DataFrame, n_docs: int = 20, n_terms: int = 20) -> DataFrame:
     """The dense top-left block (first documents by id, first terms in
     alphabetical order), zeros included.  Both sides are top-k tables of
     at most 20 rows; the term list reaches every document as a scalar array."""
-    docs = dtm.select("id").distinct().orderBy("id").limit(n_docs)
+    docs = dtm.groupBy("id").agg(F.count("*")).select("id").orderBy("id").limit(n_docs)
     terms = dtm.select("term").distinct().orderBy("term").limit(n_terms)
     term_arr = terms.select(F.sort_array(F.collect_list("term"))).scalar()
     grid = docs.select("id", F.explode(term_arr).alias("term"))

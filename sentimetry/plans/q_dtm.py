@@ -44,7 +44,7 @@ SELECT d.id, t.term, coalesce(x.n, 0) AS n FROM d20 d CROSS JOIN t20 t LEFT JOIN
           .replace("\n, d20", ", d20"))
 def dtm_slice(spark, sf):
     """The dense 20 × 20 top-left block with zeros."""
-    return D.dtm_slice(_dtm(spark, sf), 20, 20)
+    return D.dtm_slice(materialize(_dtm(spark, sf), "dtm"), 20, 20)
 
 
 @register("dtm_union_units", Q.with_(Q.CORPUS)[:-1] + f""",
@@ -85,7 +85,7 @@ FROM corpus c LEFT JOIN dtm d ON d.id = c.id GROUP BY c.id
 UNION ALL SELECT 'term', term, sum(n) FROM dtm GROUP BY term""")
 def doc_term_totals(spark, sf):
     """Row sums and column sums in one table (``kind`` tells them apart)."""
-    d = _dtm(spark, sf)
+    d = materialize(_dtm(spark, sf), "dtm")
     rows = D.doc_lengths(d, corpus(spark, sf)).select(F.lit("doc").alias("kind"), F.col("id").cast("string").alias("k"),
                                    F.col("doc_len").alias("total"))
     cols = D.term_totals(d).select(F.lit("term").alias("kind"), F.col("term").alias("k"), F.col("freq").alias("total"))

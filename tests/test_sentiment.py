@@ -191,3 +191,35 @@ def test_lemmatize_with_any_dictionary(spark):
     assert sorted(map(tuple, TK.lemmatize(docs, bounded).collect()), key=lambda r: r[2]) == want
     assert TK.lemmatize(docs.where("false"), forms).collect() == []
     assert sorted(map(tuple, TK.lemmatize(docs, forms.where("false")).collect()), key=lambda r: r[2]) == sorted(map(tuple, docs.collect()), key=lambda r: r[2])
+
+
+def test_tfidf_rows_before_the_fold(spark):
+    """Units without an entry don't reach the fold by document, documents without a match do."""
+    import math
+    corpus = spark.createDataFrame([(1, "good plain plain plain good", {"f": 1.0}), (2, "plain plain", {"f": 1.0}), (3, None, {"f": 1.0})],
+                                   "id long, text string, features map<string,double>").withColumn("date", F.lit("2020-01-01").cast("date"))
+    lex = spark.createDataFrame([("L", "good", 1.0)], "lexicon string, x string, y double")
+    out = S.score_documents(corpus, lex, None, None, "tf-idf", ("word",), names=["L"])
+    got = {r["id"]: r["score"] for r in out.collect()}
+    assert got == pytest.approx({1: 2 * math.log10(3) / 5, 2: 0.0, 3: 0.0})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    fold = plan[plan.index("collect_list"):]
+    assert "isnotnull(lexicon" in fold[: fold.index("Generate")]
+
+
+def test_dtm_is_counted_where_the_texts_lie(spark, monkeypatch):
+    """No shuffle of counts; both ways of joining a DTM with terms agree."""
+    from sentimetry.operators import dtm as D
+    corpus = spark.createDataFrame([(i, f"aaa bbb w{'xyz'[i % 3] * 3} aaa {'q' * (i % 5 + 3)}") for i in range(40)] + [(7, "aaa ccc")], "id long, text string")
+    for dtm in (D.dtm_build(corpus), D.dtm_build(corpus, with_len=True), D.topic_dtm(corpus)):
+        plan = dtm._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "hashpartitioning(id" in plan
+    assert D.dtm_build(corpus).where("id = 7 AND term = 'aaa'").first()["n"] == 3  # rows of one id count together
+    dtm = D.topic_dtm(corpus, with_len=True)
+    got = []
+    for rows in (10**6, 0):
+        monkeypatch.setattr(D, "JOIN_ROWS", rows)
+        tables = D.tfidf_docs(dtm), D.prune_by_tfidf(dtm), D.prune_sparse_terms(dtm, 0.8)
+        got.append([sorted(map(tuple, t.collect())) for t in tables])
+        assert all(("BroadcastHashJoin" if rows else "ShuffledHashJoin") in t._jdf.queryExecution().executedPlan().toString() for t in tables)
+    assert got[0] == got[1] and all(got[0])
