@@ -103,7 +103,7 @@ def score_documents(corpus: DataFrame, lexicons: DataFrame, valence: DataFrame |
     # scored, with 0) but loses its unit, so it matches no lexicon entry
     unit = (F.when((F.col("_p") < F.col("_nw")) & F.col("unit").isin(stop), F.lit(None)).otherwise(F.col("unit"))
             if stop else F.col("unit"))
-    rows = ex.select(*key, "date", "word_count", unit.alias("unit"), kind.alias("kind"),
+    rows = ex.select(*key, "date", "word_count", "_p", unit.alias("unit"), kind.alias("kind"),
                      F.when((F.col("_p") > 0) & (F.col("_p") < F.col("_nw")),
                             F.element_at("_tok", F.col("_p"))).alias("prev"))
     if valence is not None:
@@ -116,6 +116,8 @@ def score_documents(corpus: DataFrame, lexicons: DataFrame, valence: DataFrame |
     lex_b = bounded_broadcast(inherit_bound(lex, lexicons))
     hit = rows.join(lex_b, "unit", "left").where(
         (F.col("kind") != "ngram") | F.col("unit").contains(" ") | F.col("kind").isNull())
+    # of units without an entry only a document's first goes on, which keeps the document
+    hit = hit.where(F.col("lexicon").isNotNull() | F.coalesce(F.col("_p"), F.lit(0)).isin(0))
     contrib = factor * F.col("y")
     # date and word_count are per document, so they are grouping keys: the
     # aggregate stays a (codegen) hash aggregate; the feature map is joined
