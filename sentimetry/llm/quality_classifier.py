@@ -62,7 +62,7 @@ class Rows:
 
     def __init__(self, column: np.ndarray, value: np.ndarray, count: np.ndarray):
         self.column, self.value, self.count = column, value, count
-        self.row = np.repeat(np.arange(len(count)), count)
+        self.row = np.repeat(np.arange(len(count), dtype=np.int32), count)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.column] * self.value, len(self.count))
@@ -215,19 +215,20 @@ def co_train(text: Rows, meta: Rows, label: np.ndarray, p: CoTraining, offer=Non
     marker = evidence(text.take(train), label[train].astype(float), TEXT_SIZE, p) <= -p.marker
     marker[1 << WORD_BITS :] = False
     text = with_markers(text, marker)
-    views = {"text": (text, TEXT_SIZE), "meta": (meta, META_SIZE)}
-    own = {v: rows.take(train) for v, (rows, _) in views.items()}
+    sizes = {"text": TEXT_SIZE, "meta": META_SIZE}
+    own, held = ({"text": text.take(which), "meta": meta.take(which)} for which in (train, kept_apart))
+    del text, meta  # a driver holds each row once
     prior, taught, weights = label[train].mean(), {}, {}
     for round_ in range(p.rounds + 1):
-        for v, (_, size) in views.items():
+        for v, size in sizes.items():
             rows, y = taught.get(v, (own[v].take(np.zeros(0, np.int64)), np.zeros(0)))
             weights[v] = fit_logistic(joined([own[v], rows]), np.concatenate([label[train].astype(float), y]), size, p)
         if round_ < p.rounds:  # what one view is sure of teaches the other
             taught = offer(weights, marker, prior, (round_ + 1) / (2 * p.rounds))
-    logit = {v: logits(rows.take(kept_apart), weights[v]) for v, (rows, _) in views.items()}
+    logit = {v: logits(held[v], weights[v]) for v in sizes}
     y = label[kept_apart].astype(float)
-    platt = {v: fit_dense(logit[v][:, None], y) for v in views}
-    calibrated = np.stack([logit[v] * platt[v][0] + platt[v][1] for v in views], axis=1)
+    platt = {v: fit_dense(logit[v][:, None], y) for v in sizes}
+    calibrated = np.stack([logit[v] * platt[v][0] + platt[v][1] for v in sizes], axis=1)
     both = fit_dense(calibrated, y)
     return {"weights": {v: w.astype(np.float32) for v, w in weights.items()}, "marker": marker, "platt": platt, "both": both}
 
@@ -263,8 +264,8 @@ def _read(rows: DataFrame) -> tuple[Rows, Rows, np.ndarray]:
     cell = lambda c: got.column(c).combine_chunks()
     flat = lambda c: cell(c).flatten().to_numpy() if got.num_rows else np.zeros(0)
     count = lambda c: np.diff(np.asarray(cell(c).offsets)) if got.num_rows else np.zeros(0, np.int64)
-    text = Rows(flat("text_column").astype(np.int64), flat("text_value").astype(float), count("text_column"))
-    meta = Rows(flat("meta_column").astype(np.int64), np.ones(len(flat("meta_column"))), count("meta_column"))
+    text = Rows(flat("text_column").astype(np.int32), flat("text_value").astype(np.float32), count("text_column"))  # as they came: half the room
+    meta = Rows(flat("meta_column").astype(np.int32), np.ones(len(flat("meta_column"))), count("meta_column"))
     return text, meta, got.column("label").to_numpy()
 
 
@@ -336,10 +337,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> dic
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), good.alias("label")).where("doc_id is not null and label is not null")
     rank = [F.xxhash64(F.col("doc_id"), F.lit(3)), F.col("doc_id")]
     known = labels.join(docs.select("doc_id"), "doc_id", "left_semi").distinct().orderBy(*rank, "label").limit(p.fit_rows)
-    text, meta, label = _read(_with_text(docs, known))  # fit_rows ids at most, so they may be broadcast
-    if not len(label):
-        return None
-    return co_train(text, meta, label, p, offered_by_corpus(docs, labels.select("doc_id").distinct(), p))
+    offer = offered_by_corpus(docs, labels.select("doc_id").distinct(), p)
+    return co_train(*_read(_with_text(docs, known)), p, offer)  # fit_rows ids at most, so they may be broadcast
 
 
 SCORES = "doc_id long, text_score double, meta_score double, score double, kept boolean"

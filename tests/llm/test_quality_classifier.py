@@ -105,3 +105,15 @@ def test_labels_without_documents_take_no_room(spark):
     strange = spark.range(10_000, 20_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
     a, b = (sorted((r.doc_id, r.score) for r in op.quality_scores(docs, x, SMALL).collect()) for x in (labels, labels.unionByName(strange)))
     assert a == b
+
+
+def test_rows_take_twelve_bytes_a_cell(spark):
+    """Features reach the driver and are copied as they came, not widened."""
+    import numpy as np
+    from sentimetry.llm import quality_classifier as Q
+    docs = spark.createDataFrame([("some plain words", "en", "src1", 16, 1), (None, None, None, None, 0)], "text string, lang string, source string, n_chars long, label int")
+    text, meta, _ = Q._read(docs)
+    marked = Q.with_markers(text, np.zeros(Q.TEXT_SIZE, bool))
+    for rows in (text, text.take(np.array([1, 0])), Q.joined([text, text]), marked):
+        assert sum(getattr(rows, c).itemsize for c in ("column", "value", "row")) == 12
+    assert meta.column.itemsize == 4 and text.dot(np.ones(Q.TEXT_SIZE)).dtype == float
