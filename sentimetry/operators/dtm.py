@@ -1,15 +1,20 @@
 """Document-term tables and term statistics.
 
-A DTM is the long table ``(id, term, n BIGINT)``: texts are dealt out by id, so
-their tokens are counted on ``(id, term)`` without a shuffle.  Per-term statistics
-aggregate partially before their shuffle, so a very common term costs one
-row per map task, not one per occurrence.
+A DTM is the long table ``(id, term, n BIGINT)``: texts are dealt out and sorted
+by id, and the tokens of an id are counted where they lie, a bounded slice of
+documents at a time, so no table of a task's ``(id, term)`` is held or spilled.
+Per-term statistics aggregate partially before their shuffle, so a very common
+term costs one row per map task, not one per occurrence.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,23 +29,69 @@ def dtm_build(corpus: DataFrame, stopwords: list[str] | None = None, clean: bool
     """Counts of the O28 word tokens per document.  With ``with_len`` each
     row carries ``doc_len``, the document's kept tokens: known inside the row
     before it is exploded, so no statistic needs a second pass for it."""
-    corpus = _by_id(corpus)
-    if not with_len:
-        return word_tokens(corpus, stopwords=stopwords, clean=clean).groupBy("id", "term").agg(
-            F.count("*").alias("n"))
+    tokens = tokens_array(_by_id(corpus), clean=clean)
     kept = drop_words(F.col("tokens"), list(stopwords)) if stopwords else F.col("tokens")
-    return _counted(tokens_array(corpus.select("id", "text"), clean=clean).select("id", kept.alias("w")))
+    out = _counted(tokens.select("id", kept.alias("w")))
+    return out if with_len else out.drop("doc_len")
+
+
+SLICE_TOKENS = 1 << 20  # counted at once, or those of one id
 
 
 def _by_id(corpus: DataFrame) -> DataFrame:
-    """Texts of one id in one partition: a text is shorter than its rows of counts."""
-    return corpus.select("id", "text").repartition("id")
+    """Texts of one id one after the other in one partition: a text is shorter than its rows of counts."""
+    return corpus.select("id", "text").repartition("id").sortWithinPartitions("id")
+
+
+def _slice_counts(ids: pa.Array, lists: pa.ListArray) -> Iterator[pa.RecordBatch]:
+    """(id, doc_len, cells: (term, n) of each term) of whole ids, whose rows come one after the other."""
+    row = np.asarray(ids.dictionary_encode("encode").indices)
+    size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+    before, first = np.cumsum(size) - size, np.flatnonzero(np.diff(row, prepend=-1))  # first row of each id
+    starts = first[np.flatnonzero(np.diff(before[first] // SLICE_TOKENS, prepend=-1))]
+    for at, end in zip(starts, [*starts[1:], len(row)]):
+        words = lists.slice(at, end - at).flatten().dictionary_encode()
+        terms = len(words.dictionary)
+        if not terms:
+            continue
+        of = np.repeat(row[at:end].astype(np.int64) - row[at], size[at:end])
+        cell, n = np.unique(of * terms + np.asarray(words.indices), return_counts=True)
+        doc, term = np.divmod(cell, terms)
+        some, at_cell = np.unique(doc, return_index=True)
+        cells = pa.StructArray.from_arrays([words.dictionary.take(pa.array(term)), pa.array(n)], names=["term", "n"])
+        cells = pa.ListArray.from_arrays(pa.array([*at_cell, len(cell)], pa.int32()), cells)
+        own = ids.take(pa.array(first[some + row[at]]))
+        yield pa.record_batch([own, pa.array(np.bincount(of)[some]), cells], names=["id", "doc_len", "cells"])
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of rows (id, w) sorted by id; the last id of a batch may go on in the next."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> tuple[pa.Array, pa.ListArray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        return tuple(pa.concat_arrays(table[c].chunks) for c in ("id", "w"))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        last = batch.column("id")[-1].as_py()
+        if held[0].column("id")[0].as_py() == last:
+            continue
+        ids, lists = whole()
+        row = np.asarray(ids.dictionary_encode("encode").indices)
+        at = int(np.argmax(row == row[-1]))
+        yield from _slice_counts(ids[:at], lists[:at])
+        held = [pa.record_batch([ids[at:], lists[at:]], names=["id", "w"])]
+    if held:
+        yield from _slice_counts(*whole())
 
 
 def _counted(words: DataFrame) -> DataFrame:
-    """``(id, w ARRAY)`` → ``(id, doc_len, term, n)``."""
-    return words.select("id", F.size("w").cast("long").alias("doc_len"), F.explode("w").alias("term")).groupBy(
-        "id", "doc_len", "term").agg(F.count("*").alias("n"))
+    """``(id, w ARRAY)`` of :func:`_by_id` → ``(id, doc_len, term, n)``."""
+    schema = f"id {words.schema['id'].dataType.simpleString()}, doc_len long, cells array<struct<term string, n long>>"
+    return words.mapInArrow(_term_counts, schema).select("id", "doc_len", F.inline("cells"))
 
 
 def _topic_words(stopwords: list[str] | None, min_len: int) -> F.Column:

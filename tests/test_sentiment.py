@@ -223,3 +223,25 @@ def test_dtm_is_counted_where_the_texts_lie(spark, monkeypatch):
         got.append([sorted(map(tuple, t.collect())) for t in tables])
         assert all(("BroadcastHashJoin" if rows else "ShuffledHashJoin") in t._jdf.queryExecution().executedPlan().toString() for t in tables)
     assert got[0] == got[1] and all(got[0])
+
+
+def test_dtm_tokens_of_an_id_are_counted_in_slices(spark, monkeypatch):
+    """Rows of one id share their counts and length, over batches and slices; no task keeps its (id, term)."""
+    import pyarrow as pa
+
+    from sentimetry.operators import dtm as D
+
+    corpus = spark.createDataFrame([(7, "aaa bbb aaa"), (7, "aaa ccc"), (8, None), (9, ""), (10, "bbb")], "id long, text string")
+    for dtm in (D.dtm_build(corpus, with_len=True), D.topic_dtm(corpus, with_len=True)):
+        assert sorted(tuple(r) for r in dtm.select("id", "doc_len", "term", "n").collect()) == [
+            (7, 5, "aaa", 3), (7, 5, "bbb", 1), (7, 5, "ccc", 1), (10, 1, "bbb", 1)]
+        assert "HashAggregate" not in dtm._jdf.queryExecution().executedPlan().toString()
+    rows = [(None, ["x"]), (1, ["a", "b"]), (1, None), (1, ["a"]), (2, []), (3, ["a", "ü"]), (3, ["ü"]), (4, ["b"] * 3)]
+    expected = [(None, 1, "x", 1), (1, 3, "a", 2), (1, 3, "b", 1), (3, 3, "a", 1), (3, 3, "ü", 2), (4, 3, "b", 3)]
+    for tokens in (1, 3, 1 << 20):
+        monkeypatch.setattr(D, "SLICE_TOKENS", tokens)
+        for at in range(1, len(rows) + 1):
+            batches = [pa.record_batch([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.list_(pa.string()))], names=["id", "w"])
+                       for some in (rows[i : i + at] for i in range(0, len(rows), at))]
+            found = [(r["id"], r["doc_len"], c["term"], c["n"]) for b in D._term_counts(iter(batches)) for r in b.to_pylist() for c in r["cells"]]
+            assert sorted(found, key=str) == sorted(expected, key=str)
