@@ -594,3 +594,39 @@ def test_lasso_path_in_bounded_memory(monkeypatch):
         monkeypatch.setattr(MD, "BLOCK_CELLS", 1 << 40)
         assert np.allclose(b, MD.lasso_path(x, y, lam, steps=20), atol=1e-12)
         assert errors == ((b[0] + x @ b[1:] > 0) != y[:, None]).mean(axis=0).tolist()
+
+
+def test_lda_rounds_move_shares_and_one_sum_a_core(spark, monkeypatch):
+    """A round writes θ and the sums of at most one task a core, not the documents; more partitions than cores give the same rounds."""
+    docs, table = spark.range(14), _lda_table(spark)
+    two = LDA.lda_em(table, docs, [2, 3], seed=5, rounds=4, tol=0, broadcast_cells=0)
+    monkeypatch.setattr(LDA, "TASK_CELLS", 1)
+    monkeypatch.setattr(LDA, "PART_CELLS", 2)
+    written, plain = [], LDA.materialize
+
+    def noted(df, name="table", **by):
+        out = plain(df, name, **by)
+        if name == "lda-state":
+            written.append((set(df.columns), out.where("block = -1").count(), out.where("theta IS NOT NULL").count()))
+        return out
+
+    monkeypatch.setattr(LDA, "materialize", noted)
+    one = LDA.lda_em(table, docs, [2, 3], seed=5, rounds=4, tol=0)
+    assert one.trace[0] == pytest.approx(two.trace[0]) and one.trace[1] == pytest.approx(two.trace[1])
+    assert len(written) == 6
+    for columns, tasks, documents in written:
+        assert not columns & {"codes", "counts"} and tasks <= spark.sparkContext.defaultParallelism
+        assert documents == table.select("id").distinct().count()
+
+
+def test_lda_sums_of_repeated_terms():
+    """Rows of one term in a slice all count, and a slice's cells are bounded."""
+    rng = np.random.default_rng(2)
+    totals, plain = LDA._Totals(9, 3, 1, 2), np.zeros((9, 3))
+    for _ in range(3):
+        codes, shares = rng.integers(0, 7, 50).astype(np.int32), rng.random((50, 3))
+        totals.add(codes, shares)
+        np.add.at(plain, codes, shares)
+    assert np.allclose(totals.term, plain)
+    size = np.array([3, 0, 5, 1])
+    assert [(r.start, r.stop, c.start, c.stop) for r, c in LDA._slices(size, 1 << 17)] == [(0, 3, 0, 8), (3, 4, 8, 9)]  # 4 cells, and the rest of the last document
