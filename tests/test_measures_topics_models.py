@@ -630,3 +630,20 @@ def test_lda_sums_of_repeated_terms():
     assert np.allclose(totals.term, plain)
     size = np.array([3, 0, 5, 1])
     assert [(r.start, r.stop, c.start, c.stop) for r, c in LDA._slices(size, 1 << 17)] == [(0, 3, 0, 8), (3, 4, 8, 9)]  # 4 cells, and the rest of the last document
+
+
+def test_lda_sums_are_added_by_a_task_a_part(spark, tmp_path):
+    """Each part's sums in one partition of their own; tables of one partition, put together, would be one."""
+    rows = [(b, b"", (np.ones(2) * b).tobytes(), p) for b, p in ((-1, LDA.FIT_PART), (0, 0), (4, 1), (8, 2)) for _ in range(3)]
+    spark.createDataFrame(rows, "block int, seen binary, totals binary, part int").repartition(3).write.partitionBy("part").parquet(str(tmp_path / "state"))
+    sums = LDA._by_part(spark.read.parquet(str(tmp_path / "state")), 3)
+    parts = [{r["block"] for r in part} for part in sums.rdd.glom().collect()]
+    assert sorted(b for part in parts for b in part if b >= 0) == [0, 4, 8] and all(len(part) <= 1 for part in parts)
+    assert sums.count() == len(rows)
+
+
+def test_lda_draws_are_bounded_and_as_by_modulus():
+    h = np.array([0, 1, -5, 2**62, -(2**63)], np.int64).view(np.uint64)
+    for topic in (0, 3):
+        whole = LDA._xxhash64(np.full(len(h), topic, np.uint64), h).view(np.int64)
+        assert LDA._draw(h, topic).tolist() == (whole % (1 << 20) + 1.0).tolist()
