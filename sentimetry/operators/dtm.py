@@ -1,8 +1,9 @@
 """Document-term tables and term statistics.
 
 A DTM is the long table ``(id, term, n BIGINT)``: texts are dealt out and sorted
-by id, and the tokens of an id are counted where they lie, a bounded slice of
-documents at a time, so no table of a task's ``(id, term)`` is held or spilled.
+by id, and split and counted by id where they lie, a bounded slice of documents
+at a time, so no table of a task's ``(id, term)`` is held or spilled.  Words are
+dropped and shortened once for each different one of a slice.
 Per-term statistics aggregate partially before their shuffle, so a very common
 term costs one row per map task, not one per occurrence.
 """
@@ -18,10 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import (collapse_whitespace, drop_words, remove_numbers, strip_punctuation, text_lower,
-                              text_to_ascii)
+from ..functions.text import collapse_whitespace, strip_punctuation, text_clean, text_lower, text_to_ascii
 from ..session import materialize
-from .tokens import sentence_units, tokens_array, word_tokens
+from .tokens import sentence_units, word_tokens
 
 
 def dtm_build(corpus: DataFrame, stopwords: list[str] | None = None, clean: bool = True,
@@ -29,18 +29,45 @@ def dtm_build(corpus: DataFrame, stopwords: list[str] | None = None, clean: bool
     """Counts of the O28 word tokens per document.  With ``with_len`` each
     row carries ``doc_len``, the document's kept tokens: known inside the row
     before it is exploded, so no statistic needs a second pass for it."""
-    tokens = tokens_array(_by_id(corpus), clean=clean)
-    kept = drop_words(F.col("tokens"), list(stopwords)) if stopwords else F.col("tokens")
-    out = _counted(tokens.select("id", kept.alias("w")))
+    text = F.translate(text_clean("text") if clean else F.col("text"), "\t+", "  ")  # TOKEN_SPLIT
+    out = _counted(_by_id(corpus).select("id", text.alias("w")), stopwords)
     return out if with_len else out.drop("doc_len")
 
 
-SLICE_TOKENS = 1 << 20  # counted at once, or those of one id
+TASKS_A_CORE = 4  # at least, that split texts
+SLICE_TOKENS = 1 << 20  # split or counted at once, or those of one text or id
 
 
 def _by_id(corpus: DataFrame) -> DataFrame:
-    """Texts of one id one after the other in one partition: a text is shorter than its rows of counts."""
-    return corpus.select("id", "text").repartition("id").sortWithinPartitions("id")
+    """Texts of one id one after the other in one partition: a text is shorter than its rows of counts.
+    The partitions aren't put together by AQE, which leaves a few more than there are cores, so most cores wait."""
+    spark = corpus.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    return corpus.select("id", "text").repartition(parts, "id").sortWithinPartitions("id")
+
+
+def _split(stopwords: list[str], digits: bool, min_len: int):
+    """Texts (id, w) → their words (id, w ARRAY) between single blanks: stop words dropped, then digits deleted
+    unless ``digits``, then words shorter than ``min_len`` dropped."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("id"), batch.column("w")
+            blanks = np.asarray(pc.fill_null(pc.count_substring(texts, " "), 0)).astype(np.int64)
+            starts = np.flatnonzero(np.diff((np.cumsum(blanks + 1) - blanks - 1) // SLICE_TOKENS, prepend=-1))
+            for at, end in zip(starts, [*starts[1:], len(texts)]):
+                lists = pc.split_pattern(texts[at:end], " ")
+                coded = lists.flatten().dictionary_encode()
+                code, shown = np.asarray(coded.indices), coded.dictionary
+                listed = pc.is_in(shown, pa.array(stopwords, pa.string()))
+                shown = shown if digits else pc.replace_substring_regex(shown, "[0-9]+", "")
+                kept = np.asarray(pc.and_not(pc.greater_equal(pc.utf8_length(shown), min_len), listed))[code]
+                ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+                offsets = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends])]
+                own = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), shown.take(pa.array(code[kept])))
+                yield pa.record_batch([ids[at:end], own], names=["id", "w"])
+
+    return words
 
 
 def _slice_counts(ids: pa.Array, lists: pa.ListArray) -> Iterator[pa.RecordBatch]:
@@ -88,26 +115,20 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _slice_counts(*whole())
 
 
-def _counted(words: DataFrame) -> DataFrame:
-    """``(id, w ARRAY)`` of :func:`_by_id` → ``(id, doc_len, term, n)``."""
-    schema = f"id {words.schema['id'].dataType.simpleString()}, doc_len long, cells array<struct<term string, n long>>"
-    return words.mapInArrow(_term_counts, schema).select("id", "doc_len", F.inline("cells"))
-
-
-def _topic_words(stopwords: list[str] | None, min_len: int) -> F.Column:
-    """O23–O27 chain of the topic scripts inside one row: ASCII only →
-    punctuation deleted → lower → one blank per white-space run → stop words
-    removed → digits removed → words shorter than ``min_len`` dropped."""
-    t = collapse_whitespace(text_lower(strip_punctuation(text_to_ascii("text"))))
-    words = F.split(t, " ")
-    words = drop_words(words, list(stopwords)) if stopwords else words
-    return F.filter(F.transform(words, remove_numbers), lambda w: F.length(w) >= min_len)
+def _counted(texts: DataFrame, stopwords: list[str] | None, digits: bool = True, min_len: int = 1) -> DataFrame:
+    """Texts ``(id, w)`` of :func:`_by_id` → ``(id, doc_len, term, n)`` of the words that :func:`_split` keeps."""
+    words = _split(list(stopwords or []), digits, min_len)
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, doc_len long, cells array<struct<term string, n long>>"
+    return texts.mapInArrow(lambda batches: _term_counts(words(batches)), schema).select("id", "doc_len", F.inline("cells"))
 
 
 def topic_dtm(corpus: DataFrame, stopwords: list[str] | None = None, min_len: int = 3,
               with_len: bool = False) -> DataFrame:
-    """O40 for the topic scripts (``DocumentTermMatrix`` with its controls)."""
-    out = _counted(_by_id(corpus).select("id", _topic_words(stopwords, min_len).alias("w")))
+    """O40 for the topic scripts (``DocumentTermMatrix`` with its controls), the O23–O27 chain inside one row:
+    ASCII only → punctuation deleted → lower → one blank per white-space run → stop words
+    removed → digits removed → words shorter than ``min_len`` dropped."""
+    text = collapse_whitespace(text_lower(strip_punctuation(text_to_ascii("text"))))
+    out = _counted(_by_id(corpus).select("id", text.alias("w")), stopwords, False, min_len)
     return out if with_len else out.drop("doc_len")
 
 

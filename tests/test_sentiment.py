@@ -245,3 +245,39 @@ def test_dtm_tokens_of_an_id_are_counted_in_slices(spark, monkeypatch):
                        for some in (rows[i : i + at] for i in range(0, len(rows), at))]
             found = [(r["id"], r["doc_len"], c["term"], c["n"]) for b in D._term_counts(iter(batches)) for r in b.to_pylist() for c in r["cells"]]
             assert sorted(found, key=str) == sorted(expected, key=str)
+
+
+def test_dtm_words_are_cleaned_once_a_different_word(spark, monkeypatch):
+    """Words of a slice equal those of the column chain, word by word; the plan has no function over words."""
+    import pyarrow as pa
+
+    from sentimetry.functions import text as T
+    from sentimetry.operators import dtm as D
+    from sentimetry.operators import tokens as TK
+
+    texts = ["the the1 abc ab1c 12 a1", "  x\ty+z  Über über's", "", None, "a\nb\vcd the end ab3c", "the", "ab\t\r\n cd1ef abc"]
+    corpus = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "id long, text string")
+    stop = ["the", "a", "abc"]
+    chain = T.collapse_whitespace(T.text_lower(T.strip_punctuation(T.text_to_ascii("text"))))
+    topic = F.transform(T.drop_words(F.split(chain, " "), stop), T.remove_numbers)
+    for most in (1, 4, 1 << 20):
+        monkeypatch.setattr(D, "SLICE_TOKENS", most)
+        for got, words in ((D.dtm_build(corpus, stop), T.drop_words(F.col("tokens"), stop)), (D.dtm_build(corpus, clean=False), F.col("raw")),
+                           (D.topic_dtm(corpus, stop, 0), topic), (D.topic_dtm(corpus, None, 3), F.filter(F.transform(F.split(chain, " "), T.remove_numbers), lambda w: F.length(w) >= 3))):
+            both = TK.tokens_array(TK.tokens_array(corpus), clean=False, out="raw")
+            plain = both.select("id", F.explode(words).alias("term")).groupBy("id", "term").count()
+            assert sorted(map(tuple, got.select("id", "term", "n").collect())) == sorted(map(tuple, plain.collect()))
+        batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["id", "w"])
+        sizes = [sum(len(w) for w in b.column("w").to_pylist()) for b in D._split([], True, 1)(iter([batch]))]
+        assert sum(sizes) == sum(len(t.split(" ")) - t.split(" ").count("") for t in texts if t) and (most > 1 or len(sizes) == len(texts))
+    plan = D.topic_dtm(corpus, stop)._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan
+
+
+def test_dtm_texts_keep_tasks_for_all_cores(spark):
+    """AQE doesn't put the partitions of texts together to about one a core."""
+    from sentimetry.operators import dtm as D
+
+    corpus = spark.createDataFrame([(i, f"aaa bbb {'q' * (i % 7 + 3)}") for i in range(400)], "id long, text string")
+    dtm = D.topic_dtm(corpus).withColumn("part", F.spark_partition_id())
+    assert dtm.select("part").distinct().count() >= D.TASKS_A_CORE * spark.sparkContext.defaultParallelism
