@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -632,6 +633,21 @@ def test_lda_sums_of_repeated_terms():
     assert [(r.start, r.stop, c.start, c.stop) for r, c in LDA._slices(size, 1 << 17)] == [(0, 3, 0, 8), (3, 4, 8, 9)]  # 4 cells, and the rest of the last document
 
 
+def test_lda_blocks_mark_terms_by_a_bit():
+    """A block names the terms seen in a bit each, not in four bytes; sums of several tasks add up as they were."""
+    rng = np.random.default_rng(3)
+    tasks = [LDA._Totals(21, 2, 1, 10) for _ in range(3)]
+    for some in tasks:
+        some.add(rng.choice(21, 9).astype(np.int32), rng.random((9, 2)))
+    tasks[0].term[20] = 0.5, 0.25  # the last block has one term
+    sent = [x for some in tasks for x in some.blocks(np.float64)]
+    assert all(len(seen) == -(-min(10, 21 - at) // 8) for at, seen, _ in sent if at != LDA.FIT)
+    columns = [pa.array(c, t) for c, t in zip(zip(*sent), (pa.int32(), pa.binary(), pa.binary()))]
+    added = LDA._added(21, 2, 10, np.float64)(iter([pa.record_batch(columns, names=["block", "seen", "totals"])]))
+    out = {b["block"][0].as_py(): np.frombuffer(b["totals"][0].as_py()) for b in added}
+    assert np.allclose(np.concatenate([out[at] for at in (0, 10, 20)]), sum(some.term for some in tasks).ravel())
+
+
 def test_lda_sums_are_added_by_a_task_a_part(spark, tmp_path):
     """Each part's sums in one partition of their own; tables of one partition, put together, would be one."""
     rows = [(b, b"", (np.ones(2) * b).tobytes(), p) for b, p in ((-1, LDA.FIT_PART), (0, 0), (4, 1), (8, 2)) for _ in range(3)]

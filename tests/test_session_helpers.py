@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +29,12 @@ def test_materialize_cuts_lineage(spark):
     assert m.inputFiles()[0].startswith("file:") and shared_dir(spark) in m.inputFiles()[0]
 
 
+def test_materialize_writes_zstd(spark):
+    m = materialize(spark.range(50).withColumn("y", (F.col("id") % 3).cast("int")), by="y")
+    kinds = {pq.ParquetFile(f.removeprefix("file:")).metadata.row_group(0).column(0).compression for f in m.inputFiles()}
+    assert kinds == {"ZSTD"} and m.count() == 50 and m.where("y = 1").count() == 17
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
