@@ -14,9 +14,11 @@ every counted n-gram.  The mass that discounting frees after contexts of a level
 is counted too: distinct pairs by context, joined to the contexts' counts.
 
 A filter of up to ``broadcast_bytes``, which is measured, goes to every worker.
-A larger one stays where it is: texts are dealt into chunks, the distinct
-n-grams of a chunk travel to their segments, are probed there, and their levels
-come back to the chunk.  Both ways give the same levels.  The exact unigram base
+A larger one stays where it is: neighbouring segments form buckets of bounded size,
+texts are dealt into chunks, the distinct n-grams of a chunk travel to their
+buckets in one row each, and a task that holds a bucket probes all that is asked of
+it as it comes.  Only levels come back to the chunk, which knows its n-grams in
+order.  Both ways give the same levels.  The exact unigram base
 score doesn't use the filter: the commonest words (at most ``head_words``) are
 broadcast, all others are joined by hash.
 
@@ -32,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +44,11 @@ from .textbytes import WHITE_SPACE, Block, blocks, mix, run_starts
 
 END = np.uint64(0x5EAF00D5EAF00D51)
 FLUSH_TOKENS = 1_500_000
-CHUNK_BYTES = 1 << 20
-PIECE = 1 << 16  # n-grams in a row of counts
+SCORE_BYTES = 1 << 20  # of texts scored at once
+CHUNK_BYTES = 1 << 23
+BUCKET_BYTES = 1 << 23  # of the filter in a bucket of segments
+ANSWER_ENTRIES = 1 << 20  # n-grams probed at once
+PIECE = 1 << 16  # n-grams in a row of counts, or asked in a row
 
 
 @dataclass(frozen=True)
@@ -110,17 +116,19 @@ def fill_segment(entry: np.ndarray, count: np.ndarray, model: Model) -> bytes:
 
 
 class Filter:
-    """Segments one after the other in ``bits``, of ``size`` 64-bit words each."""
+    """Segments one after the other in ``bits``, of ``size`` 64-bit words each: all of them,
+    or those from ``at`` on of ``segments``."""
 
-    def __init__(self, bits: bytes | bytearray, size: np.ndarray, model: Model):
+    def __init__(self, bits: bytes | bytearray, size: np.ndarray, model: Model, segments: int | None = None, at: int = 0):
         self.words, self.size = np.frombuffer(bits, np.uint64), size.astype(np.uint64)
         self.first, self.top = np.cumsum(self.size) - self.size, len(level_floors(model.step)) - 1
+        self.segments, self.at = segments or len(size), np.uint64(at)
 
     def levels(self, entry: np.ndarray) -> np.ndarray:
         """Level of each entry: probe 1, 2, ... until a bit is missing, to the top level
         at most, however full the filter is."""
         level = np.zeros(len(entry), np.int64)
-        segment = segment_of(entry, len(self.size))
+        segment = segment_of(entry, self.segments) - self.at
         at = np.flatnonzero(self.size[segment] > 0)
         entry, first, size = entry[at], self.first[segment[at]], self.size[segment[at]]
         for j in range(1, self.top + 1):
@@ -137,11 +145,10 @@ class Filter:
 
 
 class Answers:
-    """Levels that were probed elsewhere: ``entry`` and ``level`` of all n-grams that are looked up."""
+    """Levels that were probed elsewhere: ``entry``, sorted, and ``level`` of all n-grams that are looked up."""
 
     def __init__(self, entry: np.ndarray, level: np.ndarray):
-        order = np.argsort(entry)
-        self.entry, self.level = entry[order], level[order].astype(np.int64)
+        self.entry, self.level = entry, level.astype(np.int64)
 
     def levels(self, entry: np.ndarray) -> np.ndarray:
         return self.level[np.searchsorted(self.entry, entry)]
@@ -242,11 +249,11 @@ def _fill(model: Model):
     in rows of bounded size."""
 
     def filled(segment: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        column = lambda i, kind: [np.frombuffer(r[i], kind) for r in rows]
-        words, n = _summed(column(0, np.uint64), column(1, np.int64))
-        contexts = [np.repeat(c, n) for c, n in zip(column(2, np.uint64), column(3, np.uint32))]
-        hashes = [pair_hash(c, t) for c, t in zip(contexts, column(4, np.uint64))]
-        pairs, times, contexts = _summed(hashes, [x.astype(np.int64) for x in column(5, np.uint32)], contexts)
+        column = lambda i, kind: np.frombuffer(b"".join(r[i] for r in rows), kind)
+        words, n = _summed([column(0, np.uint64)], [column(1, np.int64)])
+        contexts = np.repeat(column(2, np.uint64), column(3, np.uint32))
+        hashes = pair_hash(contexts, column(4, np.uint64))
+        pairs, times, contexts = _summed([hashes], [column(5, np.uint32).astype(np.int64)], [contexts])
         context, follow = np.unique(contexts, return_counts=True)
         bits: bytes | None = fill_segment(np.concatenate([words, pairs]), np.concatenate([n, times]), model)
         level = levels_of(n, model.step).astype(np.int32)
@@ -301,11 +308,10 @@ class Scorer:
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, score double, word array<long>, n array<long>"
 
 
-def _scored(own: pa.RecordBatch, block: Block, scorer: Scorer, data: dict) -> pa.RecordBatch:
+def _scored(own: pa.RecordBatch, token: np.ndarray, text: np.ndarray, scorer: Scorer, data: dict) -> pa.RecordBatch:
     """A block's texts scored; words outside the broadcast head are left to the join."""
     head, head_log = np.frombuffer(data["head"], np.uint64), np.frombuffer(data["head_log"], np.float64)
-    token, text = tokens_of(block)
-    n = len(block)
+    n = own.num_rows
     place = np.minimum(np.searchsorted(head, token), max(len(head) - 1, 0))
     common = head[place] == token if len(head) else np.zeros(len(token), bool)
     rest_key, rest_text = token[~common], text[~common]
@@ -329,76 +335,141 @@ def _score(shared, model: Model, mass: np.ndarray):
         data = shared.value
         scorer = Scorer(Filter(data["bits"], data["sizes"], model), model, data["tokens"], data["types"], mass)
         for batch in batches:
-            for first, block in blocks(batch.column("text"), CHUNK_BYTES):
-                yield _scored(batch.slice(first, len(block)), block, scorer, data)
+            for first, block in blocks(batch.column("text"), SCORE_BYTES):
+                yield _scored(batch.slice(first, len(block)), *tokens_of(block), scorer, data)
 
     return score
 
 
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with the number of their chunk, of ``CHUNK_BYTES`` or one longer text."""
-    chunk = TaskContext.get().partitionId() << 32
+    chunk, total = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
-        for first, block in blocks(batch.column("text"), CHUNK_BYTES):
-            own = batch.slice(first, len(block))
-            yield pa.record_batch([pa.array(np.full(len(block), chunk)), *own.columns], names=["chunk", *own.schema.names])
-            chunk += 1
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0))
+        numbers = np.empty(len(size), np.int64)
+        for i, n in enumerate(size.tolist()):
+            if total and total + n > CHUNK_BYTES:
+                chunk, total = chunk + 1, 0
+            numbers[i], total = chunk, total + n + 1
+        yield pa.record_batch([pa.array(numbers), *batch.columns], names=["chunk", *batch.schema.names])
 
 
-def _ask(segments: int):
-    """The distinct n-grams of a chunk's texts, packed by segment."""
+def _tokens(texts: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, tokens and their texts) by block."""
+    return [(first, *tokens_of(block)) for first, block in blocks(texts, SCORE_BYTES)]
+
+
+def _entries(tokens: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The distinct n-grams looked up for texts, sorted."""
+    entry = np.sort(np.concatenate([np.array([END]), *(x for _, token, text in tokens for x in (token, pairs_of(token, text)))]))
+    return entry[run_starts(entry)]  # sorted: np.unique hashes first, which takes ten times as long
+
+
+def _packed(entry: np.ndarray) -> bytes:
+    """Sorted n-grams byte by byte: their leading bytes repeat, which compresses."""
+    return entry.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+ASKED = "bucket int, chunk long, piece long, at long, data binary"
+ANSWERED = "chunk long, piece long, at long, level binary"
+
+
+def _ask(buckets: int):
+    """The distinct n-grams of a chunk's texts, packed by bucket; ``at``: how many lie before.
+    A chunk may come in several pieces, each named by its first row."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chunks = batch.column("chunk").to_numpy()
             first = run_starts(chunks)
             for a, b in zip(first, np.append(first[1:], len(chunks))):
-                for _, block in blocks(batch.column("text").slice(a, b - a), CHUNK_BYTES):
-                    token, text = tokens_of(block)
-                    entry = np.unique(np.concatenate([token, pairs_of(token, text), [END]]))
-                    segment = segment_of(entry, segments)
-                    new = run_starts(segment)
-                    packed = [entry[i:j].tobytes() for i, j in zip(new, np.append(new[1:], len(entry)))]
-                    yield pa.record_batch([pa.array(segment[new].astype(np.int32)), pa.array(np.full(len(new), chunks[a])), pa.array(packed, pa.binary())], names=["segment", "chunk", "entry"])
+                entry = _entries(_tokens(batch.column("text").slice(a, b - a)))
+                bucket = segment_of(entry, buckets)
+                new = run_starts(bucket)
+                at = np.concatenate([np.arange(i, j, PIECE) for i, j in zip(new, np.append(new[1:], len(entry)))])
+                packed = [_packed(entry[i:j]) for i, j in zip(at, np.append(at[1:], len(entry)))]
+                same = [pa.array(np.full(len(at), x)) for x in (chunks[a], batch.column("row")[a].as_py())]
+                yield pa.record_batch([pa.array(bucket[at].astype(np.int32)), *same, pa.array(at), pa.array(packed, pa.binary())], names=[x.split()[0] for x in ASKED.split(", ")])
 
     return ask
 
 
-def _answer(model: Model):
-    """Levels of the n-grams asked of one segment."""
+def _answer(segments: int, buckets: int, model: Model):
+    """Levels of the n-grams asked of a bucket, which follow its segments' bits."""
+    each, kind = segments // buckets, np.min_scalar_type(len(level_floors(model.step)))
 
-    def answer(asked: pa.Table, filled: pa.Table) -> pa.Table:
-        bits = b"".join(filled.column("bits").to_pylist())
-        segment = Filter(bits, np.array([len(bits) // 8]), model)  # a filter of this one segment
-        level = [segment.levels(np.frombuffer(x, np.uint64)).astype(np.uint16).tobytes() for x in asked.column("entry").to_pylist()]
-        return pa.table({"chunk": asked.column("chunk"), "entry": asked.column("entry"), "level": pa.array(level, pa.binary())})
+    def answered(asked: list[tuple], source: Filter) -> pa.RecordBatch:
+        entry = [_unpacked(x) for *_, x in asked]
+        level = source.levels(np.concatenate(entry)).astype(kind)
+        parts = np.split(level, np.cumsum([len(x) for x in entry[:-1]]))
+        keys = [pa.array(x, pa.int64()) for x in list(zip(*asked))[:3]]
+        return pa.record_batch([*keys, pa.array([x.tobytes() for x in parts], pa.binary())], names=[x.split()[0] for x in ANSWERED.split(", ")])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits, asked, total = None, {}, [], 0
+        source: Filter | None = None
+        for batch in batches:
+            for bucket, chunk, piece, at, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if asked and (bucket != now or total >= ANSWER_ENTRIES):
+                    yield answered(asked, source)
+                    asked, total = [], 0
+                if bucket != now:
+                    now, bits, source = bucket, {}, None
+                if chunk is None:
+                    bits[at] = data
+                    continue
+                if source is None:
+                    own = [bits.get(x, b"") for x in range(bucket * each, (bucket + 1) * each)]
+                    source, bits = Filter(b"".join(own), np.array([len(x) // 8 for x in own]), model, segments, bucket * each), {}
+                asked.append((chunk, piece, at, data))
+                total += len(data) // 8
+        if asked:
+            yield answered(asked, source)
 
     return answer
 
 
 def _score_chunk(shared, model: Model, mass: np.ndarray):
-    def score(texts: pa.Table, answered: pa.Table) -> pa.Table:
-        data = shared.value
-        packed = lambda c, kind: np.frombuffer(b"".join(answered.column(c).to_pylist()), kind)
-        entry, first = np.unique(packed("entry", np.uint64), return_index=True)
-        scorer = Scorer(Answers(entry, packed("level", np.uint16)[first]), model, data["tokens"], data["types"], mass)
-        out = []
-        for batch in texts.combine_chunks().to_batches():
-            for at, block in blocks(batch.column("text"), CHUNK_BYTES):
-                out.append(_scored(batch.slice(at, len(block)), block, scorer, data))
+    kind = np.min_scalar_type(len(level_floors(model.step)))
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        data, out = shared.value, []
+        texts = texts.sort_by("row").combine_chunks()
+        rows, pieces = texts.column("row").to_numpy(), answers.column("piece").to_numpy()
+        first = np.unique(pieces)  # a piece holds the rows from its first to the next one's
+        cut = np.searchsorted(rows, first)
+        for piece, a, b in zip(first, cut, np.append(cut[1:], len(rows))):
+            own = texts.slice(a, b - a).combine_chunks().to_batches()[0]
+            tokens = _tokens(own.column("text"))
+            entry = _entries(tokens)
+            level = np.empty(len(entry), kind)
+            of_piece = answers.filter(pa.array(pieces == piece))
+            for at, part in zip(of_piece.column("at").to_pylist(), of_piece.column("level").to_pylist()):
+                part = np.frombuffer(part, kind)
+                level[at : at + len(part)] = part
+            scorer = Scorer(Answers(entry, level), model, data["tokens"], data["types"], mass)
+            ends = [*(x[0] for x in tokens[1:]), own.num_rows]
+            out += [_scored(own.slice(at, end - at), token, text, scorer, data) for (at, token, text), end in zip(tokens, ends)]
         return pa.Table.from_batches(out)
 
     return score
 
 
-def _by_segments(docs: DataFrame, filled: DataFrame, segments: int, shared, model: Model, mass: np.ndarray) -> DataFrame:
-    """Scores with a filter too large to broadcast: a task holds one segment with
-    what is asked of it, or one chunk with its answers."""
+def _by_segments(docs: DataFrame, filled: DataFrame, segments: int, size: int, shared, model: Model, mass: np.ndarray) -> DataFrame:
+    """Scores with a filter too large to broadcast: a task holds one bucket, through
+    which pass the n-grams asked of it, or one chunk with its answers."""
+    buckets = min(segments, 1 << (-(-size // BUCKET_BYTES)).bit_length())
     chunks = stored(docs.mapInArrow(_chunk, "chunk long, doc_id long, text string, held_out boolean, row long"), "lm-chunks")
-    asked = chunks.select("chunk", "text").mapInArrow(_ask(segments), "segment int, chunk long, entry binary")
-    bits = filled.where("bits is not null").select("segment", "bits")
-    answered = asked.groupBy("segment").cogroup(bits.groupBy("segment")).applyInArrow(_answer(model), "chunk long, entry binary, level binary")
-    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_score_chunk(shared, model, mass), SCORED)
+    asked = chunks.select("chunk", "row", "text").mapInArrow(_ask(buckets), ASKED)
+    none = F.lit(None).cast("long")
+    bits = filled.where("bits is not null").select(F.floor(F.col("segment") / (segments // buckets)).cast("int").alias("bucket"), none.alias("chunk"), none.alias("piece"), F.col("segment").cast("long").alias("at"), F.col("bits").alias("data"))
+    dealt = bits.unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first())
+    answers = dealt.mapInArrow(_answer(segments, buckets, model), ANSWERED)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(shared, model, mass), SCORED)
 
 
 def _collected(filled: DataFrame, segments: int, size: int) -> dict:
@@ -450,7 +521,7 @@ def lm_scores(docs: DataFrame, training, model: Model = Model()) -> DataFrame:
         shared |= _collected(filled, segments, size)
     sent = spark.sparkContext.broadcast(shared)
     del shared
-    scored = docs.mapInArrow(_score(sent, model, mass), SCORED) if sent_whole else _by_segments(docs, filled, segments, sent, model, mass)
+    scored = docs.mapInArrow(_score(sent, model, mass), SCORED) if sent_whole else _by_segments(docs, filled, segments, size, sent, model, mass)
     scored = stored(scored, "lm-scored")
     sent.destroy()
 

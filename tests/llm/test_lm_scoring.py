@@ -181,3 +181,30 @@ def test_filter_beyond_the_broadcast_bound(spark):
 def test_segments_follow_the_text():
     model = op.Model()
     assert model.segments(0) == 256 and model.segments(30 << 30) == 16384 and op.Model(least_segments=1).segments(0) == 1
+
+
+def test_questions_follow_the_text_not_the_segments(spark, monkeypatch):
+    """A chunk asks each bucket of segments once, however many segments there are, and may come in pieces."""
+    rng = random.Random(8)
+    rows = [(i, lorem(rng, rng.randrange(0, 200), 3000)) for i in range(150)]
+    key = lambda r: (r.doc_id, r.n_tokens, round(r.score, 9), round(r.base_score, 9), r.n_known)
+    want = sorted(map(key, scores(spark, rows, op.Model(head_words=64, least_segments=512))))
+    frame, asked = type(spark.range(1)), []
+    mapped = frame.mapInArrow
+
+    def spy(df, f, *schema):
+        out = mapped(df, f, *schema)
+        if f.__name__ == "ask":
+            asked.append(out)
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", spy)
+    monkeypatch.setattr(op, "BUCKET_BYTES", 1 << 14, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        apart = scores(spark, rows, op.Model(head_words=64, least_segments=512, broadcast_bytes=0))
+        questions = asked[0].count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(key, apart)) == want
+    assert len(rows) / 11 <= questions < 300
