@@ -663,3 +663,25 @@ def test_lda_draws_are_bounded_and_as_by_modulus():
     for topic in (0, 3):
         whole = LDA._xxhash64(np.full(len(h), topic, np.uint64), h).view(np.int64)
         assert LDA._draw(h, topic).tolist() == (whole % (1 << 20) + 1.0).tolist()
+
+
+def test_lda_driver_holds_the_phi_of_one_group(spark, monkeypatch):
+    """Models that take turns: when one group's φ is sent, no other group's is held, and none of the round before."""
+    import weakref
+    docs, table = spark.range(14), _lda_table(spark)
+    want = LDA.lda_em(table, docs, [2, 3, 4], seed=5, rounds=2, tol=0)
+    terms = table.select("term").distinct().count()
+    context, sent, held = type(spark.sparkContext), [], []
+    plain = context.broadcast
+
+    def noted(self, value):
+        sent.append(weakref.ref(value))
+        held.append(sum(x() is not None for x in sent))
+        return plain(self, value)
+
+    monkeypatch.setattr(context, "broadcast", noted)
+    monkeypatch.setattr(LDA, "_by_rows", None)
+    got = LDA.lda_em(table, docs, [2, 3, 4], seed=5, rounds=2, tol=0, broadcast_cells=terms * 4)
+    assert len(held) == 3 * 4 and set(held) == {1}  # three groups, three rounds and the result
+    for x, y in zip(got.trace, want.trace):
+        assert x == pytest.approx(y)
