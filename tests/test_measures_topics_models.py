@@ -685,3 +685,11 @@ def test_lda_driver_holds_the_phi_of_one_group(spark, monkeypatch):
     assert len(held) == 3 * 4 and set(held) == {1}  # three groups, three rounds and the result
     for x, y in zip(got.trace, want.trace):
         assert x == pytest.approx(y)
+
+
+def test_lda_groups_stay_under_the_driver_bound():
+    """The grid over a vocabulary of 1.7 million terms (1 GB of documents): each model is sent, no group is beyond its bound."""
+    from sentimetry.plans.q_topics import K_GRID
+    groups = LDA._groups(K_GRID, 1_700_000, min(LDA.BROADCAST_CELLS, LDA.GROUP_CELLS))
+    assert [m for g in groups for m in g] == list(range(len(K_GRID)))
+    assert max(1_700_000 * sum(K_GRID[m] for m in g) for g in groups) <= LDA.GROUP_CELLS <= LDA.BROADCAST_CELLS
